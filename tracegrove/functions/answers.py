@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LINE_BREAK, THINK_END, last, last_index, or_empty, rstrip, strip
+from .text import LINE_BREAK, THINK_END, bind, last, last_index, or_empty, rstrip, strip
 
 # The patterns that define what counts as an answer.
 BOX = r"\\boxed\{([^}]*)(?:\}|$)"
@@ -38,7 +38,7 @@ def extract_answer(text: Column) -> Column:
 
 def extract_final_answer(text: Column) -> Column:
     """Box, else a "final answer" phrase, else the last number, else the last line."""
-    boxed = F.when(F.size(_matches(text, BOX, 1)) > 0, extract_answer(text))
+    boxed = F.when(text.rlike(BOX), extract_answer(text))
     phrases = [strip(last(_matches(text, p, 1))) for p in FINAL_ANSWER_PATTERNS]
     number = last(_matches(text, NUMBER, 0))
     lines = F.filter(F.transform(F.split(text, LINE_BREAK), strip), lambda s: s != "")
@@ -74,23 +74,31 @@ def answers_match(
     within ``tolerance``: relative to the stored number (``asymmetric``), or to the larger of
     both with an absolute ``floor`` (``symmetric``). Anything else: text, ignoring case.
     """
-    s, p = strip(or_empty(stored)), strip(or_empty(pred))
-    same_text = F.lower(p) == F.lower(s)
-    sn, pn = to_float(s), to_float(p)
-    numbers = ~F.isnan(sn) & ~F.isnan(pn)
-    if mode == ASYMMETRIC:
-        gap = F.try_divide(F.abs(sn - pn), F.abs(sn))
-        close = F.when(sn == 0, F.abs(pn) < tolerance).otherwise(~F.isnan(gap) & (gap <= tolerance))
-    elif mode == SYMMETRIC:
-        finite = (F.abs(sn) < float("inf")) & (F.abs(pn) < float("inf"))
-        limit = F.greatest(F.greatest(F.abs(sn), F.abs(pn)) * tolerance, F.lit(floor))
-        close = (sn == pn) | (finite & (F.abs(sn - pn) <= limit))
-    else:
+    if mode not in (ASYMMETRIC, SYMMETRIC):
         raise ValueError(f"unknown mode: {mode}")
-    graded = F.when(sn.isNotNull() & pn.isNotNull(), numbers & close).otherwise(same_text)
-    if binary_exact:
-        graded = F.when(s.rlike("^[01]+$"), same_text).otherwise(graded)
-    return graded
+
+    def close(a: Column, b: Column) -> Column:
+        if mode == ASYMMETRIC:
+            gap = F.try_divide(F.abs(a - b), F.abs(a))
+            return F.when(a == 0, F.abs(b) < tolerance).otherwise(~F.isnan(gap) & (gap <= tolerance))
+        finite = (F.abs(a) < float("inf")) & (F.abs(b) < float("inf"))
+        limit = F.greatest(F.greatest(F.abs(a), F.abs(b)) * tolerance, F.lit(floor))
+        return (a == b) | (finite & (F.abs(a - b) <= limit))
+
+    def compare(v: Column) -> Column:
+        same_text = F.lower(v["p"]) == F.lower(v["s"])
+        numbers = F.struct(to_float(v["s"]).alias("a"), to_float(v["p"]).alias("b"))
+        graded = bind(
+            numbers,
+            lambda n: F.when(
+                n["a"].isNotNull() & n["b"].isNotNull(),
+                ~F.isnan(n["a"]) & ~F.isnan(n["b"]) & close(n["a"], n["b"]),
+            ).otherwise(same_text),
+        )
+        return F.when(v["s"].rlike("^[01]+$"), same_text).otherwise(graded) if binary_exact else graded
+
+    both = F.struct(strip(or_empty(stored)).alias("s"), strip(or_empty(pred)).alias("p"))
+    return bind(both, compare)
 
 
 def has_box(text: Column) -> Column:
@@ -145,9 +153,16 @@ def cut_before_final_box(text: Column) -> Column:
     body = before_thinking_end(text)
     # A control character marks the start of each box; boxes inside a box get no mark.
     mark = "\x01"
-    filled = F.regexp_replace(body, F.lit(r"\\boxed\{(?=[^}]*[^}\s])[^}]*"), F.lit(mark + "$0"))
-    any_box = F.regexp_replace(body, F.lit(r"\\boxed\{[^}]*"), F.lit(mark + "$0"))
-    marked = F.when(filled.contains(mark), filled).otherwise(any_box)
-    head = F.substring(marked, F.lit(1), last_index(marked, mark))
-    cut = F.when(marked.contains(mark), F.regexp_replace(head, mark, "")).otherwise(body)
-    return rstrip(cut)
+
+    def marked(t: Column, pattern: str) -> Column:
+        return F.regexp_replace(t, F.lit(pattern), F.lit(mark + "$0"))
+
+    def cut(t: Column) -> Column:
+        head = F.substring(t, F.lit(1), last_index(t, mark))
+        return F.when(t.contains(mark), F.regexp_replace(head, mark, "")).otherwise(t)
+
+    filled = bind(
+        marked(body, r"\\boxed\{(?=[^}]*[^}\s])[^}]*"),
+        lambda t: F.when(t.contains(mark), t).otherwise(marked(t, r"\\boxed\{[^}]*")),
+    )
+    return rstrip(bind(filled, cut))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import last_index
+from .text import bind, last_index
 
 # Length limits.
 TOKEN_LIMIT = 8192
@@ -69,7 +69,8 @@ def shift_for_training(
     """(inputs, targets, weights): each token predicts the next one."""
     n = F.greatest(F.size(tokens) - 1, F.lit(0))
     factor = weight.cast("double") * sign.cast("double")
-    weights = F.transform(F.slice(mask, F.lit(2), n), lambda m: factor * m.cast("double"))
+    trained = F.slice(mask, F.lit(2), n)
+    weights = bind(factor, lambda w: F.transform(trained, lambda m: w * m.cast("double")))
     return F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), weights
 
 
@@ -79,14 +80,16 @@ def segments(tokens: Column, mask: Column) -> Column:
     indices = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(indices, lambda i: (i == 0) | (F.get(mask, i) != F.get(mask, i - 1)))
 
-    def run(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(starts, k + 1), n)
-        kind = F.when(F.get(mask, start) == 1, "unmasked").otherwise("masked")
-        return F.struct(
-            kind.alias("type"), start.alias("pos"), F.slice(tokens, start + 1, end - start).alias("tokens")
-        )
+    def runs(at: Column) -> Column:
+        ends = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(n))
+        return F.transform(F.arrays_zip(at.alias("lo"), F.slice(ends, F.lit(1), F.size(at)).alias("hi")), run)
+
+    def run(r: Column) -> Column:
+        kind = F.when(F.get(mask, r["lo"]) == 1, "unmasked").otherwise("masked")
+        piece = F.slice(tokens, r["lo"] + 1, r["hi"] - r["lo"])
+        return F.struct(kind.alias("type"), r["lo"].alias("pos"), piece.alias("tokens"))
 
-    return F.transform(starts, run)
+    return bind(starts, runs)
 
 
 def tokens_and_mask(sorted_segments: Column) -> tuple[Column, Column]:
@@ -127,8 +130,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def perplexity(logp: Column, mask: Column) -> Column:
     """exp of the mean negative log-probability of trained tokens; infinite when none."""
-    chosen = pick(logp, mask)
-    mean = F.try_divide(array_sum(chosen), F.size(chosen))
+    mean = bind(pick(logp, mask), lambda x: F.try_divide(array_sum(x), F.size(x)))
     return F.coalesce(F.exp(-mean), F.lit(float("inf")))
 
 
@@ -154,8 +156,7 @@ def mean_old_logp_scalar(total: Column, completion_ids: Column) -> Column:
 
 def mean_trained_logp(logp: Column, mask: Column) -> Column:
     """Sum over trained tokens divided by their number, at least 1."""
-    chosen = pick(logp, mask)
-    return array_sum(chosen) / F.greatest(F.size(chosen), F.lit(1))
+    return bind(pick(logp, mask), lambda x: array_sum(x) / F.greatest(F.size(x), F.lit(1)))
 
 
 def preference_loss(chosen: Column, rejected: Column, beta: float = 2.0, gamma: float = 0.5) -> Column:
@@ -177,9 +178,12 @@ def sequence_ratio_objective(
     """Clipped sequence-level policy ratio times advantage (the smaller of both variants)."""
     diff = F.zip_with(new_logp, old_logp, lambda a, b: a - b)
     mean = F.least(F.greatest(mean_trained_logp(diff, mask), F.lit(-clamp)), F.lit(clamp))
-    ratio = F.exp(mean)
-    clipped = F.least(F.greatest(ratio, F.lit(1.0 - eps_low)), F.lit(1.0 + eps_high))
-    return F.least(ratio * advantage, clipped * advantage)
+
+    def smaller(v: Column) -> Column:
+        clipped = F.least(F.greatest(v["ratio"], F.lit(1.0 - eps_low)), F.lit(1.0 + eps_high))
+        return F.least(v["ratio"] * v["adv"], clipped * v["adv"])
+
+    return bind(F.struct(F.exp(mean).alias("ratio"), advantage.alias("adv")), smaller)
 
 
 def align_old_logp(old_logp: Column, tokens: Column) -> Column:
@@ -192,25 +196,27 @@ def align_old_logp(old_logp: Column, tokens: Column) -> Column:
 
 def char_offsets(pieces: Column) -> Column:
     """array<struct(lo, hi)> of pieces joined by single spaces."""
-    sizes = F.transform(pieces, lambda p: F.length(p))
-    ends = F.aggregate(
-        sizes,
-        F.array().cast("array<int>"),
-        lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + 1, F.lit(0)) + n)),
-    )
-    return F.zip_with(ends, sizes, lambda e, n: F.struct((e - n).alias("lo"), e.alias("hi")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lo:int,hi:int>>").alias("out"))
+
+    def step(state: Column, piece: Column) -> Column:
+        end = state["at"] + F.length(piece)
+        span = F.struct(state["at"].alias("lo"), end.alias("hi"))
+        return F.struct((end + 1).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda s: s["out"])
 
 
 def answer_span(text: Column) -> Column:
     """struct(lo, hi): characters from the thinking end (or the box) to the box's ``}``."""
-    box = last_index(text, "\\boxed{")
-    marker = last_index(F.substring(text, F.lit(1), F.greatest(box, F.lit(0))), "</think>")
-    rest = F.substring(text, box + 1, F.length(text))
-    offset = F.instr(rest, "}")
-    hi = F.when(offset > 0, box + offset).otherwise(F.length(text))
-    return F.when(
-        box >= 0, F.struct(F.when(marker >= 0, marker).otherwise(box).alias("lo"), hi.alias("hi"))
-    )
+
+    def around(box: Column) -> Column:
+        marker = last_index(F.substring(text, F.lit(1), F.greatest(box, F.lit(0))), "</think>")
+        offset = F.instr(F.substring(text, box + 1, F.length(text)), "}")
+        lo = F.when(marker >= 0, marker).otherwise(box)
+        hi = F.when(offset > 0, box + offset).otherwise(F.length(text))
+        return F.when(box >= 0, F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    return bind(last_index(text, "\\boxed{"), around)
 
 
 def weight_answer_span(
@@ -221,21 +227,26 @@ def weight_answer_span(
     The span covers all positions from the first to the last token that overlaps it; when a
     box exists but no token overlaps, the last ``fallback_tail`` tokens count instead.
     """
-    span = answer_span(text)
-    n = F.size(weights)
-    marks = F.transform(
-        offsets,
-        lambda o, i: F.when((o["hi"] > span["lo"]) & (o["lo"] < span["hi"]), i),
-    )
-    hits = F.filter(marks, lambda i: i.isNotNull())
-    first = F.coalesce(F.array_min(hits), F.greatest(F.size(offsets) - fallback_tail, F.lit(0)))
-    last = F.coalesce(F.array_max(hits), F.size(offsets) - 1)
 
-    def scaled(w: Column, i: Column) -> Column:
-        inside = (i >= first) & (i <= last) & (w > 0)
-        return F.when(inside, F.greatest(F.lit(1.0), w * factor)).otherwise(w)
+    def overlapping(span: Column) -> Column:
+        marks = F.transform(offsets, lambda o, i: F.when((o["hi"] > span["lo"]) & (o["lo"] < span["hi"]), i))
+        return F.filter(marks, lambda i: i.isNotNull())
+
+    def bounds(hits: Column) -> Column:
+        n = F.size(offsets)
+        first = F.coalesce(F.array_min(hits), F.greatest(n - fallback_tail, F.lit(0)))
+        return F.struct(first.alias("first"), F.coalesce(F.array_max(hits), n - 1).alias("last"))
 
-    return F.when(span.isNull() | (n == 0), weights).otherwise(F.transform(weights, scaled))
+    def scaled(b: Column) -> Column:
+        return F.transform(
+            weights,
+            lambda w, i: F.when((i >= b["first"]) & (i <= b["last"]) & (w > 0), F.greatest(F.lit(1.0), w * factor)).otherwise(w),
+        )
+
+    return bind(
+        answer_span(text),
+        lambda span: F.when(span.isNull(), weights).otherwise(bind(bind(overlapping(span), bounds), scaled)),
+    )
 
 
 def hf_tokenizer(path: str):

@@ -178,19 +178,21 @@ def split_raw_runs(raw: DataFrame, prompt_marker: float | None = None) -> DataFr
     return runs.select("problem_id", "run", prompt.alias("prompt_ids"), made.alias("generated_ids"))
 
 
-def detokenise(rows: DataFrame, ids: str, vocab: DataFrame, unknown: str = "<unk:%d>", name: str = "text") -> DataFrame:
-    """Add the text of a token-id column. ``rows`` needs a unique ``row_no``.
+def detokenise(
+    rows: DataFrame, ids: str, vocab: DataFrame, keys: Sequence[str], unknown: str = "<unk:%d>", name: str = "text"
+) -> DataFrame:
+    """Add the text of a token-id column. ``keys`` are the columns that identify a row.
 
     Ids meet the vocabulary in an equi-join; the pieces of a row, bounded by its token limit,
     come back together in order.
     """
-    exploded = rows.select("row_no", F.posexplode(ids).alias("_at", "token_id"))
-    pieces = exploded.join(vocab.select("token_id", "token"), "token_id", "left").select(
-        "row_no", F.struct("_at", F.coalesce("token", F.format_string(unknown, "token_id")).alias("t")).alias("p")
-    )
-    gathered = pieces.groupBy("row_no").agg(F.array_sort(F.collect_list("p")).alias("_pieces"))
+    exploded = rows.select(*keys, F.posexplode(ids).alias("_at", "token_id"))
+    known = vocab.select("token_id", "token")
+    piece = F.struct("_at", F.coalesce("token", F.format_string(unknown, "token_id")).alias("t"))
+    pieces = exploded.join(known, "token_id", "left").select(*keys, piece.alias("p"))
+    gathered = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("_pieces"))
     text = join_vocab_pieces(F.transform("_pieces", lambda p: p["t"]))
-    joined = rows.join(gathered.select("row_no", text.alias(name)), "row_no", "left")
+    joined = rows.join(gathered.select(*keys, text.alias(name)), list(keys), "left")
     return joined.withColumn(name, F.coalesce(name, F.lit("")))
 
 
