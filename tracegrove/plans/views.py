@@ -27,8 +27,23 @@ class Query:
     sql: str | None = None
 
 
+# Row keys used to spread a table that arrives as one small file.
+SPREAD_KEYS = {
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey"],
+    "orders": ["o_orderkey"],
+    "documents": ["doc_id"],
+    "events": ["event_id"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. One that comes as fewer splits than there are cores is spread by its
+    row key, so that per-row work uses all of them; a large table is left as it is read."""
+    df = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, *SPREAD_KEYS[name])
+    return df
 
 
 # --- SQL pieces ------------------------------------------------------------------------------
