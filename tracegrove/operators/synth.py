@@ -118,7 +118,7 @@ def spelling_lines(bare: DataFrame, spaced: DataFrame, lines: int = LINES_PER_PR
 
     def ranked(pool: DataFrame) -> DataFrame:
         hashed = pool.select("token", F.xxhash64(F.lit(seed), "token").alias("_h"))
-        slot = F.shiftrightunsigned(F.col("_h") + F.lit(-(2**63)), 56)
+        slot = F.shiftright("_h", 56)
         return position(hashed, order=["_h", "token"], bucket=[slot], name="_at", total="_n")
 
     def size(pool: DataFrame) -> Column:

@@ -306,7 +306,7 @@ def stratified_batches(df: DataFrame, batch_size: int, seed: int, keys: Sequence
     Rows are ordered by (category, hash) and dealt round robin over hashed batch numbers.
     """
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
-    slot = F.shiftrightunsigned(F.col("_h") + F.lit(-(2**63)), 52)
+    slot = F.shiftright("_h", 52)
     placed = position(
         hashed, order=["category", "_h", *keys], bucket=[F.col("category"), slot], name="_at", total="_n"
     )
@@ -316,7 +316,7 @@ def stratified_batches(df: DataFrame, batch_size: int, seed: int, keys: Sequence
     shuffled = position(
         numbers.withColumn("_bh", F.xxhash64(F.lit(seed), "_deal")),
         order=["_bh", "_deal"],
-        bucket=[F.shiftrightunsigned(F.col("_bh") + F.lit(-(2**63)), 56)],
+        bucket=[F.shiftright("_bh", 56)],
         name="batch",
     )
     return dealt.join(shuffled.select("_deal", (F.col("batch") - 1).alias("batch")), "_deal").drop("_deal")

@@ -153,10 +153,10 @@ _view(
 )
 _view(
     "log_v",
-    """SELECT event_id AS row_no, CAST(floor((epoch(ts) - min(epoch(ts)) OVER ()) / 3600) AS BIGINT) AS step,
+    """SELECT event_id AS row_no, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) // 3600000000 AS step,
        CASE WHEN event_id % 4 = 3 THEN 1 ELSE 0 END AS epoch,
        CAST(user_id AS VARCHAR) || CASE WHEN event_id % 10 = 0 THEN '-aug' ELSE '' END AS problem_id,
-       event_type AS category, -value / 100 AS min_logprob, value AS total_loss,
+       event_type AS category, -value / 100 AS min_logprob, round(value * 100) AS total_loss,
        1 + event_id % 50 AS num_loss_tokens
        FROM events""",
 )
@@ -309,17 +309,17 @@ def corpus_v(spark: SparkSession, sf: str) -> DataFrame:
 
 def log_v(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
-    seconds = F.unix_micros("ts") / F.lit(1e6)
-    start = events.agg(F.min(seconds)).scalar()
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = events.agg(F.min(micros)).scalar()
     event = F.col("event_id")
     return events.select(
         event.alias("row_no"),
-        F.floor((seconds - start) / 3600).alias("step"),
+        F.floor((micros - start) / F.lit(3_600_000_000)).alias("step"),
         F.when(event % 4 == 3, 1).otherwise(0).alias("epoch"),
         F.concat(F.col("user_id").cast("string"), F.when(event % 10 == 0, "-aug").otherwise("")).alias("problem_id"),
         F.col("event_type").alias("category"),
         (-F.col("value") / 100).alias("min_logprob"),
-        F.col("value").alias("total_loss"),
+        F.round(F.col("value") * 100).alias("total_loss"),
         (event % 50 + 1).alias("num_loss_tokens"),
     )
 
