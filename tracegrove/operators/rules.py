@@ -8,8 +8,7 @@ rule, each example becomes bit masks; ``bit_or`` / ``bit_and`` combine them map-
 from __future__ import annotations
 
 import json
-from collections import defaultdict
-from collections.abc import Sequence
+from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -72,7 +71,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(c: Column) -> Column:
-    return F.filter(F.split(X.strip(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(X.strip(c), r"(?U)\s+"), lambda w: w != "")
 
 
 def substitution_maps(examples: DataFrame, order: str = "row_no") -> DataFrame:
@@ -126,22 +125,31 @@ def letter_pattern(word: Column) -> Column:
     return F.array_join(F.transform(letters, lambda c: F.array_position(letters, c).cast("string")), ",")
 
 
-def _shape(word: str) -> str:
-    return ",".join(str(word.index(c) + 1) for c in word)
+MAX_WORDS = 100_000
 
 
-def decipher(question: Column, mapping: Column, dictionary: Sequence[str]) -> Column:
+def dictionary_lookup(words: DataFrame) -> Column:
+    """Words (column ``word``) by shape, as one map for all rows.
+
+    The dictionary goes to every task, so its size is checked: more than ``MAX_WORDS`` words
+    fail the job.
+    """
+    shaped = words.select("word").distinct().select("word", letter_pattern(F.col("word")).alias("shape"))
+    by_shape = shaped.groupBy("shape").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    n = F.sum(F.size("words"))
+    packed = F.map_from_entries(F.collect_list(F.struct("shape", "words")))
+    too_many = F.raise_error(F.lit("dictionary too large")).cast("map<string, array<string>>")
+    return by_shape.agg(F.when(n > MAX_WORDS, too_many).otherwise(packed)).scalar()
+
+
+def decipher(question: Column, mapping: Column, lookup: Column) -> Column:
     """Question in plain text, completing words with unknown letters from a dictionary.
 
-    Words are taken from left to right; a completed word's letters are known to the next
-    ones. A fitting dictionary word has the same shape, agrees with known letters and gives
+    Words the mapping covers are translated. The others are taken from left to right; a
+    completed word's letters are known to the next ones. A fitting dictionary word has the same shape, agrees with known letters and gives
     unknown letters unused targets; the first one in alphabetical order wins. NULL when a
-    word cannot be completed.
+    word cannot be completed. ``lookup`` is a column with :func:`dictionary_lookup`.
     """
-    by_shape: dict[str, list[str]] = defaultdict(list)
-    for word in sorted(set(dictionary)):
-        by_shape[_shape(word)].append(word)
-    lookup = F.from_json(F.lit(json.dumps(by_shape)), "map<string, array<string>>")
 
     def fits(candidate: Column, letters: Column, known: Column) -> Column:
         pairs = F.arrays_zip(letters.alias("c"), X.chars(candidate).alias("p"))
@@ -156,7 +164,7 @@ def decipher(question: Column, mapping: Column, dictionary: Sequence[str]) -> Co
     def step(state: Column, word: Column) -> Column:
         known = state["known"]
         letters = X.chars(word)
-        complete = F.forall(letters, lambda c: F.map_contains_key(known, c))
+        complete = F.forall(letters, lambda c: F.map_contains_key(mapping, c))
         options = F.coalesce(F.try_element_at(lookup, letter_pattern(word)), F.array().cast("array<string>"))
         fitting = F.filter(options, lambda w: fits(w, letters, known))
         chosen = F.when(complete, translate(word, known)).otherwise(F.get(fitting, F.lit(0)))
@@ -172,6 +180,13 @@ def decipher(question: Column, mapping: Column, dictionary: Sequence[str]) -> Co
     return F.when(F.exists(words, lambda w: w.isNull()), F.lit(None)).otherwise(F.array_join(words, " "))
 
 
+def solve_cipher(questions: DataFrame, maps: DataFrame, words: DataFrame) -> DataFrame:
+    """``questions`` (problem_id, question) with ``solution``, NULL where a word stays open."""
+    rows = questions.join(maps, "problem_id").withColumn("_lookup", dictionary_lookup(words))
+    solution = decipher(F.col("question"), F.col("mapping"), F.col("_lookup"))
+    return rows.withColumn("solution", solution).drop("_lookup", "mapping")
+
+
 # --- bit rules -------------------------------------------------------------------------------
 
 N_BITS = 8
@@ -215,9 +230,9 @@ def _rule_table() -> Column:
             a = x >> (7 - i) & 1 if i is not None else 0
             b = x >> (7 - j) & 1 if j is not None else 0
             table |= _rule_value(family, a, b) << x
-        words = [_signed(table >> (64 * w) & (2**64 - 1)) for w in range(4)]
-        rows.append({"family": family, "primary": i, "secondary": j, "t": words})
-    schema = "array<struct<family:string,primary:int,secondary:int,t:array<bigint>>>"
+        words = {f"t{w}": _signed(table >> (64 * w) & (2**64 - 1)) for w in range(4)}
+        rows.append({"family": family, "primary": i, "secondary": j} | words)
+    schema = "array<struct<family:string,primary:int,secondary:int,t0:bigint,t1:bigint,t2:bigint,t3:bigint>>"
     return F.from_json(F.lit(json.dumps(rows)), schema)
 
 
@@ -251,62 +266,55 @@ def infer_bit_rules(examples: DataFrame) -> DataFrame:
                 word = F.when(here & hit, F.col("at")).otherwise(F.lit(0).cast("bigint"))
                 aggs.append(F.bit_or(word).alias(f"{name}_{bit}_{w}"))
     seen = rows.groupBy("problem_id").agg(*aggs).filter("NOT bad")
-    packed = seen.select(
-        "problem_id",
-        F.array(
-            *[
-                F.struct(
-                    F.array(*[F.col(f"ones_{b}_{w}") for w in range(4)]).alias("ones"),
-                    F.array(*[F.col(f"zeros_{b}_{w}") for w in range(4)]).alias("zeros"),
-                )
-                for b in range(N_BITS)
-            ]
-        ).alias("bits"),
+    bits = F.array(
+        *[
+            F.struct(*[F.col(f"{n}_{b}_{w}").alias(f"{n}{w}") for n in ("ones", "zeros") for w in range(4)])
+            for b in range(N_BITS)
+        ]
     )
     rules = _rule_table()
 
     def fits(rule: Column, bit: Column) -> Column:
-        clash = [
-            bit["ones"][w].bitwiseAND(F.bitwise_not(rule["t"][w])).bitwiseOR(bit["zeros"][w].bitwiseAND(rule["t"][w]))
-            for w in range(4)
-        ]
-        return clash[0].bitwiseOR(clash[1]).bitwiseOR(clash[2]).bitwiseOR(clash[3]) == 0
+        # The conjunction stops at the first word that contradicts the rule.
+        checks = []
+        for w in range(4):
+            checks.append(bit[f"ones{w}"].bitwiseAND(F.bitwise_not(rule[f"t{w}"])) == 0)
+            checks.append(bit[f"zeros{w}"].bitwiseAND(rule[f"t{w}"]) == 0)
+        return reduce(lambda a, b: a & b, checks)
 
     def first_fit(bit: Column) -> Column:
-        hit = F.get(F.filter(rules, lambda r: fits(r, bit)), F.lit(0))
-        return F.when(
-            hit.isNotNull(),
-            F.struct(hit["family"].alias("family"), hit["primary"].alias("primary"), hit["secondary"].alias("secondary")),
+        return X.bind(
+            F.get(F.filter(rules, lambda r: fits(r, bit)), F.lit(0)),
+            lambda r: F.when(r.isNotNull(), F.struct(*[r[c].alias(c) for c in ("family", "primary", "secondary")])),
         )
 
-    vectors = packed.select("problem_id", F.transform("bits", first_fit).alias("vector"))
-    return vectors.filter(~F.exists("vector", lambda r: r.isNull()))
+    # Exploding zero or one vectors keeps the search out of a filter, which would repeat it.
+    complete = X.bind(F.transform(bits, first_fit), lambda v: F.when(~F.exists(v, lambda r: r.isNull()), F.array(v)))
+    return seen.select("problem_id", F.explode(complete).alias("vector"))
 
 
 def apply_bit_rules(bits: Column, vector: Column) -> Column:
     """Output bits of a rule vector for one 8-character input."""
 
-    def bit(index: Column) -> Column:
-        return F.get(X.chars(bits), index)
-
-    def value(rule: Column) -> Column:
-        family = rule["family"]
-        base = F.regexp_replace(family, "-NOT$", "")
-        a = bit(rule["primary"]) == "1"
-        raw = bit(rule["secondary"]) == "1"
-        b = F.when(family.endswith("-NOT"), ~raw).otherwise(raw)
-        truth = (
-            F.when(base == "0", F.lit(False))
-            .when(base == "1", F.lit(True))
-            .when(base == "I", a)
-            .when(base == "NOT", ~a)
-            .when(base == "XOR", a != b)
-            .when(base == "OR", a | b)
-            .when(base == "AND", a & b)
-        )
-        return F.when(truth, "1").otherwise("0")
+    def outputs(x: Column) -> Column:
+        def value(rule: Column) -> Column:
+            base = F.substring_index(rule["family"], "-", 1)
+            a = F.getbit(x, F.lit(N_BITS - 1) - rule["primary"]) == 1
+            b = (F.getbit(x, F.lit(N_BITS - 1) - rule["secondary"]) == 1) != rule["family"].endswith("-NOT")
+            truth = (
+                F.when(base == "0", F.lit(False))
+                .when(base == "1", F.lit(True))
+                .when(base == "I", a)
+                .when(base == "NOT", ~a)
+                .when(base == "XOR", a != b)
+                .when(base == "OR", a | b)
+                .when(base == "AND", a & b)
+            )
+            return F.when(truth, "1").otherwise("0")
+
+        return F.array_join(F.transform(vector, value), "")
 
-    return F.array_join(F.transform(vector, value), "")
+    return X.bind(F.conv(bits, 2, 10).cast("int"), outputs)
 
 
 def solve_bits(examples: DataFrame, questions: DataFrame) -> DataFrame:

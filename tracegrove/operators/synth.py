@@ -327,6 +327,7 @@ def evolve_bit_problems(vectors: DataFrame, ops: Sequence[str], n_examples: int
     return verify_bit_problems(bit_problems(rows, F.lit(n_examples), seed)).filter("verified").drop("verified")
 
 
+# Operations of evolved equations, taken in turn.
 EQUATION_RULES = ["addition", "absolute difference", "multiplication", "concatenation"]
 
 
@@ -443,80 +444,102 @@ def _until(arr: Column, stop) -> Column:
     return F.when(at > 0, F.slice(arr, F.lit(1), at - 1)).otherwise(arr)
 
 
-def _chain(lines: Column) -> tuple[Column, Column]:
-    """(lines before a blank or a Best line, that Best line or blank)."""
-    chain = _until(lines, lambda s: X.strip(s).startswith("Best:") | (X.strip(s) == ""))
-    after = F.coalesce(F.get(lines, F.size(chain)), F.lit(""))
-    return chain, F.when(X.strip(after).startswith("Best:"), after).otherwise(F.lit(""))
+def _after(arr: Column, name: str) -> Column:
+    """Lines behind the first line that reads ``name``; NULL when there is none."""
+    at = F.array_position(F.transform(arr, X.strip), name).cast("int")
+    return F.when(at > 0, _from(arr, at + 1))
+
+
+def _chain(lines: Column) -> Column:
+    """struct(lines before a blank or a Best line, that Best line or blank)."""
+
+    def best(chain: Column) -> Column:
+        after = F.coalesce(F.get(lines, F.size(chain)), F.lit(""))
+        line = F.when(X.strip(after).startswith("Best:"), after).otherwise(F.lit(""))
+        return F.struct(chain.alias("lines"), line.alias("best"))
+
+    stops = _until(lines, lambda s: X.strip(s).startswith("Best:") | (X.strip(s) == ""))
+    return X.bind(stops, best)
+
+
+def _without_trailing_blanks(lines: Column) -> Column:
+    filled = F.filter(F.transform(lines, lambda s, i: F.when(X.strip(s) != "", i + 1)), lambda i: i.isNotNull())
+    return F.slice(lines, F.lit(1), F.coalesce(F.array_max(filled), F.lit(0)))
+
+
+def _section(body: Column) -> Column:
+    """Parts of one section; NULL unless it has its matches, left and right blocks."""
+    data = _without_trailing_blanks(_until(body, lambda s: X.strip(s) == "Matching output"))
+
+    def parts(x: Column) -> Column:
+        found = F.struct(
+            data.alias("data"),
+            _until(x["rest"], lambda s: X.strip(s).isin("", "Left")).alias("matches"),
+            _chain(x["left"]).alias("left"),
+            _chain(x["right"]).alias("right"),
+        )
+        return F.when(x["right"].isNotNull(), found)
+
+    def blocks(rest: Column) -> Column:
+        left = _after(rest, "Left")
+        return F.struct(rest.alias("rest"), left.alias("left"), _after(left, "Right").alias("right"))
+
+    return X.bind(X.bind(_after(body, "Matching output"), blocks), parts)
+
+
+def _trace_sections(text: Column) -> Column:
+    """Sections of one trace as array<struct(section, head, part)>."""
+    names = F.array(*[F.lit(n) for n in SECTION_PREFIX])
+
+    def bounds(t: Column) -> Column:
+        start = F.array_position(t["bare"], OUTPUT_COLUMNS).cast("int")
+        place = F.array_position(_from(t["bare"], start), SELECTING).cast("int")
+        end = F.when(place > 0, start + place - 1).otherwise(F.size(t["bare"]) + 1)
+        return F.when(start > 0, F.struct(t["lines"].alias("lines"), t["bare"].alias("bare"), start.alias("lo"), end.alias("hi")))
+
+    def cut(t: Column) -> Column:
+        starts = F.filter(F.sequence(t["lo"], t["hi"] - 1), lambda i: F.array_contains(names, F.get(t["bare"], i - 1)))
+
+        def ranges(at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(t["hi"]))
+            return F.arrays_zip(at.alias("lo"), F.slice(ends, F.lit(1), F.size(at)).alias("hi"))
+
+        return F.transform(
+            X.bind(starts, ranges),
+            lambda r: F.struct(
+                F.get(t["bare"], r["lo"] - 1).alias("section"),
+                F.slice(t["lines"], t["lo"] + 1, F.lit(8)).alias("head"),
+                _section(F.slice(t["lines"], r["lo"] + 1, r["hi"] - r["lo"] - 1)).alias("part"),
+            ),
+        )
+
+    both = X.bind(F.split(text, "\n"), lambda ls: F.struct(ls.alias("lines"), F.transform(ls, X.strip).alias("bare")))
+    return X.bind(X.bind(both, bounds), lambda t: F.when(t.isNotNull(), F.filter(cut(t), lambda x: x["part"].isNotNull())))
 
 
 def matching_sections(traces: DataFrame) -> DataFrame:
     """Sections of bit-rule traces (file, text) as (file, section, input, output, flags)."""
-    lines = F.split("text", "\n")
-    rows = traces.select("file", lines.alias("lines"), F.transform(lines, X.strip).alias("bare"))
-    rows = rows.withColumn("columns_at", F.array_position("bare", OUTPUT_COLUMNS).cast("int")).filter("columns_at > 0")
-    place = F.array_position(_from(F.col("bare"), F.col("columns_at")), SELECTING).cast("int")
-    rows = rows.withColumn(
-        "end_at", F.when(place > 0, F.col("columns_at") + place - 1).otherwise(F.size("lines") + 1)
-    )
-    names = F.array(*[F.lit(n) for n in SECTION_PREFIX])
-    starts = F.filter(
-        F.sequence(F.col("columns_at"), F.col("end_at") - 1),
-        lambda i: F.array_contains(names, F.element_at("bare", i)),
-    )
-    rows = rows.withColumn("starts", starts).filter(F.size("starts") > 0)
-    rows = rows.select("*", F.posexplode("starts").alias("k", "start"))
-    end = F.coalesce(F.get("starts", F.col("k") + 1), F.col("end_at"))
-    rows = rows.withColumn("body", F.slice("lines", F.col("start") + 1, end - F.col("start") - 1))
-    rows = rows.select(
-        "file",
-        F.element_at("bare", F.col("start")).alias("section"),
-        F.slice("lines", F.col("columns_at") + 1, F.lit(8)).alias("head"),
-        "body",
-    )
-    is_line = lambda name: lambda s: X.strip(s) == name
-    rows = rows.filter(F.exists("body", is_line("Matching output")))
-    data = _until(F.col("body"), is_line("Matching output"))
-    used = F.coalesce(
-        F.array_max(F.filter(F.transform(data, lambda s, i: F.when(X.strip(s) != "", i + 1)), lambda i: i.isNotNull())),
-        F.lit(0),
-    )
-    rows = rows.withColumn("rest", _from(F.col("body"), F.size(data) + 2)).withColumn("data", F.slice(data, F.lit(1), used))
-    rows = rows.filter(F.exists("rest", is_line("Left")))
-    rows = rows.withColumn("matches", _until(F.col("rest"), lambda s: X.strip(s).isin("", "Left")))
-    left_lines = _from(F.col("rest"), F.size(_until(F.col("rest"), is_line("Left"))) + 2)
-    rows = rows.withColumn("left", left_lines).filter(F.exists("left", is_line("Right")))
-    right_lines = _from(F.col("left"), F.size(_until(F.col("left"), is_line("Right"))) + 2)
-    left_chain, best_left = _chain(F.col("left"))
-    right_chain, best_right = _chain(right_lines)
-    rows = (
-        rows.withColumn("left_chain", left_chain)
-        .withColumn("right_chain", right_chain)
-        .withColumn("best_left", best_left)
-        .withColumn("best_right", best_right)
-    )
+    rows = traces.select("file", F.inline(_trace_sections(F.col("text")))).select("file", "section", "head", "part.*")
     prefix = F.lit("")
     for name, short in SECTION_PREFIX.items():
         prefix = F.when(F.col("section") == name, F.lit(short)).otherwise(prefix)
 
     def bare_best(c: str) -> Column:
         tagged = F.concat(F.lit("Best: "), prefix)
-        cut = F.concat(F.lit("Best: "), F.substring(F.col(c), F.length(tagged) + 1, F.length(c)))
-        return F.when(F.startswith(F.col(c), tagged), cut).otherwise(F.col(c))
+        best = F.col(f"{c}.best")
+        rest = F.concat(F.lit("Best: "), F.substring(best, F.length(tagged) + 1, F.length(best)))
+        return F.when(F.startswith(best, tagged), rest).otherwise(best)
 
-    blank = F.array(F.lit(""))
     output = F.concat(
         F.col("matches"),
         F.array(F.lit(""), F.lit("Left")),
-        F.col("left_chain"),
-        F.array(bare_best("best_left")),
-        blank,
-        F.array(F.lit("Right")),
-        F.col("right_chain"),
-        F.array(bare_best("best_right")),
+        F.col("left.lines"),
+        F.array(bare_best("left"), F.lit(""), F.lit("Right")),
+        F.col("right.lines"),
+        F.array(bare_best("right")),
     )
     n_matches = F.size(F.filter("data", lambda s: s.contains("match")))
-    chains = F.array_join(F.concat("left_chain", "right_chain"), " ")
+    chains = F.array_join(F.concat("left.lines", "right.lines"), " ")
     none = F.array(F.lit("none"))
     return rows.select(
         "file",
@@ -526,7 +549,7 @@ def matching_sections(traces: DataFrame) -> DataFrame:
         chains.rlike(r"\dx").alias("has_x"),
         chains.rlike(r"\dy").alias("has_y"),
         (n_matches == 0).alias("all_absent"),
-        ((F.col("left_chain") == none) & (F.col("right_chain") == none)).alias("both_none"),
+        ((F.col("left.lines") == none) & (F.col("right.lines") == none)).alias("both_none"),
         (n_matches < 4).alias("few_matches"),
     )
 

@@ -641,10 +641,10 @@ def _group_losses(spark, sf):
 
 add(
     "group_robust_weights",
-    lambda s, d: rounded(trainlog.group_robust_weights(_group_losses(s, d), 0.01, 0.5)),
+    lambda s, d: rounded(trainlog.group_robust_weights(_group_losses(s, d), 0.00001, 50.0)),
     ["log_v"],
     """SELECT category, round(exp(s - max(s) OVER ()) / sum(exp(s)) OVER () * exp(max(s) OVER ()), 6) AS group_weight FROM (
-      SELECT category, 0.01 * sum(l - 0.5) AS s FROM (SELECT step, category, sum(total_loss) / sum(num_loss_tokens) AS l FROM log_v GROUP BY ALL) GROUP BY category)""",
+      SELECT category, 0.00001 * sum(l - 50) AS s FROM (SELECT step, category, sum(total_loss) / sum(num_loss_tokens) AS l FROM log_v GROUP BY ALL) GROUP BY category)""",
 )
 
 
