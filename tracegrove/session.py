@@ -1,10 +1,11 @@
-"""Session settings and the one place where lineage may be cut."""
+"""Session settings and the folder shared by all executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job here relies on. Only runtime-settable keys, so they also apply to a
 # session somebody else created.
@@ -39,17 +40,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
     return tune(spark)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for intermediate tables under the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A folder of our own
-    is set only for a local session that has none, as in tests.
+    Only a local session without that setting gets a folder of its own, as in tests.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+        root = tempfile.mkdtemp(prefix="shared-")
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -6,30 +6,46 @@ result equals the batch job over all files.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..operators.rollouts import records_from_outputs
 
 
-def graded_stream(spark: SparkSession, source: str, stage: str) -> DataFrame:
-    """Graded rollouts of the generation outputs landing in ``source``.
+def read_new_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Generation outputs that land in a folder as JSON lines."""
+    return spark.readStream.schema(schemas.GENERATION_OUTPUT).json(folder)
+
+
+def read_new_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Training-log lines flushed to a folder as JSON lines."""
+    return spark.readStream.schema(schemas.LOG_INDEX).json(folder)
+
+
+def read_new_parquet(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """Rows of Parquet files of one name pattern that land in a folder."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
 
-    A completion seen before (same stage, problem and sample number) is dropped, so a rerun
-    of the generator does not add rows. There is no event time in the data; the state keeps
-    one key per completion.
+def graded_stream(outputs: DataFrame, stage: str, keys: Sequence[str] = ("problem_id",)) -> DataFrame:
+    """Graded rollouts of a stream of generation outputs.
+
+    A completion seen before (same stage, keys and sample number) is dropped, so a rerun of
+    the generator does not add rows. The data has no event time; the state holds one key per
+    completion.
     """
-    outputs = spark.readStream.schema(schemas.GENERATION_OUTPUT).json(source)
-    return records_from_outputs(outputs, stage).dropDuplicates(["stage", "problem_id", "sample_no"])
+    return records_from_outputs(outputs, stage).dropDuplicates(["stage", *keys, "sample_no"])
 
 
-def append_graded(spark: SparkSession, source: str, target: str, checkpoint: str, stage: str = "probe") -> StreamingQuery:
-    """Append newly landed rollouts to a Parquet table."""
+def append_rows(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Append the rows of a stream to a Parquet table."""
     return (
-        graded_stream(spark, source, stage)
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .outputMode("append")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
@@ -38,29 +54,31 @@ def append_graded(spark: SparkSession, source: str, target: str, checkpoint: str
     )
 
 
-def step_loss_stream(spark: SparkSession, source: str) -> DataFrame:
-    """Running loss sums by step and category over the flushed training log."""
-    log = spark.readStream.schema(schemas.LOG_INDEX).json(source)
-    return log.groupBy("epoch", "step", "category").agg(
+STEP_KEYS = ["epoch", "step", "category"]
+
+
+def step_losses(log: DataFrame) -> DataFrame:
+    """Loss sums by step and category; the same for a batch and a stream."""
+    sums = log.groupBy(*STEP_KEYS).agg(
         F.sum("total_loss").alias("loss"),
         F.sum("num_loss_tokens").alias("tokens"),
         F.min("min_logprob").alias("min_logprob"),
     )
+    return sums.withColumn("loss_per_token", F.try_divide("loss", "tokens"))
 
 
-def update_step_loss(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep a Parquet table of changed step metrics, one folder per micro-batch.
+def update_step_losses(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Keep a Parquet table of changed step losses, one folder per micro-batch.
 
-    A step's latest folder holds its current sums; :func:`current_step_loss` reads them.
+    A repeated micro-batch overwrites its own folder; :func:`current_step_losses` takes the
+    newest sums of each step.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("loss_per_token", F.try_divide("loss", "tokens")).write.mode("overwrite").parquet(
-            f"{target}/batch={batch_id}"
-        )
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
-        step_loss_stream(spark, source)
+        step_losses(log)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
@@ -69,9 +87,8 @@ def update_step_loss(spark: SparkSession, source: str, target: str, checkpoint:
     )
 
 
-def current_step_loss(spark: SparkSession, target: str) -> DataFrame:
+def current_step_losses(spark: SparkSession, target: str) -> DataFrame:
     """Latest sums of each step and category."""
-    keys = ["epoch", "step", "category"]
-    rows = spark.read.parquet(target)
     values = F.struct("loss", "tokens", "min_logprob", "loss_per_token")
-    return rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("v")).select(*keys, "v.*")
+    rows = spark.read.parquet(target)
+    return rows.groupBy(*STEP_KEYS).agg(F.max_by(values, "batch").alias("v")).select(*STEP_KEYS, "v.*")
