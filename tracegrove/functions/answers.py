@@ -23,7 +23,7 @@ _DIGITS = r"\d+(?:_\d+)*"
 FLOAT_TEXT = (
     rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$|^(?i:[+-]?(?:inf|infinity))$"
 )
-NAN_TEXT = r"^(?i:[+-]?nan)$"
+NAN_TEXTS = ["nan", "+nan", "-nan"]
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -32,8 +32,9 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
 
 def extract_answer(text: Column) -> Column:
     """Last non-blank box, trimmed; an unclosed box at the end counts; ``''`` when none."""
-    boxes = F.transform(_matches(or_empty(text), BOX, 1), strip)
-    return F.coalesce(last(F.filter(boxes, lambda b: b != "")), F.lit(""))
+    boxes = F.transform(_matches(text, BOX, 1), strip)
+    found = F.when(text.contains(OPEN_BOX), last(F.filter(boxes, lambda b: b != "")))
+    return F.coalesce(found, F.lit(""))
 
 
 def extract_final_answer(text: Column) -> Column:
@@ -51,8 +52,8 @@ def to_float(c: Column) -> Column:
     The pattern guard keeps out forms only a SQL cast would take (``1d``); ``_`` between
     digits is allowed; ``inf`` and ``nan`` are numbers.
     """
-    plain = F.when(c.rlike(FLOAT_TEXT), F.regexp_replace(c, "_", "").try_cast("double"))
-    return F.when(c.rlike(NAN_TEXT), F.lit(float("nan"))).otherwise(plain)
+    plain = F.when(c.rlike(FLOAT_TEXT), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.when(F.lower(c).isin(NAN_TEXTS), F.lit(float("nan"))).otherwise(plain)
 
 
 ASYMMETRIC = "asymmetric"
@@ -95,7 +96,10 @@ def answers_match(
                 ~F.isnan(n["a"]) & ~F.isnan(n["b"]) & close(n["a"], n["b"]),
             ).otherwise(same_text),
         )
-        return F.when(v["s"].rlike("^[01]+$"), same_text).otherwise(graded) if binary_exact else graded
+        if binary_exact:
+            graded = F.when(v["s"].rlike("^[01]+$"), same_text).otherwise(graded)
+        # Equal texts match, except infinite and undefined numbers, which have an n.
+        return F.when((v["p"] == v["s"]) & ~F.lower(v["s"]).contains("n"), F.lit(True)).otherwise(graded)
 
     both = F.struct(strip(or_empty(stored)).alias("s"), strip(or_empty(pred)).alias("p"))
     return bind(both, compare)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import tokens as K
-from ..functions.text import LINE_BREAK, THINK_END, TURN_END
+from ..functions.text import LINE_BREAK, THINK_END, TURN_END, bind
 from .ordering import first_per_key, last_per_key, order_key, position, row_bucket, top_per_group
 from .rollouts import pass_counts, strict, value_weights
 
@@ -249,19 +249,25 @@ def corrections(
     rows = rows.filter(A.wrong_attempt(F.col("reward"), F.col("text"), gold_answer, F.col("pred")))
     boxed = F.concat(F.lit("\n\\boxed{"), gold_answer, F.lit("}"))
     verified = A.answers_match(gold_answer, A.extract_answer(F.col("gold_reasoning")))
-    rows = rows.withColumn("attempt", A.cut_before_final_box(F.col("text"))).withColumn(
-        "fix", F.when(verified, F.col("gold_reasoning")).otherwise(F.concat("gold_reasoning", boxed))
-    )
+    fix = F.when(verified, F.col("gold_reasoning")).otherwise(F.concat("gold_reasoning", boxed))
     tail = F.concat(F.lit(THINK_END), boxed, F.lit(TURN_END))
-    learning = F.concat(F.lit(bridge), F.col("fix"), tail)
-    whole = F.concat(F.col("attempt"), F.lit(bridge), F.col("fix"))
-    rows = (
-        rows.filter(F.col("attempt") != "")
-        .filter(A.answers_match(gold_answer, A.extract_answer(F.col("fix"))))
-        .filter(A.answers_match(gold_answer, A.extract_answer(whole)))
-        .withColumn("learning", learning)
-        .withColumn("attempt_ids", tokenizer(F.col("attempt")))
-        .withColumn("learning_ids", tokenizer(F.col("learning")))
+
+    def built(p: Column) -> Column:
+        whole = F.concat(p["attempt"], F.lit(bridge), p["fix"])
+        good = (
+            (p["attempt"] != "")
+            & A.answers_match(gold_answer, A.extract_answer(p["fix"]))
+            & A.answers_match(gold_answer, A.extract_answer(whole))
+        )
+        learning = F.concat(F.lit(bridge), p["fix"], tail)
+        return F.when(good, F.array(F.struct(p["attempt"].alias("attempt"), learning.alias("learning"))))
+
+    # Zero or one texts per row: the texts are cut and checked once, not once per filter.
+    attempt = A.cut_before_final_box(F.col("text"))
+    texts = bind(F.struct(attempt.alias("attempt"), fix.alias("fix")), built)
+    rows = rows.select("problem_id", "category", "prompt_token_ids", *order, F.inline(texts))
+    rows = rows.withColumn("attempt_ids", tokenizer(F.col("attempt"))).withColumn(
+        "learning_ids", tokenizer(F.col("learning"))
     )
     n_prompt, n_attempt, n_learn = (F.size(c) for c in ("prompt_token_ids", "attempt_ids", "learning_ids"))
     rows = rows.filter(n_prompt + n_attempt + n_learn < limit)

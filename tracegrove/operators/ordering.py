@@ -99,28 +99,29 @@ def top_per_group(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[Column],
-    n: int | Column,
+    n: int,
     *,
+    limit: Column | None = None,
     rank: str = "rank",
     spread: int = 32,
 ) -> DataFrame:
     """Rows ranked at most ``n`` within their group, with the rank.
 
-    A group may hold a large share of all rows: its rows are first ranked inside ``spread``
-    hashed sub-groups, and only each sub-group's top ``n`` go on. Exact, because a row of the
-    overall top ``n`` is in the top ``n`` of its sub-group.
+    ``limit`` may lower ``n`` row by row (for instance by category). A group may hold a large
+    share of all rows, so it is ranked in two steps: first inside ``spread`` sub-groups of
+    input tasks, where each task passes on its own top ``n`` only, then as a whole. Exact for
+    every split, because a row of the overall top ``n`` is in the top ``n`` of any part.
     """
-    limit = n if isinstance(n, Column) else F.lit(n)
+    within = F.col(rank) <= n
+    if limit is not None:
+        within = within & (F.col(rank) <= limit)
     ranked = df
     if spread > 1:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in group]), F.lit(spread))
-        local = W.partitionBy(*group, "_salt").orderBy(*order)
+        local = W.partitionBy(*group, "_part").orderBy(*order)
         ranked = (
-            df.withColumn("_salt", salt)
+            df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(spread)))
             .withColumn(rank, F.row_number().over(local))
-            .filter(F.col(rank) <= limit)
-            .drop("_salt", rank)
+            .filter(within)
+            .drop("_part", rank)
         )
-    return ranked.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(
-        F.col(rank) <= limit
-    )
+    return ranked.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(within)

@@ -8,6 +8,7 @@ rule, each example becomes bit masks; ``bit_or`` / ``bit_and`` combine them map-
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from functools import reduce
 from itertools import permutations
 
@@ -383,17 +384,26 @@ def _as_text(c: Column) -> Column:
     return c.cast("string")
 
 
-def numeric_results(sa: Column, sb: Column) -> dict[str, Column]:
-    """Results of all numeric operations on two digit strings, in the order they are tried.
+OPERANDS = ["sa", "sb", "a", "b", "d1", "d2", "d3", "d4"]
 
-    The first eight are the common ones. An operation that is undefined gives NULL.
+
+def operands(sa: Column, sb: Column) -> dict[str, Column]:
+    """Two digit strings, their values and, for two-digit strings, their digits.
+
+    Worth a projection of its own: the operations use each of them many times.
     """
-    a, b = sa.try_cast("bigint"), sb.try_cast("bigint")
-    d = [F.substring(s, i, 1).try_cast("int") for s in (sa, sb) for i in (1, 2)]
     two = (F.length(sa) == 2) & (F.length(sb) == 2)
+    digits = [F.when(two, F.substring(s, i, 1).try_cast("int")) for s in (sa, sb) for i in (1, 2)]
+    return dict(zip(OPERANDS, [sa, sb, sa.try_cast("bigint"), sb.try_cast("bigint"), *digits]))
+
+
+def numeric_results(v: Mapping[str, Column]) -> dict[str, Column]:
+    """Results of all numeric operations on :func:`operands`, in the order they are tried.
 
-    def digits(value: Column) -> Column:
-        return F.when(two, value)
+    The first eight are the common ones. An operation that is undefined gives NULL.
+    """
+    sa, sb, a, b = v["sa"], v["sb"], v["a"], v["b"]
+    d = [v["d1"], v["d2"], v["d3"], v["d4"]]
 
     def text(*values: Column) -> Column:
         return F.concat(*[_as_text(v) for v in values])
@@ -423,19 +433,19 @@ def numeric_results(sa: Column, sb: Column) -> dict[str, Column]:
         "modulo (a mod b)": text(F.try_mod(a, b)),
         "reverse division (b/a)": text(F.when(a != 0, F.floor(F.try_divide(b, a)))),
         "reverse modulo (b mod a)": text(F.try_mod(b, a)),
-        "digit absolute diff": digits(text(F.abs(d[0] - d[2]), F.abs(d[1] - d[3]))),
-        "digit add mod10": digits(text(F.pmod(d[0] + d[2], ten), F.pmod(d[1] + d[3], ten))),
-        "digit sub mod10": digits(text(F.pmod(d[0] - d[2], ten), F.pmod(d[1] - d[3], ten))),
-        "cross multiply": digits(text(d[0] * d[2] + d[1] * d[3])),
-        "cross multiply rev": digits(text(d[0] * d[3] + d[1] * d[2])),
-        "digit multiply": digits(text(d[0] * d[2], d[1] * d[3])),
-        "digit multiply rev": digits(text(d[0] * d[3], d[1] * d[2])),
-        "digit sum diff": digits(text((d[0] + d[1]) - (d[2] + d[3]))),
-        "digit sum sum": digits(text((d[0] + d[1]) + (d[2] + d[3]))),
-        "digit product diff": digits(text(d[0] * d[1] - d[2] * d[3])),
-        "digit product sum": digits(text(d[0] * d[1] + d[2] * d[3])),
-        "determinant": digits(text(det)),
-        "abs determinant": digits(text(F.abs(det))),
+        "digit absolute diff": text(F.abs(d[0] - d[2]), F.abs(d[1] - d[3])),
+        "digit add mod10": text(F.pmod(d[0] + d[2], ten), F.pmod(d[1] + d[3], ten)),
+        "digit sub mod10": text(F.pmod(d[0] - d[2], ten), F.pmod(d[1] - d[3], ten)),
+        "cross multiply": text(d[0] * d[2] + d[1] * d[3]),
+        "cross multiply rev": text(d[0] * d[3] + d[1] * d[2]),
+        "digit multiply": text(d[0] * d[2], d[1] * d[3]),
+        "digit multiply rev": text(d[0] * d[3], d[1] * d[2]),
+        "digit sum diff": text((d[0] + d[1]) - (d[2] + d[3])),
+        "digit sum sum": text((d[0] + d[1]) + (d[2] + d[3])),
+        "digit product diff": text(d[0] * d[1] - d[2] * d[3]),
+        "digit product sum": text(d[0] * d[1] + d[2] * d[3]),
+        "determinant": text(det),
+        "abs determinant": text(F.abs(det)),
     }
     return common | rare
 
@@ -504,21 +514,37 @@ def infer_numeric_ops(equations: DataFrame) -> DataFrame:
     formats = sign_formats(equations)
     rows = equations.join(formats, ["problem_id", "op"])
     out = _normal_output(F.col("output_value"), F.col("fmt"), F.col("mark"))
-    forward = numeric_results(F.col("a"), F.col("b"))
-    backward = numeric_results(F.reverse("a"), F.reverse("b"))
+    keep = ["problem_id", "op", "fmt", "examples", "first_row"]
+    rows = rows.select(
+        *keep,
+        out.alias("_out"),
+        F.reverse(out).alias("_tuo"),
+        *[c.alias(f"f_{n}") for n, c in operands(F.col("a"), F.col("b")).items()],
+        *[c.alias(f"r_{n}") for n, c in operands(F.reverse("a"), F.reverse("b")).items()],
+    )
+    forward = numeric_results({n: F.col(f"f_{n}") for n in OPERANDS})
+    backward = numeric_results({n: F.col(f"r_{n}") for n in OPERANDS})
     names = list(forward)
-    rows = (
-        rows.withColumn("_out", out)
-        .withColumn("_tuo", F.reverse(out))
-        .withColumn("_plain", F.array(*forward.values()))
-        .withColumn("_turned", F.array(*backward.values()))
+    rows = rows.select(
+        *keep,
+        "_out",
+        "_tuo",
+        *[c.alias(f"_plain{i}") for i, c in enumerate(forward.values())],
+        *[c.alias(f"_turned{i}") for i, c in enumerate(backward.values())],
     )
     masks = []
     for k, (rev_ops, rev_res) in enumerate(REVERSALS):
-        results, wanted = F.col("_turned" if rev_ops else "_plain"), F.col("_tuo" if rev_res else "_out")
-        masks.append(F.bit_and(_hits(results, wanted)).alias(f"m{k}"))
+        side, wanted = "_turned" if rev_ops else "_plain", F.col("_tuo" if rev_res else "_out")
+        bits = [
+            F.when(F.col(f"{side}{i}") == wanted, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+            for i in range(len(names))
+        ]
+        masks.append(F.bit_and(reduce(lambda a, b: a.bitwiseOR(b), bits)).alias(f"m{k}"))
     found = rows.groupBy("problem_id", "op").agg(
-        *masks, F.any_value("fmt").alias("fmt"), F.any_value("examples").alias("examples"), F.min("first_row").alias("first_row")
+        *masks,
+        F.any_value("fmt").alias("fmt"),
+        F.any_value("examples").alias("examples"),
+        F.min("first_row").alias("first_row"),
     )
     trials = []
     for low, high in ((0, N_COMMON), (N_COMMON, len(names))):
@@ -547,14 +573,25 @@ def infer_numeric_ops(equations: DataFrame) -> DataFrame:
 
 def apply_numeric_op(a: Column, b: Column, rule_name: Column, rev_ops: Column, rev_res: Column) -> Column:
     sa, sb = F.when(rev_ops, F.reverse(a)).otherwise(a), F.when(rev_ops, F.reverse(b)).otherwise(b)
-    results = numeric_results(sa, sb)
-    raw = F.get(
-        F.array(*results.values()),
-        (F.array_position(F.array(*[F.lit(n) for n in results]), rule_name) - 1).cast("int"),
-    )
+
+    def pick(v: Mapping[str, Column]) -> Column:
+        results = numeric_results(v)
+        place = F.array_position(F.array(*[F.lit(n) for n in results]), rule_name) - 1
+        return F.get(F.array(*results.values()), place.cast("int"))
+
+    raw = _with_operands(sa, sb, pick)
     return F.when(rev_res, F.reverse(raw)).otherwise(raw)
 
 
+def _with_operands(sa: Column, sb: Column, body) -> Column:
+    """``body`` of the operands, each computed once per row."""
+    texts = F.struct(sa.alias("sa"), sb.alias("sb"))
+    return X.bind(
+        X.bind(texts, lambda t: F.struct(*[c.alias(n) for n, c in operands(t["sa"], t["sb"]).items()])),
+        lambda v: body({n: v[n] for n in OPERANDS}),
+    )
+
+
 def solve_equations(equations: DataFrame, questions: DataFrame) -> DataFrame:
     """``questions`` (problem_id, a, op, b) with the inferred rule and ``solution``.
 
@@ -578,13 +615,16 @@ def solve_equations(equations: DataFrame, questions: DataFrame) -> DataFrame:
         F.coalesce("rev_ops", F.lit(False)),
         F.coalesce("rev_res", F.lit(False)),
     )
-    minus = value.startswith("-")
-    digits = F.substring(value, F.lit(2), F.length(value))
-    solution = (
-        F.when((F.col("fmt") == "neg_suffix") & minus, F.concat(digits, "op"))
-        .when((F.col("fmt") == "neg_prefix") & minus, F.concat("op", digits))
-        .otherwise(value)
-    )
+
+    def written(v: Column) -> Column:
+        minus, digits = v.startswith("-"), F.substring(v, F.lit(2), F.length(v))
+        return (
+            F.when((F.col("fmt") == "neg_suffix") & minus, F.concat(digits, "op"))
+            .when((F.col("fmt") == "neg_prefix") & minus, F.concat("op", digits))
+            .otherwise(v)
+        )
+
+    solution = X.bind(value, written)
     return q.withColumn("solution", solution).filter(F.col("rule_name").isNotNull()).select(
         *questions.columns, "rule_name", "rev_ops", "rev_res", "fmt", "solution"
     )
@@ -593,9 +633,9 @@ def solve_equations(equations: DataFrame, questions: DataFrame) -> DataFrame:
 # --- consistency gate ------------------------------------------------------------------------
 
 
-def _gate_numeric(sa: Column, sb: Column) -> dict[str, Column]:
-    r = numeric_results(sa, sb)
-    digits = sa.rlike(r"^\d+$") & sb.rlike(r"^\d+$")
+def _gate_numeric(v: Mapping[str, Column]) -> dict[str, Column]:
+    r = numeric_results(v)
+    digits = v["sa"].rlike(r"^\d+$") & v["sb"].rlike(r"^\d+$")
     named = {
         "addition": r["addition"],
         "subtraction": r["subtraction (a-b)"],
@@ -618,7 +658,8 @@ def _gate_numeric(sa: Column, sb: Column) -> dict[str, Column]:
     return {k: F.when(digits, v) for k, v in named.items()}
 
 
-def _gate_symbols(left: Column, right: Column) -> dict[str, Column]:
+def _gate_symbols(v: Mapping[str, Column]) -> dict[str, Column]:
+    left, right = v["sa"], v["sb"]
     return {
         "left side": left,
         "right side": right,
@@ -651,10 +692,10 @@ def consistent_rule(examples: Column, question: Column, answer: Column) -> Colum
     )
 
     def first_name(table) -> Column:
-        names = list(table(F.lit("1"), F.lit("1")))
+        names = list(table({n: F.lit(None) for n in OPERANDS}))
 
         def mask(text: Column, out: Column) -> Column:
-            return _hits(F.array(*table(part(text, 1), part(text, 3)).values()), out)
+            return _with_operands(part(text, 1), part(text, 3), lambda v: _hits(F.array(*table(v).values()), out))
 
         shared = F.aggregate(
             examples, mask(question, answer), lambda acc, e: acc.bitwiseAND(mask(e["input_value"], e["output_value"]))

@@ -238,12 +238,16 @@ def _limit(counts: Mapping[str, int], default: int) -> Column:
     return limit
 
 
+def _most(counts: Mapping[str, int], default: int) -> int:
+    return max([default, *counts.values()])
+
+
 def worst_examples(
     latest: DataFrame, counts: Mapping[str, int], default: int = DEFAULT_COUNT, tie: str = "row_no"
 ) -> DataFrame:
     """Examples with the smallest log-probabilities, a set number per category."""
     order = [F.asc("min_logprob"), F.asc(tie)]
-    return top_per_group(latest, ["category"], order, _limit(counts, default))
+    return top_per_group(latest, ["category"], order, _most(counts, default), limit=_limit(counts, default))
 
 
 def recent_examples(
@@ -259,7 +263,7 @@ def recent_examples(
     backfill = F.col("min_logprob") >= threshold
     rows = latest.withColumn("backfill", backfill).filter(~backfill | F.col("category").isin(list(relaxed)))
     order = [F.asc("backfill"), F.desc("step"), F.asc(tie)]
-    return top_per_group(rows, ["category"], order, _limit(counts, default))
+    return top_per_group(rows, ["category"], order, _most(counts, default), limit=_limit(counts, default))
 
 
 # --- ordering and batching -------------------------------------------------------------------

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split hot join partitions even when an aggregate on the same key follows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Keep only the top n of a group per map task before ranking, also for large n.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -34,6 +36,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # Recording the call site of every Column costs more than building the plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
