@@ -177,7 +177,7 @@ def token_budget_cut(df: DataFrame, max_tokens: int, order: Sequence[str] = tupl
     sizes = df.select(*order, F.size("tokens").cast("bigint").alias("_n"))
     summed = running_total(sizes, F.col("_n"), order=order, bucket=[*lead, row_bucket(order[-1])], name="_upto")
     cut = summed.filter(F.col("_upto") > max_tokens).agg(F.min(order_key(order))).scalar()
-    return df.filter(cut.isNull() | (order_key(order) < cut))
+    return df.filter(F.coalesce(order_key(order) < cut, F.lit(True)))
 
 
 def merge_by_source(flagged: DataFrame) -> DataFrame:
