@@ -7,9 +7,8 @@ rule, each example becomes bit masks; ``bit_or`` / ``bit_and`` combine them map-
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
-from functools import reduce
+from functools import cache, reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -218,23 +217,28 @@ def bit_rules() -> list[tuple[str, int | None, int | None]]:
     return rules
 
 
-def _signed(word: int) -> int:
-    return word - 2**64 if word >= 2**63 else word
-
-
-def _rule_table() -> Column:
-    """Array of rules with their outputs for all 256 inputs, as four 64-bit words."""
-    rows = []
+@cache
+def _rule_table_text() -> str:
+    entries = []
     for family, i, j in bit_rules():
         table = 0
         for x in range(256):
             a = x >> (7 - i) & 1 if i is not None else 0
             b = x >> (7 - j) & 1 if j is not None else 0
             table |= _rule_value(family, a, b) << x
-        words = {f"t{w}": _signed(table >> (64 * w) & (2**64 - 1)) for w in range(4)}
-        rows.append({"family": family, "primary": i, "secondary": j} | words)
-    schema = "array<struct<family:string,primary:int,secondary:int,t0:bigint,t1:bigint,t2:bigint,t3:bigint>>"
-    return F.from_json(F.lit(json.dumps(rows)), schema)
+        words = [int.from_bytes((table >> (64 * w) & (2**64 - 1)).to_bytes(8, "big"), "big", signed=True) for w in range(4)]
+        numbers = ["CAST(NULL AS INT)" if v is None else str(v) for v in (i, j)]
+        outputs = ", ".join(f"'t{w}', CAST('{v}' AS BIGINT)" for w, v in enumerate(words))
+        entries.append(f"named_struct('family', '{family}', 'primary', {numbers[0]}, 'secondary', {numbers[1]}, {outputs})")
+    return f"array({', '.join(entries)})"
+
+
+def _rule_table() -> Column:
+    """Array of rules with their outputs for all 256 inputs, as four 64-bit words.
+
+    Plain constructors, so that it becomes one constant of the plan.
+    """
+    return F.expr(_rule_table_text())
 
 
 def clean_bits(c: Column) -> Column:
@@ -273,6 +277,15 @@ def infer_bit_rules(examples: DataFrame) -> DataFrame:
             for b in range(N_BITS)
         ]
     )
+    # Exploding zero or one vectors keeps the search out of a filter, which would repeat it.
+    return seen.select("problem_id", F.explode(_complete_vector(bits)).alias("vector"))
+
+
+def _complete_vector(bits: Column) -> Column:
+    """array(vector) of the first fitting rule per output bit, NULL when a bit has none.
+
+    ``bits``: per output bit the inputs seen with a 1 and with a 0, as four words each.
+    """
     rules = _rule_table()
 
     def fits(rule: Column, bit: Column) -> Column:
@@ -289,9 +302,37 @@ def infer_bit_rules(examples: DataFrame) -> DataFrame:
             lambda r: F.when(r.isNotNull(), F.struct(*[r[c].alias(c) for c in ("family", "primary", "secondary")])),
         )
 
-    # Exploding zero or one vectors keeps the search out of a filter, which would repeat it.
-    complete = X.bind(F.transform(bits, first_fit), lambda v: F.when(~F.exists(v, lambda r: r.isNull()), F.array(v)))
-    return seen.select("problem_id", F.explode(complete).alias("vector"))
+    return X.bind(F.transform(bits, first_fit), lambda v: F.when(~F.exists(v, lambda r: r.isNull()), F.array(v)))
+
+
+def rules_of_examples(examples: Column) -> Column:
+    """Rule vector of one row's examples array<struct(input_value, output_value)>, or NULL.
+
+    For problems that carry their few examples in the row: no shuffle.
+    """
+
+    def number(c: Column) -> Column:
+        return F.conv(c, 2, 10).cast("int")
+
+    def words(pairs: Column) -> Column:
+        def word(bit: Column, w: int, value: int) -> Column:
+            def add(acc: Column, e: Column) -> Column:
+                here = e["x"].between(64 * w, 64 * w + 63) & (F.getbit(e["y"], F.lit(N_BITS - 1) - bit) == value)
+                one = F.call_function("shiftleft", F.lit(1).cast("bigint"), e["x"] % 64)
+                return F.when(here, acc.bitwiseOR(one)).otherwise(acc)
+
+            return F.aggregate(pairs, F.lit(0).cast("bigint"), add)
+
+        def of_bit(bit: Column) -> Column:
+            named = (("ones", 1), ("zeros", 0))
+            return F.struct(*[word(bit, w, v).alias(f"{n}{w}") for n, v in named for w in range(4)])
+
+        return F.transform(F.sequence(F.lit(0), F.lit(N_BITS - 1)), of_bit)
+
+    pairs = F.transform(
+        examples, lambda e: F.struct(number(e["input_value"]).alias("x"), number(e["output_value"]).alias("y"))
+    )
+    return F.get(_complete_vector(X.bind(pairs, words)), F.lit(0))
 
 
 def apply_bit_rules(bits: Column, vector: Column) -> Column:

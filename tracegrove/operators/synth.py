@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.hashing import pick_from, pick_int, sha_mod, short_id, uniform
 from .ordering import position, top_per_group
-from .rules import BIT_FAMILIES, N_BITS, apply_bit_rules, infer_bit_rules
+from .rules import BIT_FAMILIES, N_BITS, apply_bit_rules, rules_of_examples
 
 # Symbol alphabets, sizes and wording of the generated problems.
 SYMBOLS = list("!\"#$%&'()*+-./:;<>?@[\\]^`{|}")
@@ -303,11 +303,12 @@ def bit_problems(vectors: DataFrame, n_examples: Column, seed: int) -> DataFrame
 
 def verify_bit_problems(problems: DataFrame) -> DataFrame:
     """Add ``verified``: rules inferred anew from the examples give the stored answer."""
-    examples = problems.select("problem_id", F.inline("examples"))
-    again = infer_bit_rules(examples).withColumnRenamed("vector", "_again")
-    solved = problems.join(again, "problem_id", "left")
-    found = F.col("_again").isNotNull() & (apply_bit_rules(F.col("question"), F.col("_again")) == F.col("answer"))
-    return solved.withColumn("verified", found).drop("_again")
+    question, answer = F.col("question"), F.col("answer")
+    again = X.bind(
+        rules_of_examples(F.col("examples")),
+        lambda v: F.coalesce(v.isNotNull() & (apply_bit_rules(question, v) == answer), F.lit(False)),
+    )
+    return problems.withColumn("verified", again)
 
 
 def evolve_bit_problems(vectors: DataFrame, ops: Sequence[str], n_examples: int = 8, seed: int = 1234) -> DataFrame:
@@ -398,21 +399,31 @@ def curriculum_tiers(seeds: DataFrame, generated: DataFrame, max_examples: int =
 
 
 def weakness_problems(
-    counts: DataFrame, *, top_k: int = 5, per_family: int = 400, n_examples: int = 8, spare: int = 2, seed: int = 4321
+    counts: DataFrame, *, top_k: int = 5, per_family: int = 400, n_examples: int = 8, seed: int = 4321
 ) -> DataFrame:
     """``per_family`` verified problems for each of the ``top_k`` weakest rule families.
 
-    ``counts``: family, wrong_rollouts. ``spare`` candidates per wanted problem are made.
+    ``counts``: family, wrong_rollouts. Up to 50 candidates per wanted problem are tried, at
+    least 100. Two per problem nearly always suffice, so the others are only made for
+    families that came out short.
     """
     places = F.array(*[F.lit(f) for f in BIT_FAMILIES])
     weakest = counts.orderBy(F.desc("wrong_rollouts"), F.array_position(places, F.col("family"))).limit(top_k)
-    tries = F.explode(F.sequence(F.lit(0), F.lit(per_family * spare - 1)))
-    rows = weakest.select("family", tries.alias("attempt"))
-    rows = rows.withColumn(
-        "problem_id", F.concat(F.lit("synthI_"), X.slug(F.col("family")), F.lit("_"), F.lpad(F.col("attempt").cast("string"), 5, "0"))
-    ).withColumn("vector", family_rules(F.col("family"), seed, F.col("family"), F.col("attempt")))
-    good = verify_bit_problems(bit_problems(rows, F.lit(n_examples), seed)).filter("verified")
-    return top_per_group(good, ["family"], [F.asc("attempt")], per_family, rank="problem_no").drop("verified")
+    first, last = 2 * per_family, max(50 * per_family, 100)
+
+    def tried(families: DataFrame, low: int, high: int) -> DataFrame:
+        rows = families.select("family", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("attempt"))
+        number = F.lpad(F.col("attempt").cast("string"), 5, "0")
+        name = F.concat(F.lit("synthI_"), X.slug(F.col("family")), F.lit("_"), number)
+        rows = rows.withColumn("problem_id", name).withColumn(
+            "vector", family_rules(F.col("family"), seed, F.col("family"), F.col("attempt"))
+        )
+        return verify_bit_problems(bit_problems(rows, F.lit(n_examples), seed)).filter("verified").drop("verified")
+
+    good = tried(weakest, 0, first)
+    enough = good.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= per_family)
+    more = tried(weakest.join(enough, "family", "left_anti").select("family"), first, last)
+    return top_per_group(good.unionByName(more), ["family"], [F.asc("attempt")], per_family, rank="problem_no")
 
 
 # --- matching sections -----------------------------------------------------------------------
