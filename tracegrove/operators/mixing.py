@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..functions.hashing import unit_interval
+from ..functions.text import chat_prompt, completion_text
 from .ordering import order_key, row_bucket, running_total
 
 # Fixed value: marks the id of a further copy.
@@ -213,6 +214,50 @@ def pass_count_histogram(flagged: DataFrame) -> DataFrame:
     return flagged.filter("emitted").groupBy(known).agg(F.count(F.lit(1)).alias("rows"))
 
 
+# --- solver corpus ---------------------------------------------------------------------------
+
+
+def solver_corpus(
+    problems: DataFrame,
+    prompts: DataFrame,
+    reasoning: DataFrame,
+    augmentations: DataFrame | None = None,
+    *,
+    tokenizer: Callable[[Column], Column] = K.split_tokenizer,
+    template: str = "{}",
+    limit: int = K.TOKEN_LIMIT,
+) -> DataFrame:
+    """(problem_id, category, tokens, mask, answer) of problems with a prompt and a reasoning text.
+
+    ``problems``: id, category; ``prompts``: id, prompt, answer; ``reasoning``: id, text.
+    Solver rows are cut at ``limit``. Augmentation rows (id, category, prompt, completion) get
+    neither suffix nor box, and one above the limit fails the job.
+    """
+    solved = problems.select("id", "category").join(prompts, "id").join(reasoning.select("id", "text"), "id")
+    done = completion_text(F.rtrim(F.col("text"), F.lit("\n")), F.col("answer"))
+    rows = solved.select(
+        "id", "category", tokenizer(chat_prompt(F.col("prompt"), template)).alias("p"), tokenizer(done).alias("c"), "answer"
+    )
+    tokens, mask = K.example(F.col("p"), F.col("c"), limit)
+    out = rows.select(F.col("id").alias("problem_id"), "category", tokens.alias("tokens"), mask.alias("mask"), "answer")
+    if augmentations is None:
+        return out
+    body = F.rtrim(F.col("completion"), F.lit("\n"))
+    extra = augmentations.select(
+        "id",
+        "category",
+        tokenizer(chat_prompt(F.col("prompt"), template, suffix="")).alias("p"),
+        tokenizer(completion_text(body, body, closing_box=False)).alias("c"),
+        body.alias("answer"),
+    )
+    size = F.size("p") + F.size("c")
+    message = F.concat("id", F.lit(" exceeds the token limit: "), size.cast("string"))
+    whole = F.when(size > limit, F.raise_error(message)).otherwise(F.concat("p", "c"))
+    mask = F.concat(K.fill(0, F.size("p")), K.fill(1, F.size("c")))
+    more = extra.select(F.col("id").alias("problem_id"), "category", whole.alias("tokens"), mask.alias("mask"), "answer")
+    return out.unionByName(more)
+
+
 # --- mixture reweighting ---------------------------------------------------------------------
 
 

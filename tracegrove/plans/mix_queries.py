@@ -196,6 +196,33 @@ add(
       FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1""",
 )
 
+def _solver_corpus(spark, sf):
+    problems = V.problems_v(spark, sf)
+    docs = V.table(spark, sf, "documents")
+    prompts = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("prompt"), F.col("lang").alias("answer"))
+    text = F.concat("text", F.lit("\n\n"))
+    reasoning = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("id"), text.alias("text"))
+    turns = V.table(spark, sf, "conversations").filter("role = 'assistant'")
+    extra = turns.select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("chat").alias("category"), F.col("role").alias("prompt"), F.col("text").alias("completion")
+    )
+    rows = mixing.solver_corpus(problems, prompts, reasoning, extra)
+    return rows.select("problem_id", "category", "answer", F.md5(F.array_join("tokens", " ")).alias("digest"), K.trained_count(F.col("mask")).alias("trained"))
+
+
+_SUFFIX = r"chr(10) || 'Please put your final answer inside `\boxed{}`. For example: `\boxed{your answer}`'"
+add(
+    "solver_corpus",
+    _solver_corpus,
+    ["problems_v"],
+    rf"""SELECT problem_id, category, answer, md5(array_to_string(t[1:8192], ' ')) AS digest, len(t[1:8192]) - np AS trained FROM (
+      SELECT problem_id, category, answer, list_concat(p, string_split(c, ' ')) AS t, len(p) AS np FROM (
+      SELECT id AS problem_id, category, lang AS answer, string_split(source || {_SUFFIX}, ' ') AS p,
+        rtrim(text, chr(10)) || chr(10) || '</think>' || chr(10) || '\boxed{{' || coalesce(list_last(regexp_extract_all(text, '\\boxed\{{([^}}]*)\}}', 1)), lang) || '}}<|im_end|>' AS c
+      FROM documents JOIN problems_v ON id = CAST(doc_id AS VARCHAR) WHERE doc_id % 3 <> 0
+      UNION ALL SELECT conv_id || '-' || turn, 'chat', rtrim(text, chr(10)), [role], rtrim(text, chr(10)) || chr(10) || '</think><|im_end|>' FROM conversations WHERE role = 'assistant'))""",
+)
+
 # --- reports ---------------------------------------------------------------------------------
 
 
