@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, shards
+from . import chat, packing, shards, topk
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -86,10 +86,29 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(lost) AS loss_char
 FROM gathered
 """
 
+def op8_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op2_sampled_splitters": op2_sampled_splitters,
     "op4_typed_parts": op4_typed_parts,
+    "op8_histogram_top_k": op8_histogram_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_typed_parts": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_typed_parts": OP4_SQL, "op8_histogram_top_k": OP8_SQL}
