@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Texts are hashed in runs of about this many bytes, so that the 8-byte arrays stay small.
@@ -33,6 +34,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` followed by further fields."""
+    return StructType(df.schema.fields + StructType.fromDDL(ddl).fields)
+
+
 def uniform(*keys: Column) -> Column:
     """A number in [0, 1) from the keys, the same in every run."""
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(2**53)
@@ -112,14 +118,19 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * U64(0xA24BAED4963EE407))
 
 
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[list(SPACES)] = True
+NOT_SPACE = np.ones(256, dtype=bool)
+NOT_SPACE[list(SPACES)] = False
+#: ASCII letters and every byte of a character beyond ASCII.
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+ALNUM = LETTERS.copy()
+ALNUM[48:58] = True
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every run of bytes other than white space, never across texts, and each
-    text's first word: words first[i]:first[i + 1] are those of text i."""
-    inside = ~_IS_SPACE[raw]
+def word_spans(raw: np.ndarray, off: np.ndarray, kind: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes of one kind, never across texts, and each text's first
+    word: words first[i]:first[i + 1] are those of text i."""
+    inside = kind[raw]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
@@ -147,6 +158,13 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def sums_per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each text's stretch of ``values`` (rows), 0 where it has none."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64)
+    np.cumsum(values, axis=0, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return h.view(np.int64)

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, shards, topk
+from . import chat, langid, packing, shards, topk, toxicity
+from .common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+#: Where this package was imported from, so that Python workers started in another folder find it too.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +50,29 @@ def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(held_out(F.col("doc_id"), 5) != 0))
+    out = toxicity.detect(docs, model, ["doc_id"])
+    return out.select(
+        "doc_id",
+        (held_out(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def languages_of(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Predictions for all ``docs`` by what all but the held-out fourth of them teaches."""
+    model = langid.learn(docs.filter(held_out(F.col("doc_id"), 4) != 2))
+    return langid.predict(docs, model, keep)
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = languages_of(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", (held_out(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 PROBE_ID = -7
 PROBE_TEXT = "</s>[INST] ok [/INST]"
 
@@ -107,7 +137,9 @@ SELECT * FROM r WHERE rank <= 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_packing": op1_vector_packing,
     "op2_sampled_splitters": op2_sampled_splitters,
+    "op3_toxic_segments": op3_toxic_segments,
     "op4_typed_parts": op4_typed_parts,
+    "op5_language_mixture": op5_language_mixture,
     "op8_histogram_top_k": op8_histogram_top_k,
 }
 
