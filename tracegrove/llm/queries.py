@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, shards, topk, toxicity
+from . import chat, kneser_ney, langid, packing, shards, topk, toxicity
 from .common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -121,6 +121,11 @@ def op8_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted.select("doc_id"))
+
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -141,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_typed_parts": op4_typed_parts,
     "op5_language_mixture": op5_language_mixture,
     "op8_histogram_top_k": op8_histogram_top_k,
+    "op9_kneser_ney": op9_kneser_ney,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_typed_parts": OP4_SQL, "op8_histogram_top_k": OP8_SQL}

@@ -2,7 +2,7 @@
 
 From labelled documents every token (a word, and apart from it the word's first four bytes) gets the
 log-odds of the toxic class with an informative Dirichlet prior from both classes' frequencies, and
-its z-score. Tokens beyond ``z_min`` keep their log-odds; every other word scores ``-drift``, so that
+its z-score; frequencies are numbers of distinct texts, so neither copies nor repetition weigh more. Tokens beyond ``z_min`` keep their log-odds; every other word scores ``-drift``, so that
 expected scores are negative. A linear-time scan finds all maximal scoring segments of a document; only
 words of positive score cost a step, the rest is a running sum.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, buffers, runs, signed, span_hashes, text_column, uniform, with_fields, word_spans
+from .common import ALNUM, buffers, runs, settle, signed, span_hashes, text_column, uniform, with_fields, word_spans
 
 PREFIX = 4
 PASSAGE = "array<struct<from_char:int,to_char:int,score:double,p_value:double>>"
@@ -56,17 +56,18 @@ def word_tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of either class each token is."""
     for batch in it:
         texts, toxic = text_column(batch, "text"), batch.column(1).to_numpy(zero_copy_only=False)
         for i, j in runs(texts, 8 << 20):
             _, _, first, whole, prefix = word_tokens(*buffers(texts[i:j]))
-            own = np.repeat(toxic[i:j], np.diff(first)).astype(bool)
-            for mark in (False, True):
-                at = own == mark
-                token, n = np.unique(np.concatenate([whole[at], prefix[at]]), return_counts=True)
-                yield pa.RecordBatch.from_pydict(
-                    {"token": pa.array(token, pa.int64()), "n": pa.array(np.where(mark, 0, n), pa.int64()), "toxic": pa.array(np.where(mark, n, 0), pa.int64())}
-                )
+            for mark in (0, 1):
+                own = [np.unique(np.concatenate([whole[first[d] : first[d + 1]], prefix[first[d] : first[d + 1]]])) for d in np.flatnonzero(toxic[i:j] == mark)]
+                if own:
+                    token, n = np.unique(np.concatenate(own), return_counts=True)
+                    zero = np.zeros_like(n)
+                    columns = [token, zero, n] if mark else [token, n, zero]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "n", "toxic"])
 
 
 def segments(score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -172,8 +173,11 @@ def learn(
     known = known.agg(F.max((F.col(toxic) > 0).cast("int")).alias("toxic"))
     n = known.count()
     drawn = known.filter(uniform(F.lit(29), F.col("doc_id")) < max_labels / max(1, n))
-    # At most about max_labels rows of 12 bytes.
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    # Broadcasts of at most about max_labels narrow rows. Of equal texts one teaches.
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    named = given.join(F.broadcast(drawn), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    chosen = settle(named.select("doc_id", "toxic"))
+    rows = given.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     counts = rows.mapInArrow(_count, "token long, n long, toxic long").groupBy("token").agg(F.sum("n").alias("y0"), F.sum("toxic").alias("y1"))
     # A token needs some evidence to be significant: rare ones only add to the totals.
     sums = counts.agg(F.sum("y0").alias("n0"), F.sum("y1").alias("n1"))
