@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser_ney, langid, packing, shards, topk, toxicity
+from . import chat, kneser_ney, langid, packing, shards, tiling, topk, toxicity
 from .common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -126,6 +126,11 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted.select("doc_id"))
 
 
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told, _ = tiling.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return told.select("doc_id", "contaminated", "item_id", "coverage", "n_items")
+
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -147,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_mixture": op5_language_mixture,
     "op8_histogram_top_k": op8_histogram_top_k,
     "op9_kneser_ney": op9_kneser_ney,
+    "op10_string_tiling": op10_string_tiling,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_typed_parts": OP4_SQL, "op8_histogram_top_k": OP8_SQL}
