@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are compared with A-Z as a-z. A Karp-Rabin hash of every ``min_match`` words in a row is a seed; a
+Words are compared in lower case. A Karp-Rabin hash of every ``min_match`` words in a row is a seed; a
 fixed-size bit filter of the benchmark's seeds lets a document's other seeds go where it is read, and a
 join on the seed leads to candidate pairs of document and item. A pair stays if the item words under any
 common seed could reach the threshold. Tiling then marks the longest common run of unmarked words, again
@@ -150,14 +150,14 @@ def contaminated_texts(
 ) -> DataFrame:
     """(h1, h2, item_id, coverage, n_items) of every text that covers an item to the threshold."""
     spark = docs.sparkSession
-    given = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    given = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.lower(item_text).alias("text"))
     items = settle(given.mapInArrow(_items(min_match), "item_id long, n_words int, item_words binary, width int, seed long, item_at int"))
     bits = np.zeros(FILTER_BITS, bool)
     bits[items.select((F.col("seed").bitwiseAND(FILTER_BITS - 1)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     state = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
     keys = text_keys(text)
-    rows = docs.select(keys["__h1"].alias("h1"), keys["__h2"].alias("h2"), F.col(text).alias("text"))
+    rows = docs.select(keys["__h1"].alias("h1"), keys["__h2"].alias("h2"), F.lower(text).alias("text"))
     found = rows.mapInArrow(_hits(state, widths), "h1 long, h2 long, words binary, seeds array<long>")
     hits = settle(found.groupBy("h1", "h2").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds")))
     narrow = hits.select("h1", "h2", F.explode("seeds").alias("seed")).join(items.select("seed", "item_id", "n_words", "width", "item_at"), "seed")
