@@ -168,3 +168,33 @@ def sums_per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def signed(h: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return h.view(np.int64)
+
+
+# --- fixed-size bit filters ------------------------------------------------------------------
+
+
+def _packed_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        word, bits = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        yield pa.RecordBatch.from_pydict({"word": pa.array([word.astype(np.int32).tobytes()]), "bits": pa.array([bits.tobytes()])})
+
+
+def bit_filter(df: DataFrame, column: str, log_bits: int) -> np.ndarray:
+    """2^log_bits bits as bytes, with the bit of every value of a long column set.
+
+    The values are or-ed into 64-bit words in Spark, so what reaches the driver is bounded by the filter.
+    """
+    at = F.col(column).bitwiseAND((1 << log_bits) - 1)
+    words = df.select(F.shiftright(at, 6).cast("int").alias("word"), F.expr("1L").alias("one"), at.bitwiseAND(63).cast("int").alias("bit"))
+    words = words.select("word", F.call_function("shiftleft", F.col("one"), F.col("bit")).alias("mask"))
+    got = words.groupBy("word").agg(F.bit_or("mask").alias("bits")).mapInArrow(_packed_words, "word binary, bits binary").collect()
+    out = np.zeros(1 << (log_bits - 6), np.int64)
+    for r in got:
+        out[np.frombuffer(bytes(r["word"]), np.int32)] = np.frombuffer(bytes(r["bits"]), np.int64)
+    return out.view(np.uint8)
+
+
+def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the (long) values may be in the filter: all that are, and few others."""
+    at = values & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

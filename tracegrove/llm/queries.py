@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser_ney, langid, packing, shards, tiling, topk, toxicity
+from . import chat, kneser_ney, langid, packing, prefix_join, shards, tiling, topk, toxicity
 from .common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -116,6 +116,10 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(lost) AS loss_char
 FROM gathered
 """
 
+def op7_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.PrefixJoin(table(spark, sf_dir, "documents")).components()
+
+
 def op8_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
@@ -150,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxic_segments": op3_toxic_segments,
     "op4_typed_parts": op4_typed_parts,
     "op5_language_mixture": op5_language_mixture,
+    "op7_grouped_prefix_join": op7_grouped_prefix_join,
     "op8_histogram_top_k": op8_histogram_top_k,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_string_tiling": op10_string_tiling,
