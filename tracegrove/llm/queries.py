@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser_ney, langid, packing, prefix_join, shards, tiling, topk, toxicity
+from . import chat, kneser_ney, langid, line_dedup, packing, prefix_join, shards, tiling, topk, toxicity
 from .common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -116,6 +116,10 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(lost) AS loss_char
 FROM gathered
 """
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.LineDedup(table(spark, sf_dir, "documents").select("doc_id", "text")).deduplicated()
+
+
 def op7_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.PrefixJoin(table(spark, sf_dir, "documents")).components()
 
@@ -154,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxic_segments": op3_toxic_segments,
     "op4_typed_parts": op4_typed_parts,
     "op5_language_mixture": op5_language_mixture,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_grouped_prefix_join": op7_grouped_prefix_join,
     "op8_histogram_top_k": op8_histogram_top_k,
     "op9_kneser_ney": op9_kneser_ney,
