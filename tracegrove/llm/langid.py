@@ -140,14 +140,14 @@ def choose(word: np.ndarray, first: np.ndarray) -> np.ndarray:
     return best
 
 
-def _predict(state, keep: int) -> object:
+def _predict(state, keep: int, text: str) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = state.value
         row = np.full(GRAMS, len(model.codes), np.int32)
         row[model.codes] = np.arange(len(model.codes), dtype=np.int32)
         for batch in it:
-            texts = text_column(batch, "__text")
-            letters = batch.column(keep + 1).to_numpy(zero_copy_only=False).astype(bool)
+            texts = text_column(batch, text)
+            letters = batch.column(keep).to_numpy(zero_copy_only=False).astype(bool)
             shares = np.zeros((len(texts), len(model.languages)))
             if model.languages:
                 for i, j in runs(texts, 1 << 20):
@@ -177,6 +177,6 @@ def predict(rows: DataFrame, model: LanguageModel, keep: list[str], text: str =
     state = rows.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep if c not in ("lang_pred", "score", "languages")]
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    given = rows.select(*keep, F.col(text).alias("__text"), has_letter.alias("__letters"))
+    given = rows.select(*keep, has_letter.alias("__letters"), *([] if text in keep else [F.col(text).alias("__text")]))
     schema = with_fields(rows.select(*keep), "lang_pred string, score double, languages array<struct<lang:string,share:double>>")
-    return given.mapInArrow(_predict(state, len(keep)), schema)
+    return given.mapInArrow(_predict(state, len(keep), text if text in keep else "__text"), schema)
