@@ -3,37 +3,87 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: Texts are hashed in runs of about this many bytes, so that the 8-byte arrays stay small.
 RUN_BYTES = 2 << 20
+_roots: dict[str, str] = {}
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder all executors share, without its lineage.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests on one machine) a
+    temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if "local" not in _roots:
+        _roots["local"] = tempfile.mkdtemp(prefix="checkpoint-")
+    return _roots["local"]
 
-    The folder is the one ``spark.checkpoint.dir`` names; only where it is unset (tests on one machine)
-    a temporary one is used.
-    """
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the folder all executors share, without its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            root = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(root)
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in that folder: several times smaller than a checkpoint for narrow rows,
+    and of known size, so that Spark broadcasts it only if it is small. Cleaned up with the folder."""
+    path = f"{shared_root(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def leaders(rows: DataFrame, key: str, member: str, *more: str) -> DataFrame:
+    """(key, lead) with the most central member of every key, and what else is told of it: the one that
+    meets the most others over all its keys. In a group of copies that is the text the others vary."""
+    size = rows.groupBy(key).agg(F.count("*").alias("size"))
+    degree = rows.join(size, key).groupBy(member).agg(F.sum("size").alias("degree"))
+    best = F.max(F.struct("degree", member, *more)).alias("best")
+    return rows.join(degree, member).groupBy(key).agg(best).select(key, "best.*").drop("degree").withColumnRenamed(member, "lead")
+
+
+_ONES = np.array([bin(k).count("1") for k in range(256)], np.int64)
+
+
+def sketch_of(own: np.ndarray, bits: int) -> bytes:
+    """Parity of the number of a set's hashes at each of the bits. Sketches that differ in d bits mean
+    sets that differ in d members at least."""
+    at = (mixed(own) % U64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def near_by_sketch(percent: int) -> Callable:
+    """For mapInArrow over (a, b, size of a, size of b, sketch of a, sketch of b): the pairs whose sketches
+    allow the similarity."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
+            differ = _ONES[x ^ y].sum(axis=1)
+            keep = 50 * (n - differ) * (100 + percent) >= 100 * percent * n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` followed by further fields."""
     return StructType(df.schema.fields + StructType.fromDDL(ddl).fields)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import stored
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def connected(edges: DataFrame) -> DataFrame:
     the first round's, and rounds end when nothing changes.
     """
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    own = settle(edges.filter(F.col("a") != F.col("b")).select(a, b).distinct())
+    own = stored(edges.filter(F.col("a") != F.col("b")).select(a, b).distinct())
     before = None
     while True:
         mark = own.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -30,4 +30,4 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.filter(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter(F.col("a") != F.col("b"))
-        own = settle(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+        own = stored(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
