@@ -1,14 +1,15 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are compared in lower case by their sets of character shingles (``SHINGLE`` bytes). Equal lines are
-one class. A class's signature has ``BANDS * ROWS`` minima, made by one-permutation hashing with optimal
-densification (every shingle is hashed once and lands in one bin; an empty bin borrows from another one,
-chosen alike for all lines). Classes that agree in a whole band are candidates: at a similarity of 0.8 a
-pair shares one of the 12 bands of 4 with a probability of 0.998. Candidates are compared exactly, and
-distributed union-find joins those of similarity ``PERCENT`` or more. Of each component one line stays,
-the first by (document id, hash of text, line number).
-
-As in the prefix join, a band's classes are first compared with the band's leading class; only classes
+Lines are compared with A-Z as a-z by their sets of character shingles (``SHINGLE`` bytes). Equal lines
+are one class. A class's signature has ``BANDS * ROWS`` minima. Short lines use one hash function for each
+of them; long ones one-permutation hashing with optimal densification (every shingle is hashed once and
+lands in one bin; an empty bin borrows from another one, chosen alike for all lines), and lines of a
+middle length have both, so that lines of like length always meet. Classes that agree in a whole band are
+candidates: at a similarity of 0.8 a pair shares one of the 9 bands of 4 with a probability of 0.991.
+Candidates are compared exactly, and distributed union-find joins those of similarity ``PERCENT`` or
+more. Of each component one line stays, the first by (document id, hash of text, line number).
+
+As in the prefix join, a band's classes are first compared with the band's most central class; only classes
 that are then still in different components are compared pair by pair. So a line with a million near
 copies costs a million comparisons, and no candidate pair across components goes untested.
 
@@ -29,20 +30,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, buffers, in_filter, mixed, powers, runs, settle, signed, span_hashes, text_column, word_spans
+from .common import bit_filter, buffers, in_filter, leaders, mixed, near_by_sketch, powers, runs, signed, sketch_of, span_hashes, stored, text_column, word_spans
 from .components import connected
 
 SHINGLE = 8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 9, 4
 BINS = BANDS * ROWS
 PERCENT = 80
 SHARED_BITS, CLASS_BITS = 26, 24
+#: Lines of fewer shingles than the second are short, of at least the first are long.
+LONG, SHORT = 96, 160
+SKETCH_BITS = 512
+#: Sets that a task keeps while it compares.
+KEPT_SETS = 4096
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _NOT_END = np.ones(256, bool)
 _NOT_END[10] = False
 _CODE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _CODE[65:91] = _CODE[97:123]
+_FACTOR = mixed(np.arange(2000, 2000 + BINS, dtype=np.uint64)) | np.uint64(1)
 
 
 def line_spans(raw: np.ndarray, off: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,22 +75,26 @@ def shingles(raw: np.ndarray) -> np.ndarray:
     return mixed((total[SHINGLE:] - total[:n]) * down[:n])
 
 
-def signatures(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """BINS minima of every line; a line shorter than a shingle is one shingle."""
+def minima(every: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """BINS minima of every line's shingles, each by a hash function of its own."""
+    if not len(start):
+        return np.zeros((0, BINS), np.uint64)
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    h = every[np.repeat(start - first, count) + np.arange(count.sum())]
+    out = np.empty((len(start), BINS), np.uint64)
+    for k in range(BINS):
+        # A product with an odd number reorders the hashes, which are well mixed already.
+        out[:, k] = np.minimum.reduceat(h * _FACTOR[k], first)
+    return out
+
+
+def one_permutation(every: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """BINS minima of every line's shingles by one hash, empty bins filled from others."""
     lines = len(start)
     sig = np.full(lines * BINS, _NONE, np.uint64)
-    n = end - start - SHINGLE + 1
-    long = np.flatnonzero(n > 0)
-    every = shingles(raw)
-    count = n[long]
-    at = np.repeat(start[long] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    at = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
     h = every[at]
-    bin_ = (h % np.uint64(BINS)).astype(np.int64)
-    np.minimum.at(sig, np.repeat(long * BINS, count) + bin_, h)
-    short = np.flatnonzero(n <= 0)
-    if len(short):
-        h = span_hashes(raw, start[short], end[short])
-        sig[short * BINS + (h % np.uint64(BINS)).astype(np.int64)] = h
+    np.minimum.at(sig, np.repeat(np.arange(lines) * BINS, count) + (h % np.uint64(BINS)).astype(np.int64), h)
     sig = sig.reshape(lines, BINS)
     own = sig.copy()
     row, col = np.nonzero(sig == _NONE)
@@ -97,17 +108,31 @@ def signatures(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return own
 
 
-def bands_of(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit value for each band."""
+def bands_of(sig: np.ndarray, kind: int) -> np.ndarray:
+    """One 64-bit value for each band; the kinds of signature never meet."""
     out = np.zeros((len(sig), BANDS), np.uint64)
     for b in range(BANDS):
-        value = np.full(len(sig), np.uint64(b + 1))
+        value = np.full(len(sig), np.uint64(100 * kind + b + 1))
         for r in range(ROWS):
             value = mixed(value * np.uint64(0x9FB21C651E98DF25) + sig[:, b * ROWS + r])
         out[:, b] = value
     return signed(out)
 
 
+def line_bands(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, band) of every line's bands. A line shorter than a shingle is one shingle."""
+    every = shingles(raw)
+    n = end - start - SHINGLE + 1
+    tiny, short, long = np.flatnonzero(n <= 0), np.flatnonzero((n > 0) & (n < SHORT)), np.flatnonzero(n >= LONG)
+    whole = np.repeat(span_hashes(raw, start[tiny], end[tiny])[:, None], BINS, axis=1)
+    parts = [
+        (tiny, bands_of(whole, 0)),
+        (short, bands_of(minima(every, start[short], n[short]), 1)),
+        (long, bands_of(one_permutation(every, start[long], n[long]), 2)),
+    ]
+    return np.concatenate([np.repeat(at, BANDS) for at, _ in parts]), np.concatenate([b.ravel() for _, b in parts])
+
+
 def _lines(min_chars: int) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -136,8 +161,10 @@ def _bands(min_chars: int) -> object:
                 new = ~np.isin(cls, seen)
                 cls, at = cls[new], at[new]
                 fresh.append(cls)
-                bands = bands_of(signatures(raw, start[at], end[at]))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cls) + 1) * BANDS, pa.int32()), pa.array(bands.ravel(), pa.int64()))
+                line, bands = line_bands(raw, start[at], end[at])
+                order = np.argsort(line, kind="stable")
+                ends = np.searchsorted(line[order], np.arange(len(cls) + 1))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[order], pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), lists], names=["cls", "bands"])
             seen = np.unique(np.concatenate([seen, *fresh]))
 
@@ -147,7 +174,7 @@ def _bands(min_chars: int) -> object:
 def _shared(state) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            cls = np.repeat(batch.column(0).to_numpy(), BANDS)
+            cls = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(batch.column(1).offsets)))
             bands = batch.column(1).flatten().to_numpy()
             keep = in_filter(state.value, bands)
             yield pa.RecordBatch.from_pydict({"band": pa.array(bands[keep], pa.int64()), "cls": pa.array(cls[keep], pa.int64())})
@@ -170,7 +197,10 @@ def _texts(state, min_chars: int) -> object:
                 found, at = found[new], at[new]
                 seen = np.union1d(seen, found)
                 own = [raw[a:b].tobytes() for a, b in zip(start[at], end[at], strict=True)]
-                yield pa.RecordBatch.from_pydict({"cls": pa.array(found, pa.int64()), "line": pa.array(own, pa.binary())})
+                sets = [line_set(x) for x in own]
+                sketch = pa.array([sketch_of(x, SKETCH_BITS) for x in sets], pa.binary())
+                columns = [pa.array(found, pa.int64()), pa.array(own, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), sketch]
+                yield pa.RecordBatch.from_arrays(columns, names=["cls", "line", "n", "sketch"])
 
     return run
 
@@ -186,16 +216,25 @@ def line_set(line: bytes) -> np.ndarray:
 
 def _compare(percent: int) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def of(cls: int, line: pa.Scalar) -> np.ndarray:
+            if cls not in known:
+                if len(known) >= KEPT_SETS:
+                    known.clear()
+                known[cls] = line_set(line.as_py())
+            return known[cls]
+
         for batch in it:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent // 4:
-                    keep.append(False)
-                    continue
-                a, b = line_set(x), line_set(y)
-                both = np.sort(np.concatenate([a, b]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                x, y = of(a, x), of(b, y)
+                fits = 100 * len(x) >= percent * len(y) and 100 * len(y) >= percent * len(x)
+                if fits:
+                    both = np.sort(np.concatenate([x, y]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    fits = 100 * common >= percent * (len(x) + len(y) - common)
+                keep.append(fits)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -218,47 +257,59 @@ class LineDedup:
         rows = self.docs.select(*self.key(), F.col(self.text).alias("__text"))
         return rows.mapInArrow(_lines(self.min_chars), "doc_id long, text_hash long, line_no int, cls long")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def texts(self, shared: DataFrame) -> DataFrame:
+        """(cls, line, n, sketch) of all classes that share a band."""
+        state = self.context.broadcast(bit_filter(shared, "cls", CLASS_BITS))
+        found = self.given.mapInArrow(_texts(state, self.min_chars), "cls long, line binary, n long, sketch binary")
+        return stored(found.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("line", "n", "sketch")]))
+
+    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of the class pairs (a, b) that are similar enough."""
-        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-        state = self.context.broadcast(bit_filter(wanted, "cls", CLASS_BITS))
-        found = self.given.mapInArrow(_texts(state, self.min_chars), "cls long, line binary")
-        texts = settle(found.groupBy("cls").agg(F.first("line").alias("line")))
+        told = pairs
+        for c in ("a", "b"):
+            told = told.join(texts.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+        told = told.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near_by_sketch(self.percent), "a long, b long")
+        pairs = stored(told)
         x = texts.select(F.col("cls").alias("a"), F.col("line").alias("x"))
         y = texts.select(F.col("cls").alias("b"), F.col("line").alias("y"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return settle(both.mapInArrow(_compare(self.percent), "a long, b long"))
+        return stored(both.mapInArrow(_compare(self.percent), "a long, b long"))
 
     def roots(self) -> DataFrame:
         """(node, root) of every class that is linked to another."""
-        signed_ = settle(self.given.mapInArrow(_bands(self.min_chars), "cls long, bands array<long>"))
-        spread = signed_.select("cls", F.explode("bands").alias("band"))
-        twice = spread.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("band")
+        bands = stored(self.given.mapInArrow(_bands(self.min_chars), "cls long, bands array<long>"))
+        # A class that several tasks have counts twice too; being alone in its band it drops out below. Five
+        # bytes of a band are enough here: what the filter lets through in excess drops out as well.
+        key = F.col("band").bitwiseAND((1 << 40) - 1).alias("band")
+        twice = bands.select(F.explode("bands").alias("band")).select(key).groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
         state = self.context.broadcast(bit_filter(twice, "band", SHARED_BITS))
-        shared = settle(signed_.mapInArrow(_shared(state), "band long, cls long").distinct())
-        leaders = shared.groupBy("band").agg(F.min("cls").alias("b"))
-        star = shared.join(leaders, "band").filter(F.col("cls") != F.col("b")).select(F.col("cls").alias("a"), "b").distinct()
-        links = self.verified(settle(star))
-        roots = settle(connected(links))
-        own = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        found = stored(bands.mapInArrow(_shared(state), "band long, cls long").distinct())
+        several = found.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+        found = stored(found.join(several, "band"))
+        shared = stored(found.join(leaders(found, "band", "cls").withColumnRenamed("lead", "b"), "band"))
+        texts = self.texts(shared)
+        star = stored(shared.filter(F.col("cls") != F.col("b")).select(F.col("cls").alias("a"), "b").distinct())
+        links = self.verified(star, texts)
+        roots = stored(connected(links))
+        own = shared.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         split = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("band")
-        rows = settle(own.join(split, "band"))
+        rows = stored(own.join(split, "band"))
         x = rows.select("band", F.col("cls").alias("a"), F.col("root").alias("r1"))
         y = rows.select("band", F.col("cls").alias("b"), F.col("root").alias("r2"))
         between = x.join(y, "band").filter(F.col("r1") < F.col("r2")).select("a", "b").distinct()
-        tested = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        between = settle(between.join(tested, ["a", "b"], "left_anti"))
+        tested = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        between = stored(between.join(tested, ["a", "b"], "left_anti"))
         if between.isEmpty():
             return roots
-        return settle(connected(links.unionByName(self.verified(between))))
+        return stored(connected(links.unionByName(self.verified(between, texts))))
 
     def removed(self) -> DataFrame:
         """(doc_id, text_hash, removed): the numbers of the lines that go, for every document that has any."""
-        lines = self.lines()
+        lines = stored(self.lines())
         place = F.struct("doc_id", "text_hash", "line_no")
         classes = lines.groupBy("cls").agg(F.min(place).alias("first"), F.count("*").alias("n"))
         rooted = classes.join(self.roots().withColumnRenamed("node", "cls"), "cls", "left").filter((F.col("n") > 1) | F.col("root").isNotNull())
-        rooted = settle(rooted.withColumn("root", F.coalesce("root", "cls")))
+        rooted = stored(rooted.withColumn("root", F.coalesce("root", "cls")))
         firsts = rooted.groupBy("root").agg(F.min("first").alias("stays"))
         stays = rooted.join(firsts, "root").select("cls", "stays")
         gone = lines.join(stays, "cls").filter(~F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("stays")))
