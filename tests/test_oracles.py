@@ -65,3 +65,6 @@ def test_augmentation_above_the_limit_fails(spark):
     assert mixing.solver_corpus(problems, prompts, reasoning, aug).count() == 2
     with pytest.raises(Exception, match="exceeds the token limit"):
         mixing.solver_corpus(problems, prompts, reasoning, aug, limit=4).select(F.size("tokens")).collect()
+    for unrelated in (lambda d: d.select("problem_id").collect(), lambda d: d.count()):
+        with pytest.raises(Exception, match="exceeds the token limit"):
+            unrelated(mixing.solver_corpus(problems, prompts, reasoning, aug, limit=4))

@@ -246,3 +246,20 @@ def test_budget_equals_the_loop(spark):
     got = rollouts.fit_depths_to_budget(plan, budget, max_tokens=10).collect()
     assert {r.category: r.capped_depth for r in got} == depth
     assert depth["bit_manipulation"] < 64
+
+
+def test_checks_survive_pruning(spark):
+    log = spark.createDataFrame([(0, "a", 1), (0, "zz", 2)], "epoch int, problem_id string, row_no long")
+    corpus = spark.createDataFrame([("a", 5)], "problem_id string, n int")
+    bad = spark.createDataFrame([("a", [1, 2], [1])], "problem_id string, tokens array<int>, mask array<int>")
+    for unrelated in (lambda d: d.count(), lambda d: d.select("problem_id").collect()):
+        with pytest.raises(Exception, match="missing in the corpus"):
+            unrelated(trainlog.replay_order(log, corpus))
+        with pytest.raises(Exception, match="differ in length"):
+            unrelated(mixing.require_valid_rows(bad))
+
+
+def test_sampling_at_a_low_temperature(spark):
+    df = spark.createDataFrame([(k, float(x)) for k, x in enumerate([1, 2, 3, 4, 5000])], "row_no long, length double")
+    p = trainlog.annealed_probabilities(df, "length", 0.0, 1e-3, 1e-3)
+    assert trainlog.weighted_sample(p, 3, 0, ["row_no"]).count() == 3

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracegrove.functions import text
 from tracegrove.operators import rules, synth
 
 
@@ -147,3 +148,26 @@ def test_cipher(spark):
     q = spark.createDataFrame([("p", "dbc"), ("p", "cbef"), ("p", "cbef gef"), ("p", "zzz")], "problem_id string, question string")
     got = {r.question: r.solution for r in rules.solve_cipher(q, maps, words).collect()}
     assert got == {"dbc": "cab", "cbef": "bade", "cbef gef": "bade ode", "zzz": None}
+
+
+def test_large_numbers_are_not_lost(spark):
+    ex = spark.createDataFrame([("a", "200000000.0", "400000000.0"), ("b", "2", "8"), ("c", "300000000", "90000000000000000")], "problem_id string, input_value string, output_value string")
+    q = spark.createDataFrame([("a", "123456789.5"), ("b", "2000000"), ("c", "1")], "problem_id string, question string")
+    got = {r.problem_id: float(r.answer) for r in rules.solve_linear(ex, q).collect()}
+    assert got["a"] == 246913579.0 and got["b"] == 8000000.0
+    squared = {r.problem_id: float(r.answer) for r in rules.solve_linear(ex, q, squared=True).collect()}
+    assert squared["b"] == 8000000000000.0 and squared["c"] == 1.0
+
+
+def test_long_operands(spark):
+    df = spark.createDataFrame([("123456789012", "987654321098")], "l string, r string")
+    v = rules.operands(F.col("l"), F.col("r"))
+    out = df.select(*[c.alias(n) for n, c in v.items()]).select(*[c.alias(k) for k, c in rules.numeric_results({n: F.col(n) for n in v}).items()]).first()
+    a, b = 123456789012, 987654321098
+    assert out["multiplication"] == str(a * b) and out["multiply-1"] == str(a * b - 1)
+    assert out["addition"] == str(a + b) and out["reverse subtraction (b-a)"] == str(b - a)
+
+
+def test_numbers_in_ids_stay_whole(spark):
+    got = spark.createDataFrame([(7,), (100000,)], "n int").select(text.padded(F.col("n"), 5).alias("p")).collect()
+    assert [r.p for r in got] == ["00007", "100000"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracegrove import schemas
 from tracegrove.operators import reports
+from tracegrove.operators.mixing import union_parts
 from tracegrove.sources import tables as S
 from tracegrove.streaming import jobs
 
@@ -109,7 +110,10 @@ def test_parts(spark, tmp_path):
     row = {"problem_id": "a", "category": "c", "tokens": [1], "mask": [1], "weight": 1.0, "sign": 1.0}
     put(tmp_path / "corpus" / "parts" / "S_solver.jsonl", json.dumps(row))
     parts = S.read_parts(spark, ["S_solver"], str(tmp_path))
-    assert list(parts) == ["S_solver"] and parts["S_solver"].count() == 1
+    assert [n for n, _ in parts] == ["S_solver"] and parts[0][1].count() == 1
+    put(tmp_path / "other" / "S_solver.jsonl", json.dumps(row | {"problem_id": "b"}))
+    both = S.read_parts(spark, ["S_solver", str(tmp_path / "other" / "S_solver.jsonl")], str(tmp_path))
+    assert sorted(r.problem_id for r in union_parts(both).collect()) == ["a", "b"]
     with pytest.raises(FileNotFoundError):
         S.resolve_part(spark, "nothing", str(tmp_path))
 

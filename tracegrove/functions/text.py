@@ -246,3 +246,18 @@ def join_vocab_pieces(pieces: Column) -> Column:
         ),
     )
     return F.make_valid_utf8(F.unhex(F.array_join(as_hex, "")).cast("string"))
+
+
+def padded(number: Column, width: int) -> Column:
+    """A number's text, filled with zeros on the left; longer ones stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
+def passes(bad: Column, message: Column) -> Column:
+    """Filter condition that keeps every row, but fails the job on a bad one.
+
+    In a filter a check survives column pruning. The random part keeps the optimizer from evaluating it
+    beforehand, or from moving it past an outer join.
+    """
+    return F.coalesce(F.when(bad, F.raise_error(message).cast("boolean")), F.rand() >= 0)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..functions.hashing import unit_interval
-from ..functions.text import chat_prompt, completion_text
+from ..functions.text import chat_prompt, completion_text, passes
 from .ordering import order_key, row_bucket, running_total
 
 # Fixed value: marks the id of a further copy.
@@ -21,11 +21,11 @@ ROW_KEYS = ["problem_id", "category", "tokens", "mask", "weight", "sign"]
 MERGE_ORDER = ["part_index", "row_no"]
 
 
-def union_parts(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """Parts in the given order, with ``part`` (its name), ``part_index`` and ``source``."""
+def union_parts(parts: Mapping[str, DataFrame] | Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """Parts (by name, or as pairs, where a name may come twice) in the given order, with ``part`` (its name), ``part_index`` and ``source``."""
     tagged = [
         df.withColumn("part", F.lit(name)).withColumn("part_index", F.lit(i))
-        for i, (name, df) in enumerate(parts.items())
+        for i, (name, df) in enumerate(parts.items() if isinstance(parts, Mapping) else parts)
     ]
     merged = reduce(lambda a, b: a.unionByName(b), tagged)
     return merged.withColumn("source", source_name(F.col("part")))
@@ -53,7 +53,7 @@ def require_valid_rows(df: DataFrame) -> DataFrame:
     """Rows unchanged; the job fails on a row whose tokens and mask differ in length."""
     bad = F.size("tokens") != F.size("mask")
     message = F.concat(F.coalesce("problem_id", F.lit("?")), F.lit(": tokens and mask differ in length"))
-    return df.withColumn("mask", F.when(bad, F.raise_error(message)).otherwise(F.col("mask")))
+    return df.filter(passes(bad, message))
 
 
 def parse_drop_rules(rules: Sequence[str]) -> list[tuple[str, str]]:
@@ -252,7 +252,8 @@ def solver_corpus(
     )
     size = F.size("p") + F.size("c")
     message = F.concat("id", F.lit(" exceeds the token limit: "), size.cast("string"))
-    whole = F.when(size > limit, F.raise_error(message)).otherwise(F.concat("p", "c"))
+    extra = extra.filter(passes(size > limit, message))
+    whole = F.concat("p", "c")
     mask = F.concat(K.fill(0, F.size("p")), K.fill(1, F.size("c")))
     more = extra.select(F.col("id").alias("problem_id"), "category", whole.alias("tokens"), mask.alias("mask"), "answer")
     return out.unionByName(more)

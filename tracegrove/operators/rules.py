@@ -7,7 +7,7 @@ rule, each example becomes bit masks; ``bit_or`` / ``bit_and`` combine them map-
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import cache, reduce
 from itertools import permutations
 
@@ -23,7 +23,13 @@ from .quantiles import lower_median
 
 
 def _trunc_milli(c: Column) -> Column:
-    return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("bigint")
+    return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("decimal(28,0)")
+
+
+def _square(x: Column) -> Column:
+    """Exact for numbers below 10^8; larger ones keep six decimals."""
+    small = x.try_cast("decimal(14,6)")
+    return F.coalesce((small * small).try_cast("decimal(38,10)"), F.try_multiply(x, x).try_cast("decimal(38,10)"))
 
 
 def thousandths(number_text: Column) -> Column:
@@ -37,14 +43,14 @@ def linear_factors(examples: DataFrame, squared: bool = False) -> DataFrame:
     With ``squared`` the input counts squared (rounded to 4 places, then cut to 3). Inputs
     that are zero (squared: not positive) are left out.
     """
-    x = F.col("input_value").try_cast("decimal(14,6)")
-    divisor = _trunc_milli(F.round(x * x, 4) * F.lit(1000)) if squared else thousandths(F.col("input_value"))
+    x = F.col("input_value").try_cast("decimal(28,8)")
+    divisor = _trunc_milli(F.round(_square(x), 4).cast("decimal(32,4)") * F.lit(1000)) if squared else thousandths(F.col("input_value"))
     usable = (x > 0) if squared else (x != 0)
     rows = examples.filter(usable).select(
         "problem_id", thousandths(F.col("output_value")).alias("_out"), divisor.alias("_in")
     )
-    quotient = F.floor(F.try_divide((F.col("_out") * 1000).cast("decimal(28,0)"), F.col("_in").cast("decimal(28,0)")))
-    return rows.select("problem_id", quotient.cast("bigint").alias("factor_milli")).filter(
+    quotient = F.floor(F.try_divide((F.col("_out") * 1000).try_cast("decimal(28,0)"), F.col("_in")))
+    return rows.select("problem_id", quotient.try_cast("bigint").alias("factor_milli")).filter(
         F.col("factor_milli").isNotNull()
     )
 
@@ -55,9 +61,14 @@ def solve_linear(examples: DataFrame, questions: DataFrame, squared: bool = Fals
     ``questions``: problem_id, question. Adds ``factor`` and ``answer`` (decimals).
     """
     factors = lower_median(linear_factors(examples, squared), "factor_milli", ["problem_id"], "factor_milli")
-    q = F.col("question").try_cast("decimal(14,6)")
-    base = (q * q if squared else q).cast("decimal(22,10)")
-    product = base * F.col("factor_milli").cast("decimal(14,0)")
+    q = F.col("question").try_cast("decimal(28,8)")
+    base = _square(q) if squared else q
+    factor = F.col("factor_milli").cast("decimal(19,0)")
+    # Exact as long as it fits; a product of more digits keeps six decimals.
+    product = F.coalesce(
+        F.try_multiply(base.try_cast("decimal(22,10)"), factor.try_cast("decimal(14,0)")),
+        F.try_multiply(base.try_cast("decimal(38,8)"), factor),
+    )
     return questions.join(factors, "problem_id").select(
         *questions.columns,
         (F.col("factor_milli") / F.lit(1000.0)).alias("factor"),
@@ -449,26 +460,39 @@ def numeric_results(v: Mapping[str, Column]) -> dict[str, Column]:
     def text(*values: Column) -> Column:
         return F.concat(*[_as_text(v) for v in values])
 
+    def exact(narrow: Column, wide: Callable[[Column, Column], Column]) -> Column:
+        """The long's text, or the decimal's where the long overflows."""
+        return F.coalesce(text(narrow), wide(a.cast("decimal(19,0)"), b.cast("decimal(19,0)")).cast("string"))
+
+    def total(x: Column, y: Column, plus: int = 0) -> Column:
+        return exact(F.try_add(F.try_add(x, y), F.lit(plus)), lambda c, d: c + d + plus)
+
+    def difference(x: Column, y: Column, plus: int = 0) -> Column:
+        return text(F.try_add(F.try_subtract(x, y), F.lit(plus)))
+
+    def product(plus: int = 0) -> Column:
+        return exact(F.try_add(F.try_multiply(a, b), F.lit(plus)), lambda c, d: c * d + plus)
+
     ten = F.lit(10)
     big, small = F.greatest(a, b), F.least(a, b)
     det = d[0] * d[3] - d[1] * d[2]
     common = {
         "concatenation": F.concat(sa, sb),
         "reverse concatenation": F.concat(sb, sa),
-        "addition": text(a + b),
+        "addition": total(a, b),
         "absolute difference": text(F.abs(a - b)),
         "negated absolute difference": text(-F.abs(a - b)),
-        "subtraction (a-b)": text(a - b),
-        "reverse subtraction (b-a)": text(b - a),
-        "multiplication": text(a * b),
+        "subtraction (a-b)": difference(a, b),
+        "reverse subtraction (b-a)": difference(b, a),
+        "multiplication": product(),
     }
     rare = {
-        "multiply+1": text(a * b + 1),
-        "multiply-1": text(a * b - 1),
-        "add+1": text(a + b + 1),
-        "add-1": text(a + b - 1),
-        "sub+1": text(a - b + 1),
-        "sub-1": text(a - b - 1),
+        "multiply+1": product(1),
+        "multiply-1": product(-1),
+        "add+1": total(a, b, 1),
+        "add-1": total(a, b, -1),
+        "sub+1": difference(a, b, 1),
+        "sub-1": difference(a, b, -1),
         "max mod min": text(F.try_mod(big, small)),
         "integer division (a/b)": text(F.when(b != 0, F.floor(F.try_divide(a, b)))),
         "modulo (a mod b)": text(F.try_mod(a, b)),

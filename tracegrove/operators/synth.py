@@ -79,7 +79,7 @@ def row_problems(lines: DataFrame, kind: str, separator: str = " ") -> DataFrame
 
     A group has a fixed number of lines, so it is safe to gather.
     """
-    number = F.lpad(F.col("line_no").cast("string"), 2, "0")
+    number = X.padded(F.col("line_no"), 2)
     given = F.concat_ws(separator, number, "input_text")
     pair = F.concat(given, F.lit(" -> "), F.col("output_text"))
 
@@ -377,7 +377,7 @@ def short_curriculum(
     ).withColumn(
         "problem_id",
         F.concat(
-            F.lit("evolveH_"), "seed_id", F.lit("_"), F.lpad(F.col("variant").cast("string"), 2, "0"), F.lit("_"), F.col("n_examples").cast("string"), F.lit("c")
+            F.lit("evolveH_"), "seed_id", F.lit("_"), X.padded(F.col("variant"), 2), F.lit("_"), F.col("n_examples").cast("string"), F.lit("c")
         ),
     )
     return verify_bit_problems(bit_problems(rows, F.col("n_examples"), seed))
@@ -413,7 +413,7 @@ def weakness_problems(
 
     def tried(families: DataFrame, low: int, high: int) -> DataFrame:
         rows = families.select("family", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("attempt"))
-        number = F.lpad(F.col("attempt").cast("string"), 5, "0")
+        number = X.padded(F.col("attempt"), 5)
         name = F.concat(F.lit("synthI_"), X.slug(F.col("family")), F.lit("_"), number)
         rows = rows.withColumn("problem_id", name).withColumn(
             "vector", family_rules(F.col("family"), seed, F.col("family"), F.col("attempt"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..functions.hashing import uniform
+from ..functions.text import passes
 from .ordering import last_per_key, position, row_bucket, top_per_group
 from .quantiles import linear_quantile
 from .reports import rolled_up
@@ -278,9 +279,8 @@ def replay_order(log: DataFrame, corpus: DataFrame) -> DataFrame:
     """Corpus rows of the logged ids with their place in training; a logged id without a
     corpus row fails the job."""
     logged = training_order(log).join(corpus.withColumn("_found", F.lit(True)), "problem_id", "left")
-    missing = F.raise_error(F.concat(F.col("problem_id"), F.lit(" is missing in the corpus"))).cast("bigint")
-    place = F.when(F.col("_found"), F.col("first_row")).otherwise(missing)
-    return logged.withColumn("first_row", place).drop("_found")
+    message = F.concat(F.col("problem_id"), F.lit(" is missing in the corpus"))
+    return logged.filter(passes(F.col("_found").isNull(), message)).drop("_found")
 
 
 def seeded_order(df: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
@@ -340,9 +340,11 @@ def annealed_probabilities(df: DataFrame, difficulty: str, progress: float, t0:
 
 
 def weighted_sample(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
-    """``n`` rows without replacement, chance by ``probability``: largest log(u) / p."""
-    score = F.log(uniform(seed, *[F.col(k) for k in keys])) / F.col("probability")
-    return df.withColumn("_score", score).orderBy(F.desc("_score"), *keys).limit(n).drop("_score")
+    """``n`` rows without replacement, chance by ``probability``: largest log(u) / p.
+
+    A probability of zero, also one too small for a double, comes last."""
+    score = F.try_divide(F.log(uniform(seed, *[F.col(k) for k in keys])), F.col("probability"))
+    return df.withColumn("_score", score).orderBy(F.desc_nulls_last("_score"), *keys).limit(n).drop("_score")
 
 
 def review_state(log: DataFrame, *, loss: str = "loss", decay: float = 0.9, base: float = 2.0) -> DataFrame:

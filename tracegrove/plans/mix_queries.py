@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..operators import mining, mixing, reports, rollouts, trainlog
+from ..operators.ordering import position
 from . import views as V
 from .rollout_queries import _PUZZLE_SQL, _puzzle
 from .views import ORDER, Query, match_sql, with_views
@@ -63,7 +64,7 @@ _RULE_SQL = "((part = 'S_solver' AND category = 'fr') OR (source = 'N' AND categ
 def _counts(spark, sf):
     """Pass counts keyed like the corpus ids."""
     counts = rollouts.capped_pass_counts(V.graded_v(spark, sf), ORDER)
-    return counts.filter(F.col("problem_id").cast("bigint") < 300)
+    return counts
 
 
 def _flagged(spark, sf):
@@ -76,7 +77,7 @@ _MATCH = match_sql("answer", "coalesce(nullif(pred, ''), extracted)")
 V._view(
     "counts_v",
     f"""SELECT problem_id, least(count(*) FILTER (reward > 0 OR (position(chr(92) || 'boxed{{' IN text) > 0 AND {_MATCH})), 8) AS pass_count
-      FROM graded_v WHERE CAST(problem_id AS BIGINT) < 300 GROUP BY problem_id""",
+      FROM graded_v GROUP BY problem_id""",
     "graded_v",
 )
 V._view(
@@ -442,11 +443,19 @@ add(
     """SELECT count(*) AS entries, CAST(coalesce(sum(n_masked), 0) AS BIGINT) AS masked, CAST(coalesce(sum(n_tokens - n_masked), 0) AS BIGINT) AS unmasked FROM corpus_v
       WHERE regexp_full_match(problem_id, '1.*2.*') AND category = 'en'""",
 )
+def _numbered(ordered):
+    """Rows with their place in the order in which they come."""
+    numbered = ordered.withColumn("_m", F.monotonically_increasing_id())
+    placed = position(numbered, order=["_m"], bucket=[F.shiftright("_m", 33)], name="_at")
+    return placed.select((F.col("_at") - 1).alias("place"), "problem_id", "token_count")
+
+
 add(
     "sorted_table",
-    lambda s, d: reports.sorted_table(_index(s, d), "token_count").limit(100).select("token_count"),
+    lambda s, d: _numbered(reports.sorted_table(_index(s, d), "token_count")),
     ["corpus_v"],
-    "SELECT n_tokens AS token_count FROM corpus_v ORDER BY n_tokens DESC, problem_id LIMIT 100",
+    """SELECT CAST(row_number() OVER (ORDER BY n_tokens DESC, problem_id, n_masked) - 1 AS BIGINT) AS place, problem_id, n_tokens AS token_count
+      FROM corpus_v""",
 )
 add(
     "category_counts",

@@ -95,7 +95,7 @@ add(
 
 
 def _translate(spark, sf):
-    maps = rules.substitution_maps(cipher_lines(spark, sf).filter("row_no <= 1"))
+    maps = rules.substitution_maps(cipher_lines(spark, sf))
     doc = F.col("doc_id")
     questions = V.table(spark, sf, "documents").select(
         doc.cast("string").alias("problem_id"), _shifted(F.lower(F.col("source")), (doc % 25 + 1).cast("int")).alias("question")
@@ -118,7 +118,8 @@ add(
       coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(lower(source), ''), lambda x: {_rotated_sql('x', 'd.doc_id % 25 + 1')}),
         lambda x: NOT list_contains(ks, x)))), ''), '') AS unknown,
       array_to_string(list_filter(string_split('{rules.ALPHABET}', ''), lambda x: NOT list_contains(vs, x)), '') AS unused
-      FROM documents d JOIN (SELECT doc_id, list(DISTINCT k) AS ks, list(DISTINCT v) AS vs FROM {_PAIRS} WHERE k <> '' AND row_no <= 1 GROUP BY doc_id) m ON d.doc_id = m.doc_id""",
+      FROM documents d JOIN (SELECT doc_id, list(k) AS ks, list(v) AS vs FROM (
+        SELECT doc_id, k, arg_min(v, row_no) AS v FROM {_PAIRS} WHERE k <> '' GROUP BY doc_id, k) GROUP BY doc_id) m ON d.doc_id = m.doc_id""",
 )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
 from ..functions import tokens as K
-from ..functions.text import join_vocab_pieces
+from ..functions.text import join_vocab_pieces, passes
 from ..operators.ordering import last_per_key
 from ..operators.trainlog import split_raw_tokens
 
@@ -151,10 +151,10 @@ def rows_from_segments(segments: DataFrame, index: DataFrame | None = None) -> D
     n, trained = F.size("tokens"), K.trained_count(F.col("mask"))
     bad = F.col("tokens").isNull() | (n != F.col("token_count")) | (trained != F.coalesce("unmasked_token_count", trained))
     message = F.concat("problem_id", F.lit(": segments do not match the index"))
-    return joined.select(
+    return joined.filter(passes(bad, message)).select(
         "problem_id",
         "category",
-        F.when(bad, F.raise_error(message)).otherwise(F.col("tokens")).alias("tokens"),
+        "tokens",
         "mask",
         F.lit(1.0).alias("weight"),
         F.lit(1.0).alias("sign"),
@@ -218,10 +218,11 @@ def part_name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
-def read_parts(spark: SparkSession, names: Sequence[str], root: str) -> Mapping[str, DataFrame]:
-    """Corpus parts by name, each with ``row_no``, in the given order."""
+def read_parts(spark: SparkSession, names: Sequence[str], root: str) -> list[tuple[str, DataFrame]]:
+    """(name, part) of the corpus parts, each with ``row_no``, in the given order; parts of different
+    folders may have one name."""
     paths = [resolve_part(spark, n, root) for n in names]
-    return {part_name(p): with_row_no(read_jsonl(spark, p, schemas.CORPUS_ROW)) for p in paths}
+    return [(part_name(p), with_row_no(read_jsonl(spark, p, schemas.CORPUS_ROW))) for p in paths]
 
 
 def write_wrong_rows(graded: DataFrame, path: str) -> bool:
