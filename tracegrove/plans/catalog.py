@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mix_queries, rollout_queries, row_queries, rule_queries, stream_queries, token_queries
+from . import mix_queries, rollout_queries, row_queries, rule_queries, source_queries, stream_queries, token_queries
 from .views import Query
 
 QUERIES: dict[str, Query] = {
@@ -12,4 +12,5 @@ QUERIES: dict[str, Query] = {
     **token_queries.QUERIES,
     **rule_queries.QUERIES,
     **stream_queries.QUERIES,
+    **source_queries.QUERIES,
 }

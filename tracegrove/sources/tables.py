@@ -125,7 +125,9 @@ def sectioned_text(df: DataFrame) -> DataFrame:
 
 def write_sectioned_text(df: DataFrame, path: str) -> None:
     """One folder per id with the record as text."""
-    sectioned_text(df).write.mode("overwrite").option("lineSep", "\x00").partitionBy("id").text(path)
+    # The writer ends the text with the line break that it lacks here.
+    whole = sectioned_text(df).withColumn("value", F.expr("substring(value, 1, length(value) - 1)"))
+    whole.write.mode("overwrite").partitionBy("id").text(path)
 
 
 def segments_of(rows: DataFrame) -> DataFrame:
