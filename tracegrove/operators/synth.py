@@ -7,6 +7,7 @@ same. Distribution and validity are promised, not any particular random stream.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -232,31 +233,42 @@ def _rule(family: Column, primary: Column, secondary: Column) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class Mutation:
+    """How a rule changes: the families to draw from, and whether its first operand stays."""
+
+    families: tuple[str, ...]
+    keeps_operand: bool
+
+
+_PLAIN = ("XOR", "OR", "AND")
+_NEGATED = tuple(f"{name}-NOT" for name in _PLAIN)
+MUTATIONS = {
+    "add_operand": Mutation(_PLAIN, keeps_operand=True),
+    "longer_chain": Mutation(_PLAIN + _NEGATED, keeps_operand=False),
+    "nest_op": Mutation(_NEGATED, keeps_operand=True),
+}
+
+
 def mutate_rules(vector: Column, op: str, seed: int, *keys: Column) -> Column:
-    """Vector of new rules: ``add_operand``, ``longer_chain`` or ``nest_op``."""
-    eight = F.lit(N_BITS)
-
-    def changed(rule: Column, bit: Column) -> Column:
-        def pick(options: list, what: str) -> Column:
-            return pick_from(options, seed, F.lit(op + what), *keys, bit)
-
-        if op == "add_operand":
-            primary = F.coalesce(rule["primary"], bit)
-            secondary = F.pmod(primary + pick([1, 2, 3, 5, 7], "s"), eight)
-            family = pick(["XOR", "OR", "AND"], "f")
-        elif op == "longer_chain":
-            primary = F.pmod(bit + pick([1, 3, 5], "p"), eight)
-            secondary = F.pmod(bit + pick([2, 4, 7], "s"), eight)
-            family = pick(["XOR", "OR", "AND", "AND-NOT", "XOR-NOT", "OR-NOT"], "f")
-        elif op == "nest_op":
-            primary = F.coalesce(rule["primary"], F.pmod(bit + 1, eight))
-            secondary = F.pmod(primary + pick([1, 2, 3, 5], "s"), eight)
-            family = pick(["AND-NOT", "XOR-NOT", "OR-NOT"], "f")
-        else:
-            return rule
-        return _rule(family, primary, secondary)
-
-    return F.transform(vector, changed)
+    """Vector of new two-operand rules, one for each bit, by one of ``MUTATIONS``.
+
+    The second operand lies at a drawn distance from the first, so the two always differ. An unknown
+    operation leaves the vector as it is.
+    """
+    mutation = MUTATIONS.get(op)
+    if mutation is None:
+        return vector
+
+    def mutated(rule: Column, bit: Column) -> Column:
+        drawn = [F.lit(op), *keys, bit]
+        anywhere = pick_int(0, N_BITS - 1, seed, F.lit("operand"), *drawn)
+        first = F.coalesce(rule["primary"], anywhere) if mutation.keeps_operand else anywhere
+        distance = pick_int(1, N_BITS - 1, seed, F.lit("distance"), *drawn)
+        family = pick_from(list(mutation.families), seed, F.lit("family"), *drawn)
+        return _rule(family, first, F.pmod(first + distance, F.lit(N_BITS)))
+
+    return F.transform(vector, mutated)
 
 
 def family_rules(family: Column, seed: int, *keys: Column) -> Column:
@@ -311,21 +323,37 @@ def verify_bit_problems(problems: DataFrame) -> DataFrame:
     return problems.withColumn("verified", again)
 
 
-def evolve_bit_problems(vectors: DataFrame, ops: Sequence[str], n_examples: int = 8, seed: int = 1234) -> DataFrame:
-    """Mutated variants of inferred vectors (problem_id, vector) that verify."""
-    variants = F.array(
-        *[
-            F.struct(F.lit(i).alias("op_no"), F.lit(op).alias("op"), mutate_rules(F.col("vector"), op, seed, F.col("problem_id")).alias("v"))
-            for i, op in enumerate(ops)
-        ]
-    )
-    rows = vectors.select(F.col("problem_id").alias("seed_id"), F.explode(variants).alias("x")).select(
-        F.concat("seed_id", F.lit("__e"), F.col("x.op_no").cast("string"), F.lit("_"), F.col("x.op")).alias("problem_id"),
-        "seed_id",
-        F.col("x.op").alias("op"),
-        F.col("x.v").alias("vector"),
+def evolve_bit_problems(
+    vectors: DataFrame, ops: Sequence[str], n_examples: int = 8, seed: int = 1234, attempts: int = 50
+) -> DataFrame:
+    """Mutated variants of inferred vectors (problem_id, vector) that verify.
+
+    A variant that does not verify is drawn anew, up to ``attempts`` times; the first that does counts.
+    After a few attempts for all, further ones are only made for variants that are still open.
+    """
+    base = vectors.select(F.col("problem_id").alias("seed_id"), F.col("vector").alias("old"))
+    names = F.array(*[F.struct(F.lit(i).alias("op_no"), F.lit(op).alias("op")) for i, op in enumerate(ops)])
+    variants = base.select("*", F.inline(names)).withColumn(
+        "variant", F.concat("seed_id", F.lit("__e"), F.col("op_no").cast("string"), F.lit("_"), F.col("op"))
     )
-    return verify_bit_problems(bit_problems(rows, F.lit(n_examples), seed)).filter("verified").drop("verified")
+
+    def tried(open_: DataFrame, low: int, high: int) -> DataFrame:
+        rows = open_.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        vector = F.col("old")
+        for op in dict.fromkeys(ops):
+            vector = F.when(F.col("op") == op, mutate_rules(F.col("old"), op, seed, F.col("variant"), F.col("attempt"))).otherwise(vector)
+        # The id seeds the examples, so each attempt has one of its own until it is chosen.
+        rows = rows.withColumns({"vector": vector, "problem_id": F.concat_ws("#", "variant", F.col("attempt").cast("string"))})
+        good = verify_bit_problems(bit_problems(rows, F.lit(n_examples), seed)).filter("verified")
+        chosen = good.groupBy("variant").agg(F.min_by(F.struct("seed_id", "op", "vector", "examples", "question", "answer", "prompt"), "attempt").alias("x"))
+        return chosen.select(F.col("variant").alias("problem_id"), "x.*")
+
+    few = min(4, attempts)
+    first = tried(variants, 0, few)
+    if few == attempts:
+        return first
+    open_ = variants.join(first.select(F.col("problem_id").alias("variant")), "variant", "left_anti")
+    return first.unionByName(tried(open_, few, attempts))
 
 
 # Operations of evolved equations, taken in turn.
