@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracegrove.llm import kneser_ney, langid, tiling, toxicity
@@ -106,6 +108,79 @@ def test_quality_keeps_clean_text(spark):
     assert kneser_ney.classify(docs.limit(0), trusted).collect() == []
 
 
+def plain_kneser_ney(trusted, base):
+    """Trigram model by dictionaries; ``base(word)`` is the probability below the unigrams."""
+    three = Counter(tuple(x[k - 2 : k + 1]) for x in (["<", "<", *t, ">"] for t in trusted) for k in range(2, len(x)))
+    levels = [three]
+    for _ in range(2):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+
+    def discounts(level):
+        n1, n2, n3, n4 = (sum(v == k for v in level.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if min(n1, n2, n3) else 0
+        return [float(np.clip(k - (k + 1) * y * b / a, 0.05, k - 0.05)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))] if y else [0.5, 0.75, 0.9]
+
+    cut = [discounts(x) for x in levels]
+
+    def p(gram):
+        if not gram:
+            return None
+        level, d = levels[3 - len(gram)], cut[3 - len(gram)]
+        lower = base(gram[0]) if len(gram) == 1 else p(gram[1:])
+        same = {g: n for g, n in level.items() if g[:-1] == gram[:-1]}
+        if not same:
+            return lower
+        held = sum(d[min(n, 3) - 1] for n in same.values())
+        n = same.get(gram, 0)
+        return ((n - d[min(n, 3) - 1] if n else 0) + held * lower) / sum(same.values())
+
+    return p
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_word_trigrams_equal_plain_kneser_ney(spark, partitions):
+    rnd = random.Random(9)
+    vocab = ["мир", "дом", "лес", "12", "13", "ab", "Ab", ",", "é"]
+    trusted = [[rnd.choice(vocab) for _ in range(rnd.randrange(1, 12))] for _ in range(40)]
+    asked = [*trusted[:5], [*trusted[0], "новое", "zq"], ["ab"] * 300, ["zzz"], []]
+    frame = lambda texts: spark.createDataFrame([(k, " ".join(t) or " ", None) for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(partitions)
+    docs = frame(asked + trusted)
+    model = kneser_ney.learn(frame(trusted), docs)
+    table = model.spelling.table()
+
+    def base(word):
+        raw = np.frombuffer(word.strip(">").encode() + b" ", np.uint8)
+        return math.exp(kneser_ney.spelled(raw, np.array([0, len(raw)]), table)[0])
+
+    p = plain_kneser_ney(trusted, base)
+    got = {r.doc_id: r for r in kneser_ney.perplexities(frame(asked), model).collect()}
+    assert len(got) == len(asked)
+    for k, t in enumerate(asked):
+        x = ["<", "<", *t, ">"]
+        want = sum(math.log(p(tuple(x[i - 2 : i + 1]))) for i in range(2, len(x)))
+        assert got[k].n_symbols == len(t) + 1 and abs(math.log(got[k].perplexity) + want / (len(t) + 1)) < 1e-5
+
+
+def test_tokens_keep_bytes_apart():
+    texts = pa.array(["Ab12 ab!? é", "", "日本 한", " "], pa.large_string())
+    raw, off = kneser_ney.buffers(texts)
+    start, end, word, text = kneser_ney.tokens(raw, off)
+    assert [(k, bytes(raw[a:b]).decode()) for a, b, k in zip(start, end, text.tolist(), strict=True)] == [
+        (0, "Ab12"), (0, "ab"), (0, "!?"), (0, "é"), (0, ""), (2, "日"), (2, "本"), (2, "한"), (2, ""), (3, "")
+    ]
+    assert len(set(word.tolist())) == 8
+
+
+def test_shuffled_words_are_dropped(spark):
+    rnd = random.Random(11)
+    phrases = [" ".join("".join(rnd.choice("абвгдежзиклмн") for _ in range(5)) for _ in range(8)) for _ in range(40)]
+    good = [" ".join(rnd.choice(phrases) for _ in range(6)) for _ in range(300)]
+    mixed = [" ".join(rnd.sample(t.split(), 48)) for t in good[:40]]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(good)] + [(1000 + k, t, "x") for k, t in enumerate(mixed)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.keep for r in kneser_ney.classify(docs, spark.range(200).toDF("doc_id")).collect()}
+    assert sum(got[k] for k in range(300)) >= 290 and not any(got[1000 + k] for k in range(40))
+
+
 def brute_tiles(a, b, k):
     used_a, used_b, total = set(), set(), 0
     while True:

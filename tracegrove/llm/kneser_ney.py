@@ -1,12 +1,17 @@
 """Text quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a 4-gram model over 64 symbols (letters with ASCII case folded, one digit, blank, line end,
-two kinds of punctuation, the low bits of bytes beyond ASCII, the text's begin). The counts of all trusted
-texts and the continuation counts of the lower orders are tables keyed by n-gram, sharded by their key;
-joins on context and on suffix give the probability of every 4-gram that the corpus contains. That table
-has at most 64^4 entries of 8 bytes whatever the corpus, so it is broadcast, and a document is scored
-where it is read. (Joining each document's own n-grams with the shards would move several times the
-corpus; the broadcast is bounded by the alphabet, not by the data.)
+The model is a trigram model over words as they are written: runs of letters and digits, runs of other
+visible bytes, and every character from U+3000 on by itself, as scripts without blanks need it. A text ends
+with an end token. Counts, contexts and continuation counts are tables keyed by 64-bit hashes of the n-grams,
+sharded by their key, and grow with the trusted text. Words that no trusted text has are spelled: the lowest
+order is interpolated with a Kneser-Ney 4-gram model over 64 byte symbols of the trusted vocabulary (each
+symbol's probability is dealt evenly to its bytes). Only that table is bounded by the alphabet and broadcast.
+
+A trigram's log-probability is written as a sum over the n-grams that end with it: what each adds to the
+backed-off value of the shorter one, plus the back-off weight it has as a context; n-grams without count add
+nothing. So a run of documents (about ``BATCH_BYTES``) asks for its distinct n-grams, one join by key brings
+their values from the shards, and sums per document remain. A bit filter of the model's keys lets a run leave
+out most n-grams that the model does not have; what it lets through in excess finds nothing in the join.
 
 Half of the trusted documents, by a hash of their id, train the model; the other half gives every
 language its threshold, a high quantile of their log-perplexities plus a margin. A language with fewer
@@ -24,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, runs, settle, text_column, with_fields
+from .common import ALNUM, NOT_SPACE, bit_filter, buffers, in_filter, mixed, runs, settle, signed, span_hashes, stored, text_column
 
 ORDER = 4
 SYMBOLS = 64
@@ -43,6 +49,16 @@ _SYMBOL[48:58] = 27
 _SYMBOL[128:] = 28 + (np.arange(128) & 31)
 _SYMBOL[10] = 60
 _SYMBOL[[33, 34, 39, 40, 41, 44, 45, 46, 58, 59, 63]] = 61
+#: Bytes that share each byte's symbol, as a logarithm.
+_SHARED = np.log(np.bincount(_SYMBOL, minlength=SYMBOLS)[_SYMBOL])
+
+BATCH_BYTES = 8 << 20
+BATCH_DOCS = 1 << 16
+FILTER_BITS = 27
+#: Values are multiples of this, so that their sums do not depend on the order.
+UNIT = 2.0**-24
+START, END = np.uint64(0x5B0F3C1D2E4A6987), np.uint64(0xA1C3E5F708192B4D)
+_KIND = np.where(ALNUM, 1, np.where(NOT_SPACE, 2, 0)).astype(np.int8)
 
 
 def codes_of(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -119,36 +135,286 @@ def _bundled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass(frozen=True)
-class Scores:
+class Spelling:
+    """Log-probabilities of the 4-grams of symbols in words."""
+
     code: np.ndarray
     logp: np.ndarray
 
+    def table(self) -> np.ndarray:
+        out = np.zeros(CODES, np.float32)
+        out[self.code] = self.logp
+        return out
+
+
+@dataclass(frozen=True)
+class Model:
+    """``values``: (key, value) of every n-gram; ``seen``: bit filter of the keys; ``start``: what the
+    contexts before a text add; ``unseen``: what every token adds besides its spelling."""
+
+    values: DataFrame
+    seen: np.ndarray
+    spelling: Spelling
+    start: float
+    unseen: float
+
+
+def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, hash and text of every token, with an end token (of no bytes) after every text that is not empty."""
+    kind = _KIND[raw]
+    wide = raw >= 0xE3
+    inner = wide.copy()
+    inside = (raw & 0xC0) == 0x80
+    for _ in range(3):
+        inner[1:] |= inner[:-1] & inside[1:]
+    kind[inner] = 3
+    edge = wide.copy()
+    edge[1:] |= kind[1:] != kind[:-1]
+    edge[off[:-1][off[:-1] < len(raw)]] = True
+    start = np.flatnonzero(edge)
+    end = np.append(start[1:], len(raw))[: len(start)]
+    start, end = start[kind[start] > 0], end[kind[start] > 0]
+    text = np.searchsorted(off, start, side="right") - 1
+    ends = np.flatnonzero(np.diff(off) > 0)
+    order = np.argsort(np.concatenate([text, ends]), kind="stable")
+    word = np.concatenate([span_hashes(raw, start, end, fold=False), np.full(len(ends), END)])
+    stop = off[ends + 1]
+    return np.concatenate([start, stop])[order], np.concatenate([end, stop])[order], word[order], np.concatenate([text, ends])[order]
+
+
+def joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of the n-gram that continues the one of key ``left``."""
+    return mixed(left * np.uint64(0x9FB21C651E98DF25) + word)
+
+
+def grams(word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every token: the one before it, and the keys of the bigram before it, its bigram and its trigram."""
+
+    def back(k: int) -> np.ndarray:
+        out = np.full(len(word), START)
+        if len(word) > k:
+            out[k:] = np.where(text[k:] == text[:-k], word[:-k], START)
+        return out
+
+    v, u = back(1), back(2)
+    pair = joined(u, v)
+    return v, pair, joined(v, word), joined(pair, word)
+
+
+def spelling_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the spans as texts, a blank after each."""
+    size = end - start + 1
+    off = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(off[-1], 32, np.uint8)
+    inside = np.ones(off[-1], bool)
+    inside[off[1:] - 1] = False
+    out[inside] = raw[np.repeat(start - off[:-1], size)[inside] + np.flatnonzero(inside)]
+    return out, off
+
+
+def spelled(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Log-probability of every such text."""
+    return np.add.reduceat(table[codes_of(raw, off)] - _SHARED[raw], off[:-1]) if len(off) > 1 else np.zeros(0)
+
+
+def _spelled_codes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = np.zeros(CODES, bool)
+    for batch in it:
+        texts = text_column(batch, "text")
+        for i, j in runs(texts):
+            raw, off = buffers(texts[i:j])
+            start, end, word, _ = tokens(raw, off)
+            _, at = np.unique(word, return_index=True)
+            found[codes_of(*spelling_of(raw, start[at], end[at]))] = True
+    yield pa.RecordBatch.from_pydict({"code": pa.array(np.flatnonzero(found), pa.int32())})
+
+
+def _trigrams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        texts = text_column(batch, "text")
+        for i, j in runs(texts, BATCH_BYTES):
+            raw, off = buffers(texts[i:j])
+            _, _, word, text = tokens(raw, off)
+            v, pair, bigram, trigram = grams(word, text)
+            key, at, n = np.unique(trigram, return_index=True, return_counts=True)
+            columns = [pa.array(signed(x), pa.int64()) for x in (key, pair[at], bigram[at], v[at], word[at])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=["key", "pair", "bigram", "v", "w", "n"])
+
+
+def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = np.zeros(0, np.uint64)
+    for batch in it:
+        texts = text_column(batch, "text")
+        for i, j in runs(texts):
+            raw, off = buffers(texts[i:j])
+            start, end, word, _ = tokens(raw, off)
+            word, at = np.unique(word, return_index=True)
+            new = ~np.isin(word, known)
+            word, at = word[new], at[new]
+            if len(known) < 1 << 20:
+                known = np.union1d(known, word)
+            own = [raw[a:b].tobytes() + b" " for a, b in zip(start[at], end[at], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(word), pa.int64()), pa.array(own, pa.binary()).cast(pa.string())], names=["w", "text"])
+
+
+def _spelled_words(state) -> object:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = state.value.table()
+        for batch in it:
+            raw, off = buffers(text_column(batch, "text"))
+            base = spelled(raw, off, table)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.float64())], names=["w", "base"])
+
+    return run
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(w, text) of every distinct word, a blank after each."""
+    return docs.select("text").mapInArrow(_words, "w long, text string").groupBy("w").agg(F.first("text").alias("text"))
+
+
+def spelling(words: DataFrame, docs: DataFrame) -> Spelling:
+    """The spelling model of a vocabulary, for every 4-gram of symbols in words of ``docs``."""
+    wanted = settle(docs.select("text").mapInArrow(_spelled_codes, "code int").distinct())
+    table = probabilities(settle(gram_counts(words)), wanted).mapInArrow(_bundled, "code binary, logp binary").collect()
+    got = [b"".join(bytes(r[c]) for r in table) for c in ("code", "logp")]
+    return Spelling(np.frombuffer(got[0], np.int32), np.frombuffer(got[1], np.float32))
+
+
+def learn(trusted: DataFrame, docs: DataFrame) -> Model:
+    """The model of all trusted texts, which are among ``docs``, able to spell every word of these."""
+    counted = trusted.select("text").mapInArrow(_trigrams, "key long, pair long, bigram long, v long, w long, n long")
+    own = [F.first(c).alias(c) for c in ("pair", "bigram", "v", "w")]
+    three = stored(counted.groupBy("key").agg(*own, F.sum("n").alias("n")))
+    two = stored(three.groupBy(F.col("bigram").alias("key")).agg(F.first("v").alias("v"), F.first("w").alias("w"), F.count("*").alias("n")))
+    one = stored(two.groupBy(F.col("w").alias("key")).agg(F.count("*").alias("n")))
+    words = stored(vocabulary(trusted))
+    letters = spelling(words, docs)
+    state = trusted.sparkSession.sparkContext.broadcast(letters)
+    bases = words.mapInArrow(_spelled_words(state), "w long, base double").withColumnRenamed("w", "key")
+
+    def weighed(level: DataFrame) -> DataFrame:
+        d1, d2, d3 = _discounts(level)
+        return level.withColumn("held", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
+
+    def contexts(level: DataFrame, context: str) -> DataFrame:
+        """(context, total, back) of every context, ``back`` the share of the shorter one."""
+        sums = level.groupBy(F.col(context).alias("context")).agg(F.sum("n").alias("total"), F.sum("held").alias("held"))
+        return stored(sums.select("context", "total", (F.col("held") / F.col("total")).alias("back")))
+
+    def gained(rows: DataFrame, lower: str) -> DataFrame:
+        """With ``p`` and what the n-gram adds to its logarithm over the backed-off value."""
+        rows = rows.withColumn("p", (F.col("n") - F.col("held")) / F.col("total") + F.col("back") * F.exp(lower))
+        return rows.withColumn("logp", F.log("p")).withColumn("gain", F.col("logp") - F.log("back") - F.col(lower))
+
+    one, two, three = weighed(one), weighed(two), weighed(three)
+    all_one = one.agg(F.sum("n").alias("total"), F.sum("held").alias("held")).first()
+    unseen = float(all_one.held) / all_one.total if all_one.total else 1.0
+    pairs, triples = contexts(two, "v"), contexts(three, "pair")
+    rows = one.join(bases, "key").withColumns({"total": F.lit(float(all_one.total or 1)), "back": F.lit(unseen)})
+    p1 = stored(gained(rows, "base").select("key", "logp", "gain"))
+    rows = two.join(pairs.withColumnRenamed("context", "v"), "v").join(p1.select(F.col("key").alias("w"), F.col("logp").alias("lower")), "w")
+    p2 = stored(gained(rows, "lower").select("key", "logp", "gain"))
+    rows = three.join(triples.withColumnRenamed("context", "pair"), "pair").join(p2.select(F.col("key").alias("bigram"), F.col("logp").alias("lower")), "bigram")
+    p3 = gained(rows, "lower").select("key", F.col("gain").alias("value"))
+
+    def valued(p: DataFrame, level: DataFrame) -> DataFrame:
+        back = level.select(F.col("context").alias("key"), F.log("back").alias("back"))
+        return p.join(back, "key", "left").select("key", (F.col("gain") + F.coalesce("back", F.lit(0.0))).alias("value"))
+
+    values = stored(valued(p1, pairs).unionByName(valued(p2, triples)).unionByName(p3))
+    first = signed(np.array([START, joined(np.array([START]), np.array([START]))[0]]))
+    before = [level.filter(F.col("context") == int(c)).agg(F.max(F.log("back"))).first()[0] for level, c in ((pairs, first[0]), (triples, first[1]))]
+    return Model(values, bit_filter(values, "key", FILTER_BITS), letters, float(sum(x or 0.0 for x in before)), float(np.log(unseen)))
+
+
+_ENTRY = np.dtype([("doc", "<u2"), ("n", "u1")])
+
+
+def _asked(state, start: float, unseen: float) -> object:
+    """Rows (key, entries, doc): of a run of documents every n-gram that the model may have, with the documents
+    that have it; and every document itself, with what it has apart from n-grams. Both begin with the run."""
 
-def _score(state, keep: int) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(CODES, np.float32)
-        table[state.value.code] = state.value.logp
+        seen, letters = state.value
+        table = letters.table()
+        number = TaskContext.get().partitionId() << 24
+        kind = pa.struct([("run", pa.int64()), ("no", pa.int32()), ("n", pa.int64()), ("sum", pa.float64())])
         for batch in it:
-            texts = text_column(batch, "__text")
-            mean = np.full(len(texts), np.nan)
-            size = np.zeros(len(texts), np.int64)
-            for i, j in runs(texts):
+            texts, given = text_column(batch, "__text"), batch.column(0)
+            fields = [*kind, pa.field("given", given.type)]
+            for i, j in ((k, min(j, k + BATCH_DOCS)) for i, j in runs(texts, BATCH_BYTES) for k in range(i, j, BATCH_DOCS)):
                 raw, off = buffers(texts[i:j])
-                total = np.concatenate([[0.0], np.cumsum(table[codes_of(raw, off)], dtype=np.float64)])
-                n = np.diff(off)
-                size[i:j] = n
-                mean[i:j] = np.where(n > 0, (total[off[1:]] - total[off[:-1]]) / np.maximum(1, n), np.nan)
-            ppl = pa.array(np.exp(-mean), pa.float64(), mask=size == 0)
-            columns = [batch.column(k) for k in range(keep)] + [pa.array(size, pa.int64()), ppl]
-            yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[k] for k in range(keep)] + ["n_symbols", "perplexity"])
+                begin, end, word, text = tokens(raw, off)
+                _, at, back = np.unique(word, return_index=True, return_inverse=True)
+                base = np.round((spelled(*spelling_of(raw, begin[at], end[at]), table) + unseen) / UNIT)[back] * UNIT
+                n = np.bincount(text, minlength=j - i)
+                total = np.bincount(text, weights=base, minlength=j - i) + round(start / UNIT) * UNIT
+                docs = pa.StructArray.from_arrays(
+                    [pa.array(np.full(j - i, number)), pa.array(np.arange(j - i), pa.int32()), pa.array(n, pa.int64()), pa.array(total), given[i:j]], fields=fields
+                )
+                # Spread over the shards; a document's row takes no value.
+                place = signed(mixed(np.arange(j - i).astype(np.uint64) + np.uint64(number)))
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.nulls(j - i, pa.binary()), docs], names=["key", "entries", "doc"])
+                _, _, bigram, trigram = grams(word, text)
+                keys = signed(np.concatenate([word, bigram, trigram]))
+                own = np.tile(text, 3)
+                may = in_filter(seen, keys)
+                keys, own = keys[may], own[may]
+                order = np.lexsort((own, keys))
+                keys, own = keys[order], own[order]
+                new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1]))) if len(keys) else np.zeros(0, np.int64)
+                times = np.diff(np.append(new, len(keys)))
+                parts = (times + 254) // 255
+                entry = np.zeros(parts.sum(), _ENTRY)
+                entry["doc"] = np.repeat(own[new], parts)
+                entry["n"] = 255
+                last = np.cumsum(parts) - 1
+                entry["n"][last] = times - 255 * (parts - 1)
+                keys = np.repeat(keys[new], parts)
+                cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+                ends = np.append(cut, len(keys)) * _ENTRY.itemsize
+                head = np.int64(number).tobytes()
+                flat = entry.tobytes()
+                lists = pa.array([head + flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), lists, pa.nulls(len(cut), docs.type)], names=["key", "entries", "doc"])
+                number += 1
 
     return run
 
 
-def perplexities(docs: DataFrame, scores: Scores, keep: list[str]) -> DataFrame:
-    state = docs.sparkSession.sparkContext.broadcast(scores)
-    given = docs.select(*keep, F.col("text").alias("__text"))
-    return given.mapInArrow(_score(state, len(keep)), with_fields(docs.select(*keep), "n_symbols long, perplexity double"))
+def _summed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per document of the values that its n-grams found; a document's own row has its part too."""
+    names = ["run", "no", "n", "sum", "given"]
+    for batch in it:
+        is_doc = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        docs = batch.column(1).filter(pa.array(is_doc))
+        if len(docs):
+            yield pa.RecordBatch.from_arrays(docs.flatten(), names=names)
+        rest = batch.column(0).filter(pa.array(~is_doc)).to_pylist()
+        if not rest:
+            continue
+        value = np.round(batch.column(2).filter(pa.array(~is_doc)).to_numpy(zero_copy_only=False) / UNIT) * UNIT
+        size = np.array([(len(x) - 8) // _ENTRY.itemsize for x in rest])
+        entry = np.frombuffer(b"".join(x[8:] for x in rest), _ENTRY)
+        run = np.repeat(np.frombuffer(b"".join(x[:8] for x in rest), np.int64), size)
+        found, at = np.unique(run * np.int64(BATCH_DOCS) + entry["doc"], return_inverse=True)
+        total = np.bincount(at, weights=np.repeat(value, size) * entry["n"])
+        columns = [pa.array(found // BATCH_DOCS), pa.array(found % BATCH_DOCS, pa.int32()), pa.array(np.zeros(len(found), np.int64)), pa.array(total)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(found), batch.column(1).type.field("given").type)], names=names)
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang, n_symbols, perplexity) of every row of ``docs``; the symbols are tokens, the end token among them."""
+    given = docs.select(F.struct("doc_id", "lang").alias("given"), F.col("text").alias("__text"))
+    own = [("run", "long"), ("no", "int"), ("n", "long"), ("sum", "double"), ("given", given.schema["given"].dataType.simpleString())]
+    inner, outer = (", ".join(f"{name}{mark}{kind}" for name, kind in own) for mark in (":", " "))
+    state = docs.sparkSession.sparkContext.broadcast((model.seen, model.spelling))
+    asked = given.mapInArrow(_asked(state, model.start, model.unseen), f"key long, entries binary, doc struct<{inner}>")
+    found = asked.join(model.values, "key", "left").filter(F.col("doc").isNotNull() | F.col("value").isNotNull())
+    sums = found.select("entries", "doc", "value").mapInArrow(_summed, outer).groupBy("run", "no")
+    told = sums.agg(F.sum("n").alias("n_symbols"), F.sum("sum").alias("total"), F.first("given", ignorenulls=True).alias("given"))
+    return told.select("given.doc_id", "given.lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(-F.col("total") / F.col("n_symbols"))).alias("perplexity"))
 
 
 def classify(
@@ -169,17 +435,13 @@ def classify(
     ids = trusted_ids.toDF("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
     small = ids.count() <= BROADCAST_IDS
 
-    def of_trusted(half: int) -> DataFrame:
+    def of_trusted(half: int, rows: DataFrame = rows) -> DataFrame:
         mine = ids.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)) == half)
         return rows.join(F.broadcast(mine) if small else mine, "doc_id", "left_semi")
 
-    trusted = settle(gram_counts(of_trusted(0)))
-    wanted = settle(gram_counts(rows).select("code"))
-    table = probabilities(trusted, wanted).mapInArrow(_bundled, "code binary, logp binary").collect()
-    joined = [b"".join(bytes(r[c]) for r in table) for c in ("code", "logp")]
-    scores = Scores(np.frombuffer(joined[0], np.int32), np.frombuffer(joined[1], np.float32))
+    scored = stored(perplexities(rows, learn(of_trusted(0), rows)))
     log_ppl = F.log("perplexity")
-    held = perplexities(of_trusted(1), scores, ["lang"]).filter(F.col("perplexity").isNotNull())
+    held = of_trusted(1, scored).filter(F.col("perplexity").isNotNull())
     high = F.percentile_approx(log_ppl, quantile, 10_000)
     limits = held.groupBy("lang").agg(high.alias("high"), F.count("*").alias("n")).filter(F.col("lang").isNotNull() & (F.col("n") >= few))
     limits = settle(limits.select("lang", F.exp(F.col("high") + margin).alias("own")))
@@ -187,7 +449,7 @@ def classify(
     everywhere = F.lit(float("inf") if overall is None else float(overall))
     # Each of these rows stands for ``few`` trusted documents of one language; the check bounds its size.
     hinted = F.broadcast(limits) if limits.count() <= BROADCAST_IDS else limits
-    scored = perplexities(rows, scores, ["doc_id", "lang"]).join(hinted, "lang", "left")
+    scored = scored.join(hinted, "lang", "left")
     threshold = F.coalesce("own", everywhere)
     return scored.select(
         "doc_id",
