@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate lines one stays; a document of which no line is left goes."""
-    kept = line_dedup.LineDedup(docs).deduplicated().filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    kept = line_dedup.LineDedup(docs).deduplicated().filter((F.col("n_removed") == 0) | F.col("text").rlike(r"(?U)\S"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 
