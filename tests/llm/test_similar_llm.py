@@ -162,3 +162,25 @@ def test_lines_of_repeated_rows_null_ids_and_empty_tables(spark):
     got = line_dedup.LineDedup(spark.createDataFrame(rows, "doc_id long, text string")).deduplicated().collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, line), (1, ""), (1, ""), (2, "second line that stays where it is")]
     assert line_dedup.LineDedup(spark.createDataFrame([], "doc_id long, text string")).deduplicated().collect() == []
+
+
+def test_short_lines_equal_brute_force(spark):
+    rnd = random.Random(12)
+    pool = ["".join(rnd.choice("abcd efgh") for _ in range(n)) for n in (1, 2, 5, 7, 8, 9, 12, 15, 18, 19, 20, 30) for _ in range(3)] + ["}", "短い行です", "一二三四五六七八九十一二三四"]
+    pool = [x for x in pool if x.strip()]
+    rows = []
+    for d in range(40):
+        own = []
+        for _ in range(rnd.randrange(8)):
+            x = rnd.choice(pool)
+            own.append(rnd.choice([x, x, x.upper(), x + rnd.choice("abcd")]))
+        rows.append((d, "\n".join(own)))
+    out = line_dedup.LineDedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).deduplicated()
+    assert all(x.strip() for _, t in rows for x in t.split("\n") if x)
+    assert {r.doc_id: r.text for r in out.collect()} == brute_lines(rows, 1)
+
+
+def test_blank_lines_stay(spark):
+    rows = [(1, "}\n\n \t\n\r\nend"), (2, "}\n\n \t\n\r\nEnd")]
+    got = line_dedup.LineDedup(spark.createDataFrame(rows, "doc_id long, text string")).deduplicated()
+    assert {r.doc_id: r.text for r in got.collect()} == {1: rows[0][1], 2: "\n \t\n\r"}

@@ -15,8 +15,8 @@ copies costs a million comparisons, and no candidate pair across components goes
 
 Only signatures' bands that occur twice are shuffled as rows, and only candidate lines' texts are.
 
-Defined cases: a line of fewer than ``min_chars`` characters always stays (it is layout, not a passage);
-a null text has no lines and stays null; rows of one id and equal text are one document and get equal
+Defined cases: a blank line always stays (it is layout, not a passage); a line shorter than a shingle is
+one shingle; a null text has no lines and stays null; rows of one id and equal text are one document and get equal
 results; null ids come first; a line of any length is used whole; an empty table gives an empty result;
 columns other than the text are kept as they are.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, buffers, in_filter, leaders, mixed, near_by_sketch, powers, runs, signed, sketch_of, span_hashes, stored, text_column, word_spans
+from .common import NOT_SPACE, bit_filter, buffers, in_filter, leaders, mixed, near_by_sketch, powers, runs, signed, sketch_of, span_hashes, stored, text_column, word_spans
 from .components import connected
 
 SHINGLE = 8
@@ -52,15 +52,14 @@ _CODE[65:91] = _CODE[97:123]
 _FACTOR = mixed(np.arange(2000, 2000 + BINS, dtype=np.uint64)) | np.uint64(1)
 
 
-def line_spans(raw: np.ndarray, off: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every line that is long enough, its document and its line number."""
+def line_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every line that is not blank, its document and its line number."""
     start, end, first = word_spans(raw, off, _NOT_END)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     ends = np.concatenate([[0], np.cumsum(raw == 10)])
     number = ends[start] - ends[off[:-1]][doc]
-    inner = np.concatenate([[0], np.cumsum((raw & 0xC0) == 0x80)])
-    chars = (end - start) - (inner[end] - inner[start])
-    keep = chars >= min_chars
+    seen = np.concatenate([[0], np.cumsum(NOT_SPACE[raw])])
+    keep = seen[end] > seen[start]
     return start[keep], end[keep], doc[keep], number[keep]
 
 
@@ -133,42 +132,36 @@ def line_bands(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return np.concatenate([np.repeat(at, BANDS) for at, _ in parts]), np.concatenate([b.ravel() for _, b in parts])
 
 
-def _lines(min_chars: int) -> object:
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            texts = text_column(batch, "__text")
-            keys = [batch.column(k) for k in range(2)]
-            for i, j in runs(texts):
-                raw, off = buffers(texts[i:j])
-                start, end, doc, number = line_spans(raw, off, min_chars)
-                cls = signed(span_hashes(raw, start, end))
-                take = pa.array(doc + i, pa.int64())
-                yield pa.RecordBatch.from_arrays([k.take(take) for k in keys] + [pa.array(number, pa.int32()), pa.array(cls, pa.int64())], names=["doc_id", "text_hash", "line_no", "cls"])
-
-    return run
-
-
-def _bands(min_chars: int) -> object:
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
-        for batch in it:
-            texts = text_column(batch, "__text")
-            fresh = []
-            for i, j in runs(texts):
-                raw, off = buffers(texts[i:j])
-                start, end, _, _ = line_spans(raw, off, min_chars)
-                cls, at = np.unique(signed(span_hashes(raw, start, end)), return_index=True)
-                new = ~np.isin(cls, seen)
-                cls, at = cls[new], at[new]
-                fresh.append(cls)
-                line, bands = line_bands(raw, start[at], end[at])
-                order = np.argsort(line, kind="stable")
-                ends = np.searchsorted(line[order], np.arange(len(cls) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[order], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), lists], names=["cls", "bands"])
-            seen = np.unique(np.concatenate([seen, *fresh]))
-
-    return run
+def _lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        texts = text_column(batch, "__text")
+        keys = [batch.column(k) for k in range(2)]
+        for i, j in runs(texts):
+            raw, off = buffers(texts[i:j])
+            start, end, doc, number = line_spans(raw, off)
+            cls = signed(span_hashes(raw, start, end))
+            take = pa.array(doc + i, pa.int64())
+            yield pa.RecordBatch.from_arrays([k.take(take) for k in keys] + [pa.array(number, pa.int32()), pa.array(cls, pa.int64())], names=["doc_id", "text_hash", "line_no", "cls"])
+
+
+def _bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(0, np.int64)
+    for batch in it:
+        texts = text_column(batch, "__text")
+        fresh = []
+        for i, j in runs(texts):
+            raw, off = buffers(texts[i:j])
+            start, end, _, _ = line_spans(raw, off)
+            cls, at = np.unique(signed(span_hashes(raw, start, end)), return_index=True)
+            new = ~np.isin(cls, seen)
+            cls, at = cls[new], at[new]
+            fresh.append(cls)
+            line, bands = line_bands(raw, start[at], end[at])
+            order = np.argsort(line, kind="stable")
+            ends = np.searchsorted(line[order], np.arange(len(cls) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[order], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), lists], names=["cls", "bands"])
+        seen = np.unique(np.concatenate([seen, *fresh]))
 
 
 def _shared(state) -> object:
@@ -182,14 +175,14 @@ def _shared(state) -> object:
     return run
 
 
-def _texts(state, min_chars: int) -> object:
+def _texts(state) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in it:
             texts = text_column(batch, "__text")
             for i, j in runs(texts):
                 raw, off = buffers(texts[i:j])
-                start, end, _, _ = line_spans(raw, off, min_chars)
+                start, end, _, _ = line_spans(raw, off)
                 cls = signed(span_hashes(raw, start, end))
                 found, at = np.unique(cls[in_filter(state.value, cls)], return_index=True)
                 at = np.flatnonzero(in_filter(state.value, cls))[at]
@@ -243,9 +236,9 @@ def _compare(percent: int) -> object:
 class LineDedup:
     """The deduplication of one table of documents."""
 
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, min_chars: int = 20) -> None:
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> None:
         self.docs, self.doc_id, self.text = docs, doc_id, text
-        self.percent, self.min_chars = percent, min_chars
+        self.percent = percent
         self.given = docs.select(F.col(text).alias("__text"))
         self.context = docs.sparkSession.sparkContext
 
@@ -253,14 +246,14 @@ class LineDedup:
         return [F.col(self.doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(self.text), F.lit(""))).alias("text_hash")]
 
     def lines(self) -> DataFrame:
-        """(doc_id, text_hash, line_no, cls) of every line that is long enough."""
+        """(doc_id, text_hash, line_no, cls) of every line that is not blank."""
         rows = self.docs.select(*self.key(), F.col(self.text).alias("__text"))
-        return rows.mapInArrow(_lines(self.min_chars), "doc_id long, text_hash long, line_no int, cls long")
+        return rows.mapInArrow(_lines, "doc_id long, text_hash long, line_no int, cls long")
 
     def texts(self, shared: DataFrame) -> DataFrame:
         """(cls, line, n, sketch) of all classes that share a band."""
         state = self.context.broadcast(bit_filter(shared, "cls", CLASS_BITS))
-        found = self.given.mapInArrow(_texts(state, self.min_chars), "cls long, line binary, n long, sketch binary")
+        found = self.given.mapInArrow(_texts(state), "cls long, line binary, n long, sketch binary")
         return stored(found.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("line", "n", "sketch")]))
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -277,7 +270,7 @@ class LineDedup:
 
     def roots(self) -> DataFrame:
         """(node, root) of every class that is linked to another."""
-        bands = stored(self.given.mapInArrow(_bands(self.min_chars), "cls long, bands array<long>"))
+        bands = stored(self.given.mapInArrow(_bands, "cls long, bands array<long>"))
         # A class that several tasks have counts twice too; being alone in its band it drops out below. Five
         # bytes of a band are enough here: what the filter lets through in excess drops out as well.
         key = F.col("band").bitwiseAND((1 << 40) - 1).alias("band")
