@@ -150,6 +150,15 @@ def test_cipher(spark):
     assert got == {"dbc": "cab", "cbef": "bade", "cbef gef": "bade ode", "zzz": None}
 
 
+def test_cipher_with_a_large_dictionary(spark):
+    ex = spark.createDataFrame([("p", 0, "bcd", "abc")], "problem_id string, row_no bigint, input_value string, output_value string")
+    more = spark.range(100_001).selectExpr("'k' || translate(CAST(id AS STRING), '0123456789', 'qrstuvwxyz') AS word")
+    words = more.union(spark.createDataFrame([("bade",), ("ode",), ("cab",), (None,)], "word string"))
+    q = spark.createDataFrame([("p", "cbef gef cbef"), ("p", "dbc"), ("p", "gbbbbbbb cbef"), ("p", "")], "problem_id string, question string")
+    got = {r.question: r.solution for r in rules.solve_cipher(q, rules.substitution_maps(ex), words).collect()}
+    assert got == {"cbef gef cbef": "bade ode bade", "dbc": "cab", "gbbbbbbb cbef": None, "": ""}
+
+
 def test_large_numbers_are_not_lost(spark):
     ex = spark.createDataFrame([("a", "200000000.0", "400000000.0"), ("b", "2", "8"), ("c", "300000000", "90000000000000000")], "problem_id string, input_value string, output_value string")
     q = spark.createDataFrame([("a", "123456789.5"), ("b", "2000000"), ("c", "1")], "problem_id string, question string")

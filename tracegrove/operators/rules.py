@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text as X
+from ..session import shared_folder
 from .ordering import top_per_group
 from .quantiles import lower_median
 
@@ -136,66 +137,65 @@ def letter_pattern(word: Column) -> Column:
     return F.array_join(F.transform(letters, lambda c: F.array_position(letters, c).cast("string")), ",")
 
 
-MAX_WORDS = 100_000
+#: Parts of a pattern's words; each is looked up by itself, as a pattern may have a third of all words.
+SALTS = 8
 
 
-def dictionary_lookup(words: DataFrame) -> Column:
-    """Words (column ``word``) by shape, as one map for all rows.
+def _fits(candidate: Column, letters: Column, known: Column) -> Column:
+    """Agrees with known letters and gives the others targets that are not in use."""
+    pairs = F.arrays_zip(letters.alias("c"), X.chars(candidate).alias("p"))
+    used = F.map_values(known)
+    return F.forall(
+        pairs,
+        lambda x: F.when(
+            F.map_contains_key(known, x["c"]), F.try_element_at(known, x["c"]) == x["p"]
+        ).otherwise(~F.array_contains(used, x["p"])),
+    )
 
-    The dictionary goes to every task, so its size is checked: more than ``MAX_WORDS`` words
-    fail the job.
-    """
-    shaped = words.select("word").distinct().select("word", letter_pattern(F.col("word")).alias("shape"))
-    by_shape = shaped.groupBy("shape").agg(F.sort_array(F.collect_list("word")).alias("words"))
-    n = F.sum(F.size("words"))
-    packed = F.map_from_entries(F.collect_list(F.struct("shape", "words")))
-    too_many = F.raise_error(F.lit("dictionary too large")).cast("map<string, array<string>>")
-    return by_shape.agg(F.when(n > MAX_WORDS, too_many).otherwise(packed)).scalar()
 
+def solve_cipher(questions: DataFrame, maps: DataFrame, words: DataFrame) -> DataFrame:
+    """``questions`` (problem_id, question) with ``solution``, NULL where a word stays open.
 
-def decipher(question: Column, mapping: Column, lookup: Column) -> Column:
-    """Question in plain text, completing words with unknown letters from a dictionary.
+    Words the mapping covers are translated. The others are completed from the dictionary ``words`` (column
+    ``word``, of any size), from left to right; a completed word's letters are known to the next ones. A
+    fitting dictionary word has the same shape, agrees with known letters and gives unknown letters unused
+    targets; the first one in alphabetical order wins.
 
-    Words the mapping covers are translated. The others are taken from left to right; a
-    completed word's letters are known to the next ones. A fitting dictionary word has the same shape, agrees with known letters and gives
-    unknown letters unused targets; the first one in alphabetical order wins. NULL when a
-    word cannot be completed. ``lookup`` is a column with :func:`dictionary_lookup`.
+    The dictionary is a table keyed by shape. The first open words of all questions are looked up by one join
+    and aggregate, then the second ones, and so on.
     """
-
-    def fits(candidate: Column, letters: Column, known: Column) -> Column:
-        pairs = F.arrays_zip(letters.alias("c"), X.chars(candidate).alias("p"))
-        used = F.map_values(known)
-        return F.forall(
-            pairs,
-            lambda x: F.when(
-                F.map_contains_key(known, x["c"]), F.try_element_at(known, x["c"]) == x["p"]
-            ).otherwise(~F.array_contains(used, x["p"])),
-        )
-
-    def step(state: Column, word: Column) -> Column:
-        known = state["known"]
-        letters = X.chars(word)
-        complete = F.forall(letters, lambda c: F.map_contains_key(mapping, c))
-        options = F.coalesce(F.try_element_at(lookup, letter_pattern(word)), F.array().cast("array<string>"))
-        fitting = F.filter(options, lambda w: fits(w, letters, known))
-        chosen = F.when(complete, translate(word, known)).otherwise(F.get(fitting, F.lit(0)))
-        pairs = F.array_distinct(F.arrays_zip(letters.alias("cipher"), X.chars(F.coalesce(chosen, F.lit(""))).alias("plain")))
-        fresh = F.filter(pairs, lambda x: ~F.map_contains_key(known, x["cipher"]) & x["plain"].isNotNull())
-        return F.struct(
-            F.map_concat(known, F.map_from_entries(fresh)).alias("known"),
-            F.concat(state["words"], F.array(chosen)).alias("words"),
-        )
-
-    start = F.struct(mapping.alias("known"), F.array().cast("array<string>").alias("words"))
-    words = F.aggregate(_words(question), start, step, lambda s: s["words"])
-    return F.when(F.exists(words, lambda w: w.isNull()), F.lit(None)).otherwise(F.array_join(words, " "))
-
-
-def solve_cipher(questions: DataFrame, maps: DataFrame, words: DataFrame) -> DataFrame:
-    """``questions`` (problem_id, question) with ``solution``, NULL where a word stays open."""
-    rows = questions.join(maps, "problem_id").withColumn("_lookup", dictionary_lookup(words))
-    solution = decipher(F.col("question"), F.col("mapping"), F.col("_lookup"))
-    return rows.withColumn("solution", solution).drop("_lookup", "mapping")
+    spark = questions.sparkSession
+    folder = shared_folder(spark, "cipher")
+    salt = F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")
+    shaped = words.select("word").filter(F.col("word").isNotNull()).distinct()
+    shaped = shaped.select(F.col("word").alias("_candidate"), letter_pattern(F.col("word")).alias("_shape"), salt.alias("_salt"))
+    mapping, open_words = F.col("mapping"), F.col("_open")
+    is_open = lambda w: F.exists(X.chars(w), lambda c: ~F.map_contains_key(mapping, c))
+    state = questions.join(maps, "problem_id").withColumn("_words", _words(F.col("question")))
+    state = state.withColumn("_open", F.array_distinct(F.filter("_words", is_open)))
+    state = state.withColumns({"_known": mapping, "_stuck": F.lit(False)})
+    steps = 0
+    while True:
+        state.write.parquet(path := f"{folder}/{steps}")
+        state = spark.read.schema(state.schema).parquet(path)
+        waiting = ~F.col("_stuck") & (F.size("_open") > steps)
+        if state.filter(waiting).isEmpty():
+            break
+        word = F.when(waiting, F.get(open_words, F.lit(steps)))
+        state = state.withColumns({"_word": word, "_key": F.to_json(F.array_sort(F.map_entries("_known")))})
+        asked = state.filter(F.col("_word").isNotNull()).groupBy("_word", "_key").agg(F.first("_known").alias("_known"))
+        asked = asked.withColumns({"_shape": letter_pattern(F.col("_word")), "_salt": F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))})
+        fitting = asked.join(shaped, ["_shape", "_salt"]).filter(_fits(F.col("_candidate"), X.chars(F.col("_word")), F.col("_known")))
+        chosen = fitting.groupBy("_word", "_key").agg(F.min("_candidate").alias("_chosen"))
+        state = state.join(chosen, ["_word", "_key"], "left")
+        pairs = F.array_distinct(F.arrays_zip(X.chars(F.col("_word")).alias("cipher"), X.chars(F.col("_chosen")).alias("plain")))
+        fresh = F.filter(pairs, lambda x: ~F.map_contains_key("_known", x["cipher"]))
+        more = F.when(F.col("_chosen").isNotNull(), F.map_concat("_known", F.map_from_entries(fresh))).otherwise(F.col("_known"))
+        state = state.withColumns({"_known": more, "_stuck": F.col("_stuck") | (F.col("_word").isNotNull() & F.col("_chosen").isNull())})
+        state = state.drop("_word", "_key", "_chosen")
+        steps += 1
+    plain = F.array_join(F.transform("_words", lambda w: translate(w, F.col("_known"))), " ")
+    return state.withColumn("solution", F.when(~F.col("_stuck"), plain)).drop("mapping", "_words", "_open", "_known", "_stuck")
 
 
 # --- bit rules -------------------------------------------------------------------------------
