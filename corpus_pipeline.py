@@ -17,8 +17,9 @@ from tracegrove.llm import langid, line_dedup, prefix_join, queries, tiling
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no text, or no letter in it) go; a missing language is filled in."""
-    told = langid.predict(docs, langid.learn(docs), docs.columns).filter(F.col("lang_pred") != langid.UNKNOWN)
+    """Documents in no language (no letter, or words that none of the languages makes likely) go; a missing
+    language is filled in."""
+    told = langid.spoken(docs, docs.columns)
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -7,6 +7,11 @@ which proportions it mixes the languages. Of the nested sets of its strongest la
 best likelihood less a penalty (half the logarithm of the number of words for each further proportion)
 is its language set.
 
+``spoken`` also lets the mixture say whether a text is in any language: it compares the likelihood of the
+words under the chosen set, per letter, with a limit: that of its languages, by their proportions, for
+texts of about that many words. A language's limit lies below the 1 % quantile of its labelled rows by as
+much as that is below their median. What is below its limit is in no language.
+
 The model has at most 2^21 trigrams a language, whatever the corpus; it is collected and broadcast.
 Documents are scored where they are read; nothing else is shuffled.
 
@@ -24,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LETTERS, buffers, runs, sums_per_text, text_column, with_fields, word_spans
@@ -118,8 +123,8 @@ def mixture(word: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[n
     return share, sums_per_text(mixed, first)
 
 
-def choose(word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Each text's proportions over its chosen language set."""
+def choose(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's proportions over its chosen language set, and its log-likelihood."""
     n = np.diff(first)
     docs, langs = len(n), word.shape[1]
     full, _ = mixture(word, first, np.ones((docs, langs)))
@@ -128,19 +133,19 @@ def choose(word: np.ndarray, first: np.ndarray) -> np.ndarray:
     np.put_along_axis(rank, order, np.arange(langs)[None, :], axis=1)
     # A language that explains less than one word cannot pay its penalty.
     most = int(max(1, (full * np.maximum(1, n)[:, None] >= 1).sum(axis=1).max(initial=1)))
-    best, value = None, None
+    best, value, likely = None, None, None
     for size in range(1, most + 1):
         share, like = mixture(word, first, (rank < size).astype(float))
         score = like - 0.5 * (size - 1) * np.log(np.maximum(2, n))
         if best is None:
-            best, value = share, score
+            best, value, likely = share, score, like
         else:
             better = score > value
-            best[better], value[better] = share[better], score[better]
-    return best
+            best[better], value[better], likely[better] = share[better], score[better], like[better]
+    return best, likely
 
 
-def _predict(state, keep: int, text: str) -> object:
+def _predict(state, keep: int, text: str, fits: bool) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = state.value
         row = np.full(GRAMS, len(model.codes), np.int32)
@@ -149,6 +154,7 @@ def _predict(state, keep: int, text: str) -> object:
             texts = text_column(batch, text)
             letters = batch.column(keep).to_numpy(zero_copy_only=False).astype(bool)
             shares = np.zeros((len(texts), len(model.languages)))
+            fit, n_words = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64)
             if model.languages:
                 for i, j in runs(texts, 1 << 20):
                     raw, off = buffers(texts[i:j])
@@ -158,7 +164,12 @@ def _predict(state, keep: int, text: str) -> object:
                         continue
                     total = np.zeros((len(raw) + 1, len(model.languages)))
                     np.cumsum(model.logp[row[code]], axis=0, out=total[1:])
-                    shares[i:j] = choose(total[end] - total[start], first)
+                    shares[i:j], like = choose(total[end] - total[start], first)
+                    n_words[i:j] = np.diff(first)
+                    # The choice between several languages costs likelihood that one language does not.
+                    own = shares[i:j]
+                    like -= np.diff(first) * (own * np.log(np.maximum(own, 1e-300))).sum(axis=1)
+                    fit[i:j] = like / np.maximum(1, sums_per_text((end - start).astype(float), first))
             shares[~letters] = 0
             names = np.array([*model.languages, UNKNOWN], object)
             top = shares.max(axis=1, initial=0)
@@ -167,16 +178,53 @@ def _predict(state, keep: int, text: str) -> object:
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
             columns = [batch.column(k) for k in range(keep)]
             columns += [pa.array(pred, pa.string()), pa.array(np.minimum(1.0, top), pa.float64()), pa.array(sets, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[k] for k in range(keep)] + ["lang_pred", "score", "languages"])
+            names = [batch.schema.names[k] for k in range(keep)] + ["lang_pred", "score", "languages"]
+            if fits:
+                columns += [pa.array(fit, pa.float64(), mask=n_words == 0), pa.array(n_words, pa.int64())]
+                names += ["fit", "n_words"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def predict(rows: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, ``lang_pred``, ``score`` (the proportion of it) and ``languages`` (set and proportions)."""
+def predict(rows: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", fits: bool = False) -> DataFrame:
+    """``keep``, ``lang_pred``, ``score`` (the proportion of it) and ``languages`` (set and proportions); with
+    ``fits`` also ``fit`` (log-likelihood per letter) and ``n_words``."""
     state = rows.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in keep if c not in ("lang_pred", "score", "languages")]
+    own = ("lang_pred", "score", "languages", *(("fit", "n_words") if fits else ()))
+    keep = [c for c in keep if c not in own]
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     given = rows.select(*keep, has_letter.alias("__letters"), *([] if text in keep else [F.col(text).alias("__text")]))
-    schema = with_fields(rows.select(*keep), "lang_pred string, score double, languages array<struct<lang:string,share:double>>")
-    return given.mapInArrow(_predict(state, len(keep), text if text in keep else "__text"), schema)
+    fields = "lang_pred string, score double, languages array<struct<lang:string,share:double>>" + (", fit double, n_words long" if fits else "")
+    schema = with_fields(rows.select(*keep), fields)
+    return given.mapInArrow(_predict(state, len(keep), text if text in keep else "__text", fits), schema)
+
+
+def _size(n_words: Column) -> Column:
+    """Texts of about the same number of words: by powers of two, from 2^10 on together."""
+    return F.least(F.floor(F.log2(F.greatest(n_words, F.lit(1)))), F.lit(10)).cast("int")
+
+
+def spoken(rows: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", few: int = 50) -> DataFrame:
+    """``keep`` and ``lang_pred`` of the rows that are in a language. Fewer than ``few`` labelled rows of a
+    language and size take the limit of their size, and those that of all. If no row teaches a language, rows
+    with a letter stay, and their ``lang_pred`` is ``UNKNOWN``."""
+    model = learn(rows, text, lang)
+    if not model.languages:
+        return rows.filter(F.col(text).rlike(r"\p{L}")).select(*keep, F.lit(UNKNOWN).alias("lang_pred"))
+    known = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    told = predict(known, model, [], fits=True).filter(F.col("lang_pred") != UNKNOWN).select("lang_pred", _size("n_words").alias("size"), "fit")
+    # A row for every language and size, then for every size, then for all.
+    level = told.cube("lang_pred", "size").agg(F.percentile_approx("fit", [0.01, 0.5], 10_000).alias("q"), F.count("*").alias("n"))
+    limits = {(r.lang_pred, r.size): (2 * r.q[0] - r.q[1], r.n) for r in level.collect()}
+    overall = limits.get((None, None), (float("-inf"), 0))[0]
+
+    def limit(name: str | None, size: int, other: float) -> float:
+        value, n = limits.get((name, size), (other, 0))
+        return value if n >= few else other
+
+    table = [(size, {name: limit(name, size, limit(None, size, overall)) for name in model.languages}) for size in range(11)]
+    limits_of = F.broadcast(rows.sparkSession.createDataFrame(table, "__size int, __limits map<string,double>"))
+    out = predict(rows, model, keep, text, fits=True).filter(F.col("lang_pred") != UNKNOWN).withColumn("__size", _size(F.col("n_words")))
+    least = F.aggregate("languages", F.lit(0.0), lambda total, x: total + x["share"] * F.try_element_at("__limits", x["lang"]))
+    return out.join(limits_of, "__size").filter(F.col("fit") >= least).select(*keep, "lang_pred")
