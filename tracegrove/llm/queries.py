@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser_ney, langid, line_dedup, packing, prefix_join, shards, tiling, topk, toxicity
+from . import chat, kneser_ney, langid, line_dedup, packing, prefix_join, shards, substring_dedup, tiling, topk, toxicity
 from .common import held_out
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -139,6 +139,11 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "contaminated", "item_id", "coverage", "n_items")
 
 
+def op12_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.Doubling(table(spark, sf_dir, "documents")).deduplicated()
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "longest")
+
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -163,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_histogram_top_k": op8_histogram_top_k,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_string_tiling": op10_string_tiling,
+    "op12_level_doubling": op12_level_doubling,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_typed_parts": OP4_SQL, "op8_histogram_top_k": OP8_SQL}
