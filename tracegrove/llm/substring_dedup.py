@@ -26,19 +26,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, bit_filter, buffers, in_filter, mixed, runs, shingle_hashes, signed, span_hashes, stored, text_column, word_spans
 
 WIDTH = 13
-#: Bits of the filters of repeated windows, of repeated texts and of documents that lose words.
-WINDOW_BITS, TEXT_BITS, DOC_BITS = 27, 26, 26
+#: Filters have 8 to 16 bits a value, but 2^29 (64 MB) at most.
+MAX_BITS = 29
+#: Texts that go to a Python worker at a time.
+BATCH_ROWS = 1024
 #: Longer texts are hashed in pieces of about this many bytes, cut at a blank.
-PIECE = 8 << 20
+PIECE = 2 << 20
 #: Windows are taken from so many words at a time.
 BLOCK = 1 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -266,10 +269,10 @@ def _told(keys: list[str], with_text: bool) -> object:
     """For mapInArrow over keys, text, spans and longest: what is left of each text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in (b.slice(k, BATCH_ROWS) for b in it for k in range(0, b.num_rows, BATCH_ROWS)):
             columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             out = [left_over(t or "", s) for t, s in zip(columns["text"].to_pylist(), columns["spans"].to_pylist())]
-            n, gone, kept = zip(*out) if out else ((), (), ())
+            n, gone, kept = zip(*out)
             told = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
             told += [columns["longest"], pa.array([k.decode() for k in kept] if with_text else [None] * len(kept), pa.string())]
             yield pa.RecordBatch.from_arrays([columns[k] for k in keys] + told, names=keys + ["n_words", "n_removed", "kept_sha256", "longest", "kept"])
@@ -280,6 +283,18 @@ def _told(keys: list[str], with_text: bool) -> object:
 TOLD = "n_words long, n_removed long, kept_sha256 string, longest long, kept string"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While texts are looked through, Arrow batches of few rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Doubling:
     """The repeated windows of a table's texts, found length by length.
 
@@ -289,11 +304,17 @@ class Doubling:
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH):
         if width < 2:
             raise ValueError("a window has two words at least")
-        self.width, self.sc = width, docs.sparkSession.sparkContext
+        self.width, self.spark = width, docs.sparkSession
         whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
         self.rows = docs.select(F.col(id).alias("id"), F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
         self.id_type = self.rows.schema["id"].dataType.simpleString()
-        self._copies()
+        with small_batches(self.spark):
+            self._copies()
+
+    def _filter(self, rows: DataFrame, column: str):
+        """The values of a column of a stored table as a broadcast bit filter, or none."""
+        n = rows.count()
+        return self.spark.sparkContext.broadcast(bit_filter(rows, column, min(max(20, (8 * n).bit_length()), MAX_BITS))) if n else None
 
     def _copies(self) -> None:
         """Of every group of equal texts, told by 128 bits, the rows with the smallest id; the others repeat
@@ -302,7 +323,10 @@ class Doubling:
         narrow = self.rows.select("id", "text_hash", twin)
         classes = narrow.groupBy("text_hash", "twin").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
         classes = stored(classes.filter("first_id < last_id").select("text_hash", "twin", "first_id"))
-        self.copies = self.sc.broadcast(bit_filter(classes, "text_hash", TEXT_BITS))
+        self.copies = self._filter(classes, "text_hash")
+        if self.copies is None:
+            self.firsts = self.later = None
+            return
         maybe = self.rows.mapInArrow(_only(self.copies, True, "text_hash"), self.rows.schema)
         maybe = maybe.withColumn("twin", twin).join(classes, ["text_hash", "twin"], "left")
         first = F.col("first_id").isNull() | F.col("id").isNull() | (F.col("id") == F.col("first_id"))
@@ -314,7 +338,7 @@ class Doubling:
         kinds = {"id": self.id_type, "text_hash": "long", "place": "int"}
         ddl = ", ".join([values, *[f"{n} {kinds[n]}" for n in names]])
         one = self.rows.mapInArrow(_scan(pick, most, self.copies, names), ddl)
-        return one.unionAll(self.firsts.select("id", "text_hash", "text").mapInArrow(_scan(pick, most, None, names), ddl))
+        return one if self.firsts is None else one.unionAll(self.firsts.select("id", "text_hash", "text").mapInArrow(_scan(pick, most, None, names), ddl))
 
     @staticmethod
     def _in_two(rows: DataFrame) -> DataFrame:
@@ -322,22 +346,24 @@ class Doubling:
         ends = rows.groupBy("w0").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
         return ends.filter("first_id < last_id").select("w0", "first_id")
 
-    def levels(self) -> DataFrame:
+    def levels(self) -> DataFrame | None:
         """(id, text_hash, place, length): where windows stand that also start in a document with a smaller
-        id. All those of the width, and of every doubled length that still repeats the chosen ones (no place)."""
+        id. All those of the width, and of every doubled length that still repeats the chosen ones (no place).
+        None if nothing repeats."""
         width, sizes = self.width, lengths(self.width)
         next(sizes), next(sizes)
-        known = self.sc.broadcast(bit_filter(self._in_two(self._rows(_halves(width), width, ["id"])), "w0", WINDOW_BITS))
+        places = ["id", "text_hash", "place"]
+        known = self._filter(stored(self._in_two(self._rows(_halves(width), width, ["id"])).select("w0")), "w0")
+        if known is None:
+            return None
         table = stored(self._in_two(self._rows(_windows(width, known), width, ["id"])))
         later = F.col("first_id") < F.col("id")
-        places = self._rows(_windows(width, known), width, ["id", "text_hash", "place"])
-        found = places.join(table, "w0").filter(later).select("id", "text_hash", "place", F.lit(width).alias("length"))
-        known = bit_filter(table, "w0", WINDOW_BITS)
-        if not known.any():
-            return found
-        known = self.sc.broadcast(known)
-        longer = self._rows(_longer(width, known), BLOCK, ["id", "text_hash"], "w0 long, parent long, length int")
-        longer = stored(longer)
+        found = self._rows(_windows(width, known), width, places).join(table, "w0").filter(later).select(*places, F.lit(width).alias("length"))
+        known = self._filter(table, "w0")
+        if known is None:
+            return None
+        longer = self._rows(_longer(width, known), BLOCK, ["id", "text_hash"], "w0 long, w1 long, w2 int")
+        longer = stored(longer.withColumnsRenamed({"w1": "parent", "w2": "length"}))
         for size in sizes:
             rows = longer.filter(F.col("length") == size).join(table.select(F.col("w0").alias("parent")), "parent", "left_semi")
             table = stored(self._in_two(rows.select("w0", "id")))
@@ -347,10 +373,14 @@ class Doubling:
             found = found.unionAll(more.select("id", "text_hash", F.lit(-1).alias("place"), F.lit(size).alias("length")).distinct())
         return found
 
-    def spans(self) -> DataFrame:
-        """(id, text_hash, spans, longest) of the texts that lose words."""
-        ordered = self.levels().repartition("id", "text_hash").sortWithinPartitions("id", "text_hash", "place")
-        return ordered.mapInArrow(_stretches(self.width), f"id {self.id_type}, text_hash long, spans binary, longest long")
+    def spans(self) -> DataFrame | None:
+        """(id, text_hash, spans, longest) of the texts that lose words, but for copies of a whole text."""
+        with small_batches(self.spark):
+            found = self.levels()
+            if found is None:
+                return None
+            ordered = found.repartition("id", "text_hash").sortWithinPartitions("id", "text_hash", "place")
+            return stored(ordered.mapInArrow(_stretches(self.width), f"id {self.id_type}, text_hash long, spans binary, longest long"))
 
     def deduplicated(self, with_text: bool = False) -> DataFrame:
         """(id, n_words, n_removed, kept_sha256, longest), with ``kept``, the words left, if asked.
@@ -358,17 +388,20 @@ class Doubling:
         ``longest`` is the greatest of the lengths found to repeat an earlier document: a repeated passage
         of twice a length is always found at it; 0 stands for none.
         """
-        spans = stored(self.spans())
-        losing = self.sc.broadcast(bit_filter(spans.select(F.xxhash64("id").alias("h")), "h", DOC_BITS))
-        one = self.rows.mapInArrow(_only(self.copies, False, "text_hash"), self.rows.schema)
-        texts = one.unionAll(self.firsts.select("id", "text_hash", "text")).withColumn("h", F.xxhash64("id"))
-        inside = texts.mapInArrow(_only(losing, True, "h"), texts.schema).join(spans, ["id", "text_hash"], "left")
-        outside = texts.mapInArrow(_only(losing, False, "h"), texts.schema)
-        outside = outside.select("*", F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("long").alias("longest"))
-        columns = ["id", "text", "spans", F.coalesce("longest", F.lit(0)).alias("longest")]
-        schema = f"id {self.id_type}, {TOLD}"
-        own = [rows.select(columns).mapInArrow(_told(["id"], with_text), schema) for rows in (inside, outside)]
-        return own[0].unionAll(own[1]).unionAll(self._of_copies(with_text).select(own[0].columns))
+        spans = self.spans()
+        losing = None if spans is None else self._filter(spans.select(F.xxhash64("id").alias("h")), "h")
+        texts = self.rows
+        if self.copies is not None:
+            texts = texts.mapInArrow(_only(self.copies, False, "text_hash"), texts.schema).unionAll(self.firsts.select("id", "text_hash", "text"))
+        texts, schema = texts.withColumn("h", F.xxhash64("id")), f"id {self.id_type}, {TOLD}"
+        none = [F.lit(None).cast("binary").alias("spans"), F.expr("0L").alias("longest")]
+        whole = texts if losing is None else texts.mapInArrow(_only(losing, False, "h"), texts.schema)
+        out = whole.select("id", "text", *none).mapInArrow(_told(["id"], with_text), schema)
+        if losing is not None:
+            cut = texts.mapInArrow(_only(losing, True, "h"), texts.schema).join(spans, ["id", "text_hash"], "left")
+            cut = cut.select("id", "text", "spans", F.coalesce("longest", F.expr("0L")).alias("longest"))
+            out = out.unionAll(cut.mapInArrow(_told(["id"], with_text), schema))
+        return out if self.later is None else out.unionAll(self._of_copies(with_text).select(out.columns))
 
     def _of_copies(self, with_text: bool) -> DataFrame:
         """Texts of a window or more that repeat another whole lose all words, shorter ones none."""
