@@ -86,12 +86,14 @@ class Words:
         """Phrases of ``depth`` words from the words ``at``, joined by one space."""
         offsets = np.concatenate([[0], np.cumsum(depth)])
         each = np.repeat(at - offsets[:-1], depth) + np.arange(offsets[-1])
-        size = np.concatenate([[0], np.cumsum(self.end[each] - self.start[each])])
-        where = np.repeat(self.start[each] - size[:-1], np.diff(size)) + np.arange(size[-1])
-        data = self.raw[where].tobytes()
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(each), [None, pa.py_buffer(size.astype(np.int64)), pa.py_buffer(data)])
-        phrases = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words)
-        return pc.binary_join(phrases, b" ").cast(pa.large_string())
+        size = self.end[each] - self.start[each]
+        step = size + 1
+        step[offsets[1:] - 1] -= 1  # no space after the last word
+        put = np.concatenate([[0], np.cumsum(step)])
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        data = np.full(put[-1], 0x20, np.uint8)
+        data[np.repeat(put[:-1], size) + inside] = self.raw[np.repeat(self.start[each], size) + inside]
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(put[offsets].astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
 
     def frequent_pairs(self, known) -> np.ndarray:
         """For every word whether it and the next one of its piece may be a frequent pair."""
@@ -145,7 +147,7 @@ def _word_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(words.key):
                 continue
             at, n = _counted(words.key)
-            text = words.strings(at, np.ones(len(at), int)).cast(pa.string())
+            text = words.strings(at, np.ones(len(at), int))
             yield pa.RecordBatch.from_arrays([_group_names(words, at), text, pa.array(n, pa.int64()), pa.array(signed(words.key[at]))], names=["grp", "word", "n", "h"])
             at, n = _counted(words.group)
             none = pa.nulls(len(at))
@@ -203,7 +205,7 @@ def _suffixes(most: int, pairs, heavy, group_of_slot) -> object:
                     prefix[large] = _phrase(words.key, at[large], k + 1)
                 part = group_of_slot.value[_slot(prefix)]
                 columns = [pa.array(part, pa.int32()), pa.array(signed(prefix)), pa.array(depth), _group_names(words, at)]
-                columns += [words.strings(at, length).cast(pa.string()), pa.array(n, pa.int64())]
+                columns += [words.strings(at, length), pa.array(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "prefix", "depth", "grp", "suffix", "n"])
 
     return run
