@@ -146,7 +146,7 @@ def op11_survivor_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.Doubling(table(spark, sf_dir, "documents")).deduplicated()
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "longest")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def op13_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
