@@ -120,7 +120,6 @@ def test_long_texts_and_cuts_between_blocks(spark, monkeypatch):
     texts = pa.array([t for _, t in rows], pa.large_string())
     whole = [h for _, _, h, _ in substring_dedup.hashed_words(texts)]
     monkeypatch.setattr(substring_dedup, "PIECE", 64)
-    monkeypatch.setattr("tracegrove.llm.common.RUN_BYTES", 64)
     pieces = [h for i in range(3) for _, _, h, _ in substring_dedup.hashed_words(texts[i : i + 1])]
     assert (np.concatenate(whole) == np.concatenate(pieces)).all()
     seen = {}

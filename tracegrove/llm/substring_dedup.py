@@ -18,8 +18,8 @@ Defined cases: words are runs without blanks, tabs and line ends, unchanged; a n
 goes if a window that covers it also starts in a document with a smaller id, whatever is left of that
 document. Rows of one id never take words from each other; a row without an id keeps all its words and
 takes none from others; equal rows get equal results. Texts with fewer words than the width keep them. An
-empty table gives an empty result; other columns are not read, whatever their names. A text is hashed in
-pieces of some megabytes, so its length costs 8 bytes a word at a time.
+empty table gives an empty result; other columns are not read, whatever their names. A text of any length is
+hashed in pieces and costs 8 bytes a word.
 """
 
 from __future__ import annotations
@@ -33,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bit_filter, buffers, in_filter, mixed, runs, shingle_hashes, signed, span_hashes, stored, text_column, word_spans
+from .common import U64, bit_filter, buffers, in_filter, mixed, runs, shingle_hashes, signed, stored, text_column, word_spans
 
 WIDTH = 13
 #: Filters have 8 to 16 bits a value, but 2^29 (64 MB) at most.
 MAX_BITS = 29
 #: Texts that go to a Python worker at a time.
 BATCH_ROWS = 1024
-#: Longer texts are hashed in pieces of about this many bytes, cut at a blank.
-PIECE = 2 << 20
+#: Texts are hashed in runs of about this many bytes, longer ones in pieces cut at a blank.
+PIECE = 1 << 19
 #: Windows are taken from so many words at a time.
 BLOCK = 1 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -55,13 +55,37 @@ def lengths(width: int) -> Iterator[int]:
         width *= 2
 
 
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word: a polynomial of its bytes, by prefix sums over the run."""
+    up, down = powers_of(_BASE, len(raw)), powers_of(_INVERSE, len(raw))
+    total = np.zeros(len(raw) + 1, U64)
+    np.cumsum(_CODES[raw] * up[: len(raw)], out=total[1:])
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+
+
+_BASE = U64(0x9E3779B97F4A7C15)
+_INVERSE = U64(pow(int(_BASE), -1, 2**64))
+_CODES = mixed(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers_of(base: np.uint64, n: int) -> np.ndarray:
+    """Powers 0, 1, ... of an odd number modulo 2^64, n of them at least."""
+    have = _powers.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(max(n, PIECE + (PIECE >> 2)), base, U64)
+        have[0] = 1
+        have = _powers[int(base)] = np.multiply.accumulate(have)
+    return have
+
+
 def hashed_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(i, j, hashes of the words of texts i to j - 1, first word of each)."""
-    for i, j in runs(texts):
+    for i, j in runs(texts, PIECE):
         raw, off = buffers(texts[i:j])
         if len(raw) <= PIECE:
             start, end, first = word_spans(raw, off)
-            yield i, j, span_hashes(raw, start, end, fold=False), first
+            yield i, j, word_hashes(raw, start, end), first
             continue
         parts, a = [], 0  # one long text
         while a < len(raw):
@@ -71,7 +95,7 @@ def hashed_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
                     b += 1
             part = raw[a:b]
             start, end, _ = word_spans(part, np.array([0, len(part)]))
-            parts.append(span_hashes(part, start, end, fold=False))
+            parts.append(word_hashes(part, start, end))
             a = b
         words = np.concatenate(parts) if parts else np.zeros(0, U64)
         yield i, j, words, np.array([0, len(words)])
