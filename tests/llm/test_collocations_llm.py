@@ -116,3 +116,27 @@ def test_words_of_adjacent_texts_do_not_meet(spark):
     df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
     got = {r.phrase: r.a for r in Phrases(df).counts()[0].collect()}
     assert got == {"left": 120, "right": 120}
+
+
+def test_long_texts_are_cut_between_pieces(spark):
+    import numpy as np
+
+    texts = ["ab cd. " * 50, "ab cd " * 50, ".", "x" * 100 + ", y"]
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        parts = list(collocations._stretches(raw))
+        assert parts == [(0, len(raw))]  # a run is far longer
+    whole, run = collocations.RUN, collocations._stretches
+    try:
+        collocations.RUN = 16
+        for text in texts:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            parts = list(run(raw))
+            assert parts[0][0] == 0 and parts[-1][1] == len(raw) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+            assert all(chr(raw[b - 1]) in ".," for _, b in parts[:-1])
+        assert len(list(run(np.frombuffer(texts[0].encode(), np.uint8)))) > 10
+    finally:
+        collocations.RUN = whole
+    long = " ".join(rnd for rnd in ["one two, three"] * 200_000)
+    got = {r.phrase: r.a for r in Phrases(spark.createDataFrame([("en", long)], "lang string, text string")).counts()[0].collect()}
+    assert got == {"one": 200_000, "two": 200_000, "three": 200_000, "one two": 200_000, "three one": 199_999, "three one two": 199_999}

@@ -5,7 +5,7 @@ never built whole. Vertical partitioning gives every prefix of words a place: a
 ``budget`` suffixes begin with it, else its continuations by one more word, and so on. Prefixes are dealt
 into groups of about ``budget`` suffixes; each group's subtree is built in one task from its suffixes
 alone, and counts are read from its leaf totals. A task takes a group's suffixes in order of their prefix
-and builds the subtree of whole prefixes some ``budget`` rows at a time, so its memory is bounded.
+and builds the subtrees of whole prefixes, some 2^17 rows at a time, so its memory is bounded.
 
 A suffix ends early where it can hold no frequent phrase: at the end of its piece, and where two words
 next to each other are not frequent. Which words and word pairs are frequent is counted first; they become
@@ -18,7 +18,7 @@ parts, in exact decimal arithmetic. A phrase that lies in a longer one of the sa
 Defined cases: A-Z counts as a-z; pieces end at . , ; : ! ? and line ends, words are runs without blanks
 and tabs; a null text has no words, a null group is ``und``; ties are broken by count, then by the phrase in
 byte order; equal rows count again each; groups without a frequent phrase give no row, an empty table none.
-Other columns are not read, whatever their names. Long texts are taken whole, in runs of their own.
+Other columns are not read, whatever their names. Long texts are taken whole, cut between pieces only.
 """
 
 from __future__ import annotations
@@ -31,16 +31,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U64, bit_filter, buffers, in_filter, mixed, runs, signed, span_hashes, stored, text_column
+from .common import NOT_SPACE, U64, bit_filter, buffers, in_filter, mixed, runs, signed, stored, text_column
+from .words import small_batches, word_hashes
 
 MOST, AT_LEAST, TOP = 5, 100, 2000
-#: Suffixes of a group, and rows a task builds a subtree of at a time.
-BUDGET = 1 << 20
+#: Suffixes of a group, and rows a task builds subtrees of at a time (all of a prefix, the budget at most).
+BUDGET, CHUNK = 1 << 19, 1 << 17
 FILTER_BITS = 27
 #: Slots of prefix hashes whose weights are told to the driver when groups are formed.
 SLOTS = 1 << 16
 #: Bytes of text whose equal words or suffixes are counted together.
-RUN = 8 << 20
+RUN = 1 << 20
 #: Parts that rank a group's phrases before the whole is ranked.
 PARTS = 16
 #: Characters that end a piece.
@@ -57,8 +58,7 @@ class Words:
     """Words of a run of texts: bytes, spans, hashes, and for each the number of words that follow in its
     piece."""
 
-    def __init__(self, texts: pa.Array, groups: np.ndarray):
-        raw, off = buffers(texts)
+    def __init__(self, raw: np.ndarray, off: np.ndarray, groups: np.ndarray):
         self.raw = _LOWER[raw]
         inside = _WORD[raw]
         bounds = np.zeros(len(raw) + 1, np.int8)
@@ -73,7 +73,7 @@ class Words:
         n = len(self.start)
         text = np.searchsorted(off, self.start, side="right") - 1
         self.group = groups[text]
-        self.hash = span_hashes(self.raw, self.start, self.end, fold=False)
+        self.hash = word_hashes(self.raw, self.start, self.end)
         # Equal words of different groups are different.
         self.key = mixed(self.hash + self.group.astype(U64) * U64(0x9E3779B97F4A7C15))
         piece = np.concatenate([[0], np.cumsum(_ENDS[raw])])[self.start] + text
@@ -111,17 +111,34 @@ def _phrase(key: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return h
 
 
-def _words_of(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str]]]:
+def _words_of(batch: pa.RecordBatch) -> Iterator[Words]:
     texts = text_column(batch, "text")
     groups = batch.column(1).dictionary_encode()
     names = groups.dictionary.to_pylist()
     # The same number for a group in every task.
-    number = span_hashes(*_spans(pa.array(names, pa.large_string())), fold=False) if names else np.zeros(0, U64)
+    number = word_hashes(*_spans(pa.array(names, pa.large_string()))) if names else np.zeros(0, U64)
     code = groups.indices.to_numpy()
     for i, j in runs(texts, RUN):
-        words = Words(texts[i:j], number[code[i:j]])
-        words.names = dict(zip(number.tolist(), names))
-        yield words
+        raw, off = buffers(texts[i:j])
+        for a, b in _stretches(raw):
+            words = Words(raw[a:b], off if b - a == len(raw) else np.array([0, b - a]), number[code[i:j]])
+            words.names = dict(zip(number.tolist(), names))
+            yield words
+
+
+def _stretches(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of a long text that end with a piece, a run or more of bytes each; others whole."""
+    a = 0
+    while len(raw) - a > 2 * RUN:
+        ends = np.flatnonzero(_ENDS[raw[a + RUN : a + 2 * RUN]])
+        if not len(ends):
+            ends = np.flatnonzero(_ENDS[raw[a + 2 * RUN :]]) + RUN
+        if not len(ends):
+            break
+        b = a + RUN + int(ends[0]) + 1
+        yield a, b
+        a = b
+    yield a, len(raw)
 
 
 def _spans(names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +278,7 @@ def _taken(words: pa.ListArray, start: np.ndarray, k: int) -> pa.Array:
     return words.values.take(pa.array((start[:, None] + np.arange(k)).ravel()))
 
 
-def _subtrees(budget: int, at_least: int) -> object:
+def _subtrees(chunk: int, at_least: int) -> object:
     """For mapInArrow over suffix rows sorted by (part, prefix): the nodes of each prefix's subtree."""
 
     def built(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -278,7 +295,7 @@ def _subtrees(budget: int, at_least: int) -> object:
             rows += batch.num_rows
             prefix = batch.column(batch.schema.get_field_index("prefix")).to_numpy()
             new = np.flatnonzero(prefix[1:] != prefix[:-1]) + 1
-            if rows >= budget and len(new):
+            if rows >= chunk and len(new):
                 cut = int(new[-1])  # the last prefix may go on in the next batch
                 kept[-1] = batch.slice(0, cut)
                 yield built(kept)
@@ -340,16 +357,17 @@ class Phrases:
 
     def counts(self) -> tuple[DataFrame, DataFrame]:
         """((grp, phrase, words, a) of all frequent phrases of 1 to ``most`` words, (grp, n) of all words)."""
-        words = self.words()
-        pairs, heavy, groups, n_groups = self._partition(words)
-        schema = "part int, prefix long, depth int, grp string, suffix string, n long"
-        rows = self.texts.mapInArrow(_suffixes(self.most, pairs, heavy, groups), schema)
-        dealt = rows.repartition(n_groups, "part").sortWithinPartitions("part", "prefix")
-        nodes = dealt.mapInArrow(_subtrees(self.budget, self.at_least), "grp string, phrase string, words int, a long")
-        # A node above its subtrees' prefixes has a share in each of them.
-        nodes = nodes.groupBy("grp", "phrase", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= self.at_least)
-        single = words.filter(F.col("word").isNotNull()).select("grp", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("a"))
-        return stored(nodes.unionAll(single)), stored(words.filter(F.col("word").isNull()).select("grp", "n"))
+        with small_batches(self.texts.sparkSession):
+            words = self.words()
+            pairs, heavy, groups, n_groups = self._partition(words)
+            schema = "part int, prefix long, depth int, grp string, suffix string, n long"
+            rows = self.texts.mapInArrow(_suffixes(self.most, pairs, heavy, groups), schema)
+            dealt = rows.repartition(n_groups, "part").sortWithinPartitions("part", "prefix")
+            nodes = dealt.mapInArrow(_subtrees(min(self.budget, CHUNK), self.at_least), "grp string, phrase string, words int, a long")
+            # A node above its subtrees' prefixes has a share in each of them.
+            nodes = nodes.groupBy("grp", "phrase", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= self.at_least)
+            single = words.filter(F.col("word").isNotNull()).select("grp", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("a"))
+            return stored(nodes.unionAll(single)), stored(words.filter(F.col("word").isNull()).select("grp", "n"))
 
     def scored(self, percent: int = 100) -> DataFrame:
         """(grp, phrase, a, l, r, n, score): candidates by their worst cut; those inside a longer candidate that

@@ -26,22 +26,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, bit_filter, buffers, in_filter, mixed, runs, shingle_hashes, signed, stored, text_column, word_spans
+from .words import PIECE, small_batches, word_hashes
 
 WIDTH = 13
 #: Filters have 8 to 16 bits a value, but 2^29 (64 MB) at most.
 MAX_BITS = 29
-#: Texts that go to a Python worker at a time.
-BATCH_ROWS = 1024
-#: Texts are hashed in runs of about this many bytes, longer ones in pieces cut at a blank.
-PIECE = 1 << 19
+#: Texts whose results are sent on together.
+SENT = 1024
 #: Windows are taken from so many words at a time.
 BLOCK = 1 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -55,30 +53,6 @@ def lengths(width: int) -> Iterator[int]:
         width *= 2
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word: a polynomial of its bytes, by prefix sums over the run."""
-    up, down = powers_of(_BASE, len(raw)), powers_of(_INVERSE, len(raw))
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_CODES[raw] * up[: len(raw)], out=total[1:])
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
-
-
-_BASE = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(int(_BASE), -1, 2**64))
-_CODES = mixed(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers_of(base: np.uint64, n: int) -> np.ndarray:
-    """Powers 0, 1, ... of an odd number modulo 2^64, n of them at least."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        have = np.full(max(n, PIECE + (PIECE >> 2)), base, U64)
-        have[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(have)
-    return have
-
-
 def hashed_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(i, j, hashes of the words of texts i to j - 1, first word of each)."""
     for i, j in runs(texts, PIECE):
@@ -293,7 +267,7 @@ def _told(keys: list[str], with_text: bool) -> object:
     """For mapInArrow over keys, text, spans and longest: what is left of each text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, BATCH_ROWS) for b in it for k in range(0, b.num_rows, BATCH_ROWS)):
+        for batch in (b.slice(k, SENT) for b in it for k in range(0, b.num_rows, SENT)):
             columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             out = [left_over(t or "", s) for t, s in zip(columns["text"].to_pylist(), columns["spans"].to_pylist())]
             n, gone, kept = zip(*out)
@@ -307,18 +281,6 @@ def _told(keys: list[str], with_text: bool) -> object:
 TOLD = "n_words long, n_removed long, kept_sha256 string, longest long, kept string"
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """While texts are looked through, Arrow batches of few rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 class Doubling:
     """The repeated windows of a table's texts, found length by length.
 
