@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -181,8 +182,7 @@ def _scan(pick, most: int, copies, names: list[str]) -> object:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            if copies is not None:
-                batch = _kept(batch, copies, False, "text_hash")
+            batch = _passing(batch, [(copies, False, "text_hash")])
             batch = batch.filter(batch.column(0).is_valid())
             if not batch.num_rows:
                 continue
@@ -196,17 +196,19 @@ def _scan(pick, most: int, copies, names: list[str]) -> object:
     return run
 
 
-def _kept(batch: pa.RecordBatch, known, inside: bool, column: str) -> pa.RecordBatch:
-    if not batch.num_rows:
-        return batch
-    values = batch.column(batch.schema.get_field_index(column)).to_numpy()
-    return batch.filter(pa.array(in_filter(known.value, values) == inside, pa.bool_()))
+def _passing(batch: pa.RecordBatch, tests: list[tuple] | tuple) -> pa.RecordBatch:
+    """Rows that pass tests of (filter, wanted answer, column); a filter of None passes all."""
+    for known, inside, column in tests:
+        if known is not None and batch.num_rows:
+            values = batch.column(batch.schema.get_field_index(column)).to_numpy()
+            batch = batch.filter(pa.array(in_filter(known.value, values) == inside, pa.bool_()))
+    return batch
 
 
-def _only(known, inside: bool, column: str) -> object:
+def _only(tests: list[tuple]) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield _kept(batch, known, inside, column)
+            yield _passing(batch, tests)
 
     return run
 
@@ -263,14 +265,17 @@ def left_over(text: str, spans: bytes | None) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def _told(keys: list[str], with_text: bool) -> object:
-    """For mapInArrow over keys, text, spans and longest: what is left of each text."""
+def _told(keys: list[str], with_text: bool, tests: list[tuple] | tuple = ()) -> object:
+    """For mapInArrow over keys, text and perhaps spans and longest: what is left of each text that passes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, SENT) for b in it for k in range(0, b.num_rows, SENT)):
+            batch = _passing(batch, tests)
             columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            if "spans" not in columns:
+                columns |= {"spans": pa.nulls(batch.num_rows), "longest": pa.array(np.zeros(batch.num_rows, np.int64))}
             out = [left_over(t or "", s) for t, s in zip(columns["text"].to_pylist(), columns["spans"].to_pylist())]
-            n, gone, kept = zip(*out)
+            n, gone, kept = zip(*out) if out else ((), (), ())
             told = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
             told += [columns["longest"], pa.array([k.decode() for k in kept] if with_text else [None] * len(kept), pa.string())]
             yield pa.RecordBatch.from_arrays([columns[k] for k in keys] + told, names=keys + ["n_words", "n_removed", "kept_sha256", "longest", "kept"])
@@ -313,7 +318,7 @@ class Doubling:
         if self.copies is None:
             self.firsts = self.later = None
             return
-        maybe = self.rows.mapInArrow(_only(self.copies, True, "text_hash"), self.rows.schema)
+        maybe = self.rows.mapInArrow(_only([(self.copies, True, "text_hash")]), self.rows.schema)
         maybe = maybe.withColumn("twin", twin).join(classes, ["text_hash", "twin"], "left")
         first = F.col("first_id").isNull() | F.col("id").isNull() | (F.col("id") == F.col("first_id"))
         self.firsts = stored(maybe.filter(first).select("id", "text_hash", "text", "twin", F.col("first_id").isNotNull().alias("has_copies")))
@@ -375,23 +380,32 @@ class Doubling:
         of twice a length is always found at it; 0 stands for none.
         """
         spans = self.spans()
-        losing = None if spans is None else self._filter(spans.select(F.xxhash64("id").alias("h")), "h")
-        texts = self.rows
-        if self.copies is not None:
-            texts = texts.mapInArrow(_only(self.copies, False, "text_hash"), texts.schema).unionAll(self.firsts.select("id", "text_hash", "text"))
-        texts, schema = texts.withColumn("h", F.xxhash64("id")), f"id {self.id_type}, {TOLD}"
-        none = [F.lit(None).cast("binary").alias("spans"), F.expr("0L").alias("longest")]
-        whole = texts if losing is None else texts.mapInArrow(_only(losing, False, "h"), texts.schema)
-        out = whole.select("id", "text", *none).mapInArrow(_told(["id"], with_text), schema)
-        if losing is not None:
-            cut = texts.mapInArrow(_only(losing, True, "h"), texts.schema).join(spans, ["id", "text_hash"], "left")
-            cut = cut.select("id", "text", "spans", F.coalesce("longest", F.expr("0L")).alias("longest"))
-            out = out.unionAll(cut.mapInArrow(_told(["id"], with_text), schema))
-        return out if self.later is None else out.unionAll(self._of_copies(with_text).select(out.columns))
+        with small_batches(self.spark):
+            losing = None if spans is None else self._filter(spans.select(F.xxhash64("id").alias("h")), "h")
+            out = self._left(spans, losing, with_text)
+            # Texts are left to the caller; without them the result is narrow, and made in small batches here.
+            return out if with_text else stored(out)
+
+    def _left(self, spans: DataFrame | None, losing, with_text: bool) -> DataFrame:
+        schema = f"id {self.id_type}, {TOLD}"
+        parts = [(self.rows, self.copies)] + ([] if self.firsts is None else [(self.firsts, None)])
+        out = []
+        for rows, copies in parts:
+            rows = rows.select("id", "text_hash", "text", F.xxhash64("id").alias("h"))
+            tests = [(copies, False, "text_hash"), (losing, False, "h")]
+            out.append(rows.mapInArrow(_told(["id"], with_text, tests), schema))
+            if losing is not None:
+                tests[1] = (losing, True, "h")
+                cut = rows.mapInArrow(_only(tests), rows.schema).join(spans, ["id", "text_hash"], "left")
+                cut = cut.select("id", "text", "spans", F.coalesce("longest", F.expr("0L")).alias("longest"))
+                out.append(cut.mapInArrow(_told(["id"], with_text), schema))
+        if self.later is not None:
+            out.append(self._of_copies(with_text).select(out[0].columns))
+        return reduce(DataFrame.unionAll, out)
 
     def _of_copies(self, with_text: bool) -> DataFrame:
         """Texts of a window or more that repeat another whole lose all words, shorter ones none."""
-        whole = self.firsts.filter("has_copies").select("text_hash", "twin", "text", F.lit(None).cast("binary").alias("spans"), F.expr("0L").alias("longest"))
+        whole = self.firsts.filter("has_copies").select("text_hash", "twin", "text")
         whole = whole.mapInArrow(_told(["text_hash", "twin"], with_text), f"text_hash long, twin long, {TOLD}").dropDuplicates(["text_hash", "twin"])
         n, gone = F.col("n_words"), F.col("n_words") >= self.width
         longest = F.lit(self.width) * F.pow(F.lit(2.0), F.floor(F.log2(n / self.width))).cast("long")
