@@ -130,18 +130,40 @@ def output(pid, *texts):
     return json.dumps({"problem_id": pid, "category": "c", "answer": "5", "prompt_token_ids": [9], "completions": done})
 
 
+GRADED_KEYS = ["stage", "problem_id", "sample_no"]
+
+
 def test_graded_stream_equals_batch(spark, tmp_path):
-    landing = tmp_path / "in"
-    put(landing / "1.json", output("a", r"\boxed{5}", "none"))
-    run = lambda: jobs.append_rows(
-        jobs.graded_stream(jobs.read_new_outputs(spark, str(landing)), "probe"), str(tmp_path / "out"), str(tmp_path / "cp")
-    ).awaitTermination()
-    run()
-    put(landing / "2.json", output("b", r"\boxed{6}"), output("a", r"\boxed{5}", "again"))
-    run()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert {(r.problem_id, r.sample_no, r.reward) for r in got.collect()} == {("a", 0, 1.0), ("a", 1, 0.0), ("b", 0, 0.0)}
+    landing, target = tmp_path / "in", str(tmp_path / "out")
+
+    def run(checkpoint="cp"):
+        rows = jobs.graded_stream(jobs.read_new_outputs(spark, str(landing)), "probe")
+        jobs.append_new_rows(rows, target, str(tmp_path / checkpoint), GRADED_KEYS).awaitTermination()
+        return sorted((r.problem_id, r.sample_no, r.reward) for r in jobs.read_appended(spark, target).collect())
+
+    put(landing / "1.json", output("a", r"\boxed{5}", "none"), output("a", r"\boxed{5}", "none"))
+    assert run() == [("a", 0, 1.0), ("a", 1, 0.0)]
+    put(landing / "2.json", output("b", r"\boxed{6}"), output("a", r"\boxed{7}", "again"))
+    want = [("a", 0, 1.0), ("a", 1, 0.0), ("b", 0, 0.0)]
+    assert run() == want
+    got = jobs.read_appended(spark, target)
     assert got.filter("problem_id = 'b'").first().old_logp == [0.0, -0.5, -1.0]
+    # Neither a second run nor one that has lost its checkpoint adds a row, and no state is kept.
+    assert run() == want
+    assert run("new") == want
+    assert not (tmp_path / "cp" / "state").exists() and not (tmp_path / "new" / "state").exists()
+
+
+def test_a_repeated_micro_batch_replaces_its_rows(spark, tmp_path):
+    landing, target, checkpoint = tmp_path / "in", str(tmp_path / "out"), tmp_path / "cp"
+    rows = lambda: jobs.graded_stream(jobs.read_new_outputs(spark, str(landing)), "probe")
+    put(landing / "1.json", output("a", r"\boxed{5}"))
+    jobs.append_new_rows(rows(), target, str(checkpoint), GRADED_KEYS).awaitTermination()
+    # As after a crash between the write and the commit of a micro-batch.
+    for name in ("0", ".0.crc"):
+        (checkpoint / "commits" / name).unlink()
+    jobs.append_new_rows(rows(), target, str(checkpoint), GRADED_KEYS).awaitTermination()
+    assert [(r.problem_id, r.reward) for r in jobs.read_appended(spark, target).collect()] == [("a", 1.0)]
 
 
 def test_step_stream_equals_batch(spark, tmp_path):
@@ -158,3 +180,28 @@ def test_step_stream_equals_batch(spark, tmp_path):
     got = jobs.current_step_losses(spark, target)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
     assert {(r.step, r.loss_per_token) for r in got.collect()} == {(0, 0.5), (1, 1.5), (2, 1.5)}
+
+
+def test_step_losses_are_compacted(spark, tmp_path):
+    """Twenty micro-batches: a read takes a snapshot and a few of them, and equals the batch."""
+    landing, target, state = tmp_path / "log", str(tmp_path / "t"), str(tmp_path / "s")
+    for k in range(20):
+        rows = [{"epoch": 0, "step": s, "problem_id": "p", "segment": "s", "category": "c", "num_loss_tokens": 2, "total_loss": k + s / 4, "min_logprob": -k} for s in (k % 3, k)]
+        put(landing / f"{k:02}.json", *map(json.dumps, rows))
+    most = 0
+    for stop in (7, 20):
+        for k in range(20):
+            path = landing / f"{k:02}.json"
+            path.rename(path.with_suffix(".json" if k < stop else ".wait")) if path.exists() else (landing / f"{k:02}.wait").rename(path)
+        log = jobs.read_new_log(spark, str(landing) + "/*.json", files_per_batch=1)
+        jobs.update_step_losses(log, target, state, compact_every=4).awaitTermination()
+        paths = jobs.state_paths(spark, target)
+        most = max(most, len(paths))
+        got = jobs.current_step_losses(spark, target)
+        want = jobs.step_losses(spark.read.schema(schemas.LOG_INDEX).json([str(landing / f"{k:02}.json") for k in range(stop)]))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    assert most <= 4 and paths[0].endswith("snapshot=19") and len(paths) == 1
+    (home,) = (tmp_path / "t").iterdir()
+    # What has gone into a snapshot is gone, but for the snapshot before.
+    assert sorted(p.name for p in home.iterdir()) == ["snapshot=15", "snapshot=19"]
+    assert got.count() == 20 and not (tmp_path / "s" / "state").exists()

@@ -41,3 +41,41 @@ def pick_int(low: int, high: int, seed: int, *keys: Column) -> Column:
 def pick_from(options: list, seed: int, *keys: Column) -> Column:
     """Seeded choice out of a short list."""
     return F.element_at(F.array(*[F.lit(o) for o in options]), pick_int(1, len(options), seed, *keys))
+
+
+# --- draws that any SQL engine with sha256 repeats --------------------------------------------
+
+
+def counter_bits(seed: int, *keys: Column) -> Column:
+    """52 bits of sha256("seed|key|key..."), keys as text: a random number for each value of the counter."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint")
+
+
+def counter_uniform(seed: int, *keys: Column) -> Column:
+    """A number in (0, 1) from :func:`counter_bits`."""
+    return (counter_bits(seed, *keys).cast("double") + 0.5) / float(2**52)
+
+
+def counter_int(low: int, high: int, seed: int, *keys: Column) -> Column:
+    """An integer in [low, high] from :func:`counter_bits`."""
+    return (F.lit(low) + counter_bits(seed, *keys) % (high - low + 1)).cast("int")
+
+
+def counter_pick(options: list, seed: int, *keys: Column) -> Column:
+    """One of a short list from :func:`counter_bits`."""
+    return F.element_at(F.array(*[F.lit(o) for o in options]), counter_int(1, len(options), seed, *keys))
+
+
+def counter_bits_sql(seed: int, *keys: str) -> str:
+    """:func:`counter_bits` as DuckDB SQL."""
+    text = " || '|' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    return f"CAST('0x' || substr(sha256({text}), 1, 13) AS BIGINT)"
+
+
+def counter_uniform_sql(seed: int, *keys: str) -> str:
+    return f"((CAST({counter_bits_sql(seed, *keys)} AS DOUBLE) + 0.5) / 4503599627370496.0)"
+
+
+def counter_int_sql(low: int, high: int, seed: int, *keys: str) -> str:
+    return f"({low} + {counter_bits_sql(seed, *keys)} % {high - low + 1})"

@@ -1,7 +1,7 @@
 """Exact order statistics that never sort a group in one task.
 
-Equal values are counted first. The distinct values then get running counts over fixed
-logarithmic value buckets, and each wanted rank is read off with a plain aggregate.
+Wanted ranks are found by :mod:`.selection`, whatever the distribution of the values. The lower median of many
+small groups counts equal values and takes running counts over logarithmic value buckets.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import running_total
+from .selection import at_ranks, counted
 
 # Reported percentiles and CDF points.
 PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
@@ -53,28 +54,23 @@ def nearest_rank(
     df: DataFrame, value: str, percents: Sequence[int] = PERCENTILES, group: Sequence[str] = (), prefix: str = "p"
 ) -> DataFrame:
     """Value at index ``min(int(n * p / 100), n - 1)`` of the sorted values, per percentile."""
-    table = cumulative(df, value, group)
-    picks = []
-    for p in percents:
-        index = F.least(F.floor(F.col("total") * p / F.lit(100)), F.col("total") - 1)
-        picks.append(_at_rank(value, index).alias(f"{prefix}{p:02d}"))
-    return table.groupBy(*group).agg(*picks)
+    total = F.col("total")
+    ranks = {f"{prefix}{p:02d}": F.least(F.floor(total * p / F.lit(100)), total - 1) + 1 for p in percents}
+    return _by_group(at_ranks(counted(df, value, group), ranks), group, [F.col(n) for n in ranks])
+
+
+def _by_group(found: DataFrame, group: Sequence[str], columns: Sequence[Column]) -> DataFrame:
+    return found.select(*[F.col(f"_group.{c}").alias(c) for c in group], *columns)
 
 
 def linear_quantile(
     df: DataFrame, value: str, q: float, group: Sequence[str] = (), name: str = "quantile", weight: Column | None = None
 ) -> DataFrame:
     """Quantile with linear interpolation between the two nearest ranks (0.5: median)."""
-    table = cumulative(df, value, group, weight)
     place = (F.col("total") - 1) * F.lit(q)
-    low = _at_rank(value, F.floor(place))
-    high = _at_rank(value, F.ceil(place))
-    share = F.max(place - F.floor(place))
-    return (
-        table.groupBy(*group)
-        .agg(low.alias("_low"), high.alias("_high"), share.alias("_share"))
-        .select(*group, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")).alias(name))
-    )
+    found = at_ranks(counted(df, value, group, weight), {"_low": F.floor(place) + 1, "_high": F.ceil(place) + 1})
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * (place - F.floor(place))
+    return _by_group(found, group, [between.alias(name)])
 
 
 def lower_median(df: DataFrame, value: str, group: Sequence[str], name: str = "median") -> DataFrame:
@@ -87,12 +83,8 @@ def weighted_percentiles(
     df: DataFrame, value: str, weight: Column, percents: Sequence[int] = PERCENTILES, prefix: str = "p"
 ) -> DataFrame:
     """First value whose running weight reaches ``p`` percent of the total weight."""
-    table = cumulative(df, value, weight=weight)
-    picks = []
-    for p in percents:
-        reached = F.min(F.when(F.col("upto") >= F.col("total") * p / F.lit(100.0), F.col(value)))
-        picks.append(F.coalesce(reached, F.max(value)).alias(f"{prefix}{p:02d}"))
-    return table.agg(*picks)
+    ranks = {f"{prefix}{p:02d}": F.col("total") * p / F.lit(100.0) for p in percents}
+    return at_ranks(counted(df, value, weight=weight), ranks).select(*ranks)
 
 
 def cdf_name(point: float, prefix: str) -> str:

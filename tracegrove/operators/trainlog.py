@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
-from ..functions.hashing import uniform
+from ..functions.hashing import counter_uniform
 from ..functions.text import passes
 from .ordering import last_per_key, position, row_bucket, top_per_group
 from .quantiles import linear_quantile
+from .selection import largest
 from .reports import rolled_up
 
 # Limits of the example pickers.
@@ -340,11 +341,13 @@ def annealed_probabilities(df: DataFrame, difficulty: str, progress: float, t0:
 
 
 def weighted_sample(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
-    """``n`` rows without replacement, chance by ``probability``: largest log(u) / p.
+    """``n`` rows without replacement, chance by ``probability``: the largest of log(p) plus Gumbel noise.
 
-    A probability of zero, also one too small for a double, comes last."""
-    score = F.try_divide(F.log(uniform(seed, *[F.col(k) for k in keys])), F.col("probability"))
-    return df.withColumn("_score", score).orderBy(F.desc_nulls_last("_score"), *keys).limit(n).drop("_score")
+    The noise hashes seed and keys, so a row's luck does not depend on the others. The n-th largest value is
+    found by counts and the rows are filtered by it. A probability of zero comes last.
+    """
+    noise = -F.log(-F.log(counter_uniform(seed, *[F.col(k) for k in keys])))
+    return largest(df, F.log("probability") + noise, n, keys)
 
 
 def review_state(log: DataFrame, *, loss: str = "loss", decay: float = 0.9, base: float = 2.0) -> DataFrame:

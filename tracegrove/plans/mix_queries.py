@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing as H
 from ..functions import tokens as K
 from ..operators import mining, mixing, reports, rollouts, trainlog
 from ..operators.ordering import position
@@ -632,7 +633,13 @@ def _annealed_sample(spark, sf):
     return trainlog.weighted_sample(p, 256, 0, ["row_no"]).select("row_no")
 
 
-add("annealed_sample", _annealed_sample)
+add(
+    "annealed_sample",
+    _annealed_sample,
+    ["log_v"],
+    f"""SELECT row_no FROM (SELECT row_no, -z / 1.625 - ln(-ln({H.counter_uniform_sql(0, "row_no")})) AS score FROM (
+      SELECT row_no, (total_loss - avg(total_loss) OVER ()) / (stddev_pop(total_loss) OVER () + 1e-6) AS z FROM log_v)) ORDER BY score DESC, row_no LIMIT 256""",
+)
 
 
 def _review(spark, sf):

@@ -42,28 +42,40 @@ QUERIES["stream_step_losses"] = Query(
 )
 
 
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
+
+
 def _graded(spark, sf):
     schema = V.table(spark, sf, "lineitem").schema
     lines = jobs.read_new_parquet(tune(spark), sf, "lineitem.parquet", schema)
+    part = F.col("l_partkey").cast("string")
     ids = F.array(F.col("l_linenumber"), F.col("l_quantity").cast("int"))
-    text = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("\\boxed{"), F.col("l_partkey").cast("string"), F.lit("}"))).otherwise("\\boxed{0.5}")
+    boxed = F.when(F.col("l_returnflag") == "A", part).when(F.col("l_returnflag") == "N", F.concat(part, F.lit(".5"))).otherwise("0.5")
+    text = F.concat(F.lit("\\boxed{"), boxed, F.lit("}"))
     one = F.struct(ids.alias("token_ids"), text.alias("text"), F.lit(None).cast("array<map<string,double>>").alias("logprobs"))
     outputs = lines.select(
-        "l_orderkey",
-        "l_linenumber",
-        F.col("l_partkey").cast("string").alias("problem_id"),
-        F.col("l_partkey").cast("string").alias("answer"),
+        *_LINE,
+        part.alias("problem_id"),
+        part.alias("answer"),
         F.col("l_linestatus").alias("category"),
         F.array(F.lit(1)).alias("prompt_token_ids"),
         F.array(one).alias("completions"),
     )
-    graded = jobs.graded_stream(outputs, "probe", ["l_orderkey", "l_linenumber", "problem_id"]).select("category", "problem_id", "reward")
+    keys = ["stage", *_LINE, "sample_no"]
+    graded = jobs.graded_stream(outputs, "probe").select(*keys, "category", "problem_id", "pred", "reward")
     target = shared_folder(spark, "graded")
-    _finish(jobs.append_rows(graded, target, shared_folder(spark, "graded-state")))
-    return spark.read.parquet(target).groupBy("category").agg(F.countDistinct("problem_id").alias("problems"))
+    # The second run has lost its checkpoint and reads all again; it must not add a row.
+    for run in ("a", "b"):
+        _finish(jobs.append_new_rows(graded, target, shared_folder(spark, f"graded-state-{run}"), keys))
+    return jobs.read_appended(spark, target).groupBy("category", "problem_id").agg(
+        F.count("*").alias("rows"), F.sum("reward").alias("reward"), F.max("pred").alias("last_pred")
+    )
 
 
 QUERIES["stream_graded_rollouts"] = Query(
     _graded,
-    "SELECT l_linestatus AS category, count(DISTINCT l_partkey) AS problems FROM lineitem GROUP BY l_linestatus",
+    """SELECT l_linestatus AS category, CAST(l_partkey AS VARCHAR) AS problem_id, count(*) AS rows,
+      sum(CASE WHEN l_returnflag = 'A' OR (l_returnflag = 'N' AND NOT regexp_full_match(CAST(l_partkey AS VARCHAR), '[01]+') AND 0.5 / l_partkey <= 0.01) THEN 1.0 ELSE 0.0 END) AS reward,
+      max(CASE l_returnflag WHEN 'A' THEN CAST(l_partkey AS VARCHAR) WHEN 'N' THEN l_partkey || '.5' ELSE '0.5' END) AS last_pred
+      FROM lineitem GROUP BY ALL""",
 )

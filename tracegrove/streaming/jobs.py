@@ -1,20 +1,27 @@
 """Incremental jobs over tables that grow file by file.
 
-Both use ``availableNow``: each run takes the files that are new since the last one, and the
-result equals the batch job over all files.
+All use ``availableNow``: each run takes the files that are new since the last one, and the
+result equals the batch job over all files. None keeps a state store: what a job has to remember is in
+its target, written by ``foreachBatch`` into a folder per query and micro-batch. A repeated micro-batch
+overwrites its own folder, a new checkpoint begins new folders.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..operators.rollouts import records_from_outputs
+from ..sources.files import delete, folders, has_file
+
+#: Parts of a target by key; a micro-batch reads the keys of the parts it has rows for.
+KEY_PARTS = 16
 
 
 def read_new_outputs(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,9 +29,10 @@ def read_new_outputs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schemas.GENERATION_OUTPUT).json(folder)
 
 
-def read_new_log(spark: SparkSession, folder: str) -> DataFrame:
+def read_new_log(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Training-log lines flushed to a folder as JSON lines."""
-    return spark.readStream.schema(schemas.LOG_INDEX).json(folder)
+    reader = spark.readStream.schema(schemas.LOG_INDEX)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).json(folder)
 
 
 def read_new_parquet(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
@@ -32,63 +40,126 @@ def read_new_parquet(spark: SparkSession, folder: str, name: str, schema: Struct
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def graded_stream(outputs: DataFrame, stage: str, keys: Sequence[str] = ("problem_id",)) -> DataFrame:
-    """Graded rollouts of a stream of generation outputs.
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a streaming query keeps in its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def _each_batch(rows: DataFrame, checkpoint: str, write, mode: str = "append") -> StreamingQuery:
+    stream = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    return stream.foreachBatch(write).trigger(availableNow=True).start()
+
+
+# --- graded rollouts -------------------------------------------------------------------------
+
+
+def graded_stream(outputs: DataFrame, stage: str) -> DataFrame:
+    """Graded rollouts of a stream of generation outputs."""
+    return records_from_outputs(outputs, stage)
+
 
-    A completion seen before (same stage, keys and sample number) is dropped, so a rerun of
-    the generator does not add rows. The data has no event time; the state holds one key per
-    completion.
+def _part_of(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(KEY_PARTS)).cast("int")
+
+
+def append_new_rows(rows: DataFrame, target: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
+    """Append to a Parquet table the rows of a stream whose keys it does not have yet.
+
+    Of rows with equal keys in one micro-batch the least one counts. The table itself tells what was seen, so
+    nothing is kept besides it: a micro-batch is joined with the key columns of those parts of the table
+    that its own keys fall into.
     """
-    return records_from_outputs(outputs, stage).dropDuplicates(["stage", *keys, "sample_no"])
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c not in keys]
+        one = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").withColumn("key_part", _part_of(keys))
+        own = query_id(spark, checkpoint)
+        if folders(spark, target):
+            parts = [r.key_part for r in one.select("key_part").distinct().collect()]  # KEY_PARTS at most
+            old = spark.read.parquet(target)
+            mine = (F.col("query") == own) & (F.col("batch") == batch_id)
+            old = old.filter(F.col("key_part").isin(parts) & ~mine).select(*keys)
+            same = [one[k].eqNullSafe(old[k]) for k in keys]
+            one = one.join(old, same, "left_anti")
+        one.select(*batch.columns, "key_part").repartition("key_part").write.mode("overwrite").partitionBy("key_part").parquet(f"{target}/query={own}/batch={batch_id}")
+
+    return _each_batch(rows, checkpoint, write)
+
+
+def read_appended(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of a table that :func:`append_new_rows` keeps."""
+    return spark.read.parquet(target).drop("query", "batch", "key_part")
 
-def append_rows(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append the rows of a stream to a Parquet table."""
-    return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
 
+# --- running losses --------------------------------------------------------------------------
 
 STEP_KEYS = ["epoch", "step", "category"]
+#: Micro-batches between two snapshots.
+COMPACT_EVERY = 10
 
 
-def step_losses(log: DataFrame) -> DataFrame:
-    """Loss sums by step and category; the same for a batch and a stream."""
-    sums = log.groupBy(*STEP_KEYS).agg(
-        F.sum("total_loss").alias("loss"),
-        F.sum("num_loss_tokens").alias("tokens"),
-        F.min("min_logprob").alias("min_logprob"),
-    )
+def _summed(rows: DataFrame, loss: str = "loss", tokens: str = "tokens") -> DataFrame:
+    return rows.groupBy(*STEP_KEYS).agg(F.sum(loss).alias("loss"), F.sum(tokens).alias("tokens"), F.min("min_logprob").alias("min_logprob"))
+
+
+def _with_mean(sums: DataFrame) -> DataFrame:
     return sums.withColumn("loss_per_token", F.try_divide("loss", "tokens"))
 
 
-def update_step_losses(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep a Parquet table of changed step losses, one folder per micro-batch.
+def step_losses(log: DataFrame) -> DataFrame:
+    """Loss sums by step and category."""
+    return _with_mean(_summed(log, "total_loss", "num_loss_tokens"))
 
-    A repeated micro-batch overwrites its own folder; :func:`current_step_losses` takes the
-    newest sums of each step.
+
+def update_step_losses(log: DataFrame, target: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Keep the loss sums by step and category of a growing log.
+
+    Each micro-batch writes the sums of its own rows. After every ``compact_every`` of them they are added to a
+    new snapshot of all sums; once that is whole, what went into it is deleted, but for the snapshot before.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark = batch.sparkSession
+        home = f"{target}/query={query_id(spark, checkpoint)}"
+        _summed(batch, "total_loss", "num_loss_tokens").write.mode("overwrite").parquet(f"{home}/delta={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            _compact(spark, home, batch_id)
+
+    return _each_batch(log, checkpoint, write)
+
+
+def _numbers(names: Sequence[str], kind: str) -> list[int]:
+    return sorted(int(n.removeprefix(f"{kind}=")) for n in names if n.startswith(f"{kind}="))
+
+
+def _state(spark: SparkSession, home: str) -> tuple[int, list[str]]:
+    """(micro-batch of the newest whole snapshot or -1, the folders that make up the sums)."""
+    names = folders(spark, home)
+    whole = [n for n in _numbers(names, "snapshot") if has_file(spark, f"{home}/snapshot={n}/_SUCCESS")]
+    upto = whole[-1] if whole else -1
+    later = [f"{home}/delta={n}" for n in _numbers(names, "delta") if n > upto]
+    return upto, ([f"{home}/snapshot={upto}"] if whole else []) + later
+
+
+def _compact(spark: SparkSession, home: str, batch_id: int) -> None:
+    before, paths = _state(spark, home)
+    if before < batch_id:
+        _summed(spark.read.parquet(*paths)).write.mode("overwrite").parquet(f"{home}/snapshot={batch_id}")
+    names = folders(spark, home)
+    for n in _numbers(names, "delta"):
+        if n <= batch_id:
+            delete(spark, f"{home}/delta={n}")
+    for n in _numbers(names, "snapshot"):
+        if n < before:
+            delete(spark, f"{home}/snapshot={n}")
+
 
-    return (
-        step_losses(log)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
-        .trigger(availableNow=True)
-        .start()
-    )
+def state_paths(spark: SparkSession, target: str) -> list[str]:
+    """The folders a read of the sums takes: for each query a snapshot and fewer than ``compact_every`` others."""
+    return [p for name in folders(spark, target) for p in _state(spark, f"{target}/{name}")[1]]
 
 
 def current_step_losses(spark: SparkSession, target: str) -> DataFrame:
-    """Latest sums of each step and category."""
-    values = F.struct("loss", "tokens", "min_logprob", "loss_per_token")
-    rows = spark.read.parquet(target)
-    return rows.groupBy(*STEP_KEYS).agg(F.max_by(values, "batch").alias("v")).select(*STEP_KEYS, "v.*")
+    """Sums of each step and category so far."""
+    return _with_mean(_summed(spark.read.parquet(*state_paths(spark, target))))
