@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import reports
+from ..operators import reports, rollouts
 from ..operators.mixing import union_parts
 from ..session import shared_folder
+from ..sources import budget
 from ..sources import tables as S
+from . import mix_queries
 from . import views as V
 from .views import Query
 
@@ -20,38 +22,50 @@ def add(name, run, sql) -> None:
 
 
 def _jsonl(spark, sf):
+    """Documents dealt over two folders by id and written in its order; row numbers give the order back."""
     rows = V.table(spark, sf, "documents").select("doc_id", "lang", F.split("text", " ").alias("tokens"))
     path = shared_folder(spark, "jsonl")
-    S.write_jsonl(rows.filter("doc_id % 2 = 0"), path)
-    S.write_jsonl(rows.filter("doc_id % 2 <> 0 OR doc_id IS NULL"), path, append=True)
-    back = S.read_jsonl(spark, path, rows.schema)
-    return back.select("doc_id", "lang", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("text_md5"))
+    S.write_jsonl(rows.filter("doc_id % 2 = 0").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id"), f"{path}/1")
+    S.write_jsonl(rows.filter("doc_id % 2 <> 0").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), f"{path}/2")
+    back = S.read_numbered_jsonl(spark, [f"{path}/1", f"{path}/2"], rows.schema)
+    return back.select("doc_id", "lang", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("text_md5"), "row_no")
 
 
-add("jsonl_round_trip", _jsonl, "SELECT doc_id, lang, len(string_split(text, ' ')) AS n, md5(text) AS text_md5 FROM documents")
+add(
+    "jsonl_round_trip",
+    _jsonl,
+    """SELECT doc_id, lang, len(string_split(text, ' ')) AS n, md5(text) AS text_md5, row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS row_no
+      FROM documents""",
+)
 
 
 def _index_files(spark, sf):
     docs = V.table(spark, sf, "documents")
     root = shared_folder(spark, "index")
+    # The last file has a line for every document, some of them two.
+    rest = docs.select(F.col("doc_id").cast("string").alias("id"), F.upper("lang").alias("category"))
+    again = docs.filter("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("id"), F.concat("lang", "source").alias("category"))
+    S.write_jsonl(rest.repartition(3), f"{root}/rest/a")
+    S.write_jsonl(again.repartition(2), f"{root}/rest/b")
     one = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("category"))
     two = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("problem_id"), F.col("source").alias("category"))
     S.write_jsonl(one, f"{root}/one")
     S.write_jsonl(two, f"{root}/two")
     S.write_jsonl(one.limit(0), f"{root}/none")
-    return [f"{root}/missing", f"{root}/none", f"{root}/one", f"{root}/two"]
+    whole = f"{root}/rest/*"
+    return {"first": [f"{root}/missing", f"{root}/none", whole, f"{root}/one"], "merged": [f"{root}/missing", whole, f"{root}/one", f"{root}/two"]}
 
 
 add(
     "category_map_first",
-    lambda s, d: S.category_map(s, _index_files(s, d)),
-    "SELECT CAST(doc_id AS VARCHAR) AS problem_id, lang AS category FROM documents WHERE doc_id % 3 = 0",
+    lambda s, d: S.category_map(s, _index_files(s, d)["first"]),
+    "SELECT CAST(doc_id AS VARCHAR) AS problem_id, CASE WHEN doc_id % 5 = 0 THEN lang || source ELSE upper(lang) END AS category FROM documents",
 )
 add(
     "category_map_merged",
-    lambda s, d: S.category_map(s, _index_files(s, d), merge_all=True),
-    """SELECT CAST(doc_id AS VARCHAR) AS problem_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS category
-      FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0""",
+    lambda s, d: S.category_map(s, _index_files(s, d)["merged"], merge_all=True),
+    """SELECT CAST(doc_id AS VARCHAR) AS problem_id, CASE WHEN doc_id % 2 = 0 THEN source WHEN doc_id % 3 = 0 THEN lang
+      WHEN doc_id % 5 = 0 THEN lang || source ELSE upper(lang) END AS category FROM documents""",
 )
 
 
@@ -80,13 +94,13 @@ add(
 
 
 def _details(spark, sf):
-    example = F.struct(F.col("n_name").alias("input_value"), F.lower("n_name").alias("output_value"))
+    example = F.struct(F.col("s_name").alias("input_value"), F.lower("s_name").alias("output_value"))
     detail = F.struct(
-        F.col("n_nationkey").cast("string").alias("id"), F.lit("nation").alias("category"), F.col("n_name").alias("question"), F.array(example).alias("examples")
+        F.col("s_suppkey").cast("string").alias("id"), F.lit("supplier").alias("category"), F.col("s_name").alias("question"), F.array(example).alias("examples")
     )
     ignored = F.struct(F.lit("ignored").alias("id"))
-    rows = V.table(spark, sf, "nation").select(
-        F.col("n_nationkey").alias("file"), F.concat_ws("\n", F.to_json(detail), F.to_json(ignored)).alias("value")
+    rows = V.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("file"), F.concat_ws("\n", F.to_json(detail), F.to_json(ignored)).alias("value")
     )
     path = shared_folder(spark, "details")
     rows.write.partitionBy("file").text(path)
@@ -97,7 +111,7 @@ def _details(spark, sf):
 add(
     "problem_details",
     _details,
-    "SELECT CAST(n_nationkey AS VARCHAR) AS id, 'nation' AS category, n_name AS question, lower(n_name) AS first_output FROM nation",
+    "SELECT CAST(s_suppkey AS VARCHAR) AS id, 'supplier' AS category, s_name AS question, lower(s_name) AS first_output FROM supplier",
 )
 
 
@@ -157,3 +171,32 @@ add(
       CASE doc_id % 3 WHEN 2 THEN 'N' ELSE 'S' END AS source, CAST(doc_id % 400 AS VARCHAR) AS problem_id,
       CAST(length(replace(text, ' ', '')) AS BIGINT) AS n_chars, len(string_split(text, ' ')) AS n FROM documents""",
 )
+
+
+def _part_folders(spark, sf):
+    rows = V.corpus_v(spark, sf)
+    root = shared_folder(spark, "part-files")
+    parts = [(name, f"{root}/{i}") for i, name in enumerate(V.PARTS)]
+    for i, (_, path) in enumerate(parts):
+        own = rows.filter(F.col("part_index") == i).withColumn("own_no", F.col("row_no"))
+        budget.written_in_order(own.drop("part", "part_index", "source"), path, "row_no", 4 + i)
+    return parts
+
+
+def _merged_files(spark, sf):
+    counts = rollouts.capped_pass_counts(V.graded_v(spark, sf), V.ORDER)
+    rows = budget.merge_files(
+        spark, _part_folders(spark, sf), 200000, drop_rules=mix_queries.RULES, dedup_ids=True, pass_counts=counts, boundary=1.5, mastered=0.5
+    )
+    return rows.select("problem_id", "category", "part_index", "weight", "n_tokens", F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+add(
+    "merge_files_to_budget",
+    _merged_files,
+    V.with_views(
+        ["merge_v"],
+        """SELECT problem_id, category, part_index, CASE WHEN pass_count BETWEEN 1 AND 7 THEN 1.5 WHEN pass_count >= 8 THEN 0.5 ELSE 1.0 END AS weight,
+      n_tokens, md5(text) AS digest FROM merge_v WHERE emitted""",
+    ),
+)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
@@ -14,17 +15,48 @@ from ..functions import tokens as K
 from ..functions.text import join_vocab_pieces, passes
 from ..operators.ordering import last_per_key
 from ..operators.trainlog import split_raw_tokens
+from ..session import shared_folder
 
 
 def with_row_no(df: DataFrame) -> DataFrame:
-    """Add ``row_no`` in file order, for tables that do not carry one.
+    """Add ``row_no`` in the order of this read, for tables that do not carry one.
 
-    Numbers grow inside each file and over the files of one read; they have gaps. Store the
-    result before using it: the numbers depend on how this read was split.
+    Numbers grow but have gaps. Store the result before using it: they depend on how the read was split;
+    :func:`read_numbered_jsonl` has numbers that do not.
     """
     return df.withColumn("row_no", F.monotonically_increasing_id())
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, row_no, value) of text lines, numbered from 0 through all files in the order of their paths.
+
+    A file is read in blocks. Lines are counted per block, the blocks' first numbers are their running total,
+    and a line adds its place in its block. So numbers are the same however the read was split and no line
+    is shuffled or sorted; only the block table (one row for each) is.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        "value",
+    )
+    # The lines of a block stand next to each other in one partition.
+    blocks = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(W.orderBy("file", "_block").rowsBetween(W.unboundedPreceding, -1))
+    table = shared_folder(spark, "blocks")
+    blocks.select("file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before")).write.parquet(table)
+    starts = spark.read.parquet(table)  # of known size, so that Spark broadcasts it if it is small
+    numbered = lines.join(starts, ["file", "_block"])
+    return numbered.select("file", (F.col("_before") + F.col("_at") - F.col("_first")).alias("row_no"), "value")
+
+
+def read_numbered_jsonl(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
+    """JSON lines under a declared schema with ``file`` and ``row_no``, the number of the line (see
+    :func:`numbered_lines`); blank lines count but give no row."""
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
+    return lines.select("file", "row_no", F.from_json("value", schema).alias("_row")).select("_row.*", "file", "row_no")
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
     """JSON lines under a declared schema; blank lines are skipped."""
     return spark.read.schema(schema).json(path)
@@ -73,7 +105,8 @@ def _index_file(spark: SparkSession, path: str) -> DataFrame | None:
     except AnalysisException:
         return None
     key = F.coalesce(F.nullif("problem_id", F.lit("")), F.nullif("id", F.lit("")))
-    rows = with_row_no(raw.select(key.alias("problem_id"), F.nullif("category", F.lit("")).alias("category")))
+    rows = read_numbered_jsonl(spark, path, raw.schema)
+    rows = rows.select(key.alias("problem_id"), F.nullif("category", F.lit("")).alias("category"), "row_no")
     return rows.filter(F.col("problem_id").isNotNull() & F.col("category").isNotNull())
 
 
@@ -224,7 +257,7 @@ def read_parts(spark: SparkSession, names: Sequence[str], root: str) -> list[tup
     """(name, part) of the corpus parts, each with ``row_no``, in the given order; parts of different
     folders may have one name."""
     paths = [resolve_part(spark, n, root) for n in names]
-    return [(part_name(p), with_row_no(read_jsonl(spark, p, schemas.CORPUS_ROW))) for p in paths]
+    return [(part_name(p), read_numbered_jsonl(spark, p, schemas.CORPUS_ROW).drop("file")) for p in paths]
 
 
 def write_wrong_rows(graded: DataFrame, path: str) -> bool:
