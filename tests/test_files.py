@@ -97,3 +97,48 @@ def test_dropped_rows_cost_no_budget(spark, tmp_path):
     got = budget.merge_files(spark, parts, 150, drop_rules=["S:a"])
     assert [r.problem_id for r in got.orderBy("file_no", "row_no").collect()] == [f"{100 + k}" for k in range(15)]
     assert got.filter(F.col("part_index") == 0).count() == 0
+
+
+def test_merge_summary_is_observed_while_writing(spark, tmp_path):
+    parts = [("S_one", str(tmp_path / "1")), ("N_two", str(tmp_path / "2"))]
+    part(spark, parts[0][1], 0, 60, 3, category="a")
+    part(spark, parts[1][1], 40, 60, 2, category="b")
+    merged = budget.read_files(spark, budget.part_files(spark, parts))
+    merged = merged.withColumn("mask", F.when(F.col("problem_id") == "7", F.array().cast("array<tinyint>")).otherwise(F.col("mask")))
+    merged = merged.withColumn("category", F.when(F.col("problem_id") == "99", F.lit(None)).otherwise(F.col("category")))
+    counts = spark.createDataFrame([(str(k), k % 11) for k in range(0, 100, 2)], "problem_id string, pass_count bigint")
+    options = dict(order=budget.FILE_ORDER, dedup_ids=True, max_tokens=750, drop_rules=["N:z"], pass_counts=counts)
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+
+    def jobs_of(name, run):
+        sc.setJobGroup(name, name)
+        try:
+            return run(), len(tracker.getJobIdsForGroup(name))
+        finally:
+            sc._jsc.clearJobGroup()
+
+    told, n_jobs = jobs_of("observed", lambda: mixing.write_merged(merged, str(tmp_path / "out"), sources=["S", "N"], categories=["a", "b"], **options))
+    _, plain = jobs_of("plain", lambda: mixing.merge_corpus(merged, **options).write.parquet(str(tmp_path / "plain")))
+    assert n_jobs == plain  # no job for the counters
+    flagged = mixing.flag_merge(merged, **options)
+    assert told["by_source"] == {r.source: {k: v for k, v in r.asDict().items() if k != "source"} for r in mixing.merge_by_source(flagged).collect()}
+    want = {}
+    for r in mixing.merge_by_category(flagged).collect():
+        if r.category is not None:
+            c = want.setdefault(r.category, {"tokens": 0, "unmasked": 0, "rows": {}, "row_share": {}})
+            c["tokens"] += r.tokens
+            c["unmasked"] += r.unmasked
+            c["rows"][r.source], c["row_share"][r.source] = r.rows, r.row_share
+    assert told["by_category"] == want
+    histogram = {r.pass_count: r.rows for r in mixing.pass_count_histogram(flagged).collect()}
+    assert told["pass_counts"] == {p: n for p, n in histogram.items() if p < 9} and sum(histogram.values()) == told["emitted"]
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == told["emitted"] == 75
+    assert told["problems"] == mixing.row_problems(written).first().asDict() and told["problems"]["length_mismatch"] == 1
+
+
+def test_nothing_to_merge(spark, tmp_path):
+    part(spark, str(tmp_path / "1"), 0, 3, 1)
+    merged = budget.read_files(spark, budget.part_files(spark, [("S", str(tmp_path / "1"))])).filter("false")
+    told = mixing.write_merged(merged, str(tmp_path / "out"), sources=["S"], categories=[], order=budget.FILE_ORDER)
+    assert told["read"] == told["emitted"] == 0 and told["by_source"] == {}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import statistics
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +265,47 @@ def test_sampling_at_a_low_temperature(spark):
     df = spark.createDataFrame([(k, float(x)) for k, x in enumerate([1, 2, 3, 4, 5000])], "row_no long, length double")
     p = trainlog.annealed_probabilities(df, "length", 0.0, 1e-3, 1e-3)
     assert trainlog.weighted_sample(p, 3, 0, ["row_no"]).count() == 3
+
+
+# --- keyed bijection -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 10, 99, 1024, 4097, 30_011])
+def test_shuffled_places_are_a_permutation(spark, n):
+    place = ordering.shuffled_place(F.col("id"), F.lit(n), 5)
+    got = [r[0] for r in spark.range(n).select(place).collect()]
+    assert sorted(got) == list(range(n))
+    if n >= 99:
+        assert got != list(range(n)) and len(set(got[k + 1] - got[k] for k in range(n - 1))) > n / 10
+
+
+def test_shuffled_places_equal_their_sql(spark):
+    n = 5000
+    got = [r[0] for r in spark.range(n).select(ordering.shuffled_place(F.col("id"), F.lit(n), 11)).collect()]
+    sql = ordering.shuffled_place_sql("i", "n", 11)
+    assert got == [r[0] for r in duckdb.sql(f"SELECT {sql} FROM (SELECT i, CAST({n} AS BIGINT) AS n FROM range({n}) t(i)) ORDER BY i").fetchall()]
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_seeded_order_is_the_same_for_every_split(spark, partitions):
+    df = spark.range(0, 3000, 3).withColumnRenamed("id", "row_no").repartition(partitions)
+    got = {r.row_no: r.place for r in trainlog.seeded_order(df, 3).collect()}
+    assert sorted(got.values()) == list(range(1000))
+    assert got == {r.row_no: r.place for r in trainlog.seeded_order(df.repartition(7), 3).collect()}
+    other = {r.row_no: r.place for r in trainlog.seeded_order(df, 4).collect()}
+    assert sum(got[k] == other[k] for k in got) < 50
+
+
+def test_batches_are_dealt_without_a_second_sort(spark):
+    df = spark.range(500).select(F.col("id").alias("row_no"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("category"))
+    dealt = trainlog.stratified_batches(df, 16, 1, ["row_no"])
+    rows = dealt.collect()
+    sizes = Counter(r.batch for r in rows)
+    assert set(sizes) == set(range(32)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for b, n in sizes.items():
+        assert sorted(r.place for r in rows if r.batch == b) == list(range(n))
+    for c in "ab":
+        counts = Counter(r.batch for r in rows if r.category == c)
+        assert max(counts.values()) - min(counts[b] for b in sizes) <= 1
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 7  # ranks only: 12 shuffles before

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,17 +38,20 @@ def source_name(part: Column) -> Column:
     return F.substring_index(part, "_", 1)
 
 
-def row_problems(df: DataFrame) -> DataFrame:
-    """Number of rows that break each layout rule; a missing column is an error at once."""
+def _problem_counts(df: DataFrame) -> list[Column]:
     absent = [c for c in ROW_KEYS if c not in df.columns]
     if absent:
         raise KeyError(f"corpus rows lack columns: {absent}")
-    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ROW_KEYS]
-    return df.agg(
-        *nulls,
+    return [
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ROW_KEYS],
         F.count_if(F.size("tokens") != F.size("mask")).alias("length_mismatch"),
         F.count_if(~K.has_trained_token(F.col("mask"))).alias("nothing_trained"),
-    )
+    ]
+
+
+def row_problems(df: DataFrame) -> DataFrame:
+    """Number of rows that break each layout rule; a missing column is an error at once."""
+    return df.agg(*_problem_counts(df))
 
 
 def require_valid_rows(df: DataFrame) -> DataFrame:
@@ -167,6 +172,72 @@ def merge_corpus(merged: DataFrame, *, order: Sequence[str] = tuple(MERGE_ORDER)
     return merged.drop("weight").join(chosen, list(order)).select(*ROW_KEYS, *order, "n_tokens")
 
 
+#: Pass counts that a merge summary counts each for itself; -1 stands for ids without a record.
+COUNTED_PASSES = range(-1, 9)
+
+
+def _summary_counts(sources: Sequence[str], categories: Sequence[str]) -> list[Column]:
+    """The counters of :func:`merge_by_source`, :func:`merge_by_category` and :func:`pass_count_histogram` as
+    plain aggregates, so that one pass over the flagged rows has them all."""
+    read, emitted = F.col("was_read"), F.col("emitted")
+    counts = {"read_rows": read, "emitted_rows": emitted, "skipped_category": read & F.col("dropped"), "skipped_dedup": read & F.col("shadowed")}
+    told = [F.count_if(flag & (F.col("source") == s)).alias(f"{s}\t{n}") for s in sources for n, flag in counts.items()]
+    for c in categories:
+        own = emitted & F.col("category").eqNullSafe(F.lit(c))
+        told += [F.count_if(own & (F.col("source") == s)).alias(f"{c}\t{s}\trows") for s in sources]
+        told += [F.sum(F.when(own, F.col(n))).alias(f"{c}\t{n}") for n in ("n_tokens", "n_trained")]
+    passes_ = F.coalesce(F.col("pass_count"), F.lit(-1))
+    told += [F.count_if(emitted & (passes_ == p)).alias(f"passes\t{p}") for p in COUNTED_PASSES]
+    return [*told, F.count_if(read).alias("read"), F.count_if(emitted).alias("emitted")]
+
+
+def _counts(observed: Observation) -> Mapping[str, int]:
+    """Observed counters; all 0 if the plan had no row to begin with, for then it has no counters either."""
+    try:
+        return defaultdict(int, {k: v or 0 for k, v in observed.get.items()})
+    except Py4JJavaError:
+        return defaultdict(int)
+
+
+def write_merged(
+    merged: DataFrame,
+    path: str,
+    *,
+    sources: Sequence[str],
+    categories: Sequence[str],
+    order: Sequence[str] = tuple(MERGE_ORDER),
+    partition_by: Sequence[str] = (),
+    **options,
+) -> dict:
+    """Write :func:`merge_corpus` as Parquet and return the merge summary and the broken layout rules.
+
+    All counters are observed while the rows pass by on their way into the table; no row is read again for
+    them. ``sources`` and ``categories`` name what is counted each for itself; what else there is shows as the
+    difference to ``read`` and ``emitted``.
+    """
+    flagged = flag_merge(merged, order=order, **options)
+    summary, broken = Observation(), Observation()
+    chosen = flagged.observe(summary, *_summary_counts(sources, categories)).filter("emitted").select(*order, "weight", "n_tokens")
+    rows = merged.drop("weight").join(chosen, list(order)).select(*ROW_KEYS, *order, "n_tokens")
+    rows.observe(broken, *_problem_counts(rows)).write.partitionBy(*partition_by).parquet(path)
+    told, problems = _counts(summary), _counts(broken)
+    by_source = {s: {n: told[f"{s}\t{n}"] for n in ("read_rows", "emitted_rows", "skipped_category", "skipped_dedup")} for s in sources}
+    by_category = {}
+    for c in categories:
+        shares = {s: told[f"{c}\t{s}\trows"] for s in sources if told[f"{c}\t{s}\trows"]}
+        if shares:
+            total = sum(shares.values())
+            by_category[c] = {"tokens": told[f"{c}\tn_tokens"], "unmasked": told[f"{c}\tn_trained"], "rows": shares, "row_share": {s: n / total for s, n in shares.items()}}
+    return {
+        "read": told["read"],
+        "emitted": told["emitted"],
+        "by_source": {s: n for s, n in by_source.items() if n["read_rows"]},
+        "by_category": by_category,
+        "pass_counts": {p: told[f"passes\t{p}"] for p in COUNTED_PASSES if told[f"passes\t{p}"]},
+        "problems": dict(problems),
+    }
+
+
 def token_budget_cut(df: DataFrame, max_tokens: int, order: Sequence[str] = tuple(MERGE_ORDER)) -> DataFrame:
     """Rows in order up to the first that exceeds the budget; 0 means no budget.
 

@@ -12,6 +12,7 @@ they must be unique. None of them puts a whole group into one task:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -79,6 +80,71 @@ def position(
     return running_total(df, one, order=order, bucket=bucket, partition=partition, name=name, total=total)
 
 
+# --- keyed bijection -------------------------------------------------------------------------
+
+#: Rounds of the bijection, and how often a place outside is mapped on. Fewer than sqrt(n) of the places
+#: mapped are outside, so the last step is never reached up to n = 4096 and by no row in practice beyond.
+MIX_ROUNDS, MIX_STEPS, MIX_MASK = 6, 64, 2**31 - 1
+
+
+def mix_keys(seed: int) -> list[tuple[int, int, int]]:
+    """(multiplier, addend, second multiplier) of each round, from the seed: 31 bits, odd multipliers."""
+    digests = [hashlib.sha256(f"{seed}|{r}".encode()).digest() for r in range(MIX_ROUNDS)]
+    words = [[int.from_bytes(d[4 * i : 4 * i + 4], "big") >> 1 for i in range(3)] for d in digests]
+    return [(m | 1, s, t | 1) for m, s, t in words]
+
+
+def shuffled_place(place: Column, n: Column, seed: int) -> Column:
+    """Where the row at a 0-based place of n goes: a bijection of 0 .. n - 1 drawn by the seed.
+
+    A place is a pair of numbers below a = ceil(sqrt(n)) and b = ceil(n / a); every round adds a hash of one to
+    the other. What lands outside n goes through the rounds again. No row has to know another one, so a shuffle
+    costs neither a sort nor an exchange. n may be up to 2^40.
+    """
+    n = n.cast("bigint")
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("bigint")
+    b = F.ceil(n.cast("double") / a).cast("bigint")
+
+    rounds = F.array(*[F.struct(F.lit(k % 2).alias("k"), F.lit(m).alias("m"), F.lit(s).alias("s"), F.lit(t).cast("bigint").alias("t")) for k, (m, s, t) in enumerate(mix_keys(seed))])
+
+    def once(x: Column) -> Column:
+        def step(p: Column, q: Column) -> Column:
+            x = (F.when(q["k"] == 0, p["r"]).otherwise(p["l"]) * q["m"] + q["s"]).bitwiseAND(MIX_MASK)
+            hashed = F.shiftright(x.bitwiseXOR(F.shiftright(x, 13)) * q["t"], 24)
+            return F.struct(
+                F.when(q["k"] == 0, (p["l"] + hashed) % a).otherwise(p["l"]).alias("l"),
+                F.when(q["k"] == 0, p["r"]).otherwise((p["r"] + hashed) % b).alias("r"),
+            )
+
+        pair = F.struct((x % a).alias("l"), F.call_function("div", x, a).alias("r"))
+        return F.aggregate(rounds, pair, step, lambda p: p["r"] * a + p["l"])
+
+    def inside(x: Column) -> Column:
+        again = F.aggregate(F.sequence(F.lit(1), F.lit(MIX_STEPS)), x, lambda y, _: F.when(y < n, y).otherwise(once(y)))
+        return F.when(x < n, x).otherwise(again)
+
+    return F.transform(F.array(once(place.cast("bigint"))), inside)[0]
+
+
+def shuffled_place_sql(place: str, n: str, seed: int) -> str:
+    """:func:`shuffled_place` as a DuckDB expression."""
+    a = f"CAST(ceil(sqrt({n})) AS BIGINT)"
+    b = f"CAST(ceil(CAST({n} AS DOUBLE) / {a}) AS BIGINT)"
+
+    def once(x: str) -> str:
+        pair = f"{{'l': {x} % {a}, 'r': {x} // {a}}}"
+        for k, (m, s, t) in enumerate(mix_keys(seed)):
+            x = f"(({'p.r' if k % 2 == 0 else 'p.l'} * {m} + {s}) & {MIX_MASK})"
+            hashed = f"((xor({x}, {x} >> 13) * {t}) >> 24)"
+            left, right = f"(p.l + {hashed}) % {a}", f"(p.r + {hashed}) % {b}"
+            changed = f"{{'l': {left}, 'r': p.r}}" if k % 2 == 0 else f"{{'l': p.l, 'r': {right}}}"
+            pair = f"list_transform([{pair}], lambda p: {changed})[1]"
+        return f"list_transform([{pair}], lambda p: p.r * {a} + p.l)[1]"
+
+    start = f"list_transform([{place}], lambda x: {once('x')})[1]"
+    return f"list_reduce([{start}] || range({MIX_STEPS}), lambda y, k: CASE WHEN y < {n} THEN y ELSE {once('y')} END)"
+
+
 def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     chosen = df.groupBy(*keys).agg(pick(F.struct(*rest), order_key(order)).alias("_row"))

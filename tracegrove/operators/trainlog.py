@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
-from ..functions.hashing import counter_uniform
+from ..functions.hashing import counter_bits, counter_uniform
 from ..functions.text import passes
-from .ordering import last_per_key, position, row_bucket, top_per_group
+from .ordering import last_per_key, position, row_bucket, shuffled_place, top_per_group
 from .quantiles import linear_quantile
 from .selection import largest
 from .reports import rolled_up
@@ -284,9 +284,13 @@ def replay_order(log: DataFrame, corpus: DataFrame) -> DataFrame:
     return logged.filter(passes(F.col("_found").isNull(), message)).drop("_found")
 
 
-def seeded_order(df: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
-    """Rows with ``shuffle_key``; ordering by it is a reproducible shuffle."""
-    return df.withColumn("shuffle_key", F.xxhash64(F.lit(seed), *keys))
+def seeded_order(df: DataFrame, seed: int, order: str = "row_no") -> DataFrame:
+    """Rows with ``place``, their place from 0 in a shuffle drawn by the seed.
+
+    The shuffle maps the rows' ranks, so places have no gaps and nothing is sorted by them.
+    """
+    placed = position(df, order=[order], bucket=[row_bucket(order)], name="_at", total="_n")
+    return placed.withColumn("place", shuffled_place(F.col("_at") - 1, F.col("_n"), seed)).drop("_at", "_n")
 
 
 def sequential_batches(
@@ -308,23 +312,17 @@ def sequential_batches(
 def stratified_batches(df: DataFrame, batch_size: int, seed: int, keys: Sequence[str]) -> DataFrame:
     """Deal rows over batches so that sizes, and each category's counts, differ by one at most.
 
-    Rows are ordered by (category, hash) and dealt round robin over hashed batch numbers.
+    Rows are ranked by (category, draw), the draws hashing seed and ``keys``, and dealt round robin. ``batch`` and
+    ``place``, the place in the batch, are drawn by bijections of the dealing order: no further exchange.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
-    slot = F.shiftright("_h", 52)
-    placed = position(
-        hashed, order=["category", "_h", *keys], bucket=[F.col("category"), slot], name="_at", total="_n"
-    )
+    drawn = df.withColumn("_h", counter_bits(seed, *[F.col(k) for k in keys]))
+    slot = F.shiftright("_h", 40)
+    placed = position(drawn, order=["category", "_h", *keys], bucket=[F.col("category"), slot], name="_at", total="_n")
     n_batches = F.ceil(F.col("_n") / F.lit(batch_size))
-    dealt = placed.withColumn("_deal", F.pmod(F.col("_at") - 1, n_batches)).drop("_h", "_at", "_n")
-    numbers = dealt.groupBy("_deal").agg(F.count(F.lit(1)).alias("_size"))
-    shuffled = position(
-        numbers.withColumn("_bh", F.xxhash64(F.lit(seed), "_deal")),
-        order=["_bh", "_deal"],
-        bucket=[F.shiftright("_bh", 56)],
-        name="batch",
-    )
-    return dealt.join(shuffled.select("_deal", (F.col("batch") - 1).alias("batch")), "_deal").drop("_deal")
+    turn, full = F.pmod(F.col("_at") - 1, n_batches), F.floor(F.col("_n") / n_batches)
+    size = full + F.when(turn < F.pmod(F.col("_n"), n_batches), F.lit(1)).otherwise(F.lit(0))
+    dealt = placed.withColumn("batch", shuffled_place(turn, n_batches, seed))
+    return dealt.withColumn("place", shuffled_place(F.floor((F.col("_at") - 1) / n_batches), size, seed + 1)).drop("_h", "_at", "_n")
 
 
 def annealed_probabilities(df: DataFrame, difficulty: str, progress: float, t0: float, t1: float) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import tokens as K
 from ..operators import mining, mixing, reports, rollouts, trainlog
-from ..operators.ordering import position
+from ..operators.ordering import position, shuffled_place_sql
+from ..session import shared_folder
 from . import views as V
 from .rollout_queries import _PUZZLE_SQL, _puzzle
 from .views import ORDER, Query, match_sql, with_views
@@ -49,13 +50,25 @@ add(
     ["corpus_v"],
     f"SELECT part_index, row_no FROM {_SUMMED} WHERE upto <= 250000",
 )
+
+
+def _odd_rows(spark, sf):
+    """Corpus rows of which some lack a value or have another mask."""
+    row = F.col("row_no")
+    mask = F.when(row % 10 == 0, F.slice("mask", 1, 2)).otherwise(F.col("mask"))
+    lacking = {"problem_id": 17, "category": 5, "weight": 7, "sign": 11, "tokens": 13}
+    rows = V.corpus_v(spark, sf).withColumn("mask", F.when(row % 19 != 0, mask))
+    return rows.withColumns({c: F.when(row % k != 0, F.col(c)) for c, k in lacking.items()})
+
+
 add(
     "row_problems",
-    lambda s, d: mixing.row_problems(
-        V.corpus_v(s, d).withColumn("mask", F.when(F.col("row_no") % 10 == 0, F.slice("mask", 1, 2)).otherwise(F.col("mask")))
-    ).select("length_mismatch", "null_category"),
+    lambda s, d: mixing.row_problems(_odd_rows(s, d)),
     ["corpus_v"],
-    "SELECT count(*) FILTER (row_no % 10 = 0 AND n_tokens <> 2 AND n_tokens <> 1) AS length_mismatch, 0 AS null_category FROM corpus_v",
+    """SELECT count(*) FILTER (row_no % 17 = 0) AS null_problem_id, count(*) FILTER (row_no % 5 = 0) AS null_category, count(*) FILTER (row_no % 13 = 0) AS null_tokens,
+      count(*) FILTER (row_no % 19 = 0) AS null_mask, count(*) FILTER (row_no % 7 = 0) AS null_weight, count(*) FILTER (row_no % 11 = 0) AS null_sign,
+      count(*) FILTER (row_no % 13 <> 0 AND row_no % 19 <> 0 AND row_no % 10 = 0 AND n_tokens > 2) AS length_mismatch,
+      count(*) FILTER (row_no % 19 <> 0 AND NOT (n_masked < CASE WHEN row_no % 10 = 0 THEN least(n_tokens, 2) ELSE n_tokens END)) AS nothing_trained FROM corpus_v""",
 )
 
 RULES = ["S_solver:fr", "N:en,es"]
@@ -114,6 +127,38 @@ add(
     """SELECT source, count(*) AS read_rows, count(*) FILTER (emitted) AS emitted_rows, count(*) FILTER (dropped) AS skipped_category,
       count(*) FILTER (shadowed) AS skipped_dedup FROM merge_v WHERE was_read GROUP BY source""",
 )
+
+
+def _written(spark, sf):
+    """The merge summary as the counters of the pass that writes the merge."""
+    categories = ["de", "en", "es", "fr"]
+    told = mixing.write_merged(
+        V.corpus_v(spark, sf),
+        shared_folder(spark, "merged"),
+        sources=["S", "R", "N"],
+        categories=categories,
+        drop_rules=RULES,
+        dedup_ids=True,
+        max_tokens=200000,
+        pass_counts=_counts(spark, sf),
+        boundary=1.5,
+        mastered=0.5,
+    )
+    rows = [(f"source {s}", n["read_rows"], n["emitted_rows"], n["skipped_category"], n["skipped_dedup"]) for s, n in told["by_source"].items()]
+    rows += [(f"category {c}", sum(n["rows"].values()), n["tokens"], n["unmasked"], len(n["rows"])) for c, n in told["by_category"].items()]
+    rows += [(f"passes {p}", n, 0, 0, 0) for p, n in told["pass_counts"].items()]
+    return spark.createDataFrame(rows, "name string, a bigint, b bigint, c bigint, d bigint")
+
+
+add(
+    "merge_summary_observed",
+    _written,
+    ["merge_v"],
+    """SELECT 'source ' || source AS name, count(*) AS a, count(*) FILTER (emitted) AS b, count(*) FILTER (dropped) AS c, count(*) FILTER (shadowed) AS d
+        FROM merge_v WHERE was_read GROUP BY source
+      UNION ALL SELECT 'category ' || category, count(*), CAST(sum(n_tokens) AS BIGINT), CAST(sum(n_tokens - n_masked) AS BIGINT), count(DISTINCT source) FROM merge_v WHERE emitted GROUP BY category
+      UNION ALL SELECT 'passes ' || coalesce(pass_count, -1), count(*), 0, 0, 0 FROM merge_v WHERE emitted GROUP BY coalesce(pass_count, -1)""",
+)
 add(
     "merge_by_category",
     lambda s, d: mixing.merge_by_category(_flagged(s, d)).withColumn("row_share", F.round("row_share", 6)),
@@ -588,29 +633,21 @@ add(
 )
 
 
-def _stratified(spark, sf):
-    rows = V.log_v(spark, sf).select("row_no", "category")
-    dealt = trainlog.stratified_batches(rows, 64, 7, ["row_no"])
-    per = dealt.groupBy("batch", "category").agg(F.count("*").alias("n"))
-    sizes = dealt.groupBy("batch").agg(F.count("*").alias("n"))
-    spread = per.groupBy("category").agg((F.max("n") - F.min("n") <= 1).alias("even"), F.sum("n").alias("rows"))
-    whole = sizes.agg(F.lit("ALL").alias("category"), (F.max("n") - F.min("n") <= 1).alias("even"), F.sum("n").alias("rows"))
-    return spread.unionByName(whole)
-
-
 add(
     "stratified_batches",
-    _stratified,
+    lambda s, d: trainlog.stratified_batches(V.log_v(s, d).select("row_no", "category"), 64, 7, ["row_no"]),
     ["log_v"],
-    """SELECT category, true AS even, count(*) AS rows FROM log_v GROUP BY category UNION ALL SELECT 'ALL', true, count(*) FROM log_v""",
+    f"""SELECT row_no, category, {shuffled_place_sql("turn", "nb", 7)} AS batch, {shuffled_place_sql("lap", "size", 8)} AS place FROM (
+      SELECT *, (rk - 1) % nb AS turn, (rk - 1) // nb AS lap, n // nb + CASE WHEN (rk - 1) % nb < n % nb THEN 1 ELSE 0 END AS size FROM (
+        SELECT row_no, category, row_number() OVER (ORDER BY category, {H.counter_bits_sql(7, "row_no")}, row_no) AS rk, count(*) OVER () AS n,
+          CAST(ceil(count(*) OVER () / 64) AS BIGINT) AS nb FROM log_v))""",
 )
 add(
     "seeded_shuffle",
-    lambda s, d: trainlog.seeded_order(V.log_v(s, d).select("row_no"), 0, ["row_no"]).agg(
-        F.count("*").alias("rows"), F.countDistinct("shuffle_key").alias("keys")
-    ),
+    lambda s, d: trainlog.seeded_order(V.log_v(s, d).select("row_no"), 0),
     ["log_v"],
-    "SELECT count(*) AS rows, count(DISTINCT row_no) AS keys FROM log_v",
+    f"""SELECT row_no, {shuffled_place_sql("rk", "n", 0)} AS place FROM (
+      SELECT row_no, row_number() OVER (ORDER BY row_no) - 1 AS rk, count(*) OVER () AS n FROM log_v)""",
 )
 
 
