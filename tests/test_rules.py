@@ -180,3 +180,31 @@ def test_long_operands(spark):
 def test_numbers_in_ids_stay_whole(spark):
     got = spark.createDataFrame([(7,), (100000,)], "n int").select(text.padded(F.col("n"), 5).alias("p")).collect()
     assert [r.p for r in got] == ["00007", "100000"]
+
+
+def test_numeric_ops_move_their_rows_once(spark):
+    """All ways of writing negative results share one aggregate; each wins where its flag says so."""
+    rows = [
+        # a - b with the minus behind, before, the operator behind, before, and plain numbers.
+        ("behind", 1, "12", "#", "34", "22-"), ("behind", 2, "50", "#", "20", "30"),
+        ("before", 1, "12", "#", "34", "-22"), ("before", 2, "50", "#", "20", "30"),
+        ("op behind", 1, "12", "#", "34", "22#"), ("op behind", 2, "50", "#", "20", "30"),
+        ("op before", 1, "12", "#", "34", "#22"), ("op before", 2, "50", "#", "20", "30"),
+        ("plain", 1, "12", "#", "34", "46"), ("plain", 2, "50", "#", "20", "70"),
+        ("minus", 1, "12", "-", "34", "-22"), ("minus", 2, "50", "-", "20", "30"),
+        ("none", 1, "12", "#", "34", "x"), ("none", 2, "50", "#", "20", "30"),
+    ]
+    df = spark.createDataFrame(rows, "problem_id string, row_no long, a string, op string, b string, output_value string")
+    for parts in (1, 5):
+        found = rules.infer_numeric_ops(df.repartition(parts))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") - plan.count("RoundRobin") - plan.count("REPARTITION") <= 1 and "Join" not in plan
+        got = {r.problem_id: r for r in found.collect()}
+        assert {k: r.fmt for k, r in got.items()} == {
+            "behind": "neg_suffix", "before": "neg_prefix", "op behind": "neg_suffix", "op before": "neg_prefix",
+            "plain": "num", "none": "num",
+            "minus": "neg_prefix",
+        }
+        assert all(r.examples == 2 and r.first_row == 1 for r in got.values())
+        assert got["plain"].rule_name == "addition" and got["none"].rule_name is None
+        assert {got[k].rule_name for k in ("behind", "before", "op behind", "op before")} == {"subtraction (a-b)"}

@@ -528,68 +528,74 @@ def _hits(results: Column, wanted: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, m: acc.bitwiseOR(m))
 
 
-def sign_formats(equations: DataFrame) -> DataFrame:
-    """Per (problem_id, op): how negative results are written.
+#: Ways a negative result may be written: as a number, with a minus behind, with the operator behind, and
+#: with the operator before the digits.
+AS_NUMBER, MINUS_BEHIND, OP_BEHIND, OP_BEFORE = range(4)
 
-    ``neg_suffix`` / ``neg_prefix``: a minus, or else the operator itself, stands behind or
-    before the digits. ``mark`` is the character to turn into a leading minus, if any.
-    """
-    out, op = F.col("output_value"), F.col("op")
+
+def _sign_flags(out: Column, op: Column) -> dict[str, Column]:
+    """What an output says about how its operator writes negative results."""
     long = F.length(out) > 1
-    flags = equations.groupBy("problem_id", "op").agg(
-        F.bool_or((op != "-") & out.endswith("-") & long).alias("minus_behind"),
-        F.bool_or((op != "-") & out.startswith("-") & long).alias("minus_before"),
-        F.bool_or(F.endswith(out, op) & long).alias("op_behind"),
-        F.bool_or(F.startswith(out, op) & long).alias("op_before"),
-        F.count(F.lit(1)).alias("examples"),
-        F.min("row_no").alias("first_row"),
-    )
-    fmt = (
-        F.when(F.col("minus_behind"), "neg_suffix")
-        .when(F.col("minus_before"), "neg_prefix")
-        .when(F.col("op_behind"), "neg_suffix")
-        .when(F.col("op_before"), "neg_prefix")
-        .otherwise("num")
-    )
-    mark = (
-        F.when(F.col("minus_behind"), F.lit("-"))
-        .when(F.col("minus_before"), F.lit(None))
-        .when(F.col("op_behind") | F.col("op_before"), F.col("op"))
-    )
-    return flags.select("problem_id", "op", fmt.alias("fmt"), mark.alias("mark"), "examples", "first_row")
+    return {
+        "minus_behind": (op != "-") & out.endswith("-") & long,
+        "minus_before": (op != "-") & out.startswith("-") & long,
+        "op_behind": F.endswith(out, op) & long,
+        "op_before": F.startswith(out, op) & long,
+    }
 
 
-def _normal_output(out: Column, fmt: Column, mark: Column) -> Column:
+def _written(out: Column, op: Column) -> list[Column]:
+    """The output as a number under each way of writing negative results."""
     n = F.length(out)
-    behind = (fmt == "neg_suffix") & F.endswith(out, mark) & (n > 1)
-    before = (fmt == "neg_prefix") & F.startswith(out, mark) & (n > 1)
-    return (
-        F.when(behind, F.concat(F.lit("-"), F.substring(out, F.lit(1), n - 1)))
-        .when(before, F.concat(F.lit("-"), F.substring(out, F.lit(2), n)))
-        .otherwise(out)
-    )
+    behind = F.concat(F.lit("-"), F.substring(out, F.lit(1), n - 1))
+    return [
+        out,
+        F.when(out.endswith("-") & (n > 1), behind).otherwise(out),
+        F.when(F.endswith(out, op) & (n > 1), behind).otherwise(out),
+        F.when(F.startswith(out, op) & (n > 1), F.concat(F.lit("-"), F.substring(out, F.lit(2), n))).otherwise(out),
+    ]
 
 
 def infer_numeric_ops(equations: DataFrame) -> DataFrame:
     """(problem_id, op, fmt, examples, first_row, rule_name, rev_ops, rev_res).
 
-    ``equations``: problem_id, row_no, a, op, b, output_value. The first operation, in the
-    order common/rare set, reversal, operation, that explains every example of an operator.
+    ``equations``: problem_id, row_no, a, op, b, output_value. ``fmt`` tells how an operator writes negative
+    results: ``neg_suffix`` / ``neg_prefix`` if a minus, or else the operator itself, stands behind or before
+    the digits of any of its outputs, else ``num``. The rule is the first operation, in the order common/rare
+    set, reversal, operation, that explains every example of an operator.
+
+    One aggregate has the masks of all ways of writing and the flags that choose among them, so rows move
+    once. A row whose output reads the same in all ways, as nearly every one does, is worked out once.
     """
-    formats = sign_formats(equations)
-    rows = equations.join(formats, ["problem_id", "op"])
-    out = _normal_output(F.col("output_value"), F.col("fmt"), F.col("mark"))
-    keep = ["problem_id", "op", "fmt", "examples", "first_row"]
+    op, out = F.col("op"), F.col("output_value")
+    ways = F.array(*_written(out, op))
+    rows = equations.select(
+        "problem_id",
+        "op",
+        "row_no",
+        "a",
+        "b",
+        *[c.alias(n) for n, c in _sign_flags(out, op).items()],
+        F.posexplode(X.bind(ways, lambda w: F.transform(F.array_distinct(w), lambda x: F.struct(x.alias("out"), w.alias("ways"))))).alias("_way", "_w"),
+    )
+    ways_of = [(F.col("_w.ways")[k] == F.col("_w.out")).alias(f"is{k}") for k in range(4)]
+    flags = ["minus_behind", "minus_before", "op_behind", "op_before"]
     rows = rows.select(
-        *keep,
-        out.alias("_out"),
-        F.reverse(out).alias("_tuo"),
+        "problem_id",
+        "op",
+        "row_no",
+        "_way",
+        *flags,
+        *ways_of,
+        F.col("_w.out").alias("_out"),
+        F.reverse("_w.out").alias("_tuo"),
         *[c.alias(f"f_{n}") for n, c in operands(F.col("a"), F.col("b")).items()],
         *[c.alias(f"r_{n}") for n, c in operands(F.reverse("a"), F.reverse("b")).items()],
     )
     forward = numeric_results({n: F.col(f"f_{n}") for n in OPERANDS})
     backward = numeric_results({n: F.col(f"r_{n}") for n in OPERANDS})
     names = list(forward)
+    keep = ["problem_id", "op", "row_no", "_way", *flags, *[f"is{k}" for k in range(4)]]
     rows = rows.select(
         *keep,
         "_out",
@@ -604,13 +610,24 @@ def infer_numeric_ops(equations: DataFrame) -> DataFrame:
             F.when(F.col(f"{side}{i}") == wanted, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
             for i in range(len(names))
         ]
-        masks.append(F.bit_and(reduce(lambda a, b: a.bitwiseOR(b), bits)).alias(f"m{k}"))
-    found = rows.groupBy("problem_id", "op").agg(
-        *masks,
-        F.any_value("fmt").alias("fmt"),
-        F.any_value("examples").alias("examples"),
-        F.min("first_row").alias("first_row"),
+        masks.append(reduce(lambda a, b: a.bitwiseOR(b), bits).alias(f"m{k}"))
+    found = rows.select(*keep, *masks).groupBy("problem_id", "op").agg(
+        *[F.bit_and(F.when(F.col(f"is{w}"), F.col(f"m{k}"))).alias(f"m{w}{k}") for w in range(4) for k in range(len(REVERSALS))],
+        *[F.bool_or(n).alias(n) for n in flags],
+        F.count_if(F.col("_way") == 0).alias("examples"),
+        F.min("row_no").alias("first_row"),
+    )
+    way = (
+        F.when(F.col("minus_behind"), MINUS_BEHIND)
+        .when(F.col("minus_before"), AS_NUMBER)
+        .when(F.col("op_behind"), OP_BEHIND)
+        .when(F.col("op_before"), OP_BEFORE)
+        .otherwise(AS_NUMBER)
     )
+    behind = F.col("minus_behind") | (~F.col("minus_before") & F.col("op_behind"))
+    fmt = F.when(behind, "neg_suffix").when(F.col("minus_before") | F.col("op_before"), "neg_prefix").otherwise("num")
+    chosen = [F.get(F.array(*[F.col(f"m{w}{k}") for w in range(4)]), way).alias(f"m{k}") for k in range(len(REVERSALS))]
+    found = found.select("problem_id", "op", fmt.alias("fmt"), "examples", "first_row", *chosen)
     trials = []
     for low, high in ((0, N_COMMON), (N_COMMON, len(names))):
         for k, (rev_ops, rev_res) in enumerate(REVERSALS):

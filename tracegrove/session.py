@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # Keep only the top n of a group per map task before ranking, also for large n.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     "spark.sql.session.timeZone": "UTC",
+    # The JVM never compiles longer methods; several times slower than expressions one by one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
