@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.hashing import pick_from, pick_int, sha_mod, short_id, uniform
+from ..functions.answers import answers_match
+from ..functions.hashing import counter_int, pick_from, pick_int, sha_mod, short_id, uniform
 from .ordering import position, top_per_group
-from .rules import BIT_FAMILIES, N_BITS, apply_bit_rules, rules_of_examples
+from .rules import BIT_FAMILIES, N_BITS, apply_bit_rules, rules_of_examples, solve_equations
 
 # Symbol alphabets, sizes and wording of the generated problems.
 SYMBOLS = list("!\"#$%&'()*+-./:;<>?@[\\]^`{|}")
@@ -369,8 +370,8 @@ def evolve_equations(seeds: DataFrame, variants: int = 3, seed: int = 1234) -> D
 
     def line(i: Column) -> Column:
         # An odd step through 88 values keeps the left numbers of a problem apart.
-        a = F.lit(12) + F.pmod(pick_int(0, 87, seed, F.lit("a"), key, F.col("v")) + i * 21, F.lit(88))
-        b = pick_int(11, 98, seed, F.lit("b"), key, F.col("v"), i)
+        a = F.lit(12) + F.pmod(counter_int(0, 87, seed, F.lit("a"), key, F.col("v")) + i * 21, F.lit(88))
+        b = counter_int(11, 98, seed, F.lit("b"), key, F.col("v"), i)
         result = (
             F.when(F.col("rule") == "addition", (a + b).cast("string"))
             .when(F.col("rule") == "absolute difference", F.abs(a - b).cast("string"))
@@ -393,6 +394,18 @@ def evolve_equations(seeds: DataFrame, variants: int = 3, seed: int = 1234) -> D
     )
 
 
+def verified_equations(problems: DataFrame) -> DataFrame:
+    """The problems (problem_id, examples, question, answer) whose answer the rules inferred from their examples
+    give; the others are dropped."""
+    examples = problems.select("problem_id", F.posexplode("examples").alias("row_no", "x")).select(
+        "problem_id", "row_no", F.inline(F.array(X.parse_equation(F.col("x.input_value")))), F.col("x.output_value").alias("output_value")
+    )
+    questions = problems.select("problem_id", F.inline(F.array(X.parse_equation(F.col("question")))))
+    solved = solve_equations(examples, questions).select("problem_id", "solution")
+    good = problems.join(solved, "problem_id").filter(F.coalesce(answers_match(F.col("answer"), F.col("solution")), F.lit(False)))
+    return good.select(problems.columns)
+
+
 def short_curriculum(
     vectors: DataFrame, variants: int = 2, min_examples: int = 3, max_examples: int = 6, seed: int = 1234
 ) -> DataFrame:

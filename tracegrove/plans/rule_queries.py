@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import hashing as H
 from ..functions import text as X
 from ..operators import rules, synth
 from . import views as V
@@ -303,6 +304,8 @@ def _equation_questions(spark, sf):
     )
 
 
+_QUESTION_SQL = """(SELECT CAST(s_suppkey AS VARCHAR) AS problem_id, CAST(s_suppkey % 89 + 11 AS VARCHAR) AS a, ['+', '*', '/', '%'][s_suppkey % 4 + 1] AS op,
+          CAST(s_suppkey * 7 % 89 + 11 AS VARCHAR) AS b FROM supplier)"""
 add(
     "solve_equations",
     lambda s, d: rules.solve_equations(V.equations_v(s, d), _equation_questions(s, d)).select("problem_id", "op", "rule_name", "fmt", "solution"),
@@ -310,12 +313,11 @@ add(
     f"""SELECT problem_id, op, rule_name, CASE WHEN suffixed THEN 'neg_suffix' ELSE 'num' END AS fmt,
       CASE WHEN suffixed AND starts_with(v, '-') THEN substr(v, 2) || op ELSE v END AS solution FROM (
       SELECT *, CASE WHEN rev_res THEN reverse(rs[list_position({_NAME_LIST}, rule_name)]) ELSE rs[list_position({_NAME_LIST}, rule_name)] END AS v FROM (
-      SELECT *, {_results_sql()} AS rs FROM {_digits_sql('''(SELECT problem_id, op, rule_name, suffixed, rev_res, CASE WHEN rev_ops THEN reverse(a) ELSE a END AS a,
+      SELECT *, {_results_sql()} AS rs FROM {_digits_sql(f'''(SELECT problem_id, op, rule_name, suffixed, rev_res, CASE WHEN rev_ops THEN reverse(a) ELSE a END AS a,
         CASE WHEN rev_ops THEN reverse(b) ELSE b END AS b FROM (
         SELECT q.problem_id, q.op, a, b, CASE WHEN o.op IS NOT NULL THEN o.rule_name WHEN t.rule_name IS NOT NULL THEN 'absolute difference' END AS rule_name,
           CASE WHEN o.op IS NOT NULL THEN o.suffixed ELSE t.suffixed END AS suffixed, coalesce(o.rev_ops, false) AS rev_ops, coalesce(o.rev_res, false) AS rev_res
-        FROM (SELECT CAST(s_suppkey AS VARCHAR) AS problem_id, CAST(s_suppkey % 89 + 11 AS VARCHAR) AS a, ['+', '*', '/', '%'][s_suppkey % 4 + 1] AS op,
-          CAST(s_suppkey * 7 % 89 + 11 AS VARCHAR) AS b FROM supplier) q
+        FROM {_QUESTION_SQL} q
         JOIN (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY n DESC, first_row) AS place FROM op_rules_v) t ON t.problem_id = q.problem_id AND place = 1
         LEFT JOIN op_rules_v o ON o.problem_id = q.problem_id AND o.op = q.op))''')})) WHERE rule_name IS NOT NULL""",
 )
@@ -472,16 +474,30 @@ add("evolve_bit_problems", _evolved)
 def _evolved_equations(spark, sf):
     k = F.col("s_suppkey")
     seeds = V.table(spark, sf, "supplier").select(k.cast("string").alias("problem_id"), F.element_at(F.array(F.lit("+"), F.lit("*")), (k % 2 + 1).cast("int")).alias("op"))
-    e = synth.evolve_equations(seeds)
-    rows = e.select("problem_id", F.posexplode("examples").alias("row_no", "x")).select(
-        "problem_id", "row_no", F.inline(F.array(X.parse_equation(F.col("x.input_value")))), F.col("x.output_value").alias("output_value")
-    )
-    q = e.select("problem_id", F.inline(F.array(X.parse_equation(F.col("question")))))
-    solved = rules.solve_equations(rows, q).select("problem_id", "solution")
-    return e.join(solved, "problem_id").groupBy("rule").agg(F.count("*").alias("problems"), F.count_if(A.answers_match(F.col("answer"), F.col("solution"))).alias("verified"))
-
-
-add("evolve_equations", _evolved_equations)
+    made = synth.verified_equations(synth.evolve_equations(seeds, variants=4))
+    shown = F.array_join(F.transform("examples", lambda e: F.concat(e["input_value"], F.lit("="), e["output_value"])), ";")
+    return made.select("problem_id", "seed_id", "rule", shown.alias("examples"), "question", "answer")
+
+
+_EVOLVED = f"""(SELECT *, CASE rule WHEN 'addition' THEN CAST(a + b AS VARCHAR) WHEN 'absolute difference' THEN CAST(abs(a - b) AS VARCHAR)
+      WHEN 'multiplication' THEN CAST(a * b AS VARCHAR) ELSE CAST(a AS VARCHAR) || CAST(b AS VARCHAR) END AS result FROM (
+    SELECT *, 12 + ({H.counter_int_sql(0, 87, 1234, "'a'", "seed_id", "v")} + i * 21) % 88 AS a, {H.counter_int_sql(11, 98, 1234, "'b'", "seed_id", "v", "i")} AS b FROM (
+      SELECT *, seed_id || '__e' || v || '_' || replace(rule, ' ', '_') AS problem_id, unnest(range(1, 5)) AS i FROM (
+        SELECT *, {synth.EQUATION_RULES}[v + 1] AS rule FROM (
+          SELECT CAST(s_suppkey AS VARCHAR) AS seed_id, ['+', '*'][s_suppkey % 2 + 1] AS op, unnest(range(4)) AS v FROM supplier)))))"""
+_SOLVED = QUERIES["solve_equations"].sql.replace(
+    V.SQL_VIEWS["equations_v"][1],
+    f"SELECT problem_id, i - 1 AS row_no, CAST(a AS VARCHAR) AS a, op, CAST(b AS VARCHAR) AS b, result AS output_value FROM {_EVOLVED} WHERE i < 4",
+).replace(_QUESTION_SQL, f"(SELECT problem_id, CAST(a AS VARCHAR) AS a, op, CAST(b AS VARCHAR) AS b FROM {_EVOLVED} WHERE i = 4)")
+add(
+    "evolve_equations",
+    _evolved_equations,
+    [],
+    f"""SELECT problem_id, seed_id, rule, examples, question, answer FROM (
+      SELECT problem_id, seed_id, any_value(rule) AS rule, string_agg(a || op || b || '=' || result, ';' ORDER BY i) FILTER (i < 4) AS examples,
+        max(a || op || b) FILTER (i = 4) AS question, max(result) FILTER (i = 4) AS answer FROM {_EVOLVED} GROUP BY problem_id, seed_id)
+      JOIN (SELECT problem_id, solution FROM ({_SOLVED})) USING (problem_id) WHERE {V.match_sql("answer", "solution")}""",
+)
 
 
 def _curriculum(spark, sf):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import reports, rollouts
 from ..operators.mixing import union_parts
 from ..session import shared_folder
-from ..sources import budget
+from ..sources import budget, store
 from ..sources import tables as S
 from . import mix_queries
 from . import views as V
@@ -200,3 +202,24 @@ add(
       n_tokens, md5(text) AS digest FROM merge_v WHERE emitted""",
     ),
 )
+
+
+def _bucketed(spark, sf):
+    """Graded rollouts kept by stage and problem; probes meet the last rewarded row of their problem."""
+    graded = V.graded_v(spark, sf).select("problem_id", "row_no", "stage", "reward")
+    name = f"rollouts_{uuid.uuid4().hex}"
+    kept = store.write_bucketed(graded, name, shared_folder(spark, "bucketed"), ["problem_id"], ["stage"], 8)
+    gold = kept.filter("reward > 0").groupBy("problem_id").agg(F.max("row_no").alias("gold_row"))
+    probes = kept.filter("stage = 'probe'").join(gold, "problem_id", "left")
+    return probes.groupBy("problem_id").agg(F.count("*").alias("probes"), F.max("gold_row").alias("gold_row"))
+
+
+add(
+    "bucketed_gold_join",
+    _bucketed,
+    V.with_views(
+        ["graded_v"],
+        """SELECT problem_id, count(*) FILTER (stage = 'probe') AS probes, max(row_no) FILTER (reward > 0) AS gold_row
+      FROM graded_v GROUP BY problem_id HAVING count(*) FILTER (stage = 'probe') > 0""",
+    ),
+)
