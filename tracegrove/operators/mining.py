@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
@@ -148,8 +149,14 @@ def negatives(
 
 
 def in_category_volume_order(rows: DataFrame) -> DataFrame:
-    """Largest category first (name descending on ties), rows of a category in input order."""
-    return rows.orderBy(F.desc("eligible"), F.desc("category"), F.asc("rank"))
+    """Rows with ``place`` from 0: largest category first (name descending on ties), rows of a category in
+    input order. Places follow from the category's size and the row's rank in it, not from a sort."""
+    placed = position(rows, order=["rank"], bucket=[row_bucket("rank")], partition=["category"], name="_at")
+    counts = rows.groupBy("category", "eligible").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy(F.desc("eligible"), F.desc("category")).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(F.col("category").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = placed.join(offsets, F.col("category").eqNullSafe(F.col("_c")))
+    return joined.withColumn("place", F.col("_before") + F.col("_at") - 1).drop("_c", "_before", "_at")
 
 
 def negatives_report(rollouts: DataFrame, max_per_category: int = 2000) -> DataFrame:

@@ -350,9 +350,9 @@ add(
 )
 add(
     "category_volume_order",
-    lambda s, d: mining.in_category_volume_order(mining.negatives(V.graded_v(s, d), ORDER, max_per_category=50)).select(*KEYS, "eligible"),
+    lambda s, d: mining.in_category_volume_order(mining.negatives(V.graded_v(s, d), ORDER, max_per_category=50)).select(*KEYS, "eligible", "place"),
     ["graded_v"],
-    f"SELECT {KEYS_SQL}, eligible FROM ({_negatives_sql(50, '0.8')})",
+    f"""SELECT {KEYS_SQL}, eligible, row_number() OVER (ORDER BY eligible DESC, category DESC, row_no, row_sub) - 1 AS place FROM ({_negatives_sql(50, '0.8')})""",
 )
 add(
     "negatives_report",
@@ -365,7 +365,7 @@ add(
 
 def gold_v(spark, sf) -> DataFrame:
     """Corpus rows for problems: the rewarded rollouts with some tokens changed."""
-    rows = V.graded_v(spark, sf).filter((F.col("reward") > 0) & (F.col("l_linenumber") < 4))
+    rows = V.graded_v(spark, sf).filter(F.col("reward") > 0)
     tokens, mask = K.example(F.col("prompt_token_ids"), F.slice("completion_token_ids", 1, 3))
     text = F.concat(F.lit("Since the rule holds"), F.when(F.col("l_linenumber") == 1, F.concat(F.lit(" we get \\boxed{"), "answer", F.lit("}"))).otherwise(""), F.lit("\n</think>\n\\boxed{"), "answer", F.lit("}<|im_end|>"))
     return rows.select("problem_id", "category", tokens.alias("tokens"), mask.alias("mask"), text.alias("completion_text"), *ORDER)
@@ -375,7 +375,7 @@ V._view(
     "gold_v",
     r"""SELECT problem_id, category, answer, l_linenumber, row_no, row_sub, completion_token_ids[1:3] AS gold_ids,
       'Since the rule holds' || CASE WHEN l_linenumber = 1 THEN ' we get \boxed{' || answer || '}' ELSE '' END AS reasoning
-      FROM graded_v WHERE reward > 0 AND l_linenumber < 4""",
+      FROM graded_v WHERE reward > 0""",
     "graded_v",
 )
 add(
@@ -386,15 +386,18 @@ add(
 )
 
 
-def _some_gold(spark, sf):
-    return gold_v(spark, sf).filter(F.col("row_no") % 64 < 9)
+def _missing(spark, sf):
+    """Rollouts of which some belong to problems no corpus row knows."""
+    own = F.when(F.col("l_linenumber") == 7, F.concat("problem_id", F.lit("-new"))).otherwise(F.col("problem_id"))
+    return mining.missing_gold(V.graded_v(spark, sf).withColumn("problem_id", own), gold_v(spark, sf))
 
 
 add(
     "missing_gold",
-    lambda s, d: mining.missing_gold(V.graded_v(s, d), _some_gold(s, d)),
+    _missing,
     ["gold_v", "graded_v"],
-    """SELECT category, count(*) AS missing FROM graded_v WHERE problem_id NOT IN (SELECT problem_id FROM gold_v WHERE row_no % 64 < 9) GROUP BY category""",
+    """SELECT category, count(*) AS missing FROM graded_v
+      WHERE problem_id || CASE WHEN l_linenumber = 7 THEN '-new' ELSE '' END NOT IN (SELECT problem_id FROM gold_v) GROUP BY category""",
 )
 
 

@@ -519,8 +519,8 @@ add("weakness_problems", _weak_problems)
 
 
 def _spelling(spark, sf):
-    words = V.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("token")).filter(F.col("token").rlike("^[a-z]{2,8}$")).distinct()
-    spaced = V.table(spark, sf, "conversations").select(F.explode(F.split("text", " ")).alias("token")).filter(F.col("token").rlike("^[a-z]{2,8}$")).distinct()
+    words = V.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("token")).filter("token <> ''").distinct()
+    spaced = V.table(spark, sf, "conversations").select(F.explode(F.split("text", " ")).alias("token")).filter("token <> ''").distinct()
     lines = synth.spelling_lines(words, spaced)
     first = F.substring_index("input_text", " ", 1)
     uses = lines.groupBy(first.alias("token")).agg(F.count("*").alias("n"))
@@ -534,7 +534,7 @@ def _spelling(spark, sf):
     return total.join(least, F.lit(True))
 
 
-_POOL = "(SELECT count(DISTINCT w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM {t}) WHERE regexp_full_match(w, '[a-z]{{2,8}}'))"
+_POOL = "(SELECT count(DISTINCT w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM {t}) WHERE w <> '')"
 add(
     "spelling_schedule",
     _spelling,
@@ -604,8 +604,8 @@ add(
 
 
 def _matching_problems(spark, sf):
-    sections = synth.matching_sections(_traces(spark, sf)).filter("section = 'Identity'")
-    n = F.substring_index("file", ".", 1).cast("bigint")
+    sections = synth.matching_sections(_traces(spark, sf))
+    n = F.substring_index("file", ".", 1).cast("bigint") * 2 + F.when(F.col("section") == "Identity", 0).otherwise(1)
     return synth.matching_problems(sections.withColumn("n", n)).select("id", "category", "completion", F.md5("prompt").alias("prompt_md5"))
 
 
@@ -613,7 +613,7 @@ add(
     "matching_problems",
     _matching_problems,
     [],
-    f"""SELECT substr(sha256('matching_' || split_part(file, '.', 1)), 1, 8) AS id, 'matching' AS category, output AS completion,
+    f"""SELECT substr(sha256('matching_' || (CAST(split_part(file, '.', 1) AS BIGINT) * 2 + CASE section WHEN 'Identity' THEN 0 ELSE 1 END)), 1, 8) AS id, 'matching' AS category, output AS completion,
       md5('In Alice''s Wonderland, secret processing rules are used on text.' || chr(10) || chr(10) || 'x: not matched anywhere' || chr(10) || 'y: matched but wrong position' ||
-      chr(10) || chr(10) || input) AS prompt_md5 FROM {_SECTIONS} WHERE section = 'Identity'""",
+      chr(10) || chr(10) || input) AS prompt_md5 FROM {_SECTIONS}""",
 )
