@@ -236,3 +236,61 @@ def test_contaminated_documents(spark, partitions):
     told, clean = tiling.decontaminate(docs, bench.limit(0))
     assert not any(r.contaminated for r in told.collect()) and clean.count() == 10
     assert tiling.decontaminate(docs.limit(0), bench)[0].collect() == []
+
+
+def test_languages_do_not_depend_on_neighbours(spark):
+    """The same scores, sets and fits, however the texts are dealt over partitions and runs."""
+    rnd = random.Random(12)
+    tongues = {"x": "abcde", "y": "uvwxyz", "z": "mnopq"}
+
+    def text(langs, n):
+        return " ".join("".join(rnd.choice(tongues[rnd.choice(langs)]) for _ in range(rnd.randrange(1, 8))) for _ in range(n))
+
+    rows = [(k, text("xyz"[k % 3], 30), "xyz"[k % 3]) for k in range(60)]
+    rows += [(100 + k, text("xy" if k % 2 else "xyz", rnd.choice([1, 2, 5, 40, 300])), None) for k in range(60)] + [(300, "", None), (301, "12 34", None), (302, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    seen = []
+    for parts in (1, 4, 16):
+        got = langid.predict(df.repartition(parts), model, ["doc_id"], fits=True).collect()
+        seen.append({r.doc_id: (r.lang_pred, r.score, tuple(map(tuple, r.languages)), r.fit, r.n_words) for r in got})
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+    assert any(len(v[2]) > 1 for v in seen[0].values())
+    spoken = [{(r.doc_id, r.lang_pred) for r in langid.spoken(df.repartition(p), ["doc_id"]).collect()} for p in (1, 5)]
+    assert spoken[0] == spoken[1]
+
+
+def test_expectation_maximisation_equals_a_plain_loop():
+    """Proportions, likelihoods and the chosen sets against loops over words and subsets of ranked languages."""
+    rnd = np.random.default_rng(4)
+    first = np.array([0, 0, 1, 9, 9, 60])
+    word = rnd.normal(-20, 6, (60, 3))
+    share, like = langid.mixture(word, first, np.ones((5, 3)))
+    best, likely = langid.choose(word, first)
+    for d in range(5):
+        own = word[first[d] : first[d + 1]]
+
+        def estimate(allowed, own=own):
+            p = np.array(allowed, float) / sum(allowed)
+            for _ in range(langid.STEPS):
+                if not len(own):
+                    break
+                part = np.exp(np.maximum(own - own.max(axis=1, keepdims=True), -60)) * p
+                new = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+                still = abs(new - p).max() <= langid.STILL
+                p = new
+                if still:
+                    break
+            top = own.max(axis=1, keepdims=True) if len(own) else own
+            return p, float(np.log((np.exp(np.maximum(own - top, -60)) * p).sum(axis=1)).sum() + top.sum())
+
+        p, l = estimate([1, 1, 1])
+        assert np.allclose(share[d], p) and np.isclose(like[d], l)
+        order = sorted(range(3), key=lambda k: (-p[k], k))
+        most = max(1, sum(p[k] * max(1, len(own)) >= 1 for k in range(3)))
+        tried = []
+        for size in range(1, most + 1):
+            q, v = estimate([1 if k in order[:size] else 0 for k in range(3)])
+            tried.append((v - 0.5 * (size - 1) * math.log(max(2, len(own))), -size, q, v))
+        _, _, q, v = max(tried, key=lambda x: x[:2])
+        assert np.allclose(best[d], q) and np.isclose(likely[d], v)

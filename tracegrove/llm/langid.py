@@ -17,7 +17,8 @@ Documents are scored where they are read; nothing else is shuffled.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and no languages, and so is
 every text if there is nothing to learn from; rows with a null text or language teach nothing; equal
-proportions go to the language that comes first; texts of any length are read whole; repeated rows are
+proportions go to the language that comes first; a text's result does not depend on its neighbours, so
+not on partitions; texts of any length are read whole; repeated rows are
 rows of their own; an empty table gives an empty result; other columns are kept where ``keep`` names them,
 unless they are named like a result column.
 """
@@ -32,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, buffers, runs, sums_per_text, text_column, with_fields, word_spans
+from .common import LETTERS, buffers, runs, stored, text_column, with_fields, word_spans
 
 UNKNOWN = "und"
 GRAMS = 1 << 21
-STEPS = 12
+#: Steps of an estimate at most, and the change of a proportion that ends it.
+STEPS, STILL = 12, 1e-6
 # 0 blank, 1..26 letters, 32..95 bytes beyond ASCII (continuation and lead bytes by their low six bits).
 _CLASS = np.zeros(256, np.int32)
 _CLASS[65:91] = _CLASS[97:123] = np.arange(1, 27)
@@ -107,20 +109,38 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", smooth: float
     return LanguageModel(names, codes, np.log(counts / counts.sum(axis=0)))
 
 
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each text's stretch of ``values``, 0 where it has none; each for itself, so that what stands
+    before it makes no difference."""
+    out = np.zeros((len(first) - 1, *values.shape[1:]))
+    some = np.flatnonzero(first[1:] > first[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, first[some], axis=0)
+    return out
+
+
 def mixture(word: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log-likelihood of every text, given its words' log-likelihoods per language and
-    the languages it may mix."""
+    the languages it may mix. A text whose proportions stand still takes no further step."""
     n = np.diff(first)
-    doc = np.repeat(np.arange(len(n)), n)
-    top = word.max(axis=1, keepdims=True)
+    top = word.max(axis=1, keepdims=True, initial=-np.inf)
     like = np.exp(np.maximum(word - top, -60.0))
     share = allowed / np.maximum(1, allowed.sum(axis=1, keepdims=True))
-    for _ in range(STEPS):
-        part = like * share[doc]
+    going, part_like, part_first = np.flatnonzero(n > 0), like, np.concatenate([[0], np.cumsum(n[n > 0])])
+    for step in range(STEPS):
+        if not len(going):
+            break
+        part = part_like * np.repeat(share[going], np.diff(part_first), axis=0)
         part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-        share = sums_per_text(part, first) / np.maximum(1, n)[:, None]
-    mixed = np.log(np.maximum((like * share[doc]).sum(axis=1), 1e-300)) + top[:, 0]
-    return share, sums_per_text(mixed, first)
+        new = sums(part, part_first) / np.diff(part_first)[:, None]
+        moved = np.abs(new - share[going]).max(axis=1) > STILL
+        share[going] = new
+        if step + 1 < STEPS and not moved.all():
+            keep = np.repeat(moved, np.diff(part_first))
+            part_like, part_first = part_like[keep], np.concatenate([[0], np.cumsum(np.diff(part_first)[moved])])
+            going = going[moved]
+    mixed = np.log(np.maximum((like * np.repeat(share, n, axis=0)).sum(axis=1), 1e-300)) + top[:, 0]
+    return share, sums(mixed, first)
 
 
 def choose(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,20 +151,39 @@ def choose(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(-full, axis=1, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(langs)[None, :], axis=1)
-    # A language that explains less than one word cannot pay its penalty.
-    most = int(max(1, (full * np.maximum(1, n)[:, None] >= 1).sum(axis=1).max(initial=1)))
-    best, value, likely = None, None, None
-    for size in range(1, most + 1):
-        share, like = mixture(word, first, (rank < size).astype(float))
-        score = like - 0.5 * (size - 1) * np.log(np.maximum(2, n))
-        if best is None:
-            best, value, likely = share, score, like
-        else:
-            better = score > value
-            best[better], value[better], likely[better] = share[better], score[better], like[better]
+    # One language has all of a text; there is nothing to estimate.
+    best = (rank < 1).astype(float)
+    own = np.take_along_axis(word, np.repeat(order[:, :1], n, axis=0), axis=1)[:, 0]
+    top = word.max(axis=1, initial=-np.inf)
+    likely = sums(np.maximum(own, top - 60.0), first)
+    value = likely.copy()
+    # A language that explains less than one word of a text cannot pay its penalty there.
+    most = np.maximum(1, (full * np.maximum(1, n)[:, None] >= 1).sum(axis=1))
+    for size in range(2, langs + 1):
+        some = np.flatnonzero((most >= size) & (n > 0))
+        if not len(some):
+            break
+        mine = np.zeros(docs, bool)
+        mine[some] = True
+        share, like = mixture(word[np.repeat(mine, n)], np.concatenate([[0], np.cumsum(n[some])]), (rank[some] < size).astype(float))
+        score = like - 0.5 * (size - 1) * np.log(np.maximum(2, n[some]))
+        better = score > value[some]
+        at = some[better]
+        best[at], value[at], likely[at] = share[better], score[better], like[better]
     return best, likely
 
 
+def _sets(shares: np.ndarray, languages: list[str]) -> pa.Array:
+    """Each text's languages by falling proportion, as a list of (lang, share)."""
+    order = np.argsort(-shares, axis=1, kind="stable")
+    value = np.take_along_axis(shares, order, axis=1)
+    there = value > 0
+    offsets = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
+    lang = pa.array(languages, pa.string()).take(pa.array(order[there], pa.int32()))
+    pairs = pa.StructArray.from_arrays([lang, pa.array(value[there], pa.float64())], names=["lang", "share"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+
+
 def _predict(state, keep: int, text: str, fits: bool) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = state.value
@@ -162,22 +201,21 @@ def _predict(state, keep: int, text: str, fits: bool) -> object:
                     start, end, first = word_spans(raw, off, LETTERS)
                     if not len(start):
                         continue
-                    total = np.zeros((len(raw) + 1, len(model.languages)))
-                    np.cumsum(model.logp[row[code]], axis=0, out=total[1:])
-                    shares[i:j], like = choose(total[end] - total[start], first)
+                    # Every second stretch is a word.
+                    ends = np.stack([start, end], axis=1).ravel()
+                    each = np.concatenate([model.logp[row[code]], np.zeros((1, len(model.languages)))])
+                    shares[i:j], like = choose(np.add.reduceat(each, ends, axis=0)[::2], first)
                     n_words[i:j] = np.diff(first)
                     # The choice between several languages costs likelihood that one language does not.
                     own = shares[i:j]
                     like -= np.diff(first) * (own * np.log(np.maximum(own, 1e-300))).sum(axis=1)
-                    fit[i:j] = like / np.maximum(1, sums_per_text((end - start).astype(float), first))
+                    fit[i:j] = like / np.maximum(1, sums((end - start).astype(float), first))
             shares[~letters] = 0
             names = np.array([*model.languages, UNKNOWN], object)
             top = shares.max(axis=1, initial=0)
             pred = names[np.where(top > 0, shares.argmax(axis=1) if len(model.languages) else 0, -1)]
-            sets = [[{"lang": names[k], "share": float(s[k])} for k in np.argsort(-s, kind="stable") if s[k] > 0] for s in shares]
-            kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
             columns = [batch.column(k) for k in range(keep)]
-            columns += [pa.array(pred, pa.string()), pa.array(np.minimum(1.0, top), pa.float64()), pa.array(sets, kind)]
+            columns += [pa.array(pred, pa.string()), pa.array(np.minimum(1.0, top), pa.float64()), _sets(shares, model.languages)]
             names = [batch.schema.names[k] for k in range(keep)] + ["lang_pred", "score", "languages"]
             if fits:
                 columns += [pa.array(fit, pa.float64(), mask=n_words == 0), pa.array(n_words, pa.int64())]
@@ -187,12 +225,15 @@ def _predict(state, keep: int, text: str, fits: bool) -> object:
     return run
 
 
+#: Result columns, which ``keep`` cannot name.
+OWN = ("lang_pred", "score", "languages", "fit", "n_words")
+
+
 def predict(rows: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", fits: bool = False) -> DataFrame:
     """``keep``, ``lang_pred``, ``score`` (the proportion of it) and ``languages`` (set and proportions); with
     ``fits`` also ``fit`` (log-likelihood per letter) and ``n_words``."""
     state = rows.sparkSession.sparkContext.broadcast(model)
-    own = ("lang_pred", "score", "languages", *(("fit", "n_words") if fits else ()))
-    keep = [c for c in keep if c not in own]
+    keep = [c for c in keep if c not in (OWN if fits else OWN[:3])]
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     given = rows.select(*keep, has_letter.alias("__letters"), *([] if text in keep else [F.col(text).alias("__text")]))
     fields = "lang_pred string, score double, languages array<struct<lang:string,share:double>>" + (", fit double, n_words long" if fits else "")
@@ -212,8 +253,11 @@ def spoken(rows: DataFrame, keep: list[str], text: str = "text", lang: str = "la
     model = learn(rows, text, lang)
     if not model.languages:
         return rows.filter(F.col(text).rlike(r"\p{L}")).select(*keep, F.lit(UNKNOWN).alias("lang_pred"))
-    known = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    told = predict(known, model, [], fits=True).filter(F.col("lang_pred") != UNKNOWN).select("lang_pred", _size("n_words").alias("size"), "fit")
+    # Texts are scored once; limits and result are read from the table of that.
+    marked = rows.withColumn("__taught", F.col(text).isNotNull() & F.col(lang).isNotNull())
+    kept = [c for c in keep if c not in OWN]
+    scored = stored(predict(marked, model, [*kept, "__taught"], text, fits=True).filter(F.col("lang_pred") != UNKNOWN))
+    told = scored.filter("__taught").select("lang_pred", _size(F.col("n_words")).alias("size"), "fit")
     # A row for every language and size, then for every size, then for all.
     level = told.cube("lang_pred", "size").agg(F.percentile_approx("fit", [0.01, 0.5], 10_000).alias("q"), F.count("*").alias("n"))
     limits = {(r.lang_pred, r.size): (2 * r.q[0] - r.q[1], r.n) for r in level.collect()}
@@ -225,6 +269,6 @@ def spoken(rows: DataFrame, keep: list[str], text: str = "text", lang: str = "la
 
     table = [(size, {name: limit(name, size, limit(None, size, overall)) for name in model.languages}) for size in range(11)]
     limits_of = F.broadcast(rows.sparkSession.createDataFrame(table, "__size int, __limits map<string,double>"))
-    out = predict(rows, model, keep, text, fits=True).filter(F.col("lang_pred") != UNKNOWN).withColumn("__size", _size(F.col("n_words")))
+    out = scored.withColumn("__size", _size(F.col("n_words")))
     least = F.aggregate("languages", F.lit(0.0), lambda total, x: total + x["share"] * F.try_element_at("__limits", x["lang"]))
-    return out.join(limits_of, "__size").filter(F.col("fit") >= least).select(*keep, "lang_pred")
+    return out.join(limits_of, "__size").filter(F.col("fit") >= least).select(*kept, "lang_pred")
