@@ -82,3 +82,16 @@ def test_bad_limits_and_masks_are_refused(spark):
         packing.pack_examples(df, "doc_id", "ids", limits=Limits(tokens=0))
     with pytest.raises(Exception, match="mask has 1 entries"):
         packing.pack_examples(df, "doc_id", "ids", "mask").collect()
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\u00a0", " \n\t"])
+def test_very_many_blanks_in_a_row(spark, blank):
+    """The rank encoder's stack ends there; the file's own library takes such texts."""
+    n = 1_000_000 // len(blank)
+    text = "begin" + blank * n + "end"
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    (ids,) = packing.byte_level_encoder(path)([text])
+    assert ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    pieces = packing.pack_documents(df, path).collect()
+    assert sum(p.length for p in pieces if p.doc_id == 1) == len(ids) + 1

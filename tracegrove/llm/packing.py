@@ -18,6 +18,7 @@ rows are packed each for itself; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -206,12 +207,17 @@ def pack_examples(df: DataFrame, doc_id: str, ids: str, mask: str | None = None,
 # --- tokens of documents ---------------------------------------------------------------------
 
 
+#: So many blanks in a row are more than the rank encoder's stack may hold.
+LONG_BLANKS = 100_000
+_BLANKS = re.compile(rf"\s{{{LONG_BLANKS}}}")
+
+
 def byte_level_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     """Encoder of a byte-level BPE file, without special tokens added.
 
     Where the file's ids follow its merges (checked here), ranks say all that the merges say, and the
-    several times faster rank encoder gives the same ids; texts that hold a special token's string, and
-    files of another kind, go to the file's own library.
+    several times faster rank encoder gives the same ids; texts that hold a special token's string or very many
+    blanks in a row, and files of another kind, go to the file's own library.
     """
     import os
 
@@ -242,8 +248,11 @@ def byte_level_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     ranks = {bytes(byte_of[c] for c in tok): i for tok, i in vocab.items() if tok not in specials}
     fast = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def rank_encoder_fails(t: str) -> bool:
+        return any(s in t for s in specials) or (len(t) >= LONG_BLANKS and _BLANKS.search(t) is not None)
+
     def encode(texts: list[str]) -> list[list[int]]:
-        return [plain([t])[0] if any(s in t for s in specials) else fast.encode_ordinary(t) for t in texts]
+        return [plain([t])[0] if rank_encoder_fails(t) else fast.encode_ordinary(t) for t in texts]
 
     return encode
 
