@@ -184,3 +184,18 @@ def test_blank_lines_stay(spark):
     rows = [(1, "}\n\n \t\n\r\nend"), (2, "}\n\n \t\n\r\nEnd")]
     got = line_dedup.LineDedup(spark.createDataFrame(rows, "doc_id long, text string")).deduplicated()
     assert {r.doc_id: r.text for r in got.collect()} == {1: rows[0][1], 2: "\n \t\n\r"}
+
+
+def test_one_of_each_chooses_one_row_of_rows_with_one_id_or_none(spark):
+    """Near copies that share an id, or have none, are still one component of which one row stays."""
+    base = [f"w{k}" for k in range(200)]
+    near = [*base[:199], "other"]
+    far = " ".join(f"v{k}" for k in range(50))
+    rows = [(5, " ".join(base)), (5, " ".join(near)), (None, " ".join(base) + " x"), (7, far), (7, far), (None, "n1 n2 n3 n4 n5 n6"), (None, "n1 n2 n3 n4 n5 n6"), (None, None), (8, ""), (9, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in prefix_join.one_of_each(df).collect()), key=repr)
+    fives = [t for i, t in got if i == 5]
+    assert len(fives) == 1 and fives[0] in (rows[0][1], rows[1][1])
+    assert [x for x in got if x[0] != 5] == sorted([(7, far), (None, "n1 n2 n3 n4 n5 n6"), (None, None), (8, ""), (9, " ")], key=repr)
+    nulls = spark.createDataFrame([(None, " ".join(base)), (None, " ".join(near))], "doc_id long, text string")
+    assert prefix_join.one_of_each(nulls).count() == 1

@@ -269,6 +269,17 @@ class PrefixJoin:
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, text_hash) of every row."""
+        rows, of_class = self._classes()
+        out = rows.select("doc_id", "text_hash", "n", "cls").join(of_class.select("cls", "component_id"), "cls", "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+
+    def placed(self) -> DataFrame:
+        """(doc_id, text_hash, root) of every row: equal roots are one component, no root is no words."""
+        rows, of_class = self._classes()
+        return rows.select("doc_id", "text_hash", "cls").join(of_class.select("cls", "root"), "cls", "left").select("doc_id", "text_hash", "root")
+
+    def _classes(self) -> tuple[DataFrame, DataFrame]:
+        """All rows with their class, and (cls, root, component_id) of every class of texts with words."""
         state = self.context.broadcast(self.frequent())
         rows = stored(self.docs.mapInArrow(_prefixes(state, self.width, self.percent), "doc_id long, text_hash long, n long, cls long, grp long, prefix array<long>, sketch binary, row_no long"))
         full = rows.filter(F.col("n") > 0)
@@ -298,19 +309,21 @@ class PrefixJoin:
         ids = full.groupBy("cls").agg(F.min("doc_id").alias("first_id"))
         placed = ids.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        of_class = placed.join(smallest, "root").select("cls", "component_id")
-        out = rows.select("doc_id", "text_hash", "n", "cls").join(of_class, "cls", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+        return rows, placed.join(smallest, "root")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id.
+    """``docs`` with one document of each component: the one with the smallest id, of several rows with that
+    id the one with the least text hash, of equal rows any one.
 
-    Rows equal in id and text are one document, of which one row stays; a row without an id stays unless
-    its component has one with an id.
+    Documents without words are linked with none: each that differs in id or text stays. A row without an id
+    stays only if its component has no row with an id.
     """
-    found = PrefixJoin(docs, doc_id, text, **options).components()
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    found = PrefixJoin(docs, doc_id, text, **options).placed()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    alone = found.filter(F.col("root").isNull()).select("doc_id", "text_hash")
+    first = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(rank).alias("x")).select("x.doc_id", "x.text_hash")
+    stays = alone.unionByName(first).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    both = keyed.join(stays.distinct(), (F.col("__own") == F.col("__hash")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    both = keyed.join(stays, (F.col("__own") == F.col("__hash")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
     return both.dropDuplicates([doc_id, "__own"]).select(*docs.columns)
