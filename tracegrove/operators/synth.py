@@ -453,7 +453,8 @@ def weakness_problems(
     first, last = 2 * per_family, max(50 * per_family, 100)
 
     def tried(families: DataFrame, low: int, high: int) -> DataFrame:
-        rows = families.select("family", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("attempt"))
+        # A limit leaves one partition; the attempts are dealt over all.
+        rows = families.select("family", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("attempt")).repartition("family", "attempt")
         number = X.padded(F.col("attempt"), 5)
         name = F.concat(F.lit("synthI_"), X.slug(F.col("family")), F.lit("_"), number)
         rows = rows.withColumn("problem_id", name).withColumn(
