@@ -27,6 +27,20 @@ SOME = [
     "decipher",
     "matching_sections",
     "stream_step_losses",
+    "stream_graded_rollouts",
+    "annealed_sample",
+    "bucketed_gold_join",
+    "category_volume_order",
+    "evolve_equations",
+    "infer_numeric_ops",
+    "jsonl_round_trip",
+    "merge_files_to_budget",
+    "merge_summary_observed",
+    "missing_gold",
+    "row_problems",
+    "seeded_shuffle",
+    "stratified_batches",
+    "yield_report",
 ]
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
