@@ -100,10 +100,12 @@ def substitution_maps(examples: DataFrame, order: str = "row_no") -> DataFrame:
         F.array_join(F.transform(pairs, lambda w: w["c"]), "").alias("c"),
         F.array_join(F.transform(pairs, lambda w: w["p"]), "").alias("p"),
     )
-    letter = F.array_distinct(X.chars(F.col("c")))
-    found = lines.select("problem_id", order, "c", "p", F.explode(letter).alias("cipher"))
-    plain_letter = F.expr("substring(p, locate(cipher, c), 1)")
-    first = found.groupBy("problem_id", "cipher").agg(F.min_by(plain_letter, order).alias("plain"))
+    first_place = F.transform(
+        F.array_distinct(X.chars(F.col("c"))),
+        lambda x: F.struct(x.alias("cipher"), F.substring(F.col("p"), F.call_function("locate", x, F.col("c")), F.lit(1)).alias("plain")),
+    )
+    found = lines.select("problem_id", order, F.inline(first_place))
+    first = found.groupBy("problem_id", "cipher").agg(F.min_by("plain", order).alias("plain"))
     return first.groupBy("problem_id").agg(
         F.map_from_entries(F.collect_list(F.struct("cipher", "plain"))).alias("mapping")
     )

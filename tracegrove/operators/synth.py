@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.answers import answers_match
-from ..functions.hashing import counter_int, pick_from, pick_int, sha_mod, short_id, uniform
+from ..functions.hashing import counter_bits, counter_int, pick_from, pick_int, sha_mod, short_id, uniform
 from .ordering import position, top_per_group
 from .rules import BIT_FAMILIES, N_BITS, apply_bit_rules, rules_of_examples, solve_equations
 
@@ -111,47 +111,67 @@ def row_problems(lines: DataFrame, kind: str, separator: str = " ") -> DataFrame
     )
 
 
-def spelling_lines(bare: DataFrame, spaced: DataFrame, lines: int = LINES_PER_PROBLEM, repeats: int = 4, seed: int = 42) -> DataFrame:
-    """(problem_no, line_no, input_text, output_text): one bare and two spaced tokens a line.
-
-    Both pools (``token``) are shuffled by hash and used in a circle until each token had its
-    ``repeats`` turns. Every token computes the turns it takes; lines meet on their number.
-    """
+def _ranked_pool(pool: DataFrame, seed: int) -> DataFrame:
+    """(token, _at, _n): tokens in an order drawn by the seed, from 1, and their number."""
+    drawn = pool.select("token", counter_bits(seed, F.col("token")).alias("_h"))
+    return position(drawn, order=["_h", "token"], bucket=[F.shiftright("_h", 44)], name="_at", total="_n")
 
-    def ranked(pool: DataFrame) -> DataFrame:
-        hashed = pool.select("token", F.xxhash64(F.lit(seed), "token").alias("_h"))
-        slot = F.shiftright("_h", 56)
-        return position(hashed, order=["_h", "token"], bucket=[slot], name="_at", total="_n")
 
+def _n_spelling_problems(bare: DataFrame, spaced: DataFrame, lines: int, repeats: int) -> Column:
     def size(pool: DataFrame) -> Column:
         return pool.agg(F.count(F.lit(1))).scalar()
 
-    problems = F.greatest(
-        F.ceil(size(bare) * repeats / F.lit(lines)), F.ceil(size(spaced) * repeats / F.lit(2 * lines))
-    )
+    return F.greatest(F.ceil(size(bare) * repeats / F.lit(lines)), F.ceil(size(spaced) * repeats / F.lit(2 * lines)))
+
+
+def spelling_lines(bare: DataFrame, spaced: DataFrame, lines: int = LINES_PER_PROBLEM, repeats: int = 4, seed: int = 42) -> DataFrame:
+    """(problem_no, line_no, input_text, output_text): one bare and two spaced tokens a line.
+
+    Both pools (``token``) are shuffled by draws and used in a circle until each token had its
+    ``repeats`` turns. Every token computes the turns it takes; lines meet on their number.
+    """
+    problems = _n_spelling_problems(bare, spaced, lines, repeats)
 
     def turns(pool: DataFrame, per_line: int) -> DataFrame:
         places = F.sequence(F.col("_at") - 1, problems * lines * per_line - 1, F.col("_n"))
         fits = F.col("_at") <= problems * lines * per_line
-        return ranked(pool).filter(fits).select("token", F.explode(places).alias("turn"))
+        return _ranked_pool(pool, seed).filter(fits).select("token", F.explode(places).alias("turn"))
 
     b = turns(bare, 1).select(F.col("turn").alias("line"), F.col("token").alias("b"))
     s = turns(spaced, 2).withColumn("line", F.floor(F.col("turn") / F.lit(2)))
-    first = s.filter(F.col("turn") % 2 == 0).select("line", F.col("token").alias("s1"))
-    second = s.filter(F.col("turn") % 2 == 1).select("line", F.col("token").alias("s2"))
+    pair = s.groupBy("line").agg(
+        F.max(F.when(F.col("turn") % 2 == 0, F.col("token"))).alias("s1"), F.max(F.when(F.col("turn") % 2 == 1, F.col("token"))).alias("s2")
+    )
     text = F.concat_ws(" ", "b", "s1", "s2")
-    return (
-        b.join(first, "line")
-        .join(second, "line")
-        .select(
-            F.floor(F.col("line") / F.lit(lines)).alias("problem_no"),
-            (F.col("line") % lines).alias("line_no"),
-            text.alias("input_text"),
-            X.spell_out(text).alias("output_text"),
-        )
+    return b.join(pair, "line").select(
+        F.floor(F.col("line") / F.lit(lines)).alias("problem_no"),
+        (F.col("line") % lines).alias("line_no"),
+        text.alias("input_text"),
+        X.spell_out(text).alias("output_text"),
     )
 
 
+def spelling_demos(bare: DataFrame, spaced: DataFrame, n_problems: DataFrame, seed: int = 42) -> DataFrame:
+    """(problem_no, line_no, input_text, output_text) of the lines each problem (``problem_no``) shows first: tokens
+    drawn from the pools with replacement."""
+    wanted = n_problems.select("problem_no", F.explode(F.sequence(F.lit(0), F.lit(DEMO_LINES - 1))).alias("line_no"))
+    for name, pool in (("b", bare), ("s1", spaced), ("s2", spaced)):
+        ranked = _ranked_pool(pool, seed).select(F.col("_at").alias("_place"), F.col("token").alias(name))
+        size = pool.agg(F.count(F.lit(1))).scalar()
+        draw = counter_bits(seed, F.lit(name), F.col("problem_no"), F.col("line_no")) % size + 1
+        wanted = wanted.withColumn("_place", draw).join(ranked, "_place").drop("_place")
+    text = F.concat_ws(" ", "b", "s1", "s2")
+    return wanted.select("problem_no", "line_no", text.alias("input_text"), X.spell_out(text).alias("output_text"))
+
+
+def spelling_problems(bare: DataFrame, spaced: DataFrame, lines: int = LINES_PER_PROBLEM, repeats: int = 4, seed: int = 42) -> DataFrame:
+    """(id, prompt, completion, category): the lines of each problem put together, after lines that show how."""
+    rows = spelling_lines(bare, spaced, lines, repeats, seed)
+    numbers = bare.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), _n_spelling_problems(bare, spaced, lines, repeats) - 1)).alias("problem_no"))
+    demos = spelling_demos(bare, spaced, numbers.repartition("problem_no"), seed)
+    return row_problems(rows.withColumn("part", F.lit("row")).unionByName(demos.withColumn("part", F.lit("demo"))), "spelling", "\n")
+
+
 # --- equation problems -----------------------------------------------------------------------
 
 

@@ -518,29 +518,44 @@ def _weak_problems(spark, sf):
 add("weakness_problems", _weak_problems)
 
 
-def _spelling(spark, sf):
-    words = V.table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("token")).filter("token <> ''").distinct()
-    spaced = V.table(spark, sf, "conversations").select(F.explode(F.split("text", " ")).alias("token")).filter("token <> ''").distinct()
-    lines = synth.spelling_lines(words, spaced)
-    first = F.substring_index("input_text", " ", 1)
-    uses = lines.groupBy(first.alias("token")).agg(F.count("*").alias("n"))
-    letters = F.regexp_replace("output_text", "–", "")
-    total = lines.agg(
-        F.count("*").alias("lines"),
-        F.countDistinct("problem_no").alias("problems"),
-        F.count_if(letters == F.regexp_replace("input_text", " ", "")).alias("valid"),
-    )
-    least = uses.agg((F.min("n") >= 4).alias("covered"), (F.max("n") - F.min("n") <= 1).alias("even"), F.count("*").alias("tokens"))
-    return total.join(least, F.lit(True))
-
-
-_POOL = "(SELECT count(DISTINCT w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM {t}) WHERE w <> '')"
+def _pools(spark, sf):
+    """All words of the documents, and all of the conversations."""
+    tables = ("documents", "conversations")
+    return [V.table(spark, sf, t).select(F.explode(F.split("text", " ")).alias("token")).filter("token <> ''").distinct() for t in tables]
+
+
+_POOL = """(SELECT token, row_number() OVER (ORDER BY {bits}, token) AS rk, count(*) OVER () AS n FROM (
+      SELECT DISTINCT token FROM (SELECT unnest(string_split(text, ' ')) AS token FROM {t}) WHERE token <> ''))"""
+_BARE, _SPACED = (_POOL.format(t=t, bits=H.counter_bits_sql(42, "token")) for t in ("documents", "conversations"))
+_LINES = """lines AS (SELECT problem_no, line_no, b.token || ' ' || s1.token || ' ' || s2.token AS input_text FROM (
+      SELECT t // 100 AS problem_no, t % 100 AS line_no, t % nb + 1 AS kb, 2 * t % ns + 1 AS k1, (2 * t + 1) % ns + 1 AS k2 FROM (
+        SELECT nb, ns, unnest(range(100 * CAST(greatest(ceil(nb * 4 / 100), ceil(ns * 4 / 200)) AS BIGINT))) AS t FROM sizes))
+      JOIN bare b ON b.rk = kb JOIN spaced s1 ON s1.rk = k1 JOIN spaced s2 ON s2.rk = k2)"""
+_SPELL_SQL = f"""WITH bare AS {_BARE}, spaced AS {_SPACED}, sizes AS (SELECT (SELECT max(n) FROM bare) AS nb, (SELECT max(n) FROM spaced) AS ns), {_LINES}"""
+_SPELLED = "'–' || array_to_string(list_filter(string_split(input_text, ''), lambda c: c <> ' '), '–') || '–'"
 add(
     "spelling_schedule",
-    _spelling,
+    lambda s, d: synth.spelling_lines(*_pools(s, d)),
+    [],
+    f"{_SPELL_SQL} SELECT problem_no, line_no, input_text, {_SPELLED} AS output_text FROM lines",
+)
+_DRAW = {n: H.counter_bits_sql(42, f"'{n}'", "problem_no", "line_no") for n in ("b", "s1", "s2")}
+add(
+    "spelling_problems",
+    lambda s, d: synth.spelling_problems(*_pools(s, d)).select("id", "category", F.md5("prompt").alias("prompt_md5"), F.md5("completion").alias("completion_md5")),
     [],
-    f"""SELECT k * 100 AS lines, k AS problems, k * 100 AS valid, true AS covered, true AS even, b.n AS tokens FROM {_POOL.format(t='documents')} b, {_POOL.format(t='conversations')} s,
-      LATERAL (SELECT CAST(greatest(ceil(b.n * 4 / 100), ceil(s.n * 4 / 200)) AS BIGINT) AS k)""",
+    f"""{_SPELL_SQL}, demos AS (SELECT problem_no, line_no, b.token || ' ' || s1.token || ' ' || s2.token AS input_text FROM (
+      SELECT problem_no, line_no, {_DRAW['b']} % nb + 1 AS kb, {_DRAW['s1']} % ns + 1 AS k1, {_DRAW['s2']} % ns + 1 AS k2
+      FROM (SELECT DISTINCT problem_no FROM lines), (SELECT unnest(range(3)) AS line_no), sizes)
+      JOIN bare b ON b.rk = kb JOIN spaced s1 ON s1.rk = k1 JOIN spaced s2 ON s2.rk = k2),
+    shown AS (SELECT problem_no, line_no, part, lpad(CAST(line_no AS VARCHAR), 2, '0') || chr(10) || input_text AS given, {_SPELLED} AS spelled FROM (
+      SELECT *, 'row' AS part FROM lines UNION ALL SELECT *, 'demo' FROM demos)),
+    blocks AS (SELECT problem_no, string_agg(given, chr(10) ORDER BY line_no) FILTER (part = 'demo') AS demo_in, string_agg(given || ' -> ' || spelled, chr(10) ORDER BY line_no) FILTER (part = 'demo') AS demo_out,
+      string_agg(given, chr(10) ORDER BY line_no) FILTER (part = 'row') AS rows_in, string_agg(given || ' -> ' || spelled, chr(10) ORDER BY line_no) FILTER (part = 'row') AS completion
+      FROM shown GROUP BY problem_no)
+    SELECT substr(sha256('spelling_' || problem_no), 1, 8) AS id, 'spelling' AS category, md5('In Alice''s Wonderland, secret processing rules are used on text.' || chr(10) || chr(10) ||
+      'This is a sample input.' || chr(10) || demo_in || chr(10) || chr(10) || 'This is a sample output.' || chr(10) || demo_out || chr(10) || chr(10) ||
+      'This is your input.' || chr(10) || rows_in) AS prompt_md5, md5(completion) AS completion_md5 FROM blocks""",
 )
 
 
