@@ -6,7 +6,7 @@ same. Distribution and validity are promised, not any particular random stream.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.answers import answers_match
-from ..functions.hashing import counter_bits, counter_int, pick_from, pick_int, sha_mod, short_id, uniform
+from ..functions.hashing import counter_bits, counter_int, counter_pick, pick_from, pick_int, sha_mod, short_id, uniform
 from .ordering import position, top_per_group
 from .rules import BIT_FAMILIES, N_BITS, apply_bit_rules, rules_of_examples, solve_equations
 
@@ -175,56 +175,48 @@ def spelling_problems(bare: DataFrame, spaced: DataFrame, lines: int = LINES_PER
 # --- equation problems -----------------------------------------------------------------------
 
 
-def _numeric_pair(rule: Column, a: Column, b: Column) -> Column:
-    x, y = a.cast("int"), b.cast("int")
-    return (
-        F.when(rule == "add", (x + y).cast("string"))
-        .when(rule == "sub", (x - y).cast("string"))
-        .when(rule == "absdiff", F.abs(x - y).cast("string"))
-        .when(rule == "mul", (x * y).cast("string"))
-        .when(rule == "revcat", F.concat(b, a))
-        .otherwise(F.concat(a, b))
-    )
-
-
-def _symbol_pair(rule: Column, a: Column, b: Column) -> Column:
-    return (
-        F.when(rule == "left", a)
-        .when(rule == "right", b)
-        .when(rule == "swap", F.concat(b, a))
-        .when(rule == "outer", F.concat(F.left(a, F.lit(1)), F.right(b, F.lit(1))))
-        .otherwise(F.concat(a, b))
-    )
+#: What an equation problem does to its two operands, by name.
+NUMERIC_PAIRS: dict[str, Callable[[Column, Column], Column]] = {
+    "addition": lambda a, b: (a.cast("int") + b.cast("int")).cast("string"),
+    "subtraction": lambda a, b: (a.cast("int") - b.cast("int")).cast("string"),
+    "absolute difference": lambda a, b: F.abs(a.cast("int") - b.cast("int")).cast("string"),
+    "multiplication": lambda a, b: (a.cast("int") * b.cast("int")).cast("string"),
+    "concatenation": F.concat,
+    "reverse concatenation": lambda a, b: F.concat(b, a),
+}
+SYMBOL_PAIRS: dict[str, Callable[[Column, Column], Column]] = {
+    "both": F.concat,
+    "both turned": lambda a, b: F.concat(b, a),
+    "first": lambda a, b: a,
+    "second": lambda a, b: b,
+    "ends": lambda a, b: F.concat(F.left(a, F.lit(1)), F.right(b, F.lit(1))),
+}
 
 
-def hindsight_problems(seeds: DataFrame, numeric: bool = True, seed: int = 20260602) -> DataFrame:
-    """One equation problem per seed row: a random rule, four examples and a question.
+def hindsight_problems(seeds: DataFrame, numeric: bool = True, seed: int = 11) -> DataFrame:
+    """One equation problem per seed row: a drawn rule, four examples and a question.
 
-    Columns: problem_no, id, category, rule, op, examples, question, answer, prompt.
+    Columns: problem_no, id, category, rule, op, examples, question, answer, prompt. All draws are
+    :func:`..functions.hashing.counter_bits`, so SQL can repeat them.
     """
     key = F.col("problem_no")
-    rules = ["add", "sub", "absdiff", "mul", "cat", "revcat"] if numeric else ["concat", "swap", "left", "right", "outer"]
+    pairs = NUMERIC_PAIRS if numeric else SYMBOL_PAIRS
     category = "equation_numeric_guess" if numeric else "cryptarithm_guess"
-    base = seeds.select("problem_no").select(
-        "problem_no", pick_from(rules, seed, F.lit("rule"), key).alias("rule"), pick_from(OPERATORS, seed, F.lit("op"), key).alias("op")
+    base = seeds.select(
+        "problem_no", counter_pick(list(pairs), seed, F.lit("rule"), key).alias("rule"), counter_pick(OPERATORS, seed, F.lit("op"), key).alias("op")
     )
 
     def operands(i: Column) -> tuple[Column, Column]:
         if numeric:
-            sides = [F.lpad(pick_int(0, 99, seed, F.lit(side), key, i).cast("string"), 2, "0") for side in "ab"]
+            sides = [F.lpad(counter_int(0, 99, seed, F.lit(side), key, i).cast("string"), 2, "0") for side in "ab"]
             return sides[0], sides[1]
-        shuffled = F.array_sort(
-            F.transform(
-                F.array(*[F.lit(s) for s in PUZZLE_SYMBOLS]),
-                lambda s: F.struct(F.xxhash64(F.lit(seed), key, i, s).alias("h"), s.alias("s")),
-            )
-        )
-        four = F.transform(F.slice(shuffled, 1, 4), lambda x: x["s"])
+        drawn = F.transform(F.array(*[F.lit(s) for s in PUZZLE_SYMBOLS]), lambda s: F.struct(counter_bits(seed, key, i, s).alias("h"), s.alias("s")))
+        four = F.transform(F.slice(F.array_sort(drawn), 1, 4), lambda x: x["s"])
         return F.array_join(F.slice(four, 1, 2), ""), F.array_join(F.slice(four, 3, 2), "")
 
     def line(i: Column) -> Column:
         a, b = operands(i)
-        result = _numeric_pair(F.col("rule"), a, b) if numeric else _symbol_pair(F.col("rule"), a, b)
+        result = F.coalesce(*[F.when(F.col("rule") == name, of(a, b)) for name, of in pairs.items()])
         return F.struct(F.concat(a, F.col("op"), b).alias("input_value"), result.alias("output_value"))
 
     built = base.withColumn("lines", F.transform(F.sequence(F.lit(1), F.lit(5)), line))

@@ -427,34 +427,45 @@ add(
 
 
 def _hindsight(spark, sf):
-    n = synth.hindsight_problems(_seeds(spark, sf))
+    made = [synth.hindsight_problems(_seeds(spark, sf), numeric) for numeric in (True, False)]
     parsed = X.parse_equation_prompt(F.col("prompt"))
-    rule = rules.consistent_rule(F.col("examples"), F.col("question"), F.col("answer"))
-    numeric = n.agg(
-        F.lit("numeric").alias("family"),
-        F.count("*").alias("problems"),
-        F.countDistinct("id").alias("ids"),
-        F.count_if(parsed["question"] == F.col("question")).alias("parsed"),
-        F.count_if(rule.isNotNull()).alias("explained"),
-    )
-    s = synth.hindsight_problems(_seeds(spark, sf), numeric=False)
-    four = F.size("examples") == 4
-    symbols = s.agg(
-        F.lit("symbol").alias("family"),
-        F.count("*").alias("problems"),
-        F.countDistinct("id").alias("ids"),
-        F.count_if(F.length("question") == 5).alias("parsed"),
-        F.count_if(four & F.forall("examples", lambda e: F.length(e["output_value"]).isin(2, 4))).alias("explained"),
-    )
-    return numeric.unionByName(symbols)
-
-
-add(
-    "hindsight_problems",
-    _hindsight,
-    [],
-    """SELECT unnest(['numeric', 'symbol']) AS family, count(*) AS problems, count(*) AS ids, count(*) AS parsed, count(*) AS explained FROM customer""",
-)
+    explained = rules.consistent_rule(F.col("examples"), F.col("question"), F.col("answer")).isNotNull()
+    shown = F.array_join(F.transform("examples", lambda e: F.concat(e["input_value"], F.lit("="), e["output_value"])), " ")
+    return made[0].unionByName(made[1]).select(
+        "problem_no", "id", "category", "rule", "op", shown.alias("shown"), "question", "answer", F.md5("prompt").alias("prompt_md5"),
+        (F.col("category").startswith("crypt") | (explained & (parsed["question"] == F.col("question")))).alias("consistent"),
+    )
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _hindsight_sql(numeric: bool) -> str:
+    """Drawn rule, operator and five pairs of operands of every seed, and what the rule makes of them."""
+    bits = lambda *keys: H.counter_bits_sql(11, *keys)
+    if numeric:
+        names, category = synth.NUMERIC_PAIRS, "equation_numeric_guess"
+        sides = ", ".join(f"lpad(CAST({bits(repr(x), 'problem_no', 'i')} % 100 AS VARCHAR), 2, '0') AS {x}" for x in "ab")
+        cases = """WHEN 'addition' THEN CAST(CAST(a AS INT) + CAST(b AS INT) AS VARCHAR) WHEN 'subtraction' THEN CAST(CAST(a AS INT) - CAST(b AS INT) AS VARCHAR)
+          WHEN 'absolute difference' THEN CAST(abs(CAST(a AS INT) - CAST(b AS INT)) AS VARCHAR) WHEN 'multiplication' THEN CAST(CAST(a AS INT) * CAST(b AS INT) AS VARCHAR)
+          WHEN 'concatenation' THEN a || b ELSE b || a END"""
+    else:
+        names, category = synth.SYMBOL_PAIRS, "cryptarithm_guess"
+        four = f"list_transform(list_sort(list_transform({_list_sql(synth.PUZZLE_SYMBOLS)}, lambda s: {{'h': {bits('problem_no', 'i', 's')}, 's': s}}))[1:4], lambda x: x.s)"
+        sides = f"array_to_string(({four})[1:2], '') AS a, array_to_string(({four})[3:4], '') AS b"
+        cases = "WHEN 'both' THEN a || b WHEN 'both turned' THEN b || a WHEN 'first' THEN a WHEN 'second' THEN b ELSE left(a, 1) || right(b, 1) END"
+    ops = _list_sql(synth.OPERATORS)
+    return f"""SELECT problem_no, substr(sha256('her_{category}_' || problem_no), 1, 8) AS id, '{category}' AS category, rule, op,
+      string_agg(a || op || b || '=' || r, ' ' ORDER BY i) FILTER (i < 5) AS shown, max(a || op || b) FILTER (i = 5) AS question, max(r) FILTER (i = 5) AS answer,
+      md5('{synth.EQUATION_INTRO.replace("'", "''")}' || string_agg(a || op || b || ' = ' || r, chr(10) ORDER BY i) FILTER (i < 5) || chr(10) ||
+        'Now, determine the result for: ' || max(a || op || b) FILTER (i = 5)) AS prompt_md5, true AS consistent FROM (
+      SELECT *, CASE rule {cases} AS r FROM (
+        SELECT *, {_list_sql(names)}[1 + {bits("'rule'", "problem_no")} % {len(names)}] AS rule, {ops}[1 + {bits("'op'", "problem_no")} % {len(synth.OPERATORS)}] AS op, {sides}
+        FROM (SELECT c_custkey AS problem_no, unnest(range(1, 6)) AS i FROM customer))) GROUP BY problem_no, rule, op"""
+
+
+add("hindsight_problems", _hindsight, [], f"{_hindsight_sql(True)} UNION ALL {_hindsight_sql(False)}")
 
 
 def _vectors(spark, sf):
