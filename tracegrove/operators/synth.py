@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.answers import answers_match
-from ..functions.hashing import counter_bits, counter_int, counter_pick, pick_from, pick_int, sha_mod, short_id, uniform
+from ..functions.hashing import counter_bits, counter_int, counter_pick, pick_from, pick_int, sha_mod, short_id
 from .ordering import position, top_per_group
 from .rules import BIT_FAMILIES, N_BITS, apply_bit_rules, rules_of_examples, solve_equations
 
@@ -43,18 +43,16 @@ MATCHING_INTRO = ROWS_INTRO + "x: not matched anywhere\ny: matched but wrong pos
 
 def _symbols(length: Column, seed: int, *keys: Column) -> Column:
     """Text of seeded symbols."""
-    picks = F.transform(F.sequence(F.lit(1), length), lambda i: pick_from(SYMBOLS, seed, *keys, i))
+    picks = F.transform(F.sequence(F.lit(1), length), lambda i: counter_pick(SYMBOLS, seed, *keys, i))
     return F.array_join(picks, "")
 
 
 def _row_pair(kind: str, seed: int, *keys: Column) -> tuple[Column, Column]:
     if kind == "lstrip":
-        length = F.when(uniform(seed, F.lit("half"), *keys) < 0.5, F.lit(5)).otherwise(
-            pick_int(1, 10, seed, F.lit("length"), *keys)
-        )
+        length = F.when(counter_int(0, 1, seed, F.lit("half"), *keys) == 0, F.lit(5)).otherwise(counter_int(1, 10, seed, F.lit("length"), *keys))
         symbols = _symbols(length, seed, *keys)
         return X.bracket_whole(F.concat(F.lit(" "), symbols)), X.bracket_whole(symbols)
-    symbols = _symbols(pick_int(2, 8, seed, F.lit("length"), *keys), seed, *keys)
+    symbols = _symbols(counter_int(2, 8, seed, F.lit("length"), *keys), seed, *keys)
     each, whole = X.bracket_each(symbols), X.bracket_whole(symbols)
     return (each, whole) if kind == "concatenation" else (whole, each)
 

@@ -382,47 +382,50 @@ def _seeds(spark, sf, table: str = "customer", key: str = "c_custkey"):
     return V.table(spark, sf, table).select(F.col(key).alias("problem_no"))
 
 
+def _list_sql(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+KINDS = ("concatenation", "splitting", "lstrip")
+
+
 def _parallel(spark, sf):
-    """Every generated line is checked against its transform; problems are counted."""
-    out = None
-    for kind in ("concatenation", "splitting", "lstrip"):
-        lines = synth.parallel_row_lines(_seeds(spark, sf), kind)
-        inner = F.regexp_replace("input_text", "[【】]", "")
-        want = {
-            "concatenation": X.bracket_whole(inner),
-            "splitting": X.bracket_each(inner),
-            "lstrip": X.bracket_whole(X.drop_leading_space(inner)),
-        }[kind]
-        checked = lines.agg(
-            F.lit(kind).alias("kind"),
-            F.countDistinct("problem_no").alias("problems"),
-            F.count_if(F.col("part") == "row").alias("rows"),
-            F.count_if(F.col("part") == "demo").alias("demos"),
-            F.count_if(F.col("output_text") == want).alias("valid"),
-        )
-        out = checked if out is None else out.unionByName(checked)
-    return out
+    """Lines of all kinds for every supplier."""
+    made = [synth.parallel_row_lines(_seeds(spark, sf, "supplier", "s_suppkey"), kind).withColumn("kind", F.lit(kind)) for kind in KINDS]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
-add(
-    "parallel_rows",
-    _parallel,
-    [],
-    """SELECT unnest(['concatenation', 'splitting', 'lstrip']) AS kind, count(*) AS problems, count(*) * 100 AS rows, count(*) * 3 AS demos, count(*) * 103 AS valid
-      FROM customer""",
-)
+def _parallel_sql() -> str:
+    bits = lambda *keys: H.counter_bits_sql(0, *keys)
+    own = ("kind", "problem_no", "n")
+    length = f"""CASE WHEN kind <> 'lstrip' THEN 2 + {bits("'length'", *own)} % 7 WHEN {bits("'half'", *own)} % 2 = 0 THEN 5 ELSE 1 + {bits("'length'", *own)} % 10 END"""
+    symbols = f"array_to_string(list_transform(range(1, size + 1), lambda i: {_list_sql(synth.SYMBOLS)}[1 + {bits(*own, 'i')} % {len(synth.SYMBOLS)}]), '')"
+    each = "array_to_string(list_transform(string_split(s, ''), lambda c: '【' || c || '】'), '')"
+    return f"""(SELECT kind, problem_no, CASE WHEN n < 0 THEN 'demo' ELSE 'row' END AS part, CASE WHEN n < 0 THEN n + 3 ELSE n END AS line_no,
+      CASE kind WHEN 'concatenation' THEN {each} WHEN 'splitting' THEN '【' || s || '】' ELSE '【 ' || s || '】' END AS input_text,
+      CASE kind WHEN 'splitting' THEN {each} ELSE '【' || s || '】' END AS output_text FROM (
+      SELECT *, {symbols} AS s FROM (SELECT *, {length} AS size FROM (
+        SELECT s_suppkey AS problem_no, kind, unnest(range(-3, 100)) AS n FROM supplier, (SELECT unnest({_list_sql(KINDS)}) AS kind)))))"""
+
+
+add("parallel_rows", _parallel, [], f"SELECT * FROM {_parallel_sql()}")
 
 
 def _row_problems(spark, sf):
-    p = synth.row_problems(synth.parallel_row_lines(_seeds(spark, sf, "supplier", "s_suppkey"), "concatenation"), "concatenation")
-    return p.select("id", "category", F.size(F.split("completion", "\n")).alias("lines"), F.size(F.split("prompt", "\n")).alias("prompt_lines"))
+    made = [synth.row_problems(synth.parallel_row_lines(_seeds(spark, sf, "supplier", "s_suppkey"), kind), kind) for kind in KINDS]
+    return made[0].unionByName(made[1]).unionByName(made[2]).select("id", "category", F.md5("prompt").alias("prompt_md5"), F.md5("completion").alias("completion_md5"))
 
 
 add(
     "parallel_row_problems",
     _row_problems,
     [],
-    """SELECT substr(sha256('concatenation_' || s_suppkey), 1, 8) AS id, 'concatenation' AS category, 100 AS lines, 113 AS prompt_lines FROM supplier""",
+    f"""SELECT substr(sha256(kind || '_' || problem_no), 1, 8) AS id, kind AS category, md5('In Alice''s Wonderland, secret processing rules are used on text.' || chr(10) || chr(10) ||
+      'This is a sample input.' || chr(10) || demo_in || chr(10) || chr(10) || 'This is a sample output.' || chr(10) || demo_out || chr(10) || chr(10) || 'This is your input.' || chr(10) || rows_in) AS prompt_md5,
+      md5(completion) AS completion_md5 FROM (
+      SELECT kind, problem_no, string_agg(given, chr(10) ORDER BY line_no) FILTER (part = 'demo') AS demo_in, string_agg(given || ' -> ' || output_text, chr(10) ORDER BY line_no) FILTER (part = 'demo') AS demo_out,
+        string_agg(given, chr(10) ORDER BY line_no) FILTER (part = 'row') AS rows_in, string_agg(given || ' -> ' || output_text, chr(10) ORDER BY line_no) FILTER (part = 'row') AS completion
+      FROM (SELECT *, lpad(CAST(line_no AS VARCHAR), 2, '0') || ' ' || input_text AS given FROM {_parallel_sql()}) GROUP BY kind, problem_no)""",
 )
 
 
@@ -437,10 +440,6 @@ def _hindsight(spark, sf):
     )
 
 
-def _list_sql(values) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
 def _hindsight_sql(numeric: bool) -> str:
     """Drawn rule, operator and five pairs of operands of every seed, and what the rule makes of them."""
     bits = lambda *keys: H.counter_bits_sql(11, *keys)
