@@ -142,3 +142,20 @@ def test_nothing_to_merge(spark, tmp_path):
     merged = budget.read_files(spark, budget.part_files(spark, [("S", str(tmp_path / "1"))])).filter("false")
     told = mixing.write_merged(merged, str(tmp_path / "out"), sources=["S"], categories=[], order=budget.FILE_ORDER)
     assert told["read"] == told["emitted"] == 0 and told["by_source"] == {}
+
+
+def test_sectioned_records_share_files(spark, tmp_path):
+    rows = [(str(k), "c\u00e9", f"line one\nline {k}\n\n[completion] x", f"done\n{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "id string, category string, prompt string, completion string").repartition(3)
+    path = str(tmp_path / "records")
+    S.write_sectioned_records(df, path)
+    assert len(files_of.files(spark, path)) <= 3
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in (before, "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            assert sorted(map(tuple, S.read_sectioned_records(spark, path).collect())) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(Exception, match="end of a record"):
+        S.write_sectioned_records(df.limit(1).withColumn("prompt", F.lit("a\x1e\nb")), str(tmp_path / "bad"))

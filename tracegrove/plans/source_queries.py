@@ -137,6 +137,22 @@ add(
 )
 
 
+def _records(spark, sf):
+    rows = V.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.concat(F.col("text"), F.lit("\n[completion] inside")).alias("prompt"), F.concat(F.lit("\n"), F.upper("source")).alias("completion")
+    )
+    path = shared_folder(spark, "records")
+    S.write_sectioned_records(rows, path)
+    return S.read_sectioned_records(spark, path).select("id", "category", F.md5("prompt").alias("prompt_md5"), "completion")
+
+
+add(
+    "sectioned_records",
+    _records,
+    """SELECT CAST(doc_id AS VARCHAR) AS id, lang AS category, md5(text || chr(10) || '[completion] inside') AS prompt_md5, chr(10) || upper(source) AS completion FROM documents""",
+)
+
+
 def _kinds(spark, sf):
     tables = {"corpus": V.corpus_v(spark, sf), "rollouts": V.corpus_v(spark, sf).withColumn("reward", F.lit(1.0)), "documents": V.table(spark, sf, "documents")}
     told = [

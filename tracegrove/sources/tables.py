@@ -163,6 +163,29 @@ def write_sectioned_text(df: DataFrame, path: str) -> None:
     whole.write.mode("overwrite").partitionBy("id").text(path)
 
 
+#: Ends a record in a file of many; no text may hold it.
+RECORD_END = "\x1e\n"
+
+
+def write_sectioned_records(df: DataFrame, path: str) -> None:
+    """Records (id, category, prompt, completion) as sectioned text, many in a file, each with its id in a section of
+    its own. A folder for each record, as :func:`write_sectioned_text` has, does not scale to millions."""
+    value = F.concat(F.lit("[id]\n"), F.col("id").cast("string"), F.lit("\n"), F.col("value"))
+    rows = sectioned_text(df).select("id", value.alias("value"))
+    message = F.concat(F.col("id").cast("string"), F.lit(": the text holds the end of a record"))
+    rows.filter(passes(F.col("value").contains(RECORD_END), message)).select("value").write.mode("overwrite").option("lineSep", RECORD_END).text(path)
+
+
+def read_sectioned_records(spark: SparkSession, path: str) -> DataFrame:
+    """(id, category, prompt, completion) of :func:`write_sectioned_records`; files are read in blocks."""
+    text = spark.read.option("lineSep", RECORD_END).text(path)
+    pattern = SECTIONED.replace(r"(?s)^", r"(?s)^\[id\]\n(.*?)\n", 1)
+    parts = [F.regexp_extract("value", pattern, i) for i in (1, 2, 3, 4)]
+    return text.select(
+        parts[0].alias("id"), parts[1].alias("category"), parts[2].alias("prompt"), F.rtrim(parts[3], F.lit("\n")).alias("completion")
+    )
+
+
 def segments_of(rows: DataFrame) -> DataFrame:
     """Corpus rows as segment lines (problem_id, type, pos, tokens)."""
     return rows.select("problem_id", F.inline(K.segments(F.col("tokens"), F.col("mask"))))
