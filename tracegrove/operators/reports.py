@@ -280,6 +280,17 @@ def report_json(report: DataFrame) -> DataFrame:
     return report.select(F.to_json(F.struct(*sorted(report.columns))).alias("json"))
 
 
+def report_document(report: DataFrame, key: str, totals: DataFrame | None = None, name: str = "by_category") -> DataFrame:
+    """One JSON text (``json``) of a report: the columns of each row under its ``key``, keys and columns sorted, and
+    the only row of ``totals`` beside them. A report has one row per category, so it may stand in one row."""
+    rest = sorted(c for c in report.columns if c != key)
+    entry = F.struct(F.col(key).cast("string").alias("key"), F.struct(*rest).alias("value"))
+    whole = report.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
+    if totals is not None:
+        whole = whole.withColumn("total", totals.select(F.struct(*sorted(totals.columns))).scalar())
+    return whole.select(F.to_json(F.struct(*sorted(whole.columns))).alias("json"))
+
+
 def keep_existing(problems: DataFrame, *others: DataFrame) -> DataFrame:
     """Problems whose id occurs in every other table."""
     out = problems

@@ -553,6 +553,23 @@ add(
     ["corpus_v"],
     """SELECT '{"category":"' || category || '","rows":' || count(*) || '}' AS json FROM corpus_v GROUP BY category""",
 )
+
+
+def _document(spark, sf):
+    """The corpus size report as one nested document."""
+    rows = V.corpus_v(spark, sf).select("category", F.size("tokens").alias("n"), K.trained_count(F.col("mask")).alias("t"))
+    counts = [F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"), F.sum("t").alias("unmasked")]
+    return reports.report_document(rows.groupBy("category").agg(*counts), "category", rows.agg(*counts))
+
+
+add(
+    "report_document",
+    _document,
+    ["corpus_v"],
+    """SELECT '{"by_category":{' || string_agg('"' || category || '":' || v, ',' ORDER BY category) || '},"total":' || any_value(w) || '}' AS json FROM (
+      SELECT category, '{"rows":' || count(*) || ',"tokens":' || sum(n_tokens) || ',"unmasked":' || sum(n_tokens - n_masked) || '}' AS v,
+        (SELECT '{"rows":' || count(*) || ',"tokens":' || sum(n_tokens) || ',"unmasked":' || sum(n_tokens - n_masked) || '}' FROM corpus_v) AS w FROM corpus_v GROUP BY category)""",
+)
 add(
     "keep_existing",
     lambda s, d: reports.keep_existing(
