@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, buffers, runs, stored, text_column, with_fields, word_spans
+from .common import LETTERS, buffers, runs, text_column, with_fields, word_spans
 
 UNKNOWN = "und"
 GRAMS = 1 << 21
+#: Bytes of text scored together, and rows sent on together.
+RUN, SENT = 1 << 18, 1024
 #: Steps of an estimate at most, and the change of a proportion that ends it.
 STEPS, STILL = 12, 1e-6
 # 0 blank, 1..26 letters, 32..95 bytes beyond ASCII (continuation and lead bytes by their low six bits).
@@ -189,13 +191,13 @@ def _predict(state, keep: int, text: str, fits: bool) -> object:
         model: LanguageModel = state.value
         row = np.full(GRAMS, len(model.codes), np.int32)
         row[model.codes] = np.arange(len(model.codes), dtype=np.int32)
-        for batch in it:
+        for batch in (b.slice(k, SENT) for b in it for k in range(0, b.num_rows, SENT)):
             texts = text_column(batch, text)
             letters = batch.column(keep).to_numpy(zero_copy_only=False).astype(bool)
             shares = np.zeros((len(texts), len(model.languages)))
             fit, n_words = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64)
             if model.languages:
-                for i, j in runs(texts, 1 << 20):
+                for i, j in runs(texts, RUN):
                     raw, off = buffers(texts[i:j])
                     code, _ = grams(raw, off)
                     start, end, first = word_spans(raw, off, LETTERS)
@@ -253,11 +255,10 @@ def spoken(rows: DataFrame, keep: list[str], text: str = "text", lang: str = "la
     model = learn(rows, text, lang)
     if not model.languages:
         return rows.filter(F.col(text).rlike(r"\p{L}")).select(*keep, F.lit(UNKNOWN).alias("lang_pred"))
-    # Texts are scored once; limits and result are read from the table of that.
-    marked = rows.withColumn("__taught", F.col(text).isNotNull() & F.col(lang).isNotNull())
-    kept = [c for c in keep if c not in OWN]
-    scored = stored(predict(marked, model, [*kept, "__taught"], text, fits=True).filter(F.col("lang_pred") != UNKNOWN))
-    told = scored.filter("__taught").select("lang_pred", _size(F.col("n_words")).alias("size"), "fit")
+    # Texts are scored for the limits and again for the result: a score needs no other text, so both agree, and
+    # to keep the texts in between would cost their size on disk.
+    known = rows.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"))
+    told = predict(known, model, [], fits=True).filter(F.col("lang_pred") != UNKNOWN).select("lang_pred", _size(F.col("n_words")).alias("size"), "fit")
     # A row for every language and size, then for every size, then for all.
     level = told.cube("lang_pred", "size").agg(F.percentile_approx("fit", [0.01, 0.5], 10_000).alias("q"), F.count("*").alias("n"))
     limits = {(r.lang_pred, r.size): (2 * r.q[0] - r.q[1], r.n) for r in level.collect()}
@@ -269,6 +270,7 @@ def spoken(rows: DataFrame, keep: list[str], text: str = "text", lang: str = "la
 
     table = [(size, {name: limit(name, size, limit(None, size, overall)) for name in model.languages}) for size in range(11)]
     limits_of = F.broadcast(rows.sparkSession.createDataFrame(table, "__size int, __limits map<string,double>"))
-    out = scored.withColumn("__size", _size(F.col("n_words")))
+    kept = [c for c in keep if c not in OWN]
+    out = predict(rows, model, kept, text, fits=True).filter(F.col("lang_pred") != UNKNOWN).withColumn("__size", _size(F.col("n_words")))
     least = F.aggregate("languages", F.lit(0.0), lambda total, x: total + x["share"] * F.try_element_at("__limits", x["lang"]))
     return out.join(limits_of, "__size").filter(F.col("fit") >= least).select(*kept, "lang_pred")
