@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, bit_filter, buffers, in_filter, leaders, mixed, near_by_sketch, powers, runs, signed, sketch_of, span_hashes, stored, text_column, word_spans
 from .components import connected
+from .words import small_batches
 
 SHINGLE = 8
 BANDS, ROWS = 9, 4
@@ -41,8 +42,8 @@ SHARED_BITS, CLASS_BITS = 26, 24
 #: Lines of fewer shingles than the second are short, of at least the first are long.
 LONG, SHORT = 96, 160
 SKETCH_BITS = 512
-#: Sets that a task keeps while it compares.
-KEPT_SETS = 4096
+#: Bytes of sets that a task keeps while it compares.
+KEPT_BYTES = 32 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _NOT_END = np.ones(256, bool)
@@ -210,12 +211,16 @@ def line_set(line: bytes) -> np.ndarray:
 def _compare(percent: int) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
+        kept = 0
 
         def of(cls: int, line: pa.Scalar) -> np.ndarray:
+            nonlocal kept
             if cls not in known:
-                if len(known) >= KEPT_SETS:
+                if kept >= KEPT_BYTES:
                     known.clear()
+                    kept = 0
                 known[cls] = line_set(line.as_py())
+                kept += known[cls].nbytes
             return known[cls]
 
         for batch in it:
@@ -266,7 +271,8 @@ class LineDedup:
         x = texts.select(F.col("cls").alias("a"), F.col("line").alias("x"))
         y = texts.select(F.col("cls").alias("b"), F.col("line").alias("y"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(_compare(self.percent), "a long, b long"))
+        with small_batches(self.docs.sparkSession):  # rows have two lines each
+            return stored(both.mapInArrow(_compare(self.percent), "a long, b long"))
 
     def roots(self) -> DataFrame:
         """(node, root) of every class that is linked to another."""
