@@ -390,12 +390,12 @@ KINDS = ("concatenation", "splitting", "lstrip")
 
 
 def _parallel(spark, sf):
-    """Lines of all kinds for every supplier."""
-    made = [synth.parallel_row_lines(_seeds(spark, sf, "supplier", "s_suppkey"), kind).withColumn("kind", F.lit(kind)) for kind in KINDS]
+    """Lines of all kinds for every customer."""
+    made = [synth.parallel_row_lines(_seeds(spark, sf), kind).withColumn("kind", F.lit(kind)) for kind in KINDS]
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
-def _parallel_sql() -> str:
+def _parallel_sql(table: str, key: str) -> str:
     bits = lambda *keys: H.counter_bits_sql(0, *keys)
     own = ("kind", "problem_no", "n")
     length = f"""CASE WHEN kind <> 'lstrip' THEN 2 + {bits("'length'", *own)} % 7 WHEN {bits("'half'", *own)} % 2 = 0 THEN 5 ELSE 1 + {bits("'length'", *own)} % 10 END"""
@@ -405,10 +405,10 @@ def _parallel_sql() -> str:
       CASE kind WHEN 'concatenation' THEN {each} WHEN 'splitting' THEN '【' || s || '】' ELSE '【 ' || s || '】' END AS input_text,
       CASE kind WHEN 'splitting' THEN {each} ELSE '【' || s || '】' END AS output_text FROM (
       SELECT *, {symbols} AS s FROM (SELECT *, {length} AS size FROM (
-        SELECT s_suppkey AS problem_no, kind, unnest(range(-3, 100)) AS n FROM supplier, (SELECT unnest({_list_sql(KINDS)}) AS kind)))))"""
+        SELECT {key} AS problem_no, kind, unnest(range(-3, 100)) AS n FROM {table}, (SELECT unnest({_list_sql(KINDS)}) AS kind)))))"""
 
 
-add("parallel_rows", _parallel, [], f"SELECT * FROM {_parallel_sql()}")
+add("parallel_rows", _parallel, [], f"SELECT * FROM {_parallel_sql('customer', 'c_custkey')}")
 
 
 def _row_problems(spark, sf):
@@ -425,7 +425,7 @@ add(
       md5(completion) AS completion_md5 FROM (
       SELECT kind, problem_no, string_agg(given, chr(10) ORDER BY line_no) FILTER (part = 'demo') AS demo_in, string_agg(given || ' -> ' || output_text, chr(10) ORDER BY line_no) FILTER (part = 'demo') AS demo_out,
         string_agg(given, chr(10) ORDER BY line_no) FILTER (part = 'row') AS rows_in, string_agg(given || ' -> ' || output_text, chr(10) ORDER BY line_no) FILTER (part = 'row') AS completion
-      FROM (SELECT *, lpad(CAST(line_no AS VARCHAR), 2, '0') || ' ' || input_text AS given FROM {_parallel_sql()}) GROUP BY kind, problem_no)""",
+      FROM (SELECT *, lpad(CAST(line_no AS VARCHAR), 2, '0') || ' ' || input_text AS given FROM {_parallel_sql('supplier', 's_suppkey')}) GROUP BY kind, problem_no)""",
 )
 
 
