@@ -260,7 +260,10 @@ add(
 def _sampled(spark, sf):
     ids = F.col("completion_token_ids")
     few = F.create_map(F.get(ids, F.lit(0)).cast("string"), -F.col("l_tax"))
-    many = F.map_concat(F.create_map(F.lit("1000"), F.lit(-9.0)), F.create_map(F.get(ids, F.lit(2)).cast("string"), -F.col("l_discount")))
+    own = F.get(ids, F.lit(2)).cast("string")
+    # A map has a key once: beside token 1000 the other candidate is the next one.
+    other = F.when(own == "1000", "1001").otherwise("1000")
+    many = F.map_concat(F.create_map(other, F.lit(-9.0)), F.create_map(own, -F.col("l_discount")))
     maps = F.when(F.col("l_linenumber") == 7, F.create_map().cast("map<string,double>")).when(F.col("l_linenumber") < 4, few).otherwise(many)
     token = F.when(F.col("l_linenumber") == 6, F.lit(77777777)).otherwise(F.get(ids, F.lit(2)))
     return V.graded_v(spark, sf).select(*KEYS, K.sampled_logprob(maps, token).alias("logprob"))
