@@ -33,6 +33,9 @@ SPREAD_KEYS = {
     "orders": ["o_orderkey"],
     "documents": ["doc_id"],
     "events": ["event_id"],
+    "customer": ["c_custkey"],
+    "supplier": ["s_suppkey"],
+    "part": ["p_partkey"],
 }
 
 
