@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Keep only the top n of a group per map task before ranking, also for large n.
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
+    # Folders listed by one task each cost more than the listing; many to a task.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     "spark.sql.session.timeZone": "UTC",
     # The JVM never compiles longer methods; several times slower than expressions one by one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
