@@ -24,11 +24,12 @@ def add(name, run, sql) -> None:
 
 
 def _jsonl(spark, sf):
-    """Documents dealt over two folders by id and written in its order; row numbers give the order back."""
+    """Documents dealt over two folders by id and written in its order, in as many files as they need; row numbers
+    give the order back."""
     rows = V.table(spark, sf, "documents").select("doc_id", "lang", F.split("text", " ").alias("tokens"))
     path = shared_folder(spark, "jsonl")
-    S.write_jsonl(rows.filter("doc_id % 2 = 0").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id"), f"{path}/1")
-    S.write_jsonl(rows.filter("doc_id % 2 <> 0").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), f"{path}/2")
+    S.write_jsonl(rows.filter("doc_id % 2 = 0").repartitionByRange("doc_id").sortWithinPartitions("doc_id"), f"{path}/1")
+    S.write_jsonl(rows.filter("doc_id % 2 <> 0").repartitionByRange("doc_id").sortWithinPartitions("doc_id"), f"{path}/2")
     back = S.read_numbered_jsonl(spark, [f"{path}/1", f"{path}/2"], rows.schema)
     return back.select("doc_id", "lang", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("text_md5"), "row_no")
 
@@ -197,7 +198,7 @@ def _part_folders(spark, sf):
     parts = [(name, f"{root}/{i}") for i, name in enumerate(V.PARTS)]
     for i, (_, path) in enumerate(parts):
         own = rows.filter(F.col("part_index") == i).withColumn("own_no", F.col("row_no"))
-        budget.written_in_order(own.drop("part", "part_index", "source"), path, "row_no", 4 + i)
+        budget.written_in_order(own.drop("part", "part_index", "source"), path, "row_no")
     return parts
 
 

@@ -80,6 +80,7 @@ def merge_files(spark: SparkSession, parts: Sequence[tuple[str, str]], max_token
     return merge_corpus(read_files(spark, listed), order=FILE_ORDER, max_tokens=max_tokens, **options)
 
 
-def written_in_order(df: DataFrame, path: str, order: str, n_files: int) -> None:
-    """A part as ``n_files`` Parquet files whose names and rows follow ``order``."""
-    df.repartitionByRange(n_files, order).sortWithinPartitions(order).write.parquet(path)
+def written_in_order(df: DataFrame, path: str, order: str, n_files: int | None = None) -> None:
+    """A part as Parquet files whose names and rows follow ``order``: ``n_files`` of them, or as many as its size asks for."""
+    ranges = df.repartitionByRange(order) if n_files is None else df.repartitionByRange(n_files, order)
+    ranges.sortWithinPartitions(order).write.parquet(path)
