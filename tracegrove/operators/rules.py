@@ -11,8 +11,12 @@ from collections.abc import Callable, Mapping
 from functools import cache, reduce
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType
 
 from ..functions import answers as A
 from ..functions import text as X
@@ -284,14 +288,157 @@ def infer_bit_rules(examples: DataFrame) -> DataFrame:
                 word = F.when(here & hit, F.col("at")).otherwise(F.lit(0).cast("bigint"))
                 aggs.append(F.bit_or(word).alias(f"{name}_{bit}_{w}"))
     seen = rows.groupBy("problem_id").agg(*aggs).filter("NOT bad")
-    bits = F.array(
-        *[
-            F.struct(*[F.col(f"{n}_{b}_{w}").alias(f"{n}{w}") for n in ("ones", "zeros") for w in range(4)])
-            for b in range(N_BITS)
-        ]
-    )
-    # Exploding zero or one vectors keeps the search out of a filter, which would repeat it.
-    return seen.select("problem_id", F.explode(_complete_vector(bits)).alias("vector"))
+    words = F.array(*[F.col(f"{n}_{b}_{w}") for n in ("ones", "zeros") for b in range(N_BITS) for w in range(4)])
+    table = _rule_table()
+    # The search of numbers works on whole batches; the table turns them into rules.
+    found = seen.select("problem_id", F.arrow_udf(_first_rules, ArrayType(IntegerType()))(words).alias("_found")).filter(F.col("_found").isNotNull())
+    vector = F.transform("_found", lambda k: X.bind(F.get(table, k), _bare_rule))
+    return found.select("problem_id", vector.alias("vector"))
+
+
+def _bare_rule(rule: Column) -> Column:
+    return F.struct(*[rule[c].alias(c) for c in ("family", "primary", "secondary")])
+
+
+@cache
+def _outputs() -> np.ndarray:
+    """Output of each rule for the inputs 0 to 255 and, at 256, for none."""
+    return np.concatenate([_all_outputs()[BIT_FAMILIES.index(f), N_BITS if i is None else i, N_BITS if j is None else j][None] for f, i, j in bit_rules()])
+
+
+@cache
+def _all_outputs() -> np.ndarray:
+    """Output by family (the last one: any other), first and second operand (8: none) and input (256: none), as
+    :func:`apply_bit_rules` has it: what is unknown gives 0."""
+    x = np.arange(256)
+    bit = np.stack([np.append(x >> (7 - i) & 1, -1) for i in range(N_BITS)] + [np.full(257, -1)])
+    out = np.zeros((len(BIT_FAMILIES) + 1, N_BITS + 1, N_BITS + 1, 257), np.uint8)
+    for k, family in enumerate(BIT_FAMILIES):
+        for i in range(N_BITS + 1):
+            for j in range(N_BITS + 1):
+                a, b = bit[i], bit[j]
+                if family.endswith("-NOT"):
+                    b = np.where(b < 0, b, 1 - b)
+                base = family.removesuffix("-NOT")
+                both = (a >= 0) & (b >= 0)
+                out[k, i, j] = {
+                    "0": a > 1, "1": a < 2, "I": a == 1, "NOT": a == 0, "XOR": both & (a != b), "OR": (a == 1) | (b == 1), "AND": (a == 1) & (b == 1)
+                }[base]
+    return out
+
+
+def _lists(column: pa.Array, missing: int) -> np.ndarray:
+    """A list column as a table; short lists and NULL entries are filled up."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    table = np.full((len(sizes), max(sizes.max(initial=0), 1)), missing, np.int64)
+    table[np.arange(table.shape[1]) < sizes[:, None]] = pc.fill_null(column.flatten(), missing)
+    return table
+
+
+def _with_nulls(values: np.ndarray, missing: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array(values, type=kind, mask=missing)
+
+
+#: Rows worked on at a time.
+SLICE = 1024
+
+
+def _fitting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of the first rule for each output bit that fits the examples of each row, -1 for none. An input or
+    output below 0 and an input above 255 say nothing."""
+    shifts = np.arange(N_BITS - 1, -1, -1)
+    best = np.empty((len(x), N_BITS), np.int64)
+    for low in range(0, len(x), SLICE):
+        xs, ys = x[low : low + SLICE], y[low : low + SLICE]
+        fits = np.ones((len(xs), N_BITS, len(_outputs())), bool)
+        for first in range(0, xs.shape[1], 8):
+            # Eight examples in one byte: what a rule gives, and what is wanted.
+            given = np.zeros((len(xs), len(_outputs())), np.uint8)
+            wanted = np.zeros((len(xs), N_BITS), np.uint8)
+            for k, at in enumerate(range(first, min(first + 8, xs.shape[1]))):
+                known = (xs[:, at] >= 0) & (xs[:, at] < 256) & (ys[:, at] >= 0)
+                now = np.where(known, xs[:, at], 256)
+                given |= np.where(known[:, None], _outputs().T[now], 0).astype(np.uint8) << k
+                wanted |= np.where(known[:, None], ys[:, at, None] >> shifts & 1, 0).astype(np.uint8) << k
+            fits &= given[:, None, :] == wanted[:, :, None]
+        best[low : low + SLICE] = np.where(fits.any(2), fits.argmax(2), -1)
+    return best
+
+
+def _outputs_packed(bits: np.ndarray) -> np.ndarray:
+    return bits.astype(np.int64) @ (1 << np.arange(N_BITS - 1, -1, -1))
+
+
+def _answered(x: np.ndarray, y: np.ndarray, question: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(answer to each question by the rules that fit first, whether there are none)."""
+    rule = _fitting(x, y)
+    at = np.where(question < 0, 256, question & 255)
+    return _outputs_packed(_outputs()[rule, at[:, None]]), (rule < 0).any(1)
+
+
+def _first_rules(words: pa.Array) -> pa.Array:
+    """Numbers of the first rules that fit the inputs seen with a 1 and with a 0 (see :func:`infer_bit_rules`)."""
+    seen = np.asarray(words.flatten(), np.int64).view(np.uint64).reshape(-1, 2, N_BITS, 4)
+    table = np.ascontiguousarray(np.packbits(_outputs()[:, :256], axis=1, bitorder="little")).view("<u8")
+    best = np.empty((len(seen), N_BITS), np.int64)
+    for low in range(0, len(seen), SLICE):
+        part = seen[low : low + SLICE]
+        for bit in range(N_BITS):
+            clash = np.zeros((len(part), len(table)), bool)
+            for w in range(4):
+                clash |= ((part[:, 0, bit, w, None] & ~table[None, :, w]) | (part[:, 1, bit, w, None] & table[None, :, w])) != 0
+            best[low : low + len(part), bit] = np.where(clash.all(1), -1, (~clash).argmax(1))
+    none = (best < 0).any(1)
+    ends = np.concatenate([[0], np.cumsum(np.where(none, 0, N_BITS))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(best[~none].ravel(), pa.int32()), mask=pa.array(none))
+
+
+def _answer_of(x: pa.Array, y: pa.Array, question: pa.Array) -> pa.Array:
+    xs, ys = _lists(x, -1), _lists(y, -1)
+    answer, none = _answered(xs, ys, np.asarray(pc.fill_null(question, -1), np.int64))
+    return _with_nulls(answer, none | np.asarray(x.is_null()), pa.int32())
+
+
+def _same_answer(codes: pa.Array, start: pa.Array, stride: pa.Array, n: pa.Array) -> pa.Array:
+    rule, sizes = _lists(codes, 0), np.asarray(n, np.int64)
+    steps = np.arange(sizes.max(initial=0) + 1)
+    xs = (np.asarray(start, np.int64)[:, None] + np.asarray(stride, np.int64)[:, None] * steps) % 256
+    made = _outputs_packed(_all_outputs().reshape(-1, 257)[rule[:, None, :], xs[:, :, None]])
+    shown = np.where(steps[1:] <= sizes[:, None], xs[:, 1:], -1)
+    answer, none = _answered(shown, made[:, 1:], xs[:, 0])
+    return pa.array(~none & (answer == made[:, 0]))
+
+
+def _number(bits: Column) -> Column:
+    return F.conv(bits, 2, 10).cast("int")
+
+
+def _stays(f: Callable, kind: DataType) -> Callable[..., Column]:
+    """``f`` over Arrow arrays as a function of columns. It counts as nondeterministic, which it is not, so that a filter
+    by its result stays where it is: below the columns it needs they would all be worked out twice."""
+    return F.arrow_udf(f, kind).asNondeterministic()
+
+
+def answer_of_examples(examples: Column, question: Column) -> Column:
+    """:func:`apply_bit_rules` of :func:`rules_of_examples` for a question; NULL without rules. Rules are searched for
+    in whole batches of rows."""
+    x = F.transform(examples, lambda e: _number(e["input_value"]))
+    y = F.transform(examples, lambda e: _number(e["output_value"]))
+    return F.lpad(F.bin(_stays(_answer_of, IntegerType())(x, y, _number(question)).cast("bigint")), N_BITS, "0")
+
+
+def rules_explained(vector: Column, start: Column, stride: Column, n_examples: Column) -> Column:
+    """Whether rules inferred from what ``vector`` makes of ``start + i * stride`` (modulo 256, i from 1 to
+    ``n_examples``) agree with it on ``start``. Nothing is written as text, so it suits vectors tried in great number."""
+    families = F.array(*[F.lit(f) for f in BIT_FAMILIES])
+
+    def code(rule: Column) -> Column:
+        place = F.array_position(families, rule["family"])
+        family = F.when(place > 0, place - 1).otherwise(len(BIT_FAMILIES))
+        first, second = (F.coalesce(rule[c], F.lit(N_BITS)) for c in ("primary", "secondary"))
+        return ((family * (N_BITS + 1) + first) * (N_BITS + 1) + second).cast("int")
+
+    return _stays(_same_answer, BooleanType())(F.transform(vector, code), start, stride, n_examples)
 
 
 def _complete_vector(bits: Column) -> Column:

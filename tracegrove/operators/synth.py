@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.answers import answers_match
 from ..functions.hashing import counter_bits, counter_int, counter_pick, pick_from, pick_int, sha_mod, short_id
+from ..session import shared_folder
 from .ordering import position, top_per_group
-from .rules import BIT_FAMILIES, N_BITS, apply_bit_rules, rules_of_examples, solve_equations
+from .rules import BIT_FAMILIES, N_BITS, answer_of_examples, apply_bit_rules, rules_explained, solve_equations
 
 # Symbol alphabets, sizes and wording of the generated problems.
 SYMBOLS = list("!\"#$%&'()*+-./:;<>?@[\\]^`{|}")
@@ -47,12 +48,16 @@ def _symbols(length: Column, seed: int, *keys: Column) -> Column:
     return F.array_join(picks, "")
 
 
-def _row_pair(kind: str, seed: int, *keys: Column) -> tuple[Column, Column]:
+def _row_symbols(kind: str, seed: int, *keys: Column) -> Column:
     if kind == "lstrip":
         length = F.when(counter_int(0, 1, seed, F.lit("half"), *keys) == 0, F.lit(5)).otherwise(counter_int(1, 10, seed, F.lit("length"), *keys))
-        symbols = _symbols(length, seed, *keys)
+        return _symbols(length, seed, *keys)
+    return _symbols(counter_int(2, 8, seed, F.lit("length"), *keys), seed, *keys)
+
+
+def _row_pair(kind: str, symbols: Column) -> tuple[Column, Column]:
+    if kind == "lstrip":
         return X.bracket_whole(F.concat(F.lit(" "), symbols)), X.bracket_whole(symbols)
-    symbols = _symbols(counter_int(2, 8, seed, F.lit("length"), *keys), seed, *keys)
     each, whole = X.bracket_each(symbols), X.bracket_whole(symbols)
     return (each, whole) if kind == "concatenation" else (whole, each)
 
@@ -64,7 +69,9 @@ def parallel_row_lines(seeds: DataFrame, kind: str, lines: int = LINES_PER_PROBL
     """
     numbered = F.sequence(F.lit(-DEMO_LINES), F.lit(lines - 1))
     rows = seeds.select("problem_no", F.explode(numbered).alias("n"))
-    given, wanted = _row_pair(kind, seed, F.lit(kind), F.col("problem_no"), F.col("n"))
+    # Drawn in a step of their own: both texts of a line are made of the same symbols.
+    rows = rows.withColumn("symbols", _row_symbols(kind, seed, F.lit(kind), F.col("problem_no"), F.col("n")))
+    given, wanted = _row_pair(kind, F.col("symbols"))
     return rows.select(
         "problem_no",
         F.when(F.col("n") < 0, "demo").otherwise("row").alias("part"),
@@ -204,19 +211,24 @@ def hindsight_problems(seeds: DataFrame, numeric: bool = True, seed: int = 11) -
         "problem_no", counter_pick(list(pairs), seed, F.lit("rule"), key).alias("rule"), counter_pick(OPERATORS, seed, F.lit("op"), key).alias("op")
     )
 
-    def operands(i: Column) -> tuple[Column, Column]:
+    def operands(i: Column) -> Column:
         if numeric:
             sides = [F.lpad(counter_int(0, 99, seed, F.lit(side), key, i).cast("string"), 2, "0") for side in "ab"]
-            return sides[0], sides[1]
-        drawn = F.transform(F.array(*[F.lit(s) for s in PUZZLE_SYMBOLS]), lambda s: F.struct(counter_bits(seed, key, i, s).alias("h"), s.alias("s")))
-        four = F.transform(F.slice(F.array_sort(drawn), 1, 4), lambda x: x["s"])
-        return F.array_join(F.slice(four, 1, 2), ""), F.array_join(F.slice(four, 3, 2), "")
-
-    def line(i: Column) -> Column:
-        a, b = operands(i)
+        else:
+            drawn = F.transform(F.array(*[F.lit(s) for s in PUZZLE_SYMBOLS]), lambda s: F.struct(counter_bits(seed, key, i, s).alias("h"), s.alias("s")))
+            four = F.transform(F.slice(F.array_sort(drawn), 1, 4), lambda x: x["s"])
+            return X.bind(four, lambda f: F.struct(F.array_join(F.slice(f, 1, 2), "").alias("a"), F.array_join(F.slice(f, 3, 2), "").alias("b")))
+        return F.struct(sides[0].alias("a"), sides[1].alias("b"))
+
+    def written(x: Column) -> Column:
+        a, b = x["a"], x["b"]
         result = F.coalesce(*[F.when(F.col("rule") == name, of(a, b)) for name, of in pairs.items()])
         return F.struct(F.concat(a, F.col("op"), b).alias("input_value"), result.alias("output_value"))
 
+    def line(i: Column) -> Column:
+        # The operands are drawn once for all that is made of them.
+        return X.bind(operands(i), written)
+
     built = base.withColumn("lines", F.transform(F.sequence(F.lit(1), F.lit(5)), line))
     shown = F.transform("examples", lambda e: F.concat(e["input_value"], F.lit(" = "), e["output_value"]))
     return (
@@ -298,14 +310,17 @@ def family_rules(family: Column, seed: int, *keys: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(N_BITS - 1)), rule)
 
 
+def _walk(seed: int, key: Column) -> tuple[Column, Column]:
+    """Start and odd stride of a problem's inputs among the 256 values."""
+    return pick_int(0, 255, seed, F.lit("start"), key), pick_int(0, 127, seed, F.lit("stride"), key) * 2 + 1
+
+
 def bit_problems(vectors: DataFrame, n_examples: Column, seed: int) -> DataFrame:
     """Add distinct examples, an unseen question and its answer to rows (problem_id, vector).
 
     Inputs walk through the 256 values with a seeded odd stride, so none repeats.
     """
-    key = F.col("problem_id")
-    stride = pick_int(0, 127, seed, F.lit("stride"), key) * 2 + 1
-    start = pick_int(0, 255, seed, F.lit("start"), key)
+    start, stride = _walk(seed, F.col("problem_id"))
 
     def bits(i: Column) -> Column:
         return F.lpad(F.bin(F.pmod(start + stride * i, F.lit(256)).cast("bigint")), N_BITS, "0")
@@ -326,12 +341,12 @@ def bit_problems(vectors: DataFrame, n_examples: Column, seed: int) -> DataFrame
 
 def verify_bit_problems(problems: DataFrame) -> DataFrame:
     """Add ``verified``: rules inferred anew from the examples give the stored answer."""
-    question, answer = F.col("question"), F.col("answer")
-    again = X.bind(
-        rules_of_examples(F.col("examples")),
-        lambda v: F.coalesce(v.isNotNull() & (apply_bit_rules(question, v) == answer), F.lit(False)),
-    )
-    return problems.withColumn("verified", again)
+    again = answer_of_examples(F.col("examples"), F.col("question")) == F.col("answer")
+    return problems.withColumn("verified", F.coalesce(again, F.lit(False)))
+
+
+#: Attempts after which the variants that verified are set aside, so that only open ones are tried on.
+ROUNDS = (4, 8, 16, 28)
 
 
 def evolve_bit_problems(
@@ -340,31 +355,45 @@ def evolve_bit_problems(
     """Mutated variants of inferred vectors (problem_id, vector) that verify.
 
     A variant that does not verify is drawn anew, up to ``attempts`` times; the first that does counts.
-    After a few attempts for all, further ones are only made for variants that are still open.
+    Attempts are made in rounds; from round to round only variants go on that are still open. An attempt is
+    tried as numbers; only the one that counts is written out as a problem.
     """
+    spark = vectors.sparkSession
+    folder = shared_folder(spark, "evolved")
+    slots = 4 * spark.sparkContext.defaultParallelism
     base = vectors.select(F.col("problem_id").alias("seed_id"), F.col("vector").alias("old"))
     names = F.array(*[F.struct(F.lit(i).alias("op_no"), F.lit(op).alias("op")) for i, op in enumerate(ops)])
     variants = base.select("*", F.inline(names)).withColumn(
         "variant", F.concat("seed_id", F.lit("__e"), F.col("op_no").cast("string"), F.lit("_"), F.col("op"))
     )
+    # The id seeds the examples, so each attempt has one of its own until it is chosen.
+    name = F.concat_ws("#", "variant", F.col("attempt").cast("string"))
 
     def tried(open_: DataFrame, low: int, high: int) -> DataFrame:
         rows = open_.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
         vector = F.col("old")
         for op in dict.fromkeys(ops):
             vector = F.when(F.col("op") == op, mutate_rules(F.col("old"), op, seed, F.col("variant"), F.col("attempt"))).otherwise(vector)
-        # The id seeds the examples, so each attempt has one of its own until it is chosen.
-        rows = rows.withColumns({"vector": vector, "problem_id": F.concat_ws("#", "variant", F.col("attempt").cast("string"))})
-        good = verify_bit_problems(bit_problems(rows, F.lit(n_examples), seed)).filter("verified")
-        chosen = good.groupBy("variant").agg(F.min_by(F.struct("seed_id", "op", "vector", "examples", "question", "answer", "prompt"), "attempt").alias("x"))
-        return chosen.select(F.col("variant").alias("problem_id"), "x.*")
-
-    few = min(4, attempts)
-    first = tried(variants, 0, few)
-    if few == attempts:
-        return first
-    open_ = variants.join(first.select(F.col("problem_id").alias("variant")), "variant", "left_anti")
-    return first.unionByName(tried(open_, few, attempts))
+        rows = rows.withColumn("vector", vector)
+        good = rows.withColumn("good", rules_explained(F.col("vector"), *_walk(seed, name), F.lit(n_examples))).filter("good")
+        first = F.min_by(F.struct("seed_id", "op", "vector", "attempt"), "attempt")
+        return good.groupBy("variant").agg(first.alias("x")).select("variant", "x.*")
+
+    # Variants lie by their name, which the choice among their attempts needs, over many more tasks than
+    # their few bytes would be given.
+    variants.repartition(slots, "variant").write.parquet(f"{folder}/open-0")
+    ends = [n for n in ROUNDS if n < attempts] + [attempts]
+    for k, (low, high) in enumerate(zip([0, *ends], ends)):
+        open_ = spark.read.schema(variants.schema).parquet(f"{folder}/open-{k}").repartition(slots, "variant")
+        tried(open_, low, high).write.parquet(f"{folder}/done/round={k}")
+        if high < attempts:
+            done = spark.read.parquet(f"{folder}/done/round={k}").select(F.col("variant").alias("_done"))
+            # Rows without an id stay open after the first round.
+            same = (open_["variant"] == done["_done"]) if k == 0 else open_["variant"].eqNullSafe(done["_done"])
+            open_.join(done, same, "left_anti").write.parquet(f"{folder}/open-{k + 1}")
+    chosen = spark.read.parquet(f"{folder}/done").repartition(slots, "variant").withColumn("problem_id", name)
+    made = bit_problems(chosen, F.lit(n_examples), seed)
+    return made.select(F.col("variant").alias("problem_id"), "seed_id", "op", "vector", "examples", "question", "answer", "prompt")
 
 
 # Operations of evolved equations, taken in turn.
