@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tracegrove.operators import rules, synth
+from tracegrove.plans import source_queries
 from tracegrove.plans import views as V
-from tracegrove.sources import budget
 
 
 @pytest.mark.parametrize(("name", "key"), [("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey")])
@@ -55,9 +55,15 @@ def test_only_open_variants_are_tried_again(spark, monkeypatch):
     assert rounds and rounds == sorted(synth.evolve_bit_problems(df, ops, attempts=20).collect())
 
 
-def test_files_in_order_grow_with_the_rows(spark, folder):
-    rows = spark.range(60000).select(F.col("id").alias("row_no"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
-    budget.written_in_order(rows.repartition(4), f"{folder}/part", "row_no")
-    files = sorted(Path(f"{folder}/part").glob("*.parquet"))
-    firsts = [spark.read.parquet(str(f)).agg(F.min("row_no"), F.max("row_no")).first() for f in files]
-    assert len(files) > 1 and all(a[1] < b[0] for a, b in zip(firsts, firsts[1:]))
+def test_files_grow_with_the_rows(spark, folder):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"), F.lit("en").alias("lang"))
+    docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        parts = source_queries._part_folders(spark, folder)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for _, path in parts:
+        files = sorted(Path(path).glob("*.parquet"))
+        spans = [spark.read.parquet(str(f)).agg(F.min("row_no"), F.max("row_no")).first() for f in files]
+        assert len(files) > 6 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))

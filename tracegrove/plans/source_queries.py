@@ -193,12 +193,14 @@ add(
 
 
 def _part_folders(spark, sf):
+    """The parts as files in order: four, five and six, and more where the documents are read in more splits."""
     rows = V.corpus_v(spark, sf)
+    splits = spark.read.parquet(f"{sf}/documents.parquet").rdd.getNumPartitions()
     root = shared_folder(spark, "part-files")
     parts = [(name, f"{root}/{i}") for i, name in enumerate(V.PARTS)]
     for i, (_, path) in enumerate(parts):
         own = rows.filter(F.col("part_index") == i).withColumn("own_no", F.col("row_no"))
-        budget.written_in_order(own.drop("part", "part_index", "source"), path, "row_no")
+        budget.written_in_order(own.drop("part", "part_index", "source"), path, "row_no", max(4 + i, splits))
     return parts
 
 
