@@ -109,9 +109,9 @@ def has_box(text: Column) -> Column:
     return or_empty(text).contains(OPEN_BOX)
 
 
-def reward(text: Column, answer: Column) -> Column:
-    """1.0 for a boxed answer that matches, else 0.0."""
-    good = has_box(text) & answers_match(answer, extract_answer(text))
+def reward(text: Column, answer: Column, extracted: Column | None = None) -> Column:
+    """1.0 for a boxed answer that matches, else 0.0. ``extracted`` is the text's answer where it is known already."""
+    good = has_box(text) & answers_match(answer, extract_answer(text) if extracted is None else extracted)
     return F.when(good, F.lit(1.0)).otherwise(F.lit(0.0))
 
 

@@ -45,7 +45,7 @@ def records_from_outputs(outputs: DataFrame, stage: str) -> DataFrame:
         .withColumn("completion_token_ids", ids)
         .withColumn("old_logp", F.concat(zeros, logps))
         .withColumn("pred", A.extract_answer(F.col("text")))
-        .withColumn("reward", A.reward(F.col("text"), F.col("answer")))
+        .withColumn("reward", A.reward(F.col("text"), F.col("answer"), F.col("pred")))
         .withColumn("ppl_approx", K.perplexity(F.col("old_logp"), mask))
         .withColumn("stage", F.lit(stage))
         .drop("c", "completions")

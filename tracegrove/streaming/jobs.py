@@ -20,8 +20,9 @@ from .. import schemas
 from ..operators.rollouts import records_from_outputs
 from ..sources.files import delete, folders, has_file
 
-#: Parts of a target by key; a micro-batch reads the keys of the parts it has rows for.
+#: Parts of a target by key; a micro-batch of few rows reads the keys of the parts it has rows for.
 KEY_PARTS = 16
+FEW_ROWS = 64
 
 
 def read_new_outputs(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,22 +67,29 @@ def append_new_rows(rows: DataFrame, target: str, checkpoint: str, keys: Sequenc
     """Append to a Parquet table the rows of a stream whose keys it does not have yet.
 
     Of rows with equal keys in one micro-batch the least one counts. The table itself tells what was seen, so
-    nothing is kept besides it: a micro-batch is joined with the key columns of those parts of the table
-    that its own keys fall into.
+    nothing is kept besides it: a micro-batch meets the key columns of the table, of a few rows those of the
+    parts that they fall into.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
-        one = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").withColumn("key_part", _part_of(keys))
+        row = F.struct(*rest)
+        # Sorts begin with the hash, which differs where the first keys may all be equal.
+        named = [F.xxhash64(*keys).alias("_hash"), *keys]
+        both = batch.select(*named, row.alias("_row"), F.lit(False).alias("_old"))
         own = query_id(spark, checkpoint)
         if folders(spark, target):
-            parts = [r.key_part for r in one.select("key_part").distinct().collect()]  # KEY_PARTS at most
             old = spark.read.parquet(target)
             mine = (F.col("query") == own) & (F.col("batch") == batch_id)
-            old = old.filter(F.col("key_part").isin(parts) & ~mine).select(*keys)
-            same = [one[k].eqNullSafe(old[k]) for k in keys]
-            one = one.join(old, same, "left_anti")
+            few = batch.select(_part_of(keys).alias("key_part")).take(FEW_ROWS + 1)
+            if len(few) <= FEW_ROWS:
+                old = old.filter(F.col("key_part").isin(sorted({r.key_part for r in few})))
+            none = F.lit(None).cast(both.schema["_row"].dataType)
+            both = both.unionByName(old.filter(~mine).select(*named, none.alias("_row"), F.lit(True).alias("_old")))
+        # Old keys meet new rows in the aggregate that finds the least row, which moves each once.
+        one = both.groupBy("_hash", *keys).agg(F.min("_row").alias("_row"), F.bool_or("_old").alias("_old")).filter(~F.col("_old"))
+        one = one.select(*keys, "_row.*").withColumn("key_part", _part_of(keys))
         one.select(*batch.columns, "key_part").repartition("key_part").write.mode("overwrite").partitionBy("key_part").parquet(f"{target}/query={own}/batch={batch_id}")
 
     return _each_batch(rows, checkpoint, write)
