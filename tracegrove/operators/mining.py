@@ -251,35 +251,44 @@ def corrections(
     Per problem the first rollout for which such a row can be built and verified.
     """
     known = gold_texts(in_categories(gold, categories), gold_order)
-    rows = in_categories(rollouts, categories).join(known, "problem_id")
     gold_answer = F.col("gold_answer")
-    rows = rows.filter(A.wrong_attempt(F.col("reward"), F.col("text"), gold_answer, F.col("pred")))
     boxed = F.concat(F.lit("\n\\boxed{"), gold_answer, F.lit("}"))
     verified = A.answers_match(gold_answer, A.extract_answer(F.col("gold_reasoning")))
     fix = F.when(verified, F.col("gold_reasoning")).otherwise(F.concat("gold_reasoning", boxed))
     tail = F.concat(F.lit(THINK_END), boxed, F.lit(TURN_END))
 
-    def built(p: Column) -> Column:
-        whole = F.concat(p["attempt"], F.lit(bridge), p["fix"])
-        good = (
-            (p["attempt"] != "")
-            & A.answers_match(gold_answer, A.extract_answer(p["fix"]))
-            & A.answers_match(gold_answer, A.extract_answer(whole))
+    # What hangs on the gold row alone is worked out once a problem, not once a rollout.
+    known = known.select("problem_id", "gold_answer", fix.alias("fix"), tail.alias("_tail"))
+    known = known.filter(A.answers_match(gold_answer, A.extract_answer(F.col("fix"))))
+    after = F.concat(F.lit(bridge), F.col("fix"))
+    known = known.select(
+        "problem_id",
+        "gold_answer",
+        "fix",
+        F.concat(F.lit(bridge), "fix", "_tail").alias("learning"),
+        A.answers_match(gold_answer, A.extract_answer(after)).alias("_after_matches"),
+    ).withColumn("learning_ids", tokenizer(F.col("learning")))
+    rows = in_categories(rollouts, categories).join(known, "problem_id")
+    rows = rows.filter(A.wrong_attempt(F.col("reward"), F.col("text"), gold_answer, F.col("pred")))
+
+    def built(attempt: Column) -> Column:
+        whole = F.concat(attempt, F.lit(bridge), F.col("fix"))
+        # No box begins in a text without a backslash, so the boxes are those of what follows.
+        good = F.when(~attempt.contains("\\"), F.col("_after_matches")).otherwise(
+            A.answers_match(gold_answer, A.extract_answer(whole))
         )
-        learning = F.concat(F.lit(bridge), p["fix"], tail)
-        return F.when(good, F.array(F.struct(p["attempt"].alias("attempt"), learning.alias("learning"))))
-
-    # Zero or one texts per row: the texts are cut and checked once, not once per filter.
-    attempt = A.cut_before_final_box(F.col("text"))
-    texts = bind(F.struct(attempt.alias("attempt"), fix.alias("fix")), built)
-    rows = rows.select("problem_id", "category", "prompt_token_ids", *order, F.inline(texts))
-    rows = rows.withColumn("attempt_ids", tokenizer(F.col("attempt"))).withColumn(
-        "learning_ids", tokenizer(F.col("learning"))
+        return F.when((attempt != "") & good, F.array(attempt))
+
+    # Zero or one attempts per row: the text is cut and checked once, not once per filter.
+    attempts = bind(A.cut_before_final_box(F.col("text")), built)
+    rows = rows.select(
+        "problem_id", "category", "prompt_token_ids", "learning", "learning_ids", *order, F.explode(attempts).alias("attempt")
     )
+    rows = rows.withColumn("attempt_ids", tokenizer(F.col("attempt")))
     n_prompt, n_attempt, n_learn = (F.size(c) for c in ("prompt_token_ids", "attempt_ids", "learning_ids"))
-    rows = rows.filter(n_prompt + n_attempt + n_learn < limit)
+    rows = first_per_key(rows.filter(n_prompt + n_attempt + n_learn < limit), ["problem_id"], order)
     prompt = F.col("prompt_token_ids").cast(rows.schema["attempt_ids"].dataType)
-    rows = rows.select(
+    return rows.select(
         "problem_id",
         "category",
         F.concat(prompt, F.col("attempt_ids"), F.col("learning_ids")).alias("tokens"),
@@ -290,7 +299,6 @@ def corrections(
         "learning",
         *order,
     )
-    return first_per_key(rows, ["problem_id"], order)
 
 
 def restore_protected_lines(original: Column, shortened: Column, patterns: Sequence[str]) -> Column:
