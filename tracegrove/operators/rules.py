@@ -829,7 +829,10 @@ def solve_equations(equations: DataFrame, questions: DataFrame) -> DataFrame:
     A question with an operator no example has uses the absolute difference, provided the
     problem's most frequent operator (the earliest on ties) could be explained.
     """
-    found = infer_numeric_ops(equations)
+    # Read twice below; a row per problem and operator, so kept rather than inferred again.
+    spark, path = equations.sparkSession, shared_folder(equations.sparkSession, "rules-found")
+    infer_numeric_ops(equations).write.parquet(path)
+    found = spark.read.parquet(path)
     ranking = F.struct(F.col("examples"), -F.col("first_row"))
     common = found.groupBy("problem_id").agg(
         F.max_by("op", ranking).alias("top_op"), F.max_by("rule_name", ranking).alias("top_rule"), F.max_by("fmt", ranking).alias("top_fmt")
