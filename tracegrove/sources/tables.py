@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
@@ -191,21 +191,47 @@ def segments_of(rows: DataFrame) -> DataFrame:
     return rows.select("problem_id", F.inline(K.segments(F.col("tokens"), F.col("mask"))))
 
 
+#: Parts the tokens of a segment while it moves; the least character, so that texts sort as the arrays do.
+TOKEN_END = "\x00"
+
+
+def _packed_segments(segments: DataFrame, of_strings: bool) -> DataFrame:
+    """(problem_id, _segment), the segments as they move: a flag for the two types, and string tokens as one text, which
+    takes a fraction of an array of strings. Tokens a text would not give back as they are stay an array."""
+    kind, tokens = F.col("type"), F.col("tokens")
+    flag = F.when(kind == "unmasked", True).when(kind == "masked", False)
+    head = [F.col("pos"), flag.alias("flag"), F.when(flag.isNull(), kind).alias("type")]
+    if not of_strings:
+        return segments.select("problem_id", F.struct(*head, "tokens").alias("_segment"))
+    texts = segments.withColumn("_text", F.array_join(tokens, TOKEN_END))
+    texts = texts.withColumn("_whole", F.coalesce(F.split("_text", TOKEN_END) == tokens, F.lit(False)))
+    body = [F.when(F.col("_whole"), F.col("_text")).alias("text"), F.when(~F.col("_whole"), tokens).alias("tokens")]
+    return texts.select("problem_id", F.struct(*head, *body).alias("_segment"))
+
+
+def _unpacked_segment(s: Column, of_strings: bool) -> Column:
+    kind = F.when(s["flag"], "unmasked").when(~s["flag"], "masked").otherwise(s["type"])
+    tokens = F.coalesce(F.split(s["text"], TOKEN_END), s["tokens"]) if of_strings else s["tokens"]
+    return F.struct(s["pos"].alias("pos"), kind.alias("type"), tokens.alias("tokens"))
+
+
 def rows_from_segments(segments: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(problem_id, tokens, mask) from segment lines in ``pos`` order.
 
     A problem has at most as many segments as tokens, which the token limit bounds. With an
     index only included problems count, and differing token counts fail the job.
     """
-    ordered = segments.groupBy("problem_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "type", "tokens"))).alias("_segments")
-    )
+    of_strings = isinstance(segments.schema["tokens"].dataType.elementType, StringType)
+    packed = _packed_segments(segments, of_strings)
+    ordered = packed.groupBy("problem_id").agg(F.sort_array(F.collect_list("_segment")).alias("_segments"))
+    unpacked = F.transform("_segments", lambda s: _unpacked_segment(s, of_strings))
     tokens, mask = K.tokens_and_mask(F.col("_segments"))
-    rows = ordered.select("problem_id", tokens.alias("tokens"), mask.alias("mask"))
     if index is None:
-        return rows
+        return ordered.withColumn("_segments", unpacked).select("problem_id", tokens.alias("tokens"), mask.alias("mask"))
     wanted = index.filter("included").select("problem_id", "category", "token_count", "unmasked_token_count")
-    joined = wanted.join(rows, "problem_id", "left")
+    # Joined as they were moved; the arrays of a row are made once it is matched.
+    joined = wanted.join(ordered, "problem_id", "left").withColumn("_segments", unpacked)
+    joined = joined.select(*wanted.columns, tokens.alias("tokens"), mask.alias("mask"))
     n, trained = F.size("tokens"), K.trained_count(F.col("mask"))
     bad = F.col("tokens").isNull() | (n != F.col("token_count")) | (trained != F.coalesce("unmasked_token_count", trained))
     message = F.concat("problem_id", F.lit(": segments do not match the index"))
