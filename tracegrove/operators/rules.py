@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import cache, reduce
 from itertools import permutations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -598,7 +599,24 @@ def operands(sa: Column, sb: Column) -> dict[str, Column]:
     return dict(zip(OPERANDS, [sa, sb, sa.try_cast("bigint"), sb.try_cast("bigint"), *digits]))
 
 
+class Result(NamedTuple):
+    """An operation's result: a long or else a text, and, for a long that may overflow, the text it then has."""
+
+    value: Column
+    is_long: bool = False
+    wide: Column | None = None
+
+    def text(self) -> Column:
+        text = _as_text(self.value) if self.is_long else self.value
+        return text if self.wide is None else F.coalesce(text, self.wide)
+
+
 def numeric_results(v: Mapping[str, Column]) -> dict[str, Column]:
+    """Texts of the results of all numeric operations, as :func:`numeric_values` has them."""
+    return {n: r.text() for n, r in numeric_values(v).items()}
+
+
+def numeric_values(v: Mapping[str, Column]) -> dict[str, Result]:
     """Results of all numeric operations on :func:`operands`, in the order they are tried.
 
     The first eight are the common ones. An operation that is undefined gives NULL.
@@ -606,28 +624,31 @@ def numeric_results(v: Mapping[str, Column]) -> dict[str, Column]:
     sa, sb, a, b = v["sa"], v["sb"], v["a"], v["b"]
     d = [v["d1"], v["d2"], v["d3"], v["d4"]]
 
-    def text(*values: Column) -> Column:
-        return F.concat(*[_as_text(v) for v in values])
+    def text(*values: Column) -> Result:
+        if len(values) == 1:
+            return Result(values[0].cast("bigint"), True)
+        return Result(F.concat(*[_as_text(v) for v in values]))
 
-    def exact(narrow: Column, wide: Callable[[Column, Column], Column]) -> Column:
-        """The long's text, or the decimal's where the long overflows."""
-        return F.coalesce(text(narrow), wide(a.cast("decimal(19,0)"), b.cast("decimal(19,0)")).cast("string"))
+    def exact(narrow: Column, wide: Callable[[Column, Column], Column]) -> Result:
+        """The long, or the decimal's text where the long overflows."""
+        c, d = (x.cast("decimal(19,0)") for x in (a, b))
+        return Result(narrow, True, F.when(narrow.isNull(), wide(c, d).cast("string")))
 
-    def total(x: Column, y: Column, plus: int = 0) -> Column:
+    def total(x: Column, y: Column, plus: int = 0) -> Result:
         return exact(F.try_add(F.try_add(x, y), F.lit(plus)), lambda c, d: c + d + plus)
 
-    def difference(x: Column, y: Column, plus: int = 0) -> Column:
+    def difference(x: Column, y: Column, plus: int = 0) -> Result:
         return text(F.try_add(F.try_subtract(x, y), F.lit(plus)))
 
-    def product(plus: int = 0) -> Column:
+    def product(plus: int = 0) -> Result:
         return exact(F.try_add(F.try_multiply(a, b), F.lit(plus)), lambda c, d: c * d + plus)
 
     ten = F.lit(10)
     big, small = F.greatest(a, b), F.least(a, b)
     det = d[0] * d[3] - d[1] * d[2]
     common = {
-        "concatenation": F.concat(sa, sb),
-        "reverse concatenation": F.concat(sb, sa),
+        "concatenation": Result(F.concat(sa, sb)),
+        "reverse concatenation": Result(F.concat(sb, sa)),
         "addition": total(a, b),
         "absolute difference": text(F.abs(a - b)),
         "negated absolute difference": text(-F.abs(a - b)),
@@ -705,6 +726,12 @@ def _written(out: Column, op: Column) -> list[Column]:
     ]
 
 
+def _long_of(name: str) -> Column:
+    """The long that a column is the text of, as a cast writes it; else NULL."""
+    value = F.col(name).try_cast("bigint")
+    return F.when(value.cast("string") == F.col(name), value)
+
+
 def infer_numeric_ops(equations: DataFrame) -> DataFrame:
     """(problem_id, op, fmt, examples, first_row, rule_name, rev_ops, rev_res).
 
@@ -741,22 +768,32 @@ def infer_numeric_ops(equations: DataFrame) -> DataFrame:
         *[c.alias(f"f_{n}") for n, c in operands(F.col("a"), F.col("b")).items()],
         *[c.alias(f"r_{n}") for n, c in operands(F.reverse("a"), F.reverse("b")).items()],
     )
-    forward = numeric_results({n: F.col(f"f_{n}") for n in OPERANDS})
-    backward = numeric_results({n: F.col(f"r_{n}") for n in OPERANDS})
+    forward = numeric_values({n: F.col(f"f_{n}") for n in OPERANDS})
+    backward = numeric_values({n: F.col(f"r_{n}") for n in OPERANDS})
     names = list(forward)
     keep = ["problem_id", "op", "row_no", "_way", *flags, *[f"is{k}" for k in range(4)]]
+    sides = {"_plain": list(forward.values()), "_turned": list(backward.values())}
+    # A long is compared as a long with outputs that are a long's text, not written out for each comparison.
     rows = rows.select(
         *keep,
         "_out",
         "_tuo",
-        *[c.alias(f"_plain{i}") for i, c in enumerate(forward.values())],
-        *[c.alias(f"_turned{i}") for i, c in enumerate(backward.values())],
+        _long_of("_out").alias("_out_long"),
+        _long_of("_tuo").alias("_tuo_long"),
+        *[r.value.alias(f"{side}{i}") for side, rs in sides.items() for i, r in enumerate(rs)],
+        *[r.wide.alias(f"{side}{i}w") for side, rs in sides.items() for i, r in enumerate(rs) if r.wide is not None],
     )
+
+    def equal(side: str, i: int, wanted: str) -> Column:
+        r = sides[side][i]
+        same = F.col(f"{side}{i}") == F.col(f"{wanted}_long" if r.is_long else wanted)
+        return same if r.wide is None else F.coalesce(same, F.col(f"{side}{i}w") == F.col(wanted))
+
     masks = []
     for k, (rev_ops, rev_res) in enumerate(REVERSALS):
-        side, wanted = "_turned" if rev_ops else "_plain", F.col("_tuo" if rev_res else "_out")
+        side, wanted = "_turned" if rev_ops else "_plain", "_tuo" if rev_res else "_out"
         bits = [
-            F.when(F.col(f"{side}{i}") == wanted, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+            F.when(equal(side, i, wanted), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
             for i in range(len(names))
         ]
         masks.append(reduce(lambda a, b: a.bitwiseOR(b), bits).alias(f"m{k}"))
