@@ -351,7 +351,7 @@ def _detokenise(spark, sf):
     vocab = V.table(spark, sf, "supplier").select(key.cast("int").alias("token_id"), piece.alias("token"))
     vocab = vocab.filter(F.col("token_id") % 10 != 5)
     rows = V.graded_v(spark, sf).select(*KEYS, "completion_token_ids")
-    return S.detokenise(rows, "completion_token_ids", vocab, KEYS, name="decoded").drop("completion_token_ids")
+    return S.detokenise(rows, "completion_token_ids", vocab, KEYS, name="decoded", keep_ids=False)
 
 
 _PIECE = """CASE WHEN s.s_suppkey IS NULL OR s.s_suppkey % 10 = 5 THEN '<unk:' || t || '>' WHEN t % 10 = 3 THEN 'é'

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -263,21 +264,34 @@ def split_raw_runs(raw: DataFrame, prompt_marker: float | None = None) -> DataFr
 
 
 def detokenise(
-    rows: DataFrame, ids: str, vocab: DataFrame, keys: Sequence[str], unknown: str = "<unk:%d>", name: str = "text"
+    rows: DataFrame, ids: str, vocab: DataFrame, keys: Sequence[str], unknown: str = "<unk:%d>", name: str = "text", keep_ids: bool = True
 ) -> DataFrame:
     """Add the text of a token-id column. ``keys`` are the columns that identify a row.
 
     Ids meet the vocabulary in an equi-join; the pieces of a row, bounded by its token limit,
     come back together in order.
     """
-    exploded = rows.select(*keys, F.posexplode(ids).alias("_at", "token_id"))
-    known = vocab.select("token_id", "token")
+    rest = [c for c in rows.columns if c not in keys and (keep_ids or c != ids)]
+    whole = F.struct(*rest) if rest else F.lit(None).cast("boolean")
+    exploded = rows.select(*keys, F.col(ids).alias("_ids"), whole.alias("_row")).select(
+        *keys, "_row", F.posexplode_outer("_ids").alias("_at", "token_id")
+    )
+    nth = F.row_number().over(W.partitionBy("token_id").orderBy("token"))
+    known = vocab.select("token_id", "token", nth.alias("_nth"))
+    # The other columns of a row travel with its first piece, so the rows are not moved once more to meet their texts.
+    first = F.coalesce(F.col("_at") == 0, F.lit(True)) & (F.coalesce("_nth", F.lit(1)) == 1)
     piece = F.struct("_at", F.coalesce("token", F.format_string(unknown, "token_id")).alias("t"))
-    pieces = exploded.join(known, "token_id", "left").select(*keys, piece.alias("p"))
-    gathered = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("_pieces"))
+    pieces = exploded.join(known, "token_id", "left").select(
+        *keys, F.when(F.col("_at").isNotNull(), piece).alias("p"), first.alias("_first"), "_row"
+    )
+    own = F.collect_list(F.when(F.col("_first"), F.col("_row"))) if rest else F.count_if("_first")
+    gathered = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("_pieces"), own.alias("_rows"))
     text = join_vocab_pieces(F.transform("_pieces", lambda p: p["t"]))
-    joined = rows.join(gathered.select(*keys, text.alias(name)), list(keys), "left")
-    return joined.withColumn(name, F.coalesce(name, F.lit("")))
+    # A key that is NULL names no row.
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    texts = gathered.select(*keys, F.when(named, text).alias(name), "_rows")
+    back = texts.select(*keys, F.explode("_rows" if rest else F.array_repeat(F.lit(True), F.col("_rows").cast("int"))).alias("_row"), F.coalesce(name, F.lit("")).alias(name))
+    return back.select(*keys, *[F.col("_row")[c].alias(c) for c in rest if c != name], name)
 
 
 def resolve_part(spark: SparkSession, name: str, root: str) -> str:
