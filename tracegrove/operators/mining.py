@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import tokens as K
 from ..functions.text import LINE_BREAK, THINK_END, TURN_END, bind
+from ..session import shared_folder
 from .ordering import first_per_key, last_per_key, order_key, position, row_bucket, top_per_group
 from .rollouts import pass_counts, strict, value_weights
 
@@ -26,6 +27,12 @@ def in_categories(df: DataFrame, categories: Sequence[str] | str | None) -> Data
     return df.filter(F.col("category").isin(list(categories))) if categories else df
 
 
+def _kept_table(df: DataFrame, purpose: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def greedy_diverse(
     df: DataFrame,
     *,
@@ -43,7 +50,10 @@ def greedy_diverse(
     with none of the kept rows. A row rejected once stays rejected, so this is the same as
     the walk, and each round is one join and one aggregate however large a group is.
     ``anchors`` (key, items) count as already kept and take one of the ``k`` places.
+
+    Every round reads the rows again, so they are kept as a table first: what it took to make them is done once.
     """
+    df = _kept_table(df, "walk")
     place = order_key(order)
     entry = F.struct(place.alias("at"), F.col(items).alias("ids"))
     rows = df.select(key, *order, items)
@@ -112,6 +122,8 @@ def positives(
         partial = counts.filter(F.col("pass_count").between(1, partial_max))
         correct = correct.join(partial.select("problem_id", "trace_weight"), "problem_id")
         weight = F.col("trace_weight") if reward_weight else weight
+    needed = ["problem_id", "category", "prompt_token_ids", "completion_token_ids", *order]
+    correct = correct.select(*needed, *(["trace_weight"] if reward_weight else []))
     kept = greedy_diverse(
         correct, key="problem_id", order=order, items="completion_token_ids", k=keep_per_id, threshold=threshold
     )
