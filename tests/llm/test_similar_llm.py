@@ -199,3 +199,47 @@ def test_one_of_each_chooses_one_row_of_rows_with_one_id_or_none(spark):
     assert [x for x in got if x[0] != 5] == sorted([(7, far), (None, "n1 n2 n3 n4 n5 n6"), (None, None), (8, ""), (9, " ")], key=repr)
     nulls = spark.createDataFrame([(None, " ".join(base)), (None, " ".join(near))], "doc_id long, text string")
     assert prefix_join.one_of_each(nulls).count() == 1
+
+
+def test_variants_of_one_line_meet_by_what_tells_them_from_it(spark):
+    """Of many variants of one line, near ones, far ones and near ones of far ones, no link is lost, and few pairs are compared."""
+    rnd = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    base = "".join(rnd.choice(letters) for _ in range(330))
+
+    def varied(line, times):
+        line = list(line)
+        for _ in range(times):
+            at = rnd.randrange(len(line))
+            line[at : at + rnd.choice([0, 2, 5])] = rnd.choice(["to ", "onward", rnd.choice(letters)])
+        return "".join(line)
+
+    own = [base] + [varied(base, rnd.choice([1, 2, 3])) for _ in range(60)] + [varied(base, rnd.choice([4, 5, 6, 7, 8])) for _ in range(240)]
+    own += [varied(rnd.choice(own), 1) for _ in range(60)] + [x[: rnd.randrange(250, 320)] for x in rnd.sample(own, 30)]
+    own = list(dict.fromkeys(own))
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3)
+    sets = [line_set(x) for x in own]
+    links = {(i, j) for i in range(len(own)) for j in range(i) if similar(sets[i], sets[j])}
+    dedup = line_dedup.LineDedup(df)
+    rows = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    named = {r.cls: r.doc_id for r in line_dedup.LineDedup(rows).lines().collect()}
+    cls = {i: c for c, i in named.items()}
+    star = Union(range(len(own)))
+    for i, j in links:
+        if 0 in (i, j):
+            star.join(i, j)
+    members = spark.createDataFrame([(cls[0], cls[i], cls[star.find(i)]) for i in range(1, len(own))], "lead long, cls long, root long")
+    texts = spark.createDataFrame([(cls[i], bytearray(folded(x).encode())) for i, x in enumerate(own)], "cls long, line binary")
+    got = {tuple(sorted((named[r.a], named[r.b]), reverse=True)) for r in dedup.apart(members, texts).collect()}
+    want = {(i, j) for i, j in links if star.find(i) != star.find(j)}
+    crossing = sum(star.find(i) != star.find(j) for i in range(1, len(own)) for j in range(1, i))
+    assert want and want <= got
+    assert len(got) < crossing / 8
+    # The whole job compares few pairs too.
+    seen = []
+    verified = dedup.verified
+    dedup.verified = lambda pairs, t: seen.append(pairs.count()) or verified(pairs, t)
+    roots = {named[r.node]: r.root for r in dedup.roots().collect()}
+    assert sum(seen) < crossing / 4
+    for i, j in want:
+        assert roots[i] == roots[j]

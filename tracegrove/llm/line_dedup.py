@@ -9,9 +9,11 @@ candidates: at a similarity of 0.8 a pair shares one of the 9 bands of 4 with a
 Candidates are compared exactly, and distributed union-find joins those of similarity ``PERCENT`` or
 more. Of each component one line stays, the first by (document id, hash of text, line number).
 
-As in the prefix join, a band's classes are first compared with the band's most central class; only classes
-that are then still in different components are compared pair by pair. So a line with a million near
-copies costs a million comparisons, and no candidate pair across components goes untested.
+As in the prefix join, a band's classes are first compared with the band's most central class, its lead; only
+classes that are then still in different components are compared further. So a line with a million near
+copies costs a million comparisons. In bands of more than ``FEW`` classes those apart meet by an exact filter
+over what tells them from their lead (``LineDedup.apart``): many variants of one line that are not
+similar enough differ from it in different ways, and no similar pair across components goes untested.
 
 Only signatures' bands that occur twice are shuffled as rows, and only candidate lines' texts are.
 
@@ -44,6 +46,10 @@ LONG, SHORT = 96, 160
 SKETCH_BITS = 512
 #: Bytes of sets that a task keeps while it compares.
 KEPT_BYTES = 32 << 20
+#: Of so many classes in a band those apart are compared pair by pair; of more, by what tells them from their lead.
+FEW = 16
+#: One of so many members tells which differences are frequent; the counts at which a key moves back in the order.
+ORDER_SHARE, ORDER_LEVELS, ORDER_BITS = 8, (2, 6, 24, 96), 23
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 _NOT_END = np.ones(256, bool)
@@ -238,6 +244,68 @@ def _compare(percent: int) -> object:
     return run
 
 
+def _levels(state, keys: np.ndarray) -> np.ndarray:
+    """How frequent each key is, by the filters it is in."""
+    return sum((in_filter(bits, keys).astype(np.int64) for bits in state), np.zeros(len(keys), np.int64))
+
+
+def _differences(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, int, int]]:
+    """For (lead, cls, root, line, line of the lead): batch, row, keys of the shingles that only one of both lines
+    has, and both sizes."""
+    last, centre = None, np.zeros(0, np.uint64)
+    for batch in it:
+        for k, (lead, line) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3), strict=True)):
+            if lead != last:
+                last, centre = lead, line_set(batch.column(4)[k].as_py())
+            own = line_set(line.as_py())
+            salt = mixed(np.array([lead], np.int64).view(np.uint64))
+            yield batch, k, signed(mixed(np.setxor1d(own, centre, assume_unique=True) ^ salt)), len(own), len(centre)
+
+
+def _grouped(rows: Iterator[tuple]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Every batch with its rows."""
+    group: list[tuple] = []
+    for row in rows:
+        if group and group[0][0] is not row[0]:
+            yield group[0][0], group
+            group = []
+        group.append(row)
+    if group:
+        yield group[0][0], group
+
+
+def _difference_keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, group in _grouped(_differences(it)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys for _, _, keys, _, _ in group]), pa.int64())], names=["key"])
+
+
+def _marks(state, percent: int) -> object:
+    """Rows (key, place, cls, root, n, d, far, both) of the marks of a member; see ``LineDedup.apart``."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, q = 100 - percent, 100 + percent
+        for batch, group in _grouped(_differences(it)):
+            parts = []
+            for _, k, keys, n, centre in group:
+                d = len(keys)
+                far = q * d > p * (n + centre)
+                # Before the first common key: with a partner far from the lead, and with any partner.
+                inner = (q * d + p * (n - centre)) // (2 * q)
+                # A partner has 100 / percent times as many shingles at most.
+                wide = p * n // percent
+                outer = min(wide, (wide + d) // 2) if far else inner
+                keys = keys[np.lexsort((keys, _levels(state.value, keys)))][: max(inner, outer) + 1]
+                at = np.arange(len(keys))
+                parts.append((np.full(len(at), k), keys, at, np.full(len(at), n), np.full(len(at), d), np.full(len(at), far), at <= inner))
+            if parts:
+                row, key, place, n, d, far, both = (np.concatenate(x) for x in zip(*parts, strict=True))
+                columns = [pa.array(key, pa.int64()), pa.array(place, pa.int32()), *(batch.column(c).take(pa.array(row)) for c in (1, 2))]
+                columns += [pa.array(n, pa.int32()), pa.array(d, pa.int32()), pa.array(far, pa.bool_()), pa.array(both, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "place", "cls", "root", "n", "d", "far", "both"])
+
+    return run
+
+
 class LineDedup:
     """The deduplication of one table of documents."""
 
@@ -274,6 +342,36 @@ class LineDedup:
         with small_batches(self.docs.sparkSession):  # rows have two lines each
             return stored(both.mapInArrow(_compare(self.percent), "a long, b long"))
 
+    def apart(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members (lead, cls, root) of one lead and different roots, all that are similar enough among them.
+
+        By the triangle inequality two members resemble each other only if what tells them from the lead is
+        much the same. Let D be the shingles that only one of member and lead has. D(x) and D(y) differ as
+        x and y do, so with t the similarity wanted and s = (1 - t) / (1 + t) * (|x| + |y|) at most
+        (s + |D(x)| - |D(y)|) / 2 keys of D(x) are missing from D(y). In one order of all keys, the rare ones
+        first, the first common key therefore has so many keys before it at most in x, and likewise in y: each
+        member's first keys are its marks. One of two members of different roots is far from the lead (less
+        similar than t), which bounds the marks of the other. Nothing is estimated but the order.
+        """
+        spark = self.docs.sparkSession
+        lines = texts.select("cls", "line")
+        with small_batches(spark):
+            given = members.join(lines, "cls").join(lines.toDF("lead", "centre"), "lead").select("lead", "cls", "root", "line", "centre")
+            given = stored(given.sortWithinPartitions("lead"))
+            some = given.filter(F.pmod(F.xxhash64("cls"), F.lit(ORDER_SHARE)) == 0)
+            counts = stored(some.mapInArrow(_difference_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+            state = self.context.broadcast([bit_filter(counts.filter(F.col("n") >= k), "key", ORDER_BITS) for k in ORDER_LEVELS])
+            marks = stored(given.mapInArrow(_marks(state, self.percent), "key long, place int, cls long, root long, n int, d int, far boolean, both boolean"))
+        x = marks.filter("both").select("key", *[F.col(c).alias(f"{c}1") for c in ("place", "cls", "root", "n", "d", "far")])
+        y = marks.filter("far").select("key", *[F.col(c).alias(f"{c}2") for c in ("place", "cls", "root", "n", "d")])
+        p, q = 100 - self.percent, 100 + self.percent
+        apart, both = q * (F.col("d1") - F.col("d2")), p * (F.col("n1") + F.col("n2"))
+        fits = (2 * q * F.col("place1") <= both + apart) & (2 * q * F.col("place2") <= both - apart)
+        sizes = (100 * F.col("n1") >= self.percent * F.col("n2")) & (100 * F.col("n2") >= self.percent * F.col("n1"))
+        once = ~F.col("far1") | (F.col("cls1") < F.col("cls2"))
+        met = x.join(y, "key").filter((F.col("root1") != F.col("root2")) & sizes & fits & once)
+        return met.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct()
+
     def roots(self) -> DataFrame:
         """(node, root) of every class that is linked to another."""
         bands = stored(self.given.mapInArrow(_bands, "cls long, bands array<long>"))
@@ -290,17 +388,27 @@ class LineDedup:
         star = stored(shared.filter(F.col("cls") != F.col("b")).select(F.col("cls").alias("a"), "b").distinct())
         links = self.verified(star, texts)
         roots = stored(connected(links))
-        own = shared.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        own = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         split = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("band")
-        rows = stored(own.join(split, "band"))
-        x = rows.select("band", F.col("cls").alias("a"), F.col("root").alias("r1"))
-        y = rows.select("band", F.col("cls").alias("b"), F.col("root").alias("r2"))
-        between = x.join(y, "band").filter(F.col("r1") < F.col("r2")).select("a", "b").distinct()
-        tested = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rows = own.join(split, "band").filter(F.col("cls") != F.col("b"))
+        rows = stored(rows.select("band", F.col("b").alias("lead"), "cls", "root"))
+        sizes = rows.groupBy("band").agg(F.count("*").alias("size"))
+        few = sizes.filter(F.col("size") <= FEW).select("band")
+        members = rows.join(few, "band").select("band", "cls", "root")
+        x, y = (members.select("band", F.col("cls").alias(c), F.col("root").alias(r)) for c, r in (("a", "r1"), ("b", "r2")))
+        direct = x.join(y, "band").filter(F.col("r1") < F.col("r2")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        many = rows.join(sizes.filter(F.col("size") > FEW).select("band"), "band").select("lead", "cls", "root").distinct()
+        between = direct.unionByName(self.apart(many, texts)).distinct()
+        tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         between = stored(between.join(tested, ["a", "b"], "left_anti"))
         if between.isEmpty():
             return roots
-        return stored(connected(links.unionByName(self.verified(between, texts))))
+        # Only the components that the second links join need a second union-find.
+        top = roots.select(F.col("node").alias("a"), F.col("root").alias("r"))
+        more = self.verified(between, texts).join(top, "a", "left").join(top.select(F.col("a").alias("b"), F.col("r").alias("s")), "b", "left")
+        joined = stored(connected(more.select(F.coalesce("r", "a").alias("a"), F.coalesce("s", "b").alias("b")))).toDF("root", "top")
+        all_nodes = roots.unionByName(joined.select(F.col("root").alias("node"), "root").join(roots, "node", "left_anti"))
+        return stored(all_nodes.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
     def removed(self) -> DataFrame:
         """(doc_id, text_hash, removed): the numbers of the lines that go, for every document that has any."""
