@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
-from tracegrove.llm import line_dedup, prefix_join
+from tracegrove.llm import common, line_dedup, prefix_join
+from tracegrove.llm.common import sketch_of
 from tracegrove.llm.components import connected
 
 
@@ -243,3 +245,38 @@ def test_variants_of_one_line_meet_by_what_tells_them_from_it(spark):
     assert sum(seen) < crossing / 4
     for i, j in want:
         assert roots[i] == roots[j]
+
+
+def test_only_the_result_of_a_step_stays_stored(spark, tmp_path, monkeypatch) -> None:
+    texts = ["the quick brown fox jumps over the lazy dog, number one", "the quick brown fox jumps over the lazy dog, number two", "something else that nobody else has said"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(common, "shared_root", lambda _: str(tmp_path))
+    roots = line_dedup.LineDedup(docs).roots()
+    assert len(list(tmp_path.glob("llm-*"))) == 1
+    assert roots.count() == 2
+    placed = prefix_join.PrefixJoin(docs).components()
+    assert len(list(tmp_path.glob("llm-*"))) == 3
+    assert placed.count() == 3
+
+
+def test_sketches_of_many_lines_are_those_of_their_sets() -> None:
+    text = b"ab\n\n  \t\nabcdefgh\n" + b"Ab cd" * 40 + b"\n x \nabcdefghi" + "é".encode() * 9
+    raw, off = np.frombuffer(text + b"\nlast", np.uint8), np.array([0, 4, 4, len(text), len(text) + 5])
+    start, end, doc, number = line_dedup.line_spans(raw, off)
+    want = [(d, k, x) for d in range(4) for k, x in enumerate(bytes(raw[off[d] : off[d + 1]]).split(b"\n")) if x.strip()]
+    assert [(d, k, bytes(raw[a:b])) for a, b, d, k in zip(start, end, doc, number, strict=True)] == want
+    n, sketch = line_dedup.line_sketches(raw, start, end)
+    sets = [line_dedup.line_set(bytes(raw[a:b])) for a, b in zip(start, end, strict=True)]
+    assert n.tolist() == [len(x) for x in sets]
+    assert [x.tobytes() for x in sketch] == [sketch_of(x, line_dedup.SKETCH_BITS) for x in sets]
+
+
+def test_bands_dealt_in_parts_are_counted_like_rows(spark) -> None:
+    rng = np.random.default_rng(3)
+    bands = rng.integers(-(2**63), 2**63 - 1, 3000)
+    bands = np.concatenate([bands, bands[:50], bands[:9], bands[:5] ^ (1 << 41)])
+    rows = spark.createDataFrame([(bands[k : k + 7].tolist(),) for k in range(0, len(bands), 7)], "bands array<long>").repartition(4)
+    dealt = rows.mapInArrow(line_dedup._dealt, "part int, bands binary").repartition("part").sortWithinPartitions("part")
+    got = sorted(r.band for r in dealt.mapInArrow(line_dedup._twice, "band long").collect())
+    key, n = np.unique(bands & ((1 << line_dedup.BAND_BITS) - 1), return_counts=True)
+    assert got == key[n > 1].tolist()

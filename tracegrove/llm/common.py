@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.files import delete
+
 U64 = np.uint64
 #: Texts are hashed in runs of about this many bytes, so that the 8-byte arrays stay small.
 RUN_BYTES = 2 << 20
 _roots: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
@@ -40,14 +47,49 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """While queries run whose shuffles nothing reads again: the files go at each one's end, not when the driver
+    happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in that folder: several times smaller than a checkpoint for narrow rows,
-    and of known size, so that Spark broadcasts it only if it is small. Cleaned up with the folder."""
+    and of known size, so that Spark broadcasts it only if it is small. Cleaned up with the folder, or
+    before by ``passing``."""
     path = f"{shared_root(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with cleaned(df.sparkSession):
+        df.write.parquet(path)
+    if (paths := _passing.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def passing(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The step with its result stored and the tables deleted that it stored on the way."""
+
+    @wraps(step)
+    def run(*args, **options) -> DataFrame:
+        mark = _passing.set(paths := [])
+        try:
+            out = stored(step(*args, **options))
+        finally:
+            _passing.reset(mark)
+        for path in paths[:-1]:
+            delete(out.sparkSession, path)
+        if (outer := _passing.get()) is not None:
+            outer.append(paths[-1])
+        return out
+
+    return run
+
+
 def leaders(rows: DataFrame, key: str, member: str, *more: str) -> DataFrame:
     """(key, lead) with the most central member of every key, and what else is told of it: the one that
     meets the most others over all its keys. In a group of copies that is the text the others vary."""
@@ -237,7 +279,8 @@ def bit_filter(df: DataFrame, column: str, log_bits: int) -> np.ndarray:
     at = F.col(column).bitwiseAND((1 << log_bits) - 1)
     words = df.select(F.shiftright(at, 6).cast("int").alias("word"), F.expr("1L").alias("one"), at.bitwiseAND(63).cast("int").alias("bit"))
     words = words.select("word", F.call_function("shiftleft", F.col("one"), F.col("bit")).alias("mask"))
-    got = words.groupBy("word").agg(F.bit_or("mask").alias("bits")).mapInArrow(_packed_words, "word binary, bits binary").collect()
+    with cleaned(df.sparkSession):
+        got = words.groupBy("word").agg(F.bit_or("mask").alias("bits")).mapInArrow(_packed_words, "word binary, bits binary").collect()
     out = np.zeros(1 << (log_bits - 6), np.int64)
     for r in got:
         out[np.frombuffer(bytes(r["word"]), np.int32)] = np.frombuffer(bytes(r["bits"]), np.int64)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import passing, stored
 
 
+@passing
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); the root is the component's smallest node.
 

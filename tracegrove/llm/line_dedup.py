@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, bit_filter, buffers, in_filter, leaders, mixed, near_by_sketch, powers, runs, signed, sketch_of, span_hashes, stored, text_column, word_spans
+from .common import NOT_SPACE, bit_filter, buffers, in_filter, leaders, mixed, near_by_sketch, passing, powers, runs, signed, span_hashes, stored, text_column
 from .components import connected
 from .words import small_batches
 
@@ -46,14 +46,18 @@ LONG, SHORT = 96, 160
 SKETCH_BITS = 512
 #: Bytes of sets that a task keeps while it compares.
 KEPT_BYTES = 32 << 20
+#: Texts are hashed so many bytes at a time, which a core's cache holds.
+CACHE_BYTES = 1 << 18
+#: Bands are counted by so many bytes of their hash, in parts by the last bits of these.
+BAND_BITS, PART_BITS = 40, 12
+#: A task deals out so many bands at a time.
+DEALT_BANDS = 1 << 20
 #: Of so many classes in a band those apart are compared pair by pair; of more, by what tells them from their lead.
 FEW = 16
 #: One of so many members tells which differences are frequent; the counts at which a key moves back in the order.
 ORDER_SHARE, ORDER_LEVELS, ORDER_BITS = 8, (2, 6, 24, 96), 23
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-_NOT_END = np.ones(256, bool)
-_NOT_END[10] = False
 _CODE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _CODE[65:91] = _CODE[97:123]
 _FACTOR = mixed(np.arange(2000, 2000 + BINS, dtype=np.uint64)) | np.uint64(1)
@@ -61,13 +65,20 @@ _FACTOR = mixed(np.arange(2000, 2000 + BINS, dtype=np.uint64)) | np.uint64(1)
 
 def line_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every line that is not blank, its document and its line number."""
-    start, end, first = word_spans(raw, off, _NOT_END)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    ends = np.concatenate([[0], np.cumsum(raw == 10)])
-    number = ends[start] - ends[off[:-1]][doc]
-    seen = np.concatenate([[0], np.cumsum(NOT_SPACE[raw])])
-    keep = seen[end] > seen[start]
-    return start[keep], end[keep], doc[keep], number[keep]
+    breaks = np.flatnonzero(raw == 10)
+    # Both are in order already, and the k-th end is the k-th line's.
+    start = np.sort(np.concatenate([off[:-1], breaks + 1]), kind="stable")
+    end = np.sort(np.concatenate([breaks, off[1:]]), kind="stable")
+    count = np.diff(np.searchsorted(breaks, off)) + 1
+    doc = np.repeat(np.arange(len(off) - 1), count)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    full = np.flatnonzero(end > start)
+    start, end = start[full], end[full]
+    seen = np.append(NOT_SPACE[raw], False).view(np.uint8)
+    # Every other stretch is a line.
+    keep = np.maximum.reduceat(seen, np.stack([start, end], axis=1).ravel())[::2] > 0 if len(full) else np.zeros(0, bool)
+    full = full[keep]
+    return start[keep], end[keep], doc[full], number[full]
 
 
 def shingles(raw: np.ndarray) -> np.ndarray:
@@ -116,13 +127,10 @@ def one_permutation(every: np.ndarray, start: np.ndarray, count: np.ndarray) ->
 
 def bands_of(sig: np.ndarray, kind: int) -> np.ndarray:
     """One 64-bit value for each band; the kinds of signature never meet."""
-    out = np.zeros((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
-        value = np.full(len(sig), np.uint64(100 * kind + b + 1))
-        for r in range(ROWS):
-            value = mixed(value * np.uint64(0x9FB21C651E98DF25) + sig[:, b * ROWS + r])
-        out[:, b] = value
-    return signed(out)
+    value = np.tile(np.arange(100 * kind + 1, 100 * kind + BANDS + 1, dtype=np.uint64), (len(sig), 1))
+    for r in range(ROWS):
+        value = mixed(value * np.uint64(0x9FB21C651E98DF25) + sig[:, r::ROWS])
+    return signed(value)
 
 
 def line_bands(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,33 +152,89 @@ def _lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = text_column(batch, "__text")
         keys = [batch.column(k) for k in range(2)]
         for i, j in runs(texts):
-            raw, off = buffers(texts[i:j])
-            start, end, doc, number = line_spans(raw, off)
-            cls = signed(span_hashes(raw, start, end))
-            take = pa.array(doc + i, pa.int64())
+            parts = []
+            for a, b in runs(texts[i:j], CACHE_BYTES):
+                raw, off = buffers(texts[i + a : i + b])
+                start, end, doc, number = line_spans(raw, off)
+                parts.append((doc + i + a, number, signed(span_hashes(raw, start, end))))
+            doc, number, cls = (np.concatenate(x) for x in zip(*parts, strict=True))
+            take = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays([k.take(take) for k in keys] + [pa.array(number, pa.int32()), pa.array(cls, pa.int64())], names=["doc_id", "text_hash", "line_no", "cls"])
 
 
+def _held(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values are in the ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(0, np.int64)
     for batch in it:
         texts = text_column(batch, "__text")
         fresh = []
         for i, j in runs(texts):
-            raw, off = buffers(texts[i:j])
-            start, end, _, _ = line_spans(raw, off)
-            cls, at = np.unique(signed(span_hashes(raw, start, end)), return_index=True)
-            new = ~np.isin(cls, seen)
-            cls, at = cls[new], at[new]
-            fresh.append(cls)
-            line, bands = line_bands(raw, start[at], end[at])
-            order = np.argsort(line, kind="stable")
-            ends = np.searchsorted(line[order], np.arange(len(cls) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[order], pa.int64()))
+            own, parts = np.zeros(0, np.int64), []
+            for a, b in runs(texts[i:j], CACHE_BYTES):
+                raw, off = buffers(texts[i + a : i + b])
+                start, end, _, _ = line_spans(raw, off)
+                cls, at = np.unique(signed(span_hashes(raw, start, end)), return_index=True)
+                new = ~_held(seen, cls) & ~_held(own, cls)
+                cls, at = cls[new], at[new]
+                own = np.union1d(own, cls)
+                line, bands = line_bands(raw, start[at], end[at])
+                parts.append((cls, bands[np.argsort(line, kind="stable")], np.bincount(line, minlength=len(cls))))
+            cls, bands, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+            fresh.append(own)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(bands, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), lists], names=["cls", "bands"])
         seen = np.unique(np.concatenate([seen, *fresh]))
 
 
+def _dealt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, bands) of lists of bands: those of one part, by what their hashes have beside it."""
+
+    def rows(bands: np.ndarray) -> pa.RecordBatch:
+        part = (bands & ((1 << PART_BITS) - 1)).astype(np.uint16)
+        rest = ((bands & ((1 << BAND_BITS) - 1)) >> PART_BITS).astype(np.uint32)[np.argsort(part, kind="stable")]
+        count = np.bincount(part, minlength=1 << PART_BITS)
+        full = np.flatnonzero(count)
+        ends = np.concatenate([[0], np.cumsum(count[full])]).astype(np.int32) * rest.itemsize
+        lists = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends), pa.py_buffer(rest)])
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), lists], names=["part", "bands"])
+
+    held, size = [], 0
+    for batch in it:
+        held.append(batch.column(0).flatten().to_numpy())
+        size += len(held[-1])
+        if size >= DEALT_BANDS:
+            yield rows(np.concatenate(held))
+            held, size = [], 0
+    if size:
+        yield rows(np.concatenate(held))
+
+
+def _twice(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bands that occur twice, of rows (part, bands) in the order of parts."""
+
+    def found(part: int, held: list[bytes]) -> np.ndarray:
+        rest = np.sort(np.frombuffer(b"".join(held), np.uint32))
+        return (np.unique(rest[1:][rest[1:] == rest[:-1]]).astype(np.int64) << PART_BITS) | part
+
+    last, held = -1, []
+    for batch in it:
+        out = []
+        for part, bands in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if part != last:
+                out.append(found(last, held))
+                last, held = part, []
+            held.append(bands)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out), pa.int64())], names=["band"])
+    yield pa.RecordBatch.from_arrays([pa.array(found(last, held), pa.int64())], names=["band"])
+
+
 def _shared(state) -> object:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -188,18 +252,21 @@ def _texts(state) -> object:
         for batch in it:
             texts = text_column(batch, "__text")
             for i, j in runs(texts):
-                raw, off = buffers(texts[i:j])
-                start, end, _, _ = line_spans(raw, off)
-                cls = signed(span_hashes(raw, start, end))
-                found, at = np.unique(cls[in_filter(state.value, cls)], return_index=True)
-                at = np.flatnonzero(in_filter(state.value, cls))[at]
-                new = ~np.isin(found, seen)
-                found, at = found[new], at[new]
-                seen = np.union1d(seen, found)
-                own = [raw[a:b].tobytes() for a, b in zip(start[at], end[at], strict=True)]
-                sets = [line_set(x) for x in own]
-                sketch = pa.array([sketch_of(x, SKETCH_BITS) for x in sets], pa.binary())
-                columns = [pa.array(found, pa.int64()), pa.array(own, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), sketch]
+                known, parts = np.zeros(0, np.int64), []
+                for a, b in runs(texts[i:j], CACHE_BYTES):
+                    raw, off = buffers(texts[i + a : i + b])
+                    start, end, _, _ = line_spans(raw, off)
+                    cls = signed(span_hashes(raw, start, end))
+                    may = np.flatnonzero(in_filter(state.value, cls))
+                    found, at = np.unique(cls[may], return_index=True)
+                    new = ~_held(seen, found) & ~_held(known, found)
+                    found, at = found[new], may[at[new]]
+                    known = np.union1d(known, found)
+                    own = [raw[x:y].tobytes() for x, y in zip(start[at], end[at], strict=True)]
+                    parts.append((found, own, *line_sketches(raw, start[at], end[at])))
+                seen = np.union1d(seen, known)
+                columns = [pa.array(np.concatenate([p[0] for p in parts]), pa.int64()), pa.array([x for p in parts for x in p[1]], pa.binary())]
+                columns += [pa.array(np.concatenate([p[2] for p in parts]), pa.int64()), pa.array([x.tobytes() for p in parts for x in p[3]], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["cls", "line", "n", "sketch"])
 
     return run
@@ -210,8 +277,35 @@ def line_set(line: bytes) -> np.ndarray:
     raw = np.frombuffer(line, np.uint8)
     every = shingles(raw)
     if not len(every):
-        every = span_hashes(raw, np.array([0]), np.array([len(raw)]))
-    return np.unique(every)
+        return span_hashes(raw, np.array([0]), np.array([len(raw)]))
+    every.sort()
+    new = np.empty(len(every), bool)
+    new[0] = True
+    np.not_equal(every[1:], every[:-1], out=new[1:])
+    return every[new]
+
+
+def line_sketches(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every line the size of its ``line_set`` and, as a row of bytes, that set's sketch."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros((0, SKETCH_BITS // 8), np.uint8)
+    size = end - start
+    first = np.cumsum(size) - size
+    own = raw[np.repeat(start - first, size) + np.arange(size.sum())]
+    count = np.maximum(size - SHINGLE + 1, 1)
+    begin = np.cumsum(count) - count
+    every = np.append(shingles(own), np.zeros(SHINGLE, np.uint64))
+    every = every[np.repeat(first - begin, count) + np.arange(count.sum())]
+    tiny = np.flatnonzero(size < SHINGLE)
+    every[begin[tiny]] = span_hashes(own, first[tiny], first[tiny] + size[tiny])
+    for a, b in zip(begin.tolist(), (begin + count).tolist(), strict=True):
+        every[a:b].sort()
+    new = np.append(True, every[1:] != every[:-1])
+    new[begin] = True
+    n = np.add.reduceat(new.astype(np.int64), begin)
+    at = (mixed(every[new]) % np.uint64(SKETCH_BITS)).astype(np.int64) + np.repeat(np.arange(len(n)) * SKETCH_BITS, n)
+    odd = np.bincount(at, minlength=len(n) * SKETCH_BITS) & 1
+    return n, np.packbits(odd.astype(bool).reshape(len(n), SKETCH_BITS), axis=1)
 
 
 def _compare(percent: int) -> object:
@@ -329,6 +423,7 @@ class LineDedup:
         found = self.given.mapInArrow(_texts(state), "cls long, line binary, n long, sketch binary")
         return stored(found.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("line", "n", "sketch")]))
 
+    @passing
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of the class pairs (a, b) that are similar enough."""
         told = pairs
@@ -372,14 +467,14 @@ class LineDedup:
         met = x.join(y, "key").filter((F.col("root1") != F.col("root2")) & sizes & fits & once)
         return met.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct()
 
+    @passing
     def roots(self) -> DataFrame:
         """(node, root) of every class that is linked to another."""
         bands = stored(self.given.mapInArrow(_bands, "cls long, bands array<long>"))
         # A class that several tasks have counts twice too; being alone in its band it drops out below. Five
         # bytes of a band are enough here: what the filter lets through in excess drops out as well.
-        key = F.col("band").bitwiseAND((1 << 40) - 1).alias("band")
-        twice = bands.select(F.explode("bands").alias("band")).select(key).groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-        state = self.context.broadcast(bit_filter(twice, "band", SHARED_BITS))
+        dealt = bands.select("bands").mapInArrow(_dealt, "part int, bands binary").repartition("part").sortWithinPartitions("part")
+        state = self.context.broadcast(bit_filter(dealt.mapInArrow(_twice, "band long"), "band", SHARED_BITS))
         found = stored(bands.mapInArrow(_shared(state), "band long, cls long").distinct())
         several = found.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
         found = stored(found.join(several, "band"))
@@ -387,7 +482,7 @@ class LineDedup:
         texts = self.texts(shared)
         star = stored(shared.filter(F.col("cls") != F.col("b")).select(F.col("cls").alias("a"), "b").distinct())
         links = self.verified(star, texts)
-        roots = stored(connected(links))
+        roots = connected(links)
         own = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         split = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("band")
         rows = own.join(split, "band").filter(F.col("cls") != F.col("b"))
@@ -406,9 +501,9 @@ class LineDedup:
         # Only the components that the second links join need a second union-find.
         top = roots.select(F.col("node").alias("a"), F.col("root").alias("r"))
         more = self.verified(between, texts).join(top, "a", "left").join(top.select(F.col("a").alias("b"), F.col("r").alias("s")), "b", "left")
-        joined = stored(connected(more.select(F.coalesce("r", "a").alias("a"), F.coalesce("s", "b").alias("b")))).toDF("root", "top")
+        joined = connected(more.select(F.coalesce("r", "a").alias("a"), F.coalesce("s", "b").alias("b"))).toDF("root", "top")
         all_nodes = roots.unionByName(joined.select(F.col("root").alias("node"), "root").join(roots, "node", "left_anti"))
-        return stored(all_nodes.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        return all_nodes.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
     def removed(self) -> DataFrame:
         """(doc_id, text_hash, removed): the numbers of the lines that go, for every document that has any."""

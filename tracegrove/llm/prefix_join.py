@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, buffers, in_filter, leaders, mixed, near_by_sketch, runs, shingle_hashes, signed, sketch_of, span_hashes, stored, text_column, word_spans
+from .common import bit_filter, buffers, in_filter, leaders, mixed, near_by_sketch, passing, runs, shingle_hashes, signed, sketch_of, span_hashes, stored, text_column, word_spans
 from .components import connected
 
 WIDTH = 5
@@ -209,6 +209,7 @@ class PrefixJoin:
         order = np.argsort(token)
         return token[order], n[order]
 
+    @passing
     def verified(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Those of the class pairs (a, b) whose sets are similar enough."""
         told = pairs
@@ -222,7 +223,7 @@ class PrefixJoin:
         x = sets.select(F.col("cls").alias("a"), F.col("own").alias("x"))
         y = sets.select(F.col("cls").alias("b"), F.col("own").alias("y"))
         both = left.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(_compare(self.percent), "a long, b long"))
+        return both.mapInArrow(_compare(self.percent), "a long, b long")
 
     def heads(self, rows: DataFrame) -> DataFrame:
         """(grp, n, prefix) of every group, from one row that has the prefix."""
@@ -282,6 +283,11 @@ class PrefixJoin:
         """All rows with their class, and (cls, root, component_id) of every class of texts with words."""
         state = self.context.broadcast(self.frequent())
         rows = stored(self.docs.mapInArrow(_prefixes(state, self.width, self.percent), "doc_id long, text_hash long, n long, cls long, grp long, prefix array<long>, sketch binary, row_no long"))
+        return rows, self._placed_classes(rows)
+
+    @passing
+    def _placed_classes(self, rows: DataFrame) -> DataFrame:
+        """(cls, root, first_id, component_id) of every class."""
         full = rows.filter(F.col("n") > 0)
         members = stored(full.groupBy("cls").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
         first = members.groupBy("grp").agg(F.min("cls").alias("cls"))
@@ -295,7 +301,7 @@ class PrefixJoin:
         pairs = self.candidates_by_leader(shared, first).unionByName(in_group)
         links = self.verified(stored(pairs.distinct()), members)
         for turn in range(1, ROUNDS + 1):
-            roots = stored(connected(links))
+            roots = connected(links)
             own = members.select("grp", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
             own = stored(own.withColumn("root", F.coalesce("root", "cls")))
             shared = self.still_apart(shared, own)
@@ -305,11 +311,11 @@ class PrefixJoin:
                 pairs = self.candidates_between(shared, own)
             found = self.verified(stored(pairs), members)
             links = links.unionByName(found)
-        roots = stored(connected(links))
+        roots = connected(links)
         ids = full.groupBy("cls").agg(F.min("doc_id").alias("first_id"))
         placed = ids.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        return rows, placed.join(smallest, "root")
+        return placed.join(smallest, "root")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
