@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from pathlib import Path
 
@@ -168,3 +169,47 @@ def test_answers_are_extracted_once_for_grading(spark):
     graded = rollouts.records_from_outputs(outputs, "probe").select("sample_no", "pred", "reward")
     assert sorted(tuple(r) for r in graded.collect()) == [(0, "5", 1.0), (1, "6", 0.0)]
     assert graded._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def plain_line(kind, *own):
+    """Symbols of a parallel row by hashlib; a null key is left out of the text."""
+
+    def bits(*keys):
+        return int(hashlib.sha256("|".join(str(k) for k in ("0", *keys) if k is not None).encode()).hexdigest()[:13], 16)
+
+    if kind == "lstrip":
+        size = 5 if bits("half", kind, *own) % 2 == 0 else 1 + bits("length", kind, *own) % 10
+    else:
+        size = 2 + bits("length", kind, *own) % 7
+    return "".join(synth.SYMBOLS[bits(kind, *own, i) % len(synth.SYMBOLS)] for i in range(1, size + 1))
+
+
+@pytest.mark.parametrize("kind", ["concatenation", "splitting", "lstrip"])
+def test_parallel_rows_of_seeds_in_one_task(spark, kind):
+    seeds = spark.createDataFrame([(k,) for k in (1, 1, -5, 10**15, None)], "problem_no bigint").coalesce(1)
+    lines = synth.parallel_row_lines(seeds, kind)
+    assert lines.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert "lambdafunction" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((str(r.problem_no), r.part, r.line_no, r.input_text, r.output_text) for r in lines.collect())
+    want = []
+    for k in (1, 1, -5, 10**15, None):
+        for n in range(-3, 100):
+            s = plain_line(kind, k, n)
+            each, whole = "".join(f"\u3010{c}\u3011" for c in s), f"\u3010{s}\u3011"
+            texts = {"concatenation": (each, whole), "splitting": (whole, each), "lstrip": (f"\u3010 {s}\u3011", whole)}[kind]
+            want.append((str(k), "demo" if n < 0 else "row", n + 3 if n < 0 else n, *texts))
+    assert got == sorted(want)
+
+
+def test_characters_without_lambda(spark):
+    from tracegrove.functions import text as X
+
+    rows = spark.createDataFrame([("",), (None,), ("a b",), ("x\n\u3010\U0001f600",), ("  ",)], "c string").select(X.chars(F.col("c")).alias("c"), X.bracket_each(F.col("c")).alias("e"))
+    assert "lambdafunction" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.c, r.e) for r in rows.collect()] == [
+        ([], ""),
+        (None, None),
+        (["a", " ", "b"], "\u3010a\u3011\u3010 \u3011\u3010b\u3011"),
+        (["x", "\n", "\u3010", "\U0001f600"], "\u3010x\u3011\u3010\n\u3011\u3010\u3010\u3011\u3010\U0001f600\u3011"),
+        ([" ", " "], "\u3010 \u3011\u3010 \u3011"),
+    ]

@@ -48,7 +48,11 @@ def pick_from(options: list, seed: int, *keys: Column) -> Column:
 
 def counter_bits(seed: int, *keys: Column) -> Column:
     """52 bits of sha256("seed|key|key..."), keys as text: a random number for each value of the counter."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return text_bits(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+
+
+def text_bits(text: Column) -> Column:
+    """:func:`counter_bits` of keys that are already joined to the text."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint")
 
 

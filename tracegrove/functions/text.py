@@ -114,12 +114,12 @@ def align_decimals(a: Column, b: Column) -> tuple[Column, Column]:
 
 def chars(c: Column) -> Column:
     """Characters of a string as an array (empty for an empty string)."""
-    return F.filter(F.split(c, ""), lambda x: x != "")
+    return F.array_remove(F.split(c, ""), "")
 
 
 def bracket_each(c: Column) -> Column:
-    boxed = F.transform(chars(c), lambda x: F.concat(F.lit(LEFT_BRACKET), x, F.lit(RIGHT_BRACKET)))
-    return F.array_join(boxed, "")
+    boxed = F.concat(F.lit(LEFT_BRACKET), F.array_join(chars(c), RIGHT_BRACKET + LEFT_BRACKET), F.lit(RIGHT_BRACKET))
+    return F.when(c == "", "").otherwise(boxed)
 
 
 def bracket_whole(c: Column) -> Column:
