@@ -161,6 +161,32 @@ def test_word_trigrams_equal_plain_kneser_ney(spark, partitions):
         assert got[k].n_symbols == len(t) + 1 and abs(math.log(got[k].perplexity) + want / (len(t) + 1)) < 1e-5
 
 
+def test_model_in_slices_and_documents_in_turns(spark, monkeypatch):
+    from pathlib import Path
+
+    from tracegrove.llm import common
+
+    rnd = random.Random(21)
+    vocab = ["".join(rnd.choice("abcdefg") for _ in range(4)) for _ in range(60)]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(40)) for _ in range(90)]
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(3, texts[3], "x"), (None, texts[4], None), (500, None, "x"), (501, "", "x"), (502, "q" * 5000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    trusted = docs.filter("doc_id < 40")
+    tables = lambda: {p for p in Path(common.shared_root(spark).removeprefix("file:")).glob("llm*")}
+    before = tables()
+    model = kneser_ney.learn(trusted, docs)
+    # Besides the model nothing but emptied folders of trigrams stays.
+    left = [p for p in tables() - before if any(p.rglob("*.parquet"))]
+    assert len(left) == 1 and {r.shard for r in model.values.collect()} <= set(range(1 << model.bits))
+    tell = lambda docs, model: sorted((str(r.doc_id), r.n_symbols, f"{r.perplexity or 0:.9g}") for r in kneser_ney.perplexities(docs, model).collect())
+    once = tell(docs, model)
+    assert len(once) == len(rows)
+    parts = docs.repartition(4 * spark.sparkContext.defaultParallelism)
+    assert tell(parts, model) == once
+    monkeypatch.setattr(kneser_ney, "BATCH_BYTES", 300)
+    assert tell(docs, model) == once
+
+
 def test_tokens_keep_bytes_apart():
     texts = pa.array(["Ab12 ab!? é", "", "日本 한", " "], pa.large_string())
     raw, off = kneser_ney.buffers(texts)
