@@ -68,9 +68,11 @@ SLICE_BITS, TURNS, LEAST_SHARD_BITS = 3, 2, 5
 #: Turns at most in which documents ask for their n-grams.
 MOST_TURNS = 16
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-VALUES = "shard long, keys binary, units binary, wide binary"
+VALUES = "shard long, keys binary, units binary, fine binary, wide binary"
 #: Values are multiples of this, so that their sums do not depend on the order.
 UNIT = 2.0**-24
+#: Further bits of what is stored, as the values of a key are added up before they are rounded.
+FINE = 16
 START, END = np.uint64(0x5B0F3C1D2E4A6987), np.uint64(0xA1C3E5F708192B4D)
 _KIND = np.where(ALNUM, 1, np.where(NOT_SPACE, 2, 0)).astype(np.int8)
 
@@ -172,7 +174,7 @@ class Spelling:
 
 @dataclass(frozen=True)
 class Model:
-    """``values``: (shard, keys, units, wide) with the values of n-grams, bucketed by shard, the first ``bits`` bits of
+    """``values``: (shard, keys, units, fine, wide) with the values of n-grams, bucketed by shard, the first ``bits`` bits of
     the key; a key may be there several times, and its values add up. ``seen``: bit filter of the keys; ``start``: what
     the contexts before a text add; ``unseen``: what every token adds besides its spelling."""
 
@@ -326,18 +328,18 @@ def _packed(bits: int) -> object:
 
     def blobs(key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(key)
-        key, units = key[order], np.round(value[order] / UNIT).astype(np.int64)
+        key, units = key[order], np.round(value[order] / UNIT * 2.0**FINE).astype(np.int64)
         shard = (key >> np.uint64(64 - bits)).astype(np.int64)
         cut = np.flatnonzero(np.append(True, np.diff(shard) != 0))
         rows = []
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
-            near = units[a:b].astype(np.int32)
-            at = np.flatnonzero(near != units[a:b])
+            near = (units[a:b] >> FINE).astype(np.int32)
+            at = np.flatnonzero(near != units[a:b] >> FINE)
             wide = np.empty(len(at), _WIDE)
             wide["at"], wide["units"] = at, units[a:b][at]
-            rows.append((key[a:b].tobytes(), near.tobytes(), wide.tobytes()))
+            rows.append((key[a:b].tobytes(), near.tobytes(), units[a:b].astype(np.uint16).tobytes(), wide.tobytes()))
         columns = [pa.array(x, pa.binary()) for x in zip(*rows, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(shard[cut], pa.int64()), *columns], names=["shard", "keys", "units", "wide"])
+        return pa.RecordBatch.from_arrays([pa.array(shard[cut], pa.int64()), *columns], names=["shard", "keys", "units", "fine", "wide"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
@@ -559,15 +561,15 @@ def _found(asked: pa.Table, model: pa.Table) -> pa.Table:
     rows = asked.filter(pc.invert(whole)).select(["run", "keys", "times", "own"]).to_pylist()
     if rows and model.num_rows:
         units = []
-        for near, wide in zip(model.column("units").to_pylist(), model.column("wide").to_pylist(), strict=True):
-            x, far = np.frombuffer(near, np.int32).astype(np.int64), np.frombuffer(wide, _WIDE)
+        for near, fine, wide in zip(*(model.column(c).to_pylist() for c in ("units", "fine", "wide")), strict=True):
+            x, far = (np.frombuffer(near, np.int32).astype(np.int64) << FINE) + np.frombuffer(fine, np.uint16), np.frombuffer(wide, _WIDE)
             x[far["at"]] = far["units"]
             units.append(x)
         keys, units = np.concatenate([np.frombuffer(x, np.uint64) for x in model.column("keys").to_pylist()]), np.concatenate(units)
         order = np.argsort(keys)
         keys, units = keys[order], units[order]
         first = np.flatnonzero(np.append(True, np.diff(keys) != 0))
-        keys, units = keys[first], np.add.reduceat(units, first)
+        keys, units = keys[first], np.round(np.add.reduceat(units, first) / 2.0**FINE).astype(np.int64)
         told = []
         for r in rows:
             own, k = np.frombuffer(r["own"], np.uint16), np.frombuffer(r["keys"], np.uint64)
